@@ -25,4 +25,24 @@ b AS (SELECT *, CAST(
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
 """
 
-ORACLES = {"op1_quality_rules": OP1}
+OP4 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+z AS (SELECT *, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>!]', '', 'g')) AS marks FROM d),
+k AS (SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, size,
+        -ln((CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 1) / 4503599627370496.0)
+        / CASE WHEN size > 0 THEN CAST(size AS DOUBLE) / CAST(size + marks AS DOUBLE) ELSE 1.0 END AS key FROM z),
+s AS (SELECT none, src, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY 1, 2),
+w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY none, src) - 1) % 3] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+r AS (SELECT *, cap / w AS ratio FROM w),
+l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(cap) OVER (ORDER BY ratio, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, none, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
+f AS (SELECT arg_min(level, (ratio, none, src)) AS level FROM l WHERE ratio >= level),
+t AS (SELECT none, src, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * w) END AS target FROM l, f),
+e AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+        CAST(sum(size) OVER (PARTITION BY none, src ORDER BY key, coalesce(CAST(doc_id AS VARCHAR), ''), size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto
+      FROM k JOIN t USING (none, src))
+SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN 2 * upto - size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS taken FROM e
+"""
+
+ORACLES = {"op4_mixing": OP4, "op1_quality_rules": OP1}

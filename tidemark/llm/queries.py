@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import mixing, quality_rules, sentencepiece, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -18,8 +18,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(base).select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "failed")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("piece_bpe_32k.model"), verify=True)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), ["doc_id"])
+    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
+    return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    every = [op1_quality_rules, op3_sentencepiece, op4_mixing, op5_token_counts]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
