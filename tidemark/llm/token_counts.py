@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from . import textvec as tv
 from .common import shared_dir
 
 #: Remembered words per task; the memory is emptied when full, which costs time and never changes a count.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
@@ -66,6 +67,7 @@ class Counter:
         self.by_piece: dict[str, int] = {}
         self.separable = word_separable(path)
         if path.endswith(".json"):
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)
