@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, mixing, quality_rules, sentencepiece, token_counts
+from . import embedding_dedup, minhash_dedup, mixing, quality_rules, sentencepiece, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -38,12 +38,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_quality_rules, op3_sentencepiece, op4_mixing, op5_token_counts, op10_minhash_dedup]
+    every = [op1_quality_rules, op3_sentencepiece, op4_mixing, op5_token_counts, op8_embedding_dedup, op10_minhash_dedup]
     return {f.__name__: f for f in every}
 
 
