@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash_dedup, mixing, quality_rules, sentencepiece, token_counts
+from . import embedding_dedup, minhash_dedup, mixing, pii, quality_rules, sentencepiece, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -42,12 +42,17 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.detect(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", pii.span_text().alias("spans"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_quality_rules, op3_sentencepiece, op4_mixing, op5_token_counts, op8_embedding_dedup, op10_minhash_dedup]
+    every = [op1_quality_rules, op3_sentencepiece, op4_mixing, op5_token_counts, op8_embedding_dedup, op9_pii, op10_minhash_dedup]
     return {f.__name__: f for f in every}
 
 
