@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash_dedup, mixing, pii, quality_rules, sentencepiece, token_counts
+from . import embedding_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -18,6 +18,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(base).select("doc_id", *quality_rules.MEASURES[:5], "base_failed", "kept", "failed")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model, prior = quality_classifier.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    rows = quality_classifier.score(docs, model, prior)
+    return rows.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -52,7 +59,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_quality_rules, op3_sentencepiece, op4_mixing, op5_token_counts, op8_embedding_dedup, op9_pii, op10_minhash_dedup]
+    every = [op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op4_mixing, op5_token_counts, op8_embedding_dedup, op9_pii, op10_minhash_dedup]
     return {f.__name__: f for f in every}
 
 
