@@ -43,3 +43,19 @@ def near_duplicates(docs: dict, percent: int):
     links = [(a, b) for a, b in meet if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     comp = components(sets, links)
     return {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
+
+
+def repeats(docs: dict, length: int = 100):
+    """{id: (n_bytes, n_removed, n_spans, kept bytes)}; ids in order."""
+    seen, out = set(), {}
+    for i in sorted(docs):
+        b = (docs[i] or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            w = b[p : p + length]
+            if w in seen:
+                gone[p : p + length] = b"\1" * length
+            seen.add(w)
+        spans = sum(1 for k, g in enumerate(gone) if g and (k == 0 or not gone[k - 1]))
+        out[i] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g))
+    return out
