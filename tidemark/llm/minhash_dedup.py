@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import written
+from .common import drop_written, written
 from .components import components
 
 WORDS = 5
@@ -107,11 +108,11 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip(((x == y).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_lo long, set_hi long, sketch binary, shingles binary, bands array<long>"
+_SIGNED = "doc_id long, n_shingles long, set_lo long, set_hi long, text_key long, sketch binary"
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, set size, 128-bit set digest, sketch, the set, band keys (none for an empty set)."""
+    """Per row: doc_id, set size, 128-bit digest of the set, 64-bit key of the text, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,40 +120,83 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 b = whole.slice(a, 1000)
                 sets = shingles(b.column(1))
                 n = np.array([len(s) for s in sets], np.int64)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.concatenate([np.zeros(0, np.uint64), *sets]))])
-                mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tv.mix(np.concatenate([np.zeros(0, np.uint64), *sets])))])
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+                sums = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (flat, tv.mix(flat)))
                 end = np.cumsum(n)
-                lo, hi = (t[end] - t[end - n] for t in (total, mixed))
-                registers = sketches(sets)
-                keys = band_keys(registers)
-                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+                lo, hi = (t[end] - t[end - n] for t in sums)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).cast(pa.int64()), pa.array(n), pa.array(tv.mix(lo).view(np.int64)), pa.array(tv.mix(hi + n.astype(np.uint64)).view(np.int64)), pa.array([r.tobytes() for r in registers], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[n > 0].ravel()))],
-                    names=["doc_id", "n_shingles", "set_lo", "set_hi", "sketch", "shingles", "bands"],
+                    [b.column(0).cast(pa.int64()), pa.array(n), pa.array(tv.mix(lo).view(np.int64)), pa.array(tv.mix(hi + n.astype(np.uint64)).view(np.int64)), b.column(2), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())],
+                    names=["doc_id", "n_shingles", "set_lo", "set_hi", "text_key", "sketch"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, _SIGNED)
+    return docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(run, _SIGNED)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose sets have 100 * intersection >= percent * union."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("shingles").alias("xa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("shingles").alias("xb"))
+def band_rows(classes: DataFrame) -> DataFrame:
+    """(rep, band, key) of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2000):
+                b = whole.slice(a, 2000)
+                keys = band_keys(_registers(b.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)), pa.array(keys.ravel())], names=["rep", "band", "key"])
+
+    return classes.select("rep", "sketch").mapInArrow(run, "rep long, band int, key long")
+
+
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.array([np.frombuffer(r, np.uint16) for r in column.to_pylist()], np.uint16).reshape(-1, BUCKETS)
+
+
+def packed_texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(rep, sketch, packed): for the classes ``wanted`` (rep), one compressed text each; sets are made of it where they are needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            a_, b_, sa, xa, sb, xb = (b.column(i) for i in range(6))
-            u, v = (np.array([np.frombuffer(r, np.uint16) for r in s.to_pylist()]).reshape(-1, BUCKETS) for s in (sa, sb))
-            n, m = (np.array([len(x) // 8 for x in c.to_pylist()], np.int64) for c in (xa, xb))
-            near = estimate(u, v, n, m) >= percent / 100 - MARGIN
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), pa.array([press.compress((t or "").encode()) for t in b.column(1).to_pylist()], pa.binary())], names=["rep", "text_key", "packed"])
+
+    texts = docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key")).mapInArrow(run, "rep long, text_key long, packed binary")
+    found = texts.join(classes.join(wanted, "rep"), ["rep", "text_key"])
+    return found.groupBy("rep").agg(F.first("sketch").alias("sketch"), F.first("packed").alias("packed"))
+
+
+def _sets(packed: list[bytes]) -> list[np.ndarray]:
+    unpress = zstandard.ZstdDecompressor()
+    return shingles(pa.array([unpress.decompress(x) for x in packed], pa.binary()))
+
+
+def screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose sizes and sketches allow a link."""
+    side = lambda k: classes.select(F.col("rep").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n_shingles").alias(f"n{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(4).to_numpy(), b.column(5).to_numpy()
+            near = estimate(_registers(b.column(2)), _registers(b.column(3)), n, m) >= percent / 100 - MARGIN
             near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            for i in np.flatnonzero(near).tolist():
-                both = len(np.intersect1d(np.frombuffer(xa[i].as_py(), np.uint64), np.frombuffer(xb[i].as_py(), np.uint64), assume_unique=True))
-                near[i] = 100 * both >= percent * (int(n[i] + m[i]) - both)
             keep = pa.array(near)
-            yield pa.RecordBatch.from_arrays([a_.filter(keep), b_.filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "xa", "sb", "xb").mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose sets have 100 * intersection >= percent * union."""
+    side = lambda k: texts.select(F.col("rep").alias(k), F.col("packed").alias(f"x{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                x, y = _sets(b.column(2).to_pylist()), _sets(b.column(3).to_pylist())
+                both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], np.int64)
+                total = np.array([len(p) + len(q) for p, q in zip(x, y)], np.int64) - both
+                keep = pa.array(100 * both >= percent * total)
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
 class _Parts:
@@ -186,12 +230,11 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
 
 
 def _joins(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links of one pair of blocks that join two components. Rows: band, own block, the two blocks, rep, part, sketch, set."""
+    """Links of one pair of blocks that join two components. Rows: band, own block, the two blocks, rep, part, sketch, packed text, set size."""
     band, pair = rows[0][0], (rows[0][2], rows[0][3])
     rep, part = (np.array([r[k] for r in rows], np.int64) for k in (4, 5))
     regs = np.array([np.frombuffer(r[6], np.uint16) for r in rows])
-    sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-    n = np.array([len(x) for x in sets], np.int64)
+    n = np.array([r[8] for r in rows], np.int64)
     block = np.array([r[1] for r in rows])
     keys = band_keys(regs)
     left = np.flatnonzero(block == pair[0])
@@ -209,7 +252,10 @@ def _joins(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     if not found_i:
         return []
     i, j = np.concatenate(found_i), np.concatenate(found_j)
-    both = _intersections(sets, i, j)
+    if not len(i):
+        return []
+    used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
+    both = _intersections(_sets([rows[k][7] for k in used.tolist()]), where[: len(i)], where[len(i) :])
     linked = 100 * both >= percent * (n[i] + n[j] - both)
     parts, out = _Parts(), []
     for x, y in zip(i[linked].tolist(), j[linked].tolist()):
@@ -220,14 +266,14 @@ def _joins(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def joining_links(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def joining_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components, within the groups ``rows`` (key, band, rep, part)."""
     size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     dealt = rows.join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "own", "rep", "part")
-    full = dealt.join(classes.select("rep", "sketch", "shingles"), "rep")
-    columns = ["key", "band", "own", "lo", "hi", "rep", "part", "sketch", "shingles"]
+    full = dealt.join(texts, "rep")
+    columns = ["key", "band", "own", "lo", "hi", "rep", "part", "sketch", "packed", "n_shingles"]
     sorted_ = full.select(*columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,22 +300,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """Per row: doc_id, n_shingles (long), component_id (least id reachable by links, null without id), kept."""
     signed = written(signatures(docs, id_col, text_col), "signatures")
     of_set = ["set_lo", "set_hi"]
-    reps = written(signed.where("n_shingles > 0").groupBy(*of_set).agg(F.min("doc_id").alias("rep")), "classes")
-    linked = reps.where("rep is not null")
-    # an id may stand on rows of several texts: those classes meet in the id and count as linked
-    first = signed.where("n_shingles > 0").join(linked, of_set).where("doc_id = rep")
-    classes = first.groupBy(*of_set).agg(F.min("rep").alias("rep"), F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    full = signed.where("n_shingles > 0")
+    linked = written(full.groupBy(*of_set).agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
+    classes = full.join(linked, of_set).where("doc_id = rep").groupBy(*of_set).agg(*(F.min(c).alias(c) for c in ("rep", "n_shingles", "text_key")), F.first("sketch").alias("sketch"))
+    # an id may stand on rows of several texts: their classes meet in the id and count as linked
     classes = written(classes.drop(*of_set), "class-rows")
-    bands = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    bands = written(band_rows(classes), "bands")
     groups = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = written(bands.join(groups.select("key", "hub"), "key"), "band-groups")
+    drop_written(bands)
+    texts = written(packed_texts(docs, classes.select("rep", "text_key", "sketch"), grouped.select("rep").distinct(), id_col, text_col).join(classes.select("rep", "n_shingles"), "rep"), "texts")
     stars = grouped.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(verified(stars, classes, percent), "links")
+    links = written(verified(screened(stars, classes, percent), texts, percent), "links")
     parts = written(components(links), "components")
     own = lambda c: F.coalesce("component", c)
     labelled = grouped.join(parts, grouped["rep"] == parts["node"], "left").select("key", "band", "rep", own("rep").alias("part"))
     several = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    more = joining_links(written(labelled.join(several, "key"), "open-groups"), classes, percent)
-    same_id = signed.where("n_shingles > 0 and doc_id is not null").join(linked, of_set).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    more = joining_links(written(labelled.join(several, "key"), "open-groups"), texts, percent)
+    same_id = full.where("doc_id is not null").join(linked, of_set).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(same_id.where("a <> b")))
     return signed.join(final, signed["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", own("doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
