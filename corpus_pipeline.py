@@ -1,23 +1,55 @@
-"""A training corpus from raw documents: rules, near-duplicates, personal data, mixing, token ids."""
+"""A training corpus from raw documents: rules, near-duplicates, personal data, mixing, token ids.
+
+Each stage works on all rows that the one before it kept and returns the
+columns of ``documents``; the last returns doc_id with its token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules
+from tidemark.llm import minhash_dedup, mixing, pii, quality_rules, sentencepiece
+from tidemark.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the default policy fails.
+    """Rows that no rule of the default policy fails.
 
     Each row is judged by itself and in place: nothing is joined back, so repeated or null ids are no matter.
     """
-    return quality_rules.keep_rows(docs)
+    return quality_rules.keep_rows(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, similarity 0.8): the one with the least id.
+
+    Rows without id stay.  Of rows that share a kept id, all stay.
+    """
+    found = minhash_dedup.near_duplicates(docs, percent=80)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data and disclosing terms replaced; n_chars follows."""
+    return pii.sanitised(docs.select(*COLUMNS))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it."""
+    return mixing.mixed_rows(docs.select(*COLUMNS))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids; a row per row of the mix."""
+    return sentencepiece.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
-STAGES = [("quality_rules", quality)]
+STAGES = [("quality_rules", quality), ("minhash_dedup", near_duplicates), ("pii", personal_data), ("mixing", mixture), ("sentencepiece", token_ids)]
+#: The near-duplicate, term and encoding stages can't be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

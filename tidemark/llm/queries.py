@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts
+from . import context_mixing, embedding_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts
 from .common import table
 from .oracles import ORACLES
 
@@ -49,6 +49,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), with_text=False)
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
 
@@ -63,7 +67,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op4_mixing, op5_token_counts, op6_suffix_dedup, op8_embedding_dedup, op9_pii, op10_minhash_dedup]
+    every = [op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op4_mixing, op5_token_counts, op6_suffix_dedup, op7_context_mixing, op8_embedding_dedup, op9_pii, op10_minhash_dedup]
     return {f.__name__: f for f in every}
 
 
