@@ -69,8 +69,9 @@ def _compare(x: np.ndarray, keys: np.ndarray, table: int, own: np.ndarray, pair:
     i, j = left[i], right[j]
     fresh = (ids[j] > ids[i]) if pair[0] == pair[1] else np.ones(len(i), bool)
     i, j = i[fresh], j[fresh]
-    first = (keys[i] == keys[j]).argmax(axis=1) == table
-    i, j = i[first], j[first]
+    for t in range(table):  # pairs that met in an earlier table are counted there; of close vectors hardly any stay
+        apart = keys[i, t] != keys[j, t]
+        i, j = i[apart], j[apart]
     linked = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
     i, j = i[linked], j[linked]
     n = np.bincount(i, times[j], len(ids)) + np.bincount(j, times[i], len(ids))
