@@ -1,0 +1 @@
+"""Time-series, signal and event analytics on Spark DataFrames."""
