@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..series import CHUNK, INDEX, SeriesKey, over_rows
 from . import kernels as K
@@ -47,8 +48,7 @@ def ema_frame(rows: DataFrame, key: SeriesKey, alpha: float, chunk: int = CHUNK)
     """
     parts = list(key.partition_by)
     work = rows.withColumn("_chunk", F.floor(F.col(INDEX) / chunk)).withColumn("_at", F.col(INDEX) % chunk)
-    kinds = work.schema
-    out_schema = kinds.add("_local", "double")
+    out_schema = T.StructType([*work.schema.fields, T.StructField("_local", T.DoubleType())])
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(INDEX)
