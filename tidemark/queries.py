@@ -8,6 +8,7 @@ round apart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ from .operators import merge
 from .operators.asof import asof_join
 from .operators.transforms import TransformPipeline
 from .series import INDEX, SeriesKey
+from .sources import synthetic
+from .streaming import windows
+from .streaming.alerts import Rule, evaluate_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -431,6 +435,74 @@ query(
 )(lambda s, d: f("lomb_scargle", uneven(s, d), SeriesKey.of("x"), "power", columns=["x", "y"], minFrequency=0.01, maxFrequency=0.2, frequencySteps=40))
 
 
+# -- windows, alerts ----------------------------------------------------------------------------------------------------
+
+query(
+    "sliding_window_agg",
+    "SELECT event_id, avg(value) OVER w AS avg, min(value) OVER w AS min, max(value) OVER w AS max, sum(value) OVER w AS sum, CAST(count(value) OVER w AS DOUBLE) AS count, coalesce(stddev_samp(value) OVER w, 0) AS std FROM events WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 2 HOURS PRECEDING AND CURRENT ROW)",
+    '"avg" "min" "max" "sum" "count" std', "event_id",
+)(lambda s, d: windows.sliding(table(s, d, "events").select("event_id", "ts", "value"), "ts", "value", "2h", list(windows.AGGREGATES)).drop("ts", "value"))
+query(
+    "tumbling_window_agg",
+    "SELECT user_id, date_trunc('day', ts) AS start, avg(value) AS avg, min(value) AS min, max(value) AS max, sum(value) AS sum, CAST(count(value) AS DOUBLE) AS count, coalesce(stddev_samp(value), 0) AS std FROM events GROUP BY 1, 2",
+    '"avg" "min" "max" "sum" "count" std', "user_id start",
+)(lambda s, d: windows.tumbling(table(s, d, "events"), "ts", "value", "1d", list(windows.AGGREGATES), ["user_id"]))
+NOW = datetime(2024, 1, 30, 12, tzinfo=timezone.utc)
+_RULES_SQL = {
+    "alert_simple": ("value > 450", "SELECT bool_or(value > 450) AS triggered, coalesce(arg_min(value, (ts, event_id)) FILTER (value > 450), arg_max(value, (ts, event_id))) AS value FROM events"),
+    "alert_window": ("avg(value, 6h) > 40", "SELECT avg(value) > 40 AS triggered, avg(value) AS value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOURS"),
+    "alert_rate": ('rate(event_type, "error", 12h) >= 0.05', "SELECT count(*) / 720.0 >= 0.05 AS triggered, count(*) / 720.0 AS value FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-30 00:00:00'"),
+}
+for _name, (_cond, _sql) in _RULES_SQL.items():
+    query(_name, _sql, "value", "triggered")(lambda s, d, c=_cond: evaluate_frame(table(s, d, "events").withColumnRenamed("ts", "_timestamp"), [Rule("r", c)], ["_timestamp", "event_id"], NOW).select("triggered", "value"))
+
+# -- generated signals, composition -------------------------------------------------------------------------------------
+
+_TONE = {"samples": 2048, "sampleRate": 256.0, "components": [{"kind": "constant", "level": 1.5}, {"kind": "trend", "slope": 0.25}, {"kind": "sine", "amplitude": 2.0, "frequency": 16.0, "phase": 0.5}, {"kind": "step", "at": 1000, "level": 3.0}, {"kind": "impulse", "at": 77, "level": 9.0}]}
+query(
+    "synthetic_tone",
+    "SELECT TIMESTAMP '2026-01-01 00:00:00' + to_microseconds(CAST(i * 3906 AS BIGINT)) AS _timestamp, 1.5 + 0.25 * (i / 256.0) + 2 * sin(2 * pi() * 16 * (i / 256.0) + 0.5) + (CASE WHEN i >= 1000 THEN 3 ELSE 0 END) + (CASE WHEN i = 77 THEN 9 ELSE 0 END) AS value FROM range(0, 2048) r(i)",
+    "value", "_timestamp",
+)(lambda s, d: synthetic.generate(s, _TONE).select(F.col("_timestamp").cast("timestamp_ntz").alias("_timestamp"), "value"))
+_RLC = {"samples": 600, "sampleRate": 1000.0, "components": [{"kind": "rlc", "r": 0.1, "l": 0.01, "c": 0.01}]}
+_RK = (
+    "WITH RECURSIVE c AS (SELECT 0.1::DOUBLE / 0.01 AS a, 1 / 0.01::DOUBLE AS b, 1 / 0.01::DOUBLE AS g, 0.001::DOUBLE AS h), E AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y UNION ALL SELECT i + 1, x + h / 6 * (k1 + 2 * k2 + 2 * k3 + k4), y + h / 6 * (l1 + 2 * l2 + 2 * l3 + l4) FROM ("
+    "SELECT *, -a * (x + h * k3) - b * (y + h * l3) + b AS k4, g * (x + h * k3) AS l4 FROM (SELECT *, -a * (x + h / 2 * k2) - b * (y + h / 2 * l2) + b AS k3, g * (x + h / 2 * k2) AS l3 FROM (SELECT *, -a * (x + h / 2 * k1) - b * (y + h / 2 * l1) + b AS k2, g * (x + h / 2 * k1) AS l2 FROM (SELECT *, -a * x - b * y + b AS k1, g * x AS l1 FROM E, c WHERE i < 599))))) "
+    "SELECT i, y AS value FROM E"
+)
+query("synthetic_rlc", _RK, "value", "i")(lambda s, d: synthetic.generate(s, _RLC).select(((F.unix_micros("_timestamp") - 1767225600000000) / 1000).cast("long").alias("i"), "value"))
+_TF = {"samples": 500, "sampleRate": 100.0, "components": [{"kind": "transfer_function", "num": [1], "den": [1, 1]}]}
+query("synthetic_transfer_function", "SELECT i, 1 - pow(1 - 0.01 + 0.0001 / 2 - 0.000001 / 6 + 0.00000001 / 24, i) AS value FROM range(0, 500) r(i)", "value", "i")(
+    lambda s, d: synthetic.generate(s, _TF).select(((F.unix_micros("_timestamp") - 1767225600000000) / 10000).cast("long").alias("i"), "value")
+)
+query("synthetic_ensemble")(lambda s, d: synthetic.generate(s, {"samples": 200, "sampleRate": 10.0, "seed": 3, "components": [{"kind": "noise", "std": 2.0}], "ensemble": {"runs": 50, "percentiles": [5, 50, 95]}}))
+
+
+@query("step_graph_fft_peaks", f"WITH f AS ({{fft}}), p AS (SELECT idx, magnitude, lag(magnitude) OVER (ORDER BY idx) l, lead(magnitude) OVER (ORDER BY idx) r FROM f) SELECT idx, magnitude AS value FROM p WHERE magnitude > l AND magnitude >= r AND magnitude >= 2".replace("{fft}", ORACLES["fft"]), "value", "idx")
+def _step_graph(s, d):
+    """A spectrum's magnitudes as the input of peak detection."""
+    spectrum = f("fft", hourly(s, d), KEY_H, "magnitudes", column="v", sampleRate=24.0).select(F.col(INDEX).alias("bin"), F.round(F.col("magnitude") + NUDGE, 6).alias("magnitude"))
+    return f("peak_detect", spectrum, SeriesKey.of("bin"), "values", column="magnitude", minHeight=2)
+
+
+@query("spec_batch", "SELECT name, value FROM (SELECT 'peak' AS name, max(v) AS value FROM (SELECT date_trunc('hour', ts) t, avg(value) v FROM events WHERE event_type = 'error' GROUP BY 1)) ", "value", "name")
+def _spec_batch(s, d):
+    """A whole spec through the engine: source, transforms, step, metric."""
+    from .plans.engine import Engine
+    from .sources.registry import SourceRegistry, TableSource
+
+    sources = SourceRegistry({"table": TableSource(f"{d}/{{query}}.parquet")})
+    engine = Engine(s, sources)
+    spec = engine.create_spec({
+        "specId": "errors", "version": "1.0.0", "inputSources": [{"sourceType": "table", "query": "events", "filter": "event_type = 'error'", "columnAliases": {"ts": "_timestamp"}}],
+        "transforms": [{"name": "resample", "parameters": {"interval": "1h", "aggregation": "mean"}}],
+        "analysisSteps": [{"id": "stats", "function": "descriptive_stats", "parameters": {"columns": ["value"]}}], "outputs": [{"name": "peak", "type": "metric", "from": "stats", "field": "max"}],
+    })
+    job = engine.run(spec)
+    rows = [(a.name, float(a.value)) for a in engine.artifacts.query(job.job_id)]
+    return s.createDataFrame(rows, "name string, value double")
+
+
 _FLAG = "SELECT count(*) AS \"count\", min(v) AS \"min\", max(v) AS \"max\", avg(v) AS \"avg\" FROM (SELECT avg(value) AS v FROM events WHERE event_type = 'error' GROUP BY date_trunc('hour', ts))"
 
 

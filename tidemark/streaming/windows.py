@@ -24,8 +24,8 @@ AGGREGATES = ("avg", "min", "max", "sum", "count", "std")
 
 
 def _aggregate(name: str, c: Column) -> Column:
-    made = {"avg": F.avg(c), "min": F.min(c), "max": F.max(c), "sum": F.sum(c), "count": F.count(c).cast("double"), "std": F.stddev_samp(c)}
-    return made.get(name, F.lit(0.0))
+    made = {"avg": F.avg(c), "min": F.min(c), "max": F.max(c), "sum": F.sum(c), "count": F.count(c), "std": F.stddev_samp(c)}
+    return made[name] if name in made else F.max(F.lit(0.0))
 
 
 def number_of(c: Column) -> Column:
@@ -46,7 +46,7 @@ def sliding(df: DataFrame, ts: str, value: str, window: str, aggregates: list[st
     own = F.floor(F.col("_us") / span)
     spread = rows.withColumn("_span", F.explode(F.sequence(own, F.floor((F.col("_us") + size) / span)))).withColumn("_own", F.col("_span") == own)
     w = W.partitionBy(*partition_by, "_span").orderBy("_us").rangeBetween(-size, 0)
-    out = spread.withColumns({a: F.coalesce(_aggregate(a, F.col("_x")).over(w), F.lit(0.0)) for a in aggregates})
+    out = spread.withColumns({a: F.coalesce(_aggregate(a, F.col("_x")).over(w).cast("double"), F.lit(0.0)) for a in aggregates})
     return out.where("_own").select(*df.columns, *aggregates)
 
 
@@ -54,7 +54,7 @@ def tumbling(df: DataFrame, ts: str, value: str, window: str, aggregates: list[s
     """Per epoch-aligned interval the aggregates; works on frames and on streams with a watermark."""
     kind = df.schema[ts].dataType.simpleString()
     x = number_of(F.col(value))
-    out = df.groupBy(*partition_by, F.window(F.col(ts), f"{seconds(window)} seconds").alias("_w")).agg(*(F.coalesce(_aggregate(a, x), F.lit(0.0)).alias(a) for a in aggregates))
+    out = df.groupBy(*partition_by, F.window(F.col(ts), f"{seconds(window)} seconds").alias("_w")).agg(*(F.coalesce(_aggregate(a, x).cast("double"), F.lit(0.0)).alias(a) for a in aggregates))
     return out.select(*partition_by, F.col("_w.start").cast(kind).alias("start"), *aggregates)
 
 
