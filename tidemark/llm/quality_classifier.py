@@ -37,6 +37,8 @@ from . import textvec as tv
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
 HIDDEN, STEPS, RATE, DECAY = 16, 1500, 0.02, 1e-4
+#: How far below zero the estimate may fall before a step counts it as too low: room for the prior's own error.
+TOLERANCE = 0.2
 #: Least distance of the prior from 0 and 1.
 PRIOR_EDGE = 0.02
 FEATURES = ("symbols", "upper", "exclaims", "dup_lines", "repeat_words", "word_chars", "variety", "log_words", "letters", "line_words", "digits", "bars")
@@ -89,7 +91,7 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float
     u, p = above(unlabelled), above(positive)
     slack = sum(np.sqrt(np.log(4 / confidence) / (2 * n)) for n in (len(positive), len(unlabelled)))
     cuts_used = p > 0
-    ratio, bound = u[cuts_used] / p[cuts_used], (u[cuts_used] + 0.1 * slack) / p[cuts_used]
+    ratio, bound = u[cuts_used] / p[cuts_used], (u[cuts_used] + slack) / p[cuts_used]
     return float(np.clip(ratio[np.argmin(bound)], PRIOR_EDGE, 1 - PRIOR_EDGE))
 
 
@@ -112,11 +114,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
 
     for t in range(1, steps + 1):
         (hp, zp), (hu, zu) = forward(p), forward(u)
-        # loss of calling x negative: softplus(z); its slope is sigmoid(z)
+        # the logistic loss: calling x negative costs softplus(z), whose slope is sigmoid(z)
         on_negatives = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         as_positive = back(p, hp, prior * (sigmoid(zp) - 1) / len(p))
         as_negative = [a - b for a, b in zip(back(u, hu, sigmoid(zu) / len(u)), back(p, hp, prior * sigmoid(zp) / len(p)))]
-        step = [a + b for a, b in zip(as_positive, as_negative)] if on_negatives >= 0 else [-b for b in as_negative]
+        step = [a + b for a, b in zip(as_positive, as_negative)] if on_negatives >= -TOLERANCE else [-b for b in as_negative]
         for k, g in enumerate(step):
             g = g + DECAY * w[k]
             first[k] = 0.9 * first[k] + 0.1 * g
