@@ -267,9 +267,8 @@ def _joins(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
 
 
 def joining_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join components, within the groups ``rows`` (key, band, rep, part)."""
-    size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = rows.join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    """Links (a, b) that join components, within the groups ``rows`` (key, n classes, band, rep, part)."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "own", "rep", "part")
     full = dealt.join(texts, "rep")
@@ -307,14 +306,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     classes = written(classes.drop(*of_set), "class-rows")
     bands = written(band_rows(classes), "bands")
     groups = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = written(bands.join(groups.select("key", "hub"), "key"), "band-groups")
+    grouped = written(bands.join(groups, "key"), "band-groups")
     drop_written(bands)
     texts = written(packed_texts(docs, classes.select("rep", "text_key", "sketch"), grouped.select("rep").distinct(), id_col, text_col).join(classes.select("rep", "n_shingles"), "rep"), "texts")
     stars = grouped.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(verified(screened(stars, classes, percent), texts, percent), "links")
     parts = written(components(links), "components")
     own = lambda c: F.coalesce("component", c)
-    labelled = grouped.join(parts, grouped["rep"] == parts["node"], "left").select("key", "band", "rep", own("rep").alias("part"))
+    labelled = grouped.join(parts, grouped["rep"] == parts["node"], "left").select("key", "n", "band", "rep", own("rep").alias("part"))
     several = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
     more = joining_links(written(labelled.join(several, "key"), "open-groups"), texts, percent)
     same_id = full.where("doc_id is not null").join(linked, of_set).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
