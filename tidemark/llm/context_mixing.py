@@ -305,35 +305,67 @@ def words_asked(docs: DataFrame) -> DataFrame:
     return docs.select("row_key", "text").mapInArrow(run, "word long, posts binary")
 
 
-def base_sums(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row_key, logs, known): sum of log10(count + 1) over a text's tokens, and how many tokens are known."""
+_SUMS = np.dtype([("row_key", "<i8"), ("logs", "<f8"), ("known", "<i8"), ("times", "<i8")])
+#: Texts whose sums travel in one row, on average.
+GROUP_TEXTS = 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """One entry per text key."""
+    rows = np.concatenate([np.zeros(0, _SUMS), *parts])
+    keys, where = np.unique(rows["row_key"], return_inverse=True)
+    out = np.zeros(len(keys), _SUMS)
+    out["row_key"] = keys
+    for name in ("logs", "known", "times"):
+        out[name] = np.bincount(where, rows[name], len(keys))
+    return out
+
+
+def base_sums(asked: DataFrame, counts: DataFrame, groups: int) -> DataFrame:
+    """(row_key, logs, known): sum of log10(count + 1) over a text's tokens, and how many tokens are known.
+
+    Texts are dealt to ``groups``; a task packs what it has summed for a group's texts into one row.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            d = np.concatenate([np.zeros(0, np.int64), *(h[0] for h in held)])
-            keys, where = np.unique(d, return_inverse=True)
-            sums = [np.bincount(where, np.concatenate([np.zeros(0), *(h[k] for h in held)]), len(keys)) for k in (1, 2, 3)]
+            sums = _summed(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2].astype(np.int64))], names=["row_key", "logs", "known", "times"])
+            group = (tv.mix(sums["row_key"].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            sums, group = sums[order], group[order]
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else [0]
+            spans = list(zip(cuts, cuts[1:]))
+            return pa.RecordBatch.from_arrays([pa.array([int(group[x]) for x, _ in spans], pa.int64()), pa.array([sums[x:y].tobytes() for x, y in spans], pa.binary())], names=["part", "sums"])
 
         for b in batches:
-            column = b.column(1).cast(pa.large_binary())
-            raw, off = tv.flat(column)
+            raw, off = tv.flat(b.column(1).cast(pa.large_binary()))
             posts = np.frombuffer(raw.tobytes(), [("doc", "<i8"), ("n", "<i4")])
-            each = np.repeat(b.column(2).fill_null(0).to_numpy(), np.diff(off) // posts.itemsize)
-            end = np.repeat(b.column(0).to_numpy() == 0, np.diff(off) // posts.itemsize)
-            held.append((posts["doc"], posts["n"] * np.log10(each + 1.0), posts["n"] * (each > 0), posts["n"] * end))
-            if sum(len(h[0]) for h in held) > 1_000_000:
+            many = np.diff(off) // posts.itemsize
+            each = np.repeat(b.column(2).fill_null(0).to_numpy(), many)
+            part = np.zeros(len(posts), _SUMS)
+            part["row_key"], part["logs"], part["known"] = posts["doc"], posts["n"] * np.log10(each + 1.0), posts["n"] * (each > 0)
+            part["times"] = posts["n"] * np.repeat(b.column(0).to_numpy() == 0, many)
+            held.append(part)
+            if sum(map(len, held)) > 1_000_000:
                 yield out()
         yield out()
 
-    joined = asked.join(counts, "word", "left").select("word", "posts", "n")
-    parts = joined.mapInArrow(run, "row_key long, logs double, known long, times long").groupBy("row_key")
-    # copies of a text share a key: each asks for all its words once
-    total = parts.agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"), F.sum("times").alias("times"))
-    return total.select("row_key", (F.col("logs") / F.col("times")).alias("logs"), F.floor(F.col("known") / F.col("times")).cast("long").alias("known"))
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            held += [np.frombuffer(x, _SUMS) for x in b.column(1).to_pylist()]
+            if sum(map(len, held)) > 1_000_000:
+                held = [_summed(held)]
+        sums = _summed(held)
+        # copies of a text share a key: each asks for all its words once
+        times = np.maximum(sums["times"], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(sums["row_key"]), pa.array(sums["logs"] / times), pa.array(sums["known"] // times)], names=["row_key", "logs", "known"])
+
+    packed = asked.join(counts, "word", "left").select("word", "posts", "n").mapInArrow(first, "part long, sums binary")
+    return packed.repartition("part").mapInArrow(second, "row_key long, logs double, known long")
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,7 +383,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     tokens, kinds = n_words + n_rows, distinct + (n_rows > 0)
     if n_rows:
         words = words.unionByName(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("word"), F.lit(n_rows).cast("long").alias("n")))
-    base = written(base_sums(words_asked(rows), words), "lm-base")
+    groups = max(1, docs.select(F.lit(1)).count() // GROUP_TEXTS)
+    base = written(base_sums(words_asked(rows), words, groups), "lm-base")
     odds = docs.sparkSession.sparkContext.broadcast(learn(rows, tree))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
