@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ def plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log(1 - agree**bits))
 
 
+@lru_cache(maxsize=8)
 def planes(size: int, bits: int, tables: int, seed: int = 29) -> np.ndarray:
     return np.random.default_rng([seed, size, bits, tables]).standard_normal((size, bits * tables))
 
@@ -69,6 +71,8 @@ def _compare(x: np.ndarray, keys: np.ndarray, table: int, own: np.ndarray, pair:
     i, j = left[i], right[j]
     fresh = (ids[j] > ids[i]) if pair[0] == pair[1] else np.ones(len(i), bool)
     i, j = i[fresh], j[fresh]
+    if not len(i):
+        return []
     for t in range(table):  # pairs that met in an earlier table are counted there; of close vectors hardly any stay
         apart = keys[i, t] != keys[j, t]
         i, j = i[apart], j[apart]
@@ -126,40 +130,39 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, miss: float = MI
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("table", "key", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "number")
     full = dealt.join(classes.select("number", "times", "vector"), "number").select("table", "key", "lo", "hi", "own", "number", "times", "vector")
-    sorted_ = full.repartition("table", "key", "lo", "hi").sortWithinPartitions("table", "key", "lo", "hi")
+    sorted_ = full.repartition("table", "key", "lo", "hi").sortWithinPartitions("table", "key", "lo", "hi", F.size("vector"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: list[pa.RecordBatch]) -> list[tuple]:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            first = [t.column(k)[0].as_py() for k in range(4)]
-            own, ids, times = (t.column(k).to_numpy() for k in (4, 5, 6))
-            lists = t.column(7).combine_chunks()
-            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-            sizes, out = pa.compute.list_value_length(lists).to_numpy(), []
-            for size in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == size)
-                if len(at) > 1:
-                    x = _units(_rows(lists.take(pa.array(at)), size))
-                    out += _compare(x, keys_of(x, bits, tables), first[0], own[at], (first[2], first[3]), ids[at], times[at], threshold)
-            return out
-
-        held: list[pa.RecordBatch] = []
-        mark = None
+        def group(marks: np.ndarray, own: np.ndarray, ids: np.ndarray, times: np.ndarray, x: np.ndarray, keys: np.ndarray) -> list[tuple]:
+            return _compare(x, keys, int(marks[0]), own, (int(marks[2]), int(marks[3])), ids, times, threshold)
+
+        # a group's vectors have one length: it is part of what groups are sorted by
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            marks = np.stack([b.column(k).to_numpy() for k in range(4)], axis=1)
-            cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
             out: list[tuple] = []
-            for a, e in zip(cuts, cuts[1:]):
-                now = tuple(marks[a])
-                if now != mark and held:
-                    out += flush(held)
-                    held = []
-                mark = now
-                held.append(b.slice(a, e - a))
+            sizes = pa.compute.list_value_length(b.column(7)).to_numpy()
+            spans = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), b.num_rows]
+            for p, q in zip(spans, spans[1:]):
+                part = b.slice(p, q - p)
+                x = _units(_rows(part.column(7), int(sizes[p])))
+                marks = np.stack([*(part.column(k).to_numpy() for k in range(4)), sizes[p:q]], axis=1)
+                columns = (marks, *(part.column(k).to_numpy() for k in (4, 5, 6)), x, keys_of(x, bits, tables))
+                cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), q - p]
+                for k, (u, v) in enumerate(zip(cuts, cuts[1:])):
+                    now = tuple(c[u:v] for c in columns)
+                    if k == 0 and held and (held[-1][0][-1] == marks[0]).all():
+                        held.append(now)
+                    else:
+                        if held:
+                            whole = held[0] if len(held) == 1 else tuple(np.concatenate(c) for c in zip(*held))
+                            out += group(whole[0][0], *whole[1:]) if len(whole[0]) > 1 else []
+                        held = [now]
             yield _found(out)
-        yield _found(flush(held) if held else [])
+        if held:
+            whole = held[0] if len(held) == 1 else tuple(np.concatenate(c) for c in zip(*held))
+            yield _found(group(whole[0][0], *whole[1:]) if len(whole[0]) > 1 else [])
 
     found = written(sorted_.mapInArrow(compare, "number long, n long, joined long"), "vector-links")
     counts = found.groupBy("number").agg(F.sum("n").alias("n"))
