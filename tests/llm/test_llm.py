@@ -239,6 +239,23 @@ def test_context_mixing(docs, texts, empty):
     assert context_mixing.scores(empty).count() == 0
 
 
+def test_context_tables_follow_the_corpus(spark, texts, monkeypatch):
+    """Slots grow with the training decisions, and larger tables hold the counts of a plain loop over the texts."""
+    few, many = context_mixing.slots_for(10**6), context_mixing.slots_for(10**12)
+    assert few == context_mixing.SLOTS and all((1 << s) * d >= 10**12 for s, d in zip(many, context_mixing.DECISIONS_PER_SLOT))
+    monkeypatch.setattr(context_mixing, "HELD_COUNTS", 20_000)  # several rounds of sending
+    tree = context_mixing.Tree.of(np.ones((256, 256), np.int64))
+    column = [t or "" for t in texts.values()]
+    data, off = textvec.flat(pa.array(column))
+    slots = (19, 21, 23, 23)
+    c = context_mixing.Coded(data, off, tree, train=True, slots=slots)
+    counts = np.zeros(2 * int(context_mixing.offsets_of(slots)[-1]), np.int64)
+    for own, start in zip(c.slots, context_mixing.offsets_of(slots)):
+        np.add.at(counts, 2 * (own + start) + c.bit, 1)
+    docs = spark.createDataFrame([(t, False) for t in column] + [("never learnt", True)], "text string, held_out boolean").repartition(3)
+    assert np.array_equal(context_mixing.learn(docs, tree, slots), context_mixing._log_odds(counts))
+
+
 def test_bit_costs_are_a_distribution():
     """Over all one-byte continuations of a text the model's probabilities sum to one."""
     pairs = np.zeros((256, 256), np.int64)

@@ -5,7 +5,7 @@ binary decisions in the Huffman tree that the byte before it selects (built
 from the corpus' counts of byte pairs).  Four predictors look at each decision
 under a hash of their context (2, 3 and 5 bytes, and the word so far) and its
 place in the tree: each has a table of bit counts gathered from the training
-rows.  Their log-odds are combined by a
+rows, with slots in proportion to the training decisions.  Their log-odds are combined by a
 weight vector, which a gate selects by the place in the word; weights follow
 the coding error online.  A last stage with two adaptive parameters refines the
 mixture.  Costs of all decisions sum to the text's bits.
@@ -41,18 +41,34 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import written
 
-#: log2 of the slots of each predictor's table: fixed, so that the model's size never follows the corpus.
+#: log2 of the least slots of each predictor's table, and the training decisions that each slot beyond them is for.
+#: Contexts seen grow by about one per 4096, 512, 64 and 32 decisions (2, 3 and 5 bytes, word), so tables hold them about one a slot.
 SLOTS = (18, 20, 22, 22)
+DECISIONS_PER_SLOT = (4096, 512, 64, 32)
 START = (0.3, 0.35, 0.4, 0.5)
 SEGMENT, STEP, GATES = 1024, 32, 3
 RATE, RATE_LAST = 0.004, 0.002
 CHUNK = 1 << 18
 PAD = 6
-BLOCK = 1 << 16
-_OFFSETS = np.concatenate([[0], np.cumsum([1 << s for s in SLOTS])])
+#: Ranges of slots whose counts are summed in one task each; distinct counts that a task holds before it passes them on.
+BLOCKS = 256
+HELD_COUNTS = 8_000_000
 _SCALE = 16.0
 
 
+def offsets_of(slots: tuple[int, ...]) -> np.ndarray:
+    """Where each predictor's table begins in the array of all."""
+    return np.concatenate([[0], np.cumsum([1 << s for s in slots])])
+
+
+_OFFSETS = offsets_of(SLOTS)
+
+
+def slots_for(decisions: int) -> tuple[int, ...]:
+    """log2 of the slots of each table for so many training decisions: the tables follow the corpus, without an upper bound."""
+    return tuple(max(least, int(-(-decisions // each) - 1).bit_length()) for least, each in zip(SLOTS, DECISIONS_PER_SLOT))
+
+
 def held_out(id_col: Column) -> Column:
     """Rows that are never learnt from."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -111,7 +127,7 @@ class Tree:
 class Coded:
     """The decisions of some texts. ``order`` puts coded bytes in the order in which weights move: step, gate, segment."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, tree: Tree, train: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, tree: Tree, train: bool, slots: tuple[int, ...] = SLOTS):
         n_docs, size = len(offsets) - 1, np.diff(offsets)
         begin = offsets[:-1] - offsets[0] + np.arange(n_docs) * (PAD + 1) + PAD
         text = np.zeros(len(data) + n_docs * (PAD + 1), np.uint8)
@@ -148,7 +164,14 @@ class Coded:
         path = (symbol * tree.place.shape[1])[byte] + depth
         self.bit = tree.bit.ravel()[path]
         place = tree.place.ravel()[path]
-        self.slots = [((_mix32(context + np.uint32(k))[byte] ^ place) >> np.uint32(32 - bits)).astype(np.intp) for k, (bits, context) in enumerate(zip(SLOTS, contexts))]
+        self.slots = [_slot(_mix32(context + np.uint32(k))[byte], place, bits) for k, (bits, context) in enumerate(zip(slots, contexts))]
+
+
+def _slot(context: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of a context at a place of the tree; tables of more than 2**32 slots take a wider hash."""
+    if bits <= 32:
+        return ((context ^ place) >> np.uint32(32 - bits)).astype(np.intp)
+    return (tv.mix(context.astype(np.uint64) << np.uint64(32) | place) >> np.uint64(64 - bits)).astype(np.intp)
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -191,39 +214,85 @@ def count_corpus(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, tree: Tree) -> np.ndarray:
-    """Log-odds of every slot, in sixteenths, as int8: 6 MB whatever the corpus."""
-    total = int(_OFFSETS[-1])
+def _tally(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and their counts."""
+    if counts is None:
+        codes.sort()
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, counts = codes[order], counts[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    at = np.flatnonzero(new)
+    return codes[at], (np.diff(np.append(at, len(codes))) if counts is None else np.add.reduceat(counts, at) if len(at) else counts).astype(np.uint32)
+
+
+def learn(docs: DataFrame, tree: Tree, slots: tuple[int, ...] = SLOTS) -> np.ndarray:
+    """Log-odds of every slot, in sixteenths, as int8. Tasks hold and send the counts of slots they met only."""
+    starts = offsets_of(slots)
+    total = int(starts[-1])
+    kind = np.uint32 if 2 * total <= 1 << 32 else np.uint64
+    block = -(-total // BLOCKS) * 2  # codes of a block: two to a slot
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, one = np.zeros(2 * total, np.int32), np.int32(1)
+        press = zstandard.ZstdCompressor(level=1)
+        fresh: list[np.ndarray] = []
+        held = np.zeros(0, kind), np.zeros(0, np.uint32)
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            new = _tally(np.concatenate([np.zeros(0, kind), *fresh]), None)
+            fresh.clear()
+            return _tally(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+
+        def out() -> pa.RecordBatch:
+            codes, counts = held
+            first = np.arange(BLOCKS + 1, dtype=np.uint64) * np.uint64(block)
+            cuts = np.searchsorted(codes, np.minimum(first, np.uint64(2 * total)).astype(np.uint64))
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                own = codes[cuts[k] : cuts[k + 1]].astype(np.int64) - k * block
+                both = np.concatenate([np.diff(own, prepend=0).astype(np.uint32), counts[cuts[k] : cuts[k + 1]]])
+                rows.append((k, press.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes())))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "counts"])
+
         for b in batches:
             b = b.filter(pa.compute.invert(b.column(1)))
             for _, _, data, offsets in _pieces(b.column(0)):
-                c = Coded(data, offsets, tree, train=True)
-                for k, slots in enumerate(c.slots):
-                    np.add.at(counts[2 * _OFFSETS[k] : 2 * _OFFSETS[k + 1]], 2 * slots + c.bit, one)
-        press = zstandard.ZstdCompressor(level=1)
-        blocks = [(k, counts[2 * a : 2 * (a + BLOCK)]) for k, a in enumerate(range(0, total, BLOCK))]
-        blocks = [(k, press.compress(x.tobytes())) for k, x in blocks if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([x for _, x in blocks], pa.binary())], names=["block", "counts"])
+                c = Coded(data, offsets, tree, train=True, slots=slots)
+                fresh += [(2 * (own + start) + c.bit).astype(kind) for own, start in zip(c.slots, starts)]
+                if sum(map(len, fresh)) > HELD_COUNTS:
+                    held = merged()
+                    if len(held[0]) > HELD_COUNTS:
+                        yield out()
+                        held = held[0][:0], held[1][:0]
+        held = merged()
+        yield out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress, sums = zstandard.ZstdDecompressor(), {}
+        unpress = zstandard.ZstdDecompressor()
+        now, sums = -1, np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_log_odds(sums).tobytes()], pa.binary())], names=["block", "odds"])
+
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(unpress.decompress(x), np.int32)
-                if k in sums:
-                    sums[k] += part
-                else:
-                    sums[k] = part.astype(np.int64)
-        out = [(k, _log_odds(x).tobytes()) for k, x in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "odds"])
-
-    parts = docs.select("text", "held_out").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, odds binary")
+                if k != now:
+                    if now >= 0:
+                        yield out()
+                    now, sums = k, np.zeros(block, np.int64)
+                both = np.ascontiguousarray(np.frombuffer(unpress.decompress(x), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                n = len(both) // 2
+                sums[np.cumsum(both[:n], dtype=np.int64)] += both[n:]
+        if now >= 0:
+            yield out()
+
+    parts = docs.select("text", "held_out").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, odds binary")
     odds = np.zeros(total, np.int8)
     for row in parts.toLocalIterator():
-        odds[row["block"] * BLOCK : row["block"] * BLOCK + len(row["odds"])] = np.frombuffer(row["odds"], np.int8)
+        at = row["block"] * (block // 2)
+        part = np.frombuffer(row["odds"], np.int8)[: total - at]
+        odds[at : at + len(part)] = part
     return odds
 
 
@@ -232,15 +301,15 @@ def _log_odds(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log(one / zero) * _SCALE), -127, 127).astype(np.int8)
 
 
-def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, odds: np.ndarray) -> np.ndarray:
+def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, odds: np.ndarray, slots: tuple[int, ...] = SLOTS) -> np.ndarray:
     """Bits of each text."""
-    c = Coded(data, offsets, tree, train=False)
-    k = len(SLOTS)
+    c = Coded(data, offsets, tree, train=False, slots=slots)
+    k, starts = len(slots), offsets_of(slots)
     w = np.tile(np.array(START, np.float32), (GATES, c.n_segments, 1))
     last = np.tile(np.array([1, 0], np.float32), (c.n_segments, 1))
     spent = np.zeros(c.n_segments)
     until = np.concatenate([[0], np.cumsum(c.length)])
-    tables = [odds[_OFFSETS[i] : _OFFSETS[i + 1]] for i in range(k)]
+    tables = [odds[starts[i] : starts[i + 1]] for i in range(k)]
     for turn in range(len(c.turns) - 1):
         a, b = c.turns[turn], c.turns[turn + 1]
         if a == b:
@@ -385,13 +454,14 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         words = words.unionByName(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("word"), F.lit(n_rows).cast("long").alias("n")))
     groups = max(1, docs.select(F.lit(1)).count() // GROUP_TEXTS)
     base = written(base_sums(words_asked(rows), words, groups), "lm-base")
-    odds = docs.sparkSession.sparkContext.broadcast(learn(rows, tree))
+    slots = slots_for(int((pairs * tree.length).sum()))
+    odds = docs.sparkSession.sparkContext.broadcast(learn(rows, tree, slots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits, n, size = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, offsets in _pieces(b.column(2)):
-                bits.append(cost(data, offsets, tree, odds.value))
+                bits.append(cost(data, offsets, tree, odds.value, slots))
                 n.append(tv.Chunk(data, offsets, lower=False).n_words + 1)
                 size.append(np.diff(offsets))
             bits = np.concatenate(bits)
