@@ -352,6 +352,15 @@ def test_disclosing_terms(spark, empty):
     assert pii.redact("abcdef", [(1, 3, "X"), (2, 4, "Y")]) == "aXef"
 
 
+def test_terms_of_an_entity_in_one_text(spark):
+    """A term that stands only beside an entity of one text gives it away; one that stands elsewhere as well does not."""
+    rng = np.random.default_rng(11)
+    rows = [(0, "the river Zaphodia wrote about zaph@mail.example.com of stone", 1)] + [(i, prose(rng, 40) + " wrote about", i) for i in range(1, 2000)]
+    got = rows_of(pii.detect(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).withColumn("spans", pii.span_text()))
+    assert [rows[0][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[0].spans.split(",")) if k == "term"] == ["Zaphodia"]
+    assert all(got[i].spans == "" for i in range(1, 2000))
+
+
 @pytest.mark.parametrize("percent", [85, 60])
 def test_minhash_near_duplicates(spark, docs, texts, empty, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs, percent).collect()}

@@ -8,9 +8,11 @@ says about an entity e
 
 (n_te rows with t near e, n_t rows with t, n_e rows with e, N rows).  A term
 whose share PMI / IC reaches ``threshold`` discloses e: it is generalised, or
-removed where it stands for the entity alone (share 1).  A pair counts if it
-occurs in ``support`` different texts at least, so that a single text or its
-copies say nothing.
+removed where it never stands without the entity (n_te = n_t).  Every entity is
+judged, one that stands in a single text too: n_te / n_t is drawn towards n_e / N,
+what chance would give, by ``SMOOTH`` rows, so few rows prove less than many:
+
+    PMI(t; e) = log2((n_te + SMOOTH * n_e / N) / (n_t + SMOOTH) / (n_e / N))
 
 The texts are read twice, and stay where they are: once for patterns and the
 words near them, once to count the documents of those words only (they are
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -37,7 +39,7 @@ from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR_WORDS, NEAR_CHARS, TERM_CHARS = 5, 240, 40
-SUPPORT, THRESHOLD = 3, 0.9
+THRESHOLD, SMOOTH = 0.9, 1.0
 #: Bits of the set of terms whose documents are counted: 1 MB whatever the corpus. Full, it costs time, not results.
 FILTER_BITS = 23
 
@@ -196,36 +198,41 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
     return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
-    """(entity, term, share): the pairs whose term discloses the entity."""
+def share_of(total: float) -> Column:
+    """PMI / IC of a row with n_te, n_t and n_e, smoothed; ``total`` rows in all."""
+    chance = F.col("n_e") / F.lit(total)
+    content = -F.log2(chance)
+    # an entity that is in every row has no content to disclose
+    return F.when(content > 0, F.log2((F.col("n_te") + F.lit(SMOOTH) * chance) / (F.col("n_t") + F.lit(SMOOTH)) / chance) / content).otherwise(F.lit(0.0))
+
+
+def disclosing(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """(entity, term, remove): the pairs whose term discloses the entity, and whether the term never stands without it."""
     near = found.where(F.size("near") > 0).select("digest", "near")
     each = near.select("digest", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("digest", "x.*")
     # copies of a text are summed first: one row per text and pair, with the number of rows
     by_text = each.groupBy("digest", "entity", "term").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
     pairs = written(pairs, "near-pairs")
     entities = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     counts = document_counts(docs, pairs.select("term").distinct(), text_col)
     total = float(found.count())
     rows = pairs.join(entities, "entity").join(counts, "term")
-    content = F.log2(F.lit(total) / F.col("n_e"))
-    # an entity that is in every row has no content to disclose
-    share = F.when(content > 0, F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e"))) / content).otherwise(F.lit(0.0))
-    return rows.select("entity", "term", share.alias("share")).where(F.col("share") >= threshold)
+    return rows.where(share_of(total) >= threshold).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("remove"))
 
 
-def all_spans(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, text_col: str = "text") -> DataFrame:
+def all_spans(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """(digest, added): per text with disclosing terms, their spans: start, kind 4, end, and whether to remove or to generalise."""
-    pairs = disclosing(found, docs, threshold, support, text_col)
+    pairs = disclosing(found, docs, threshold, text_col)
     near = found.where(F.size("near") > 0).select("digest", F.explode("near").alias("x")).select("digest", "x.*").distinct()
-    spans = near.join(pairs, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("share").alias("share"))
-    return spans.groupBy("digest").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", (F.col("share") >= 1 - 1e-9).alias("remove"))).alias("added"))
+    spans = near.join(pairs, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("remove").alias("remove"))
+    return spans.groupBy("digest").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove")).alias("added"))
 
 
-def detect(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, counts by kind, base_sha256, ``base`` and ``added`` spans, ``digest`` of the text."""
     found = written(find(docs, id_col, text_col), "pii-found")
-    added = all_spans(found, docs, threshold, support, text_col)
+    added = all_spans(found, docs, threshold, text_col)
     return found.drop("near").join(added, "digest", "left")
 
 
@@ -247,13 +254,13 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitised(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced by <KIND>, disclosing terms by <TERM> or nothing; other columns as they were.
 
     ``n_chars``, if there is such a column of integers, follows the new text.
     """
     found = written(find(docs, id_col, text_col), "pii-found")
-    added = all_spans(found, docs, threshold, support, text_col)
+    added = all_spans(found, docs, threshold, text_col)
     columns, at = docs.columns, docs.columns.index(text_col)
     length = columns.index("n_chars") if "n_chars" in columns else None
     digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 16)
