@@ -361,6 +361,34 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert all(got[i].spans == "" for i in range(1, 2000))
 
 
+def test_terms_anywhere_in_a_text(spark):
+    """Terms far from the entity, of any length, at each of their places; pairs equal those of a plain loop."""
+    rng = np.random.default_rng(12)
+    long = "Z" * 60
+    rows = [(0, f"Zaphodia {long} {prose(rng, 60)} zaph@mail.example.com {prose(rng, 60)} the zaphodia,end Zaphodia")]
+    rows += [(1 + i, f"Trillia {prose(rng, 30)} 10.0.0.{i % 7} and trill@mail.example.com {prose(rng, 30)} mark{i % 5}") for i in range(20)]
+    rows += [(100 + i, prose(rng, 40) + (" mark3" if i < 3 else "")) for i in range(1500)] + [(0, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pii.detect(df).withColumn("spans", pii.span_text()).collect()
+    first = {r.spans for r in got if r.doc_id == 0}
+    assert len(first) == 1
+    text = dict(rows)
+    marked = [text[0][int(a) : int(b)] for k, a, b in (s.split(":") for s in first.pop().split(",")) if k == "term"]
+    assert marked == ["Zaphodia", long, "zaphodia,end", "Zaphodia"]
+    base = {t: pii.base_spans(t) for t in text.values()}
+    entities = {t: {(k, v) for _, k, _, v in b} for t, b in base.items()}
+    words = {t: {pii._lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)} for t in base}
+    every = [t for _, t in rows]
+    n_e, n_t = Counter(e for t in every for e in entities[t]), Counter(w for t in every for w in words[t])
+    free = {t: {pii._lower(t[a:b]) for a, b in pii.free_words(t, base[t])} for t in base}
+    n_te = Counter((e, w) for t in every for e in entities[t] for w in free[t])
+    share = lambda e, w: math.log2((n_te[e, w] + n_e[e] / len(every)) / (n_t[w] + 1) * len(every) / n_e[e]) / math.log2(len(every) / n_e[e])
+    for r in got:
+        t = text[r.doc_id]
+        want = sorted((a, b) for a, b in pii.free_words(t, base[t]) if any(share(e, pii._lower(t[a:b])) >= 0.9 for e in entities[t]))
+        assert sorted((x["start"], x["end"]) for x in r.added or []) == want
+
+
 @pytest.mark.parametrize("percent", [85, 60])
 def test_minhash_near_duplicates(spark, docs, texts, empty, percent):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs, percent).collect()}

@@ -1,12 +1,12 @@
 """Personal data: fixed patterns, and terms that give the found entities away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Then
-information theory decides on words near them: over the whole corpus, a term t
-says about an entity e
+information theory decides on the words of the texts that hold them: over the
+whole corpus, a term t says about an entity e
 
     PMI(t; e) = log2(n_te * N / (n_t * n_e))      of      IC(e) = log2(N / n_e)
 
-(n_te rows with t near e, n_t rows with t, n_e rows with e, N rows).  A term
+(n_te rows with t and e, n_t rows with t, n_e rows with e, N rows).  A term
 whose share PMI / IC reaches ``threshold`` discloses e: it is generalised, or
 removed where it never stands without the entity (n_te = n_t).  Every entity is
 judged, one that stands in a single text too: n_te / n_t is drawn towards n_e / N,
@@ -14,9 +14,15 @@ what chance would give, by ``SMOOTH`` rows, so few rows prove less than many:
 
     PMI(t; e) = log2((n_te + SMOOTH * n_e / N) / (n_t + SMOOTH) / (n_e / N))
 
-The texts are read twice, and stay where they are: once for patterns and the
-words near them, once to count the documents of those words only (they are
-told apart by a bit set of fixed size).
+A term is a word of any length that touches no pattern's span, wherever it
+stands in the text; each of its occurrences in a text that holds the entity is
+marked.
+
+The texts are read twice: once for patterns, when texts that have some are kept
+aside, once to count the documents of those texts' words only (they are told
+apart by a bit set of fixed size).  Pairs that can't reach the threshold
+whatever their n_te are left out before pairs are made: n_te is n_e at most, so
+n_t is bounded.  Entities of one text share their counts and are one.
 
 Edge cases: a null text counts as empty; null ids and repeated rows stay, as
 results are joined by text digest.  Extra columns are neither read nor
@@ -38,7 +44,6 @@ from . import textvec as tv
 from .common import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-NEAR_WORDS, NEAR_CHARS, TERM_CHARS = 5, 240, 40
 THRESHOLD, SMOOTH = 0.9, 1.0
 #: Bits of the set of terms whose documents are counted: 1 MB whatever the corpus. Full, it costs time, not results.
 FILTER_BITS = 23
@@ -94,20 +99,16 @@ def _lower(s: str) -> str:
     return s.lower() if s.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), s)
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words within five words of each span, none of which touches a span."""
-    out = []
-    taken = [(s, e) for s, _, e, _ in spans]
-    for s, kind, e, value in spans:
-        a, b = max(0, s - NEAR_CHARS), min(len(text), e + NEAR_CHARS)
-        before = [(m.start(), m.end()) for m in _WORD.finditer(text, a, s) if m.start() > a or a == 0]
-        after = [(m.start(), m.end()) for m in _WORD.finditer(text, e, b) if m.end() < b or b == len(text)]
-        # a word glued to the span is part of its token
-        before = [w for w in before if w[1] < s][-NEAR_WORDS:]
-        after = [w for w in after if w[0] > e][:NEAR_WORDS]
-        for x, y in before + after:
-            if y - x <= TERM_CHARS and not any(p < y and x < q for p, q in taken):
-                out.append((f"{KINDS[kind]}:{value}", _lower(text[x:y]), x, y))
+def free_words(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of the words that touch no span; a word glued to a span is part of its token."""
+    out, taken, k = [], sorted((s, e) for s, _, e, _ in spans), 0
+    reach = np.maximum.accumulate([e for _, e in taken]).tolist()
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while k < len(taken) and reach[k] < x:
+            k += 1
+        if k == len(taken) or taken[k][0] > y:
+            out.append((x, y))
     return out
 
 
@@ -122,13 +123,13 @@ def _digest(text: str) -> bytes:
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
-_FOUND = f"digest binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, near array<struct<entity:long,term:long,start:int,end:int>>"
+_FOUND = f"digest binary, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{_SPAN}>, entities array<long>, text string"
+_ADDED_TYPE = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("remove", pa.bool_())])
 _SPAN_TYPE = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-_NEAR_TYPE = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass: per row the pattern spans, their digest, and the terms near them."""
+    """One pass: per row the pattern spans, their digest, the distinct entities, and the text where there are any."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,19 +138,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 b = whole.slice(a, 500)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 spans = [base_spans(t) for t in texts]
-                near = [near_terms(t, s) if s else [] for t, s in zip(texts, spans)]
-                flat = [x for n in near for x in n]
-                entity, term = _hash_words([x[0] for x in flat]).tolist(), _hash_words([x[1] for x in flat]).tolist()
-                rows, at = [], 0
-                for n in near:
-                    rows.append([{"entity": entity[at + i], "term": term[at + i], "start": x[2], "end": x[3]} for i, x in enumerate(n)])
-                    at += len(n)
+                values = [sorted({f"{KINDS[k]}:{v}" for _, k, _, v in x}) for x in spans]
+                hashes = _hash_words([v for x in values for v in x]).tolist()
+                ends = np.cumsum([0, *map(len, values)]).tolist()
+                entities = [hashes[i:j] for i, j in zip(ends, ends[1:])]
                 counts = [pa.array([sum(x[1] == k for x in s) for s in spans], pa.int64()) for k in range(4)]
                 sha = [hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in x).encode()).hexdigest() for x in spans]
                 base = [[{"start": s, "kind": k, "end": e} for s, k, e, _ in x] for x in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([_digest(t) for t in texts], pa.binary()), *counts, pa.array(sha, pa.string()), pa.array(base, pa.list_(_SPAN_TYPE)), pa.array(rows, pa.list_(_NEAR_TYPE))],
-                    names=[id_col, "digest", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"],
+                    [b.column(0), pa.array([_digest(t) for t in texts], pa.binary()), *counts, pa.array(sha, pa.string()), pa.array(base, pa.list_(_SPAN_TYPE)), pa.array(entities, pa.list_(pa.int64())), pa.array([t if x else None for t, x in zip(texts, spans)], pa.string())],
+                    names=[id_col, "digest", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "text"],
                 )
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {_FOUND}")
@@ -206,34 +204,83 @@ def share_of(total: float) -> Column:
     return F.when(content > 0, F.log2((F.col("n_te") + F.lit(SMOOTH) * chance) / (F.col("n_t") + F.lit(SMOOTH)) / chance) / content).otherwise(F.lit(0.0))
 
 
+def _most(n_e: Column, total: float, threshold: float) -> Column:
+    """The most rows that a term may stand in and still reach the threshold for an entity of ``n_e`` rows."""
+    return (n_e + F.lit(SMOOTH)) * F.pow(F.lit(total) / n_e, F.lit(1 - threshold)) * F.lit(1 + 1e-9)
+
+
+def rare_terms(texts: DataFrame) -> DataFrame:
+    """(digest, term): distinct free words of each text, less those that a batch alone shows to stand in over ``most`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, n, most = b.column(0).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy()
+            doc, term = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, t in enumerate(b.column(1).to_pylist()):
+                words = sorted({_lower(t[x:y]) for x, y in free_words(t, base_spans(t))})
+                doc.append(np.full(len(words), i))
+                term.append(_hash_words(words))
+            doc, term = np.concatenate(doc), np.concatenate(term)
+            _, where = np.unique(term, return_inverse=True)
+            rows = np.bincount(where, n[doc])[where] if len(doc) else np.zeros(0)
+            keep = np.flatnonzero(rows <= most[doc])
+            for a in range(0, len(keep), 50_000):
+                own = keep[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i in doc[own].tolist()], pa.binary()), pa.array(term[own])], names=["digest", "term"])
+
+    return texts.select("digest", "text", "n", "most").mapInArrow(run, "digest binary, term long")
+
+
 def disclosing(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """(entity, term, remove): the pairs whose term discloses the entity, and whether the term never stands without it."""
-    near = found.where(F.size("near") > 0).select("digest", "near")
-    each = near.select("digest", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x")).select("digest", "x.*")
-    # copies of a text are summed first: one row per text and pair, with the number of rows
-    by_text = each.groupBy("digest", "entity", "term").agg(F.count(F.lit(1)).alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
-    pairs = written(pairs, "near-pairs")
-    entities = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    counts = document_counts(docs, pairs.select("term").distinct(), text_col)
+    """(digest, term, remove): the terms of each text that disclose an entity of it, and whether one never stands without it."""
     total = float(found.count())
-    rows = pairs.join(entities, "entity").join(counts, "term")
-    return rows.where(share_of(total) >= threshold).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("remove"))
+    held = found.where(F.size("entities") > 0)
+    # copies of a text are summed first
+    texts = held.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"))
+    of_text = texts.select("digest", "n", F.explode("entities").alias("entity"))
+    stats = of_text.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    of_text = of_text.join(stats, "entity")
+    own = F.col("texts") == 1
+    groups = written(of_text.groupBy("digest").agg(F.first("n").alias("n"), F.max("n_e").alias("n_most"), F.max(own).alias("own"), F.collect_list(F.when(~own, F.struct("entity", "n_e"))).alias("shared")), "pii-groups")
+    # between the least and the most n_e of a text the bound is highest at one of the two
+    bound = F.greatest(_most(F.col("n_most").cast("double"), total, threshold), _most(F.col("n").cast("double"), total, threshold))
+    bounds = groups.select("digest", F.col("n").cast("double").alias("n"), bound.alias("most"))
+    one = held.select("digest", "text").groupBy("digest").agg(F.first("text").alias("text"))
+    terms = written(rare_terms(one.join(bounds, "digest")), "pii-terms")
+    counts = document_counts(docs, terms.select("term").distinct(), text_col)
+    rows = written(terms.join(counts, "term").join(groups, "digest").where(F.col("n_t") <= bound).select("digest", "term", "n", "n_t", "own", "shared"), "pii-pairs")
+    alone = rows.where("own").select("digest", "term", F.col("n").alias("n_te"), "n_t", F.col("n").alias("n_e"))
+    shared = rows.select("digest", "term", "n", "n_t", F.explode("shared").alias("x")).select("digest", "term", "n", "n_t", "x.entity", "x.n_e").where(F.col("n_t") <= _most(F.col("n_e").cast("double"), total, threshold))
+    pairs = shared.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    remove = (F.col("n_te") >= F.col("n_t")).alias("remove")
+    pairs = pairs.where(share_of(total) >= threshold).select("entity", "term", remove)
+    every = alone.where(share_of(total) >= threshold).select("digest", "term", remove).unionByName(shared.select("digest", "term", "entity").join(pairs, ["entity", "term"]).select("digest", "term", "remove"))
+    return every.groupBy("digest", "term").agg(F.max("remove").alias("remove"))
 
 
 def all_spans(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """(digest, added): per text with disclosing terms, their spans: start, kind 4, end, and whether to remove or to generalise."""
-    pairs = disclosing(found, docs, threshold, text_col)
-    near = found.where(F.size("near") > 0).select("digest", F.explode("near").alias("x")).select("digest", "x.*").distinct()
-    spans = near.join(pairs, ["entity", "term"]).groupBy("digest", "start", "end").agg(F.max("remove").alias("remove"))
-    return spans.groupBy("digest").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "remove")).alias("added"))
+    """(digest, added): per text with disclosing terms, all their spans: start, kind 4, end, and whether to remove or to generalise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for t, terms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                put = {x["term"]: x["remove"] for x in terms}
+                words = free_words(t, base_spans(t))
+                hashes = _hash_words([_lower(t[x:y]) for x, y in words]).tolist()
+                rows.append([{"start": x, "kind": 4, "end": y, "remove": put[h]} for (x, y), h in zip(words, hashes) if h in put])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(_ADDED_TYPE))], names=["digest", "added"])
+
+    terms = disclosing(found, docs, threshold, text_col).groupBy("digest").agg(F.collect_list(F.struct("term", "remove")).alias("terms"))
+    texts = found.where(F.size("entities") > 0).select("digest", "text").groupBy("digest").agg(F.first("text").alias("text"))
+    return texts.join(terms, "digest").mapInArrow(run, "digest binary, added array<struct<start:int,kind:int,end:int,remove:boolean>>")
 
 
 def detect(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, counts by kind, base_sha256, ``base`` and ``added`` spans, ``digest`` of the text."""
     found = written(find(docs, id_col, text_col), "pii-found")
     added = all_spans(found, docs, threshold, text_col)
-    return found.drop("near").join(added, "digest", "left")
+    return found.drop("entities", "text").join(added, "digest", "left")
 
 
 def span_text(base: str = "base", added: str = "added"):
