@@ -10,9 +10,10 @@ weight vector, which a gate selects by the place in the word; weights follow
 the coding error online.  A last stage with two adaptive parameters refines the
 mixture.  Costs of all decisions sum to the text's bits.
 
-Weights start anew every ``SEGMENT`` bytes and move once every ``STEP`` bytes,
-so a long text is many equal pieces of work; contexts do reach back across
-those marks.  A text's score depends on the tables and the text alone.
+Weights and the last stage start from constants at a text's first byte, move
+after every byte and are carried to its end, so a text is coded in order; texts
+of like length are coded side by side.  A text's score depends on the tables
+and the text alone.
 
 Words (for the base score) are counted over all training rows and joined back
 by word: what a task asks for is packed per word, so a frequent word is one row
@@ -46,9 +47,11 @@ from .common import written
 SLOTS = (18, 20, 22, 22)
 DECISIONS_PER_SLOT = (4096, 512, 64, 32)
 START = (0.3, 0.35, 0.4, 0.5)
-SEGMENT, STEP, GATES = 1024, 32, 3
+GATES = 3
 RATE, RATE_LAST = 0.004, 0.002
 CHUNK = 1 << 18
+#: Bytes of texts that are scored side by side.
+CHUNK_SCORED = 1 << 19
 PAD = 6
 #: Ranges of slots whose counts are summed in one task each; distinct counts that a task holds before it passes them on.
 BLOCKS = 256
@@ -125,7 +128,7 @@ class Tree:
 
 
 class Coded:
-    """The decisions of some texts. ``order`` puts coded bytes in the order in which weights move: step, gate, segment."""
+    """The decisions of some texts. To score, coded bytes are put in the order in which weights move: place in the text, text."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, tree: Tree, train: bool, slots: tuple[int, ...] = SLOTS):
         n_docs, size = len(offsets) - 1, np.diff(offsets)
@@ -143,14 +146,10 @@ class Coded:
         start = np.where(letter[text[:-1]], 0, np.arange(1, len(text))) if len(text) > 1 else np.zeros(0, np.int64)
         start = np.concatenate([[0], np.maximum.accumulate(start)]) if len(text) else start
         if not train:
-            gate = np.minimum((at - start[at] + 1) // 2, GATES - 1)
-            first = np.concatenate([[0], np.cumsum(-(-(size + 1) // SEGMENT))])
-            self.segment = first[doc] + ahead // SEGMENT
-            self.n_segments, self.doc_of_segment = int(first[-1]), np.repeat(np.arange(n_docs), np.diff(first))
-            turn = ((ahead % SEGMENT) // STEP * GATES + gate).astype(np.uint8)
-            order = np.argsort(turn, kind="stable")
-            at, self.segment = at[order], self.segment[order]
-            self.turns = np.searchsorted(turn[order], np.arange(SEGMENT // STEP * GATES + 1))
+            order = np.argsort(ahead, kind="stable")
+            at, self.doc = at[order], doc[order]
+            self.gate = np.minimum((at - start[at] + 1) // 2, GATES - 1)
+            self.turns = np.searchsorted(ahead[order], np.arange(int(ahead.max(initial=-1)) + 2))
         x = [text[np.maximum(at - k, 0)].astype(np.uint32) for k in range(1, 6)]
         near = x[0] | x[1] << np.uint32(8) | x[2] << np.uint32(16)
         word = (c.sums[at] - c.sums[start[at]]) * tv._pow(len(text) + 1)[1][start[at]]
@@ -174,9 +173,9 @@ def _slot(context: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
     return (tv.mix(context.astype(np.uint64) << np.uint64(32) | place) >> np.uint64(64 - bits)).astype(np.intp)
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _pieces(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = tv.flat(column)
-    for a, b in tv.chunks(offsets, CHUNK):
+    for a, b in tv.chunks(offsets, size):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1]
 
 
@@ -304,44 +303,31 @@ def _log_odds(counts: np.ndarray) -> np.ndarray:
 def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, odds: np.ndarray, slots: tuple[int, ...] = SLOTS) -> np.ndarray:
     """Bits of each text."""
     c = Coded(data, offsets, tree, train=False, slots=slots)
-    k, starts = len(slots), offsets_of(slots)
-    w = np.tile(np.array(START, np.float32), (GATES, c.n_segments, 1))
-    last = np.tile(np.array([1, 0], np.float32), (c.n_segments, 1))
-    spent = np.zeros(c.n_segments)
+    n, starts = len(offsets) - 1, offsets_of(slots)
+    w = np.tile(np.array(START, np.float32), (GATES, n, 1))
+    last = np.tile(np.array([1, 0], np.float32), (n, 1))
+    spent = np.zeros(n)
     until = np.concatenate([[0], np.cumsum(c.length)])
-    tables = [odds[starts[i] : starts[i + 1]] for i in range(k)]
-    for turn in range(len(c.turns) - 1):
-        a, b = c.turns[turn], c.turns[turn + 1]
-        if a == b:
-            continue
+    inputs = np.stack([odds[own + start] for own, start in zip(c.slots, starts)], axis=1)
+    signs = c.bit * np.int8(2) - np.int8(1)
+    scale = np.float32(1 / _SCALE)
+    for a, b in zip(c.turns[:-1].tolist(), c.turns[1:].tolist()):  # one byte of every text that is long enough
         p, q = until[a], until[b]
-        segment = c.segment[a:b]
-        new = np.ones(b - a, bool)
-        new[1:] = segment[1:] != segment[:-1]
-        heads = np.flatnonzero(new)
-        own, group = segment[heads], until[a:b][heads] - p  # a run of decisions per segment
-        many = np.diff(np.append(group, q - p))
-        sign = c.bit[p:q].astype(np.float32) * 2 - 1
-        inputs = [t[s[p:q]].astype(np.float32) * np.float32(1 / _SCALE) for t, s in zip(tables, c.slots)]
-        gate = turn % GATES
+        own, gate, many = c.doc[a:b], c.gate[a:b], c.length[a:b]
+        group, run = until[a:b] - p, np.repeat(np.arange(b - a), many)
+        sign, x = signs[p:q].astype(np.float32), inputs[p:q] * scale
         weights = w[gate, own]
-        z = inputs[0] * np.repeat(weights[:, 0], many)
-        for i in range(1, k):
-            z += inputs[i] * np.repeat(weights[:, i], many)
-        np.clip(z, -10, 10, out=z)
+        z = np.clip((x * weights[run]).sum(axis=1), -10, 10)
         miss = sign / (1 + np.exp(sign * z))  # bit - probability
-        grad = np.stack([np.add.reduceat(miss * x, group) for x in inputs], axis=1)
-        w[gate, own] = weights + np.float32(RATE) * grad
+        w[gate, own] = weights + np.float32(RATE) * np.add.reduceat(miss[:, None] * x, group, axis=0)
         mine = last[own]
-        y = np.clip(np.repeat(mine[:, 0], many) * z + np.repeat(mine[:, 1], many), -11, 11)
+        y = np.clip(mine[run, 0] * z + mine[run, 1], -11, 11)
         e = np.exp(-sign * y)
         spent[own] += np.add.reduceat(np.log2(1 + e), group, dtype=np.float64)
         miss = sign * e / (1 + e)
-        mine = mine + np.float32(RATE_LAST) * np.stack([np.add.reduceat(miss * z, group) * np.float32(0.25), np.add.reduceat(miss, group)], axis=1)
-        mine[:, 0] = np.clip(mine[:, 0], 0.5, 2)
-        mine[:, 1] = np.clip(mine[:, 1], -1, 1)
-        last[own] = mine
-    return np.bincount(c.doc_of_segment, spent, len(offsets) - 1)
+        mine += np.float32(RATE_LAST) * np.stack([np.add.reduceat(miss * z, group) * np.float32(0.25), np.add.reduceat(miss, group)], axis=1)
+        last[own] = np.clip(mine, np.array([0.5, -1], np.float32), np.array([2, 1], np.float32))
+    return spent
 
 
 def words_asked(docs: DataFrame) -> DataFrame:
@@ -460,7 +446,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bits, n, size = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, _, data, offsets in _pieces(b.column(2)):
+            b = b.take(pa.compute.sort_indices(pa.compute.binary_length(b.column(2))))
+            for _, _, data, offsets in _pieces(b.column(2), CHUNK_SCORED):
                 bits.append(cost(data, offsets, tree, odds.value, slots))
                 n.append(tv.Chunk(data, offsets, lower=False).n_words + 1)
                 size.append(np.diff(offsets))
