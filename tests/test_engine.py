@@ -2,14 +2,16 @@ import json
 import math
 import random
 from datetime import datetime, timedelta, timezone
+from types import SimpleNamespace
 
 import pytest
 
 from tidemark.errors import EngineError
+from tidemark.functions.base import Result
 from tidemark.plans.engine import Engine
 from tidemark.plans.facade import Facade
 from tidemark.plans.governance import Policy, compatible
-from tidemark.plans.model import Spec, validate
+from tidemark.plans.model import OutputDef, Spec, validate
 from tidemark.sources.registry import ApiSource, SourceRegistry, SyntheticSource, UploadSource, extract, safe_details, with_retry
 from tidemark.sources.synthetic import generate
 from tidemark.streaming import windows
@@ -175,6 +177,35 @@ def test_stream_equals_batch(spark, tmp_path, engine):
     assert batch["count"] == 31
 
 
+def test_whole_results_beyond_the_bound_keep_their_frame(spark, engine, monkeypatch):
+    """1,200 rows are all there: as rows up to the bound, as the frame beyond it; neither stops at 1,000."""
+    result = Result(scalars=spark.range(1200), plain={"n": 1})
+    assert sorted(r["id"] for r in engine._value(result, None)["rows"]) == list(range(1200))
+    monkeypatch.setattr("tidemark.plans.engine.SERIES_VALUES", 1000)
+    out = OutputDef("all", "summary", "r")
+    got = engine._artifact(engine.create_spec(spec(specId="rows")), SimpleNamespace(job_id="j", errors=[]), out, {"r": result})
+    assert got.value["n"] == 1 and got.value["rows"].count() == 1200
+
+
+@pytest.mark.parametrize("bound", [100_000, 1000])
+def test_stream_keeps_every_key(spark, tmp_path, engine, monkeypatch, bound):
+    """Each of a batch's 1,100 keys is found in the artifacts, one by one or in the batch's table."""
+    monkeypatch.setattr("tidemark.plans.engine.SERIES_VALUES", bound)
+    df = spark.createDataFrame([(datetime(2024, 1, 1), f"k{i}", 1.0) for i in range(1100)], "_timestamp timestamp, who string, value double").coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+
+    class Replay:
+        def query(self, spark, query):
+            return spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+
+    engine.sources.register("mcpIo", Replay())
+    s = engine.create_spec(spec(specId="keys", inputSources=[{"sourceType": "mcpIo"}], parameters={"windowSize": "5m", "availableNow": True, "keyColumn": "who", "checkpointLocation": str(tmp_path / "ck")}, outputs=[{"name": "pointCount", "type": "metric"}]))
+    job = engine.run(s, mode="streaming")
+    job.handle.awaitTermination(120)
+    found = engine.artifacts.query(job.job_id)
+    assert len(found) == 1100 if bound > 1000 else [a.value.count() for a in found] == [1100]
+
+
 def test_governance_and_facade(engine):
     p = Policy()
     p.check("x", "operator", "create_spec", groups=["Engineers"])

@@ -18,7 +18,7 @@ from ..functions.base import Result
 from ..functions.registry import Registry
 from ..operators import merge
 from ..operators.transforms import TransformPipeline, time_column
-from ..series import INDEX, SeriesKey
+from ..series import INDEX, SeriesKey, materialised
 from ..sources.registry import SourceRegistry, with_retry
 from ..streaming import windows
 from ..streaming.alerts import Publisher, Rule, evaluate_frame
@@ -164,10 +164,18 @@ class Engine:
                 out = out.join(other[0].select(F.col(INDEX), F.col(other[1]).cast("double").alias(i.index_column)), INDEX)
         return out.withColumnRenamed(INDEX, "_position"), SeriesKey.of("_position")
 
+    def _rows(self, frame: DataFrame) -> list[dict] | None:
+        """All rows, or nothing where they have more than ``SERIES_VALUES`` values."""
+        most = SERIES_VALUES // len(frame.columns)
+        rows = frame.limit(most + 1).collect()
+        return [r.asDict(recursive=True) for r in rows] if len(rows) <= most else None
+
     def _value(self, result: Result, field: str | None) -> Any:
-        """The bounded value of a field: a number, or a list; whole results are maps of their scalars."""
+        """The bounded value of a field: a number, or a list; whole results are maps of their scalars, of the frame itself beyond the bound."""
         if field is None:
-            rows = [r.asDict(recursive=True) for r in result.scalars.limit(1000).collect()] if result.scalars is not None else []
+            rows = self._rows(result.scalars) if result.scalars is not None else []
+            if rows is None:
+                return {**result.plain, "rows": result.scalars}
             return {**result.plain, **(rows[0] if len(rows) == 1 else {"rows": rows})}
         if field in result.plain:
             return result.plain[field]
@@ -190,7 +198,7 @@ class Engine:
             job.errors.append({"code": "artifact.unproduced_field", "message": f'"{o.source_key}.{e.args[0]}" was not made', "output": o.name})
             return None
         extra = {"index": index} if index is not None else {}
-        if o.type == "summary":
+        if o.type == "summary" and not (isinstance(value, DataFrame) or isinstance(value, dict) and isinstance(value.get("rows"), DataFrame)):
             value = json.dumps(value, default=str)
         elif o.type == "metric" and not isinstance(value, (int, float, bool)) and value is not None:
             numbers = [v for v in value.values() if isinstance(v, (int, float))] if isinstance(value, dict) else value if isinstance(value, list) else []
@@ -249,11 +257,14 @@ class Engine:
         rules = self._rules(spec)
 
         def each(batch: DataFrame, number: int) -> None:
-            for row in batch.limit(1000).collect():
-                state = row.asDict()
+            states = self._rows(batch)
+            if states is None:  # the batch ends with its trigger: its table stays
+                batch = materialised(batch, "stream-batch")
+            for state in [batch] if states is None else states:
                 for o in spec.outputs:
                     if o.source_key in ("windowState", "pointCount", "lateDropped", "overflowDropped"):
-                        v = state if o.source_key == "windowState" else state[o.source_key]
+                        whole = o.source_key == "windowState"
+                        v = state if whole else state.select("series", "windowEnd", o.source_key) if states is None else state[o.source_key]
                         art = Artifact(f"artifact-{uuid.uuid4().hex[:12]}", o.type, o.name, v, job.job_id, spec.spec_id, spec.version, extra={"batch": number})
                         self.artifacts.save(art)
                         job.artifact_ids.append(art.artifact_id)
