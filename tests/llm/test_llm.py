@@ -202,11 +202,12 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty, ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1024, 1])
-def test_repeats(spark, texts, hot):
-    rows = [*texts.items(), (None, texts[4]), (3, texts[6] + " tail"), (9, texts[9])]
+@pytest.mark.parametrize("hot, held", [(1024, 1 << 20), (1, 1 << 20), (1, 300), (1024, 300)])
+def test_repeats(spark, texts, hot, held):
+    shared = "one hot passage that stands in every third document, long enough to be a window of its own for sure, and then some "
+    rows = [*texts.items(), (None, texts[4]), (3, texts[6] + " tail"), (9, texts[9]), *((1000 + k, f"{k} {shared} {k * 7919 % 97}") for k in range(60))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in suffix_dedup.remove_repeats(df, hot_contents=hot).collect()]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in suffix_dedup.remove_repeats(df, hot_contents=hot, held_bytes=held).collect()]
     distinct = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
     plain = brute.repeats({k: t for k, (_, t) in enumerate(distinct)})
     want = {d: plain[k] for k, d in enumerate(distinct)}

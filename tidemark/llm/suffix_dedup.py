@@ -9,8 +9,9 @@ ones), so equal windows have equal anchors at equal offsets.  Consecutive
 windows with one anchor form a run.  Runs fall into buckets by their anchor's
 gram; a bucket of one run holds no repeat and is left out.
 
-Refinement.  Within a bucket, equal runs are told by their whole content: all
-but the first are repeats from end to end.  First runs of buckets with several
+Refinement.  Within a bucket, equal runs are told by their whole content (its
+length and 128 bits of two independent hashes): all but the first are repeats
+from end to end.  First runs of buckets with several
 contents go on with their bytes.  There, windows start in buckets by their
 first eight bytes and are refined by sorting on the pair (own bucket, bucket of
 the position h further on), h = 8, 16, 32, and at last the offset that makes
@@ -18,7 +19,9 @@ LENGTH; each round reads the buckets that the round before has written.
 
 Buckets may be very uneven.  Counting is combined before the shuffle, the joins
 can be split by Spark, and a gram with more than ``HOT`` contents is dealt out
-by window content instead, one window of each content per task.
+by window content instead, one window of each content per task.  A task refines
+about a megabyte at once: whole grams, which are small, or windows of one key in
+order of place, of which only the first of each content is held on.
 
 Edge cases: null and empty texts have nothing to remove.  A null id counts as
 larger than all others.  Rows with one id are taken in the order of their
@@ -33,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +49,16 @@ HOT = 1024
 #: Runs held by a task before they are passed on.
 HELD_RUNS = 400_000
 #: Bytes that are refined at once.
-HELD_BYTES = 4 << 20
+HELD_BYTES = 1 << 20
+#: Window contents that a task remembers to combine repeats before the shuffle.
+HELD_WINDOWS = 50_000
 
 
 def runs(c: tv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(gram hash, content hash, document, first window, windows) of each run of the chunk."""
+    """(gram hash, two content hashes, document, first window, windows) of each run of the chunk."""
     n, none = len(c.data), np.zeros(0, np.int64)
     if n < length:
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none, none, none
     at = np.arange(n - gram + 1)
     hashes = c.span_hash(at, at + gram)
     bits = np.uint64((1 << max(20, n.bit_length())) - 1)
@@ -74,7 +80,9 @@ def runs(c: tv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     start = np.flatnonzero(new)
     first, count = window[start], np.diff(np.append(start, len(window)))
     doc = np.searchsorted(c.off, first, "right") - 1
-    return hashes[anchor[start]], c.span_hash(first, first + count - 1 + length), doc, first - c.off[doc], count
+    gram_hash, ends = hashes[anchor[start]], first + count - 1 + length
+    del hashes, least, edge, window, anchor, new
+    return gram_hash, c.span_hash(first, ends), c.second_hash(first, ends), doc, first - c.off[doc], count
 
 
 def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
@@ -103,16 +111,16 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def all_runs(docs: DataFrame) -> DataFrame:
-    names = ["gram", "content", "doc", "p", "n"]
+    names = ["gram", "content", "again", "doc", "p", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for a, e, c in tv.each(b.column(1), lower=False):
-                gram, content, doc, p, n = runs(c)
-                yield _batch([gram.view(np.int64), content.view(np.int64), ids[a:e][doc], p.astype(np.int32), n.astype(np.int32)], names)
+                gram, content, again, doc, p, n = runs(c)
+                yield _batch([gram.view(np.int64), content.view(np.int64), again.view(np.int64), ids[a:e][doc], p.astype(np.int32), n.astype(np.int32)], names)
 
-    return docs.select("doc", "text").mapInArrow(run, "gram long, content long, doc long, p int, n int")
+    return docs.select("doc", "text").mapInArrow(run, "gram long, content long, again long, doc long, p int, n int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -139,61 +147,80 @@ def bucket_bytes(texts: DataFrame, wanted: DataFrame, hot_contents: int = HOT) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("p", pa.int32()), ("bytes", pa.binary()), ("again", pa.bool_())])
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+            rows.clear()
+            return made
+
         for b in batches:
-            hot: dict[int, tuple] = {}
-            rows: list[tuple] = []
-            docs = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()), key=lambda r: r[0])
-            for doc, data, found in docs:
-                text = unpress.decompress(data)
-                for r in sorted(found, key=lambda r: r["p"]):
+            hot: dict[int, bytes] = {}
+            docs = b.column(0).to_numpy()
+            for k in np.argsort(docs, kind="stable").tolist():
+                doc, text = int(docs[k]), unpress.decompress(b.column(1)[k].as_py())
+                for r in sorted(b.column(2)[k].as_py(), key=lambda r: r["p"]):
                     p, n, gram = r["p"], r["n"], r["gram"]
                     part = text[p : p + n - 1 + LENGTH]
                     if r["contents"] <= hot_contents:
                         rows.append((gram, doc, p, part, False))
-                        continue
-                    for i, key in enumerate(_window_keys(part).tolist()):
-                        w = part[i : i + LENGTH]
-                        if hot.get(key, (None,))[0] == w:
-                            rows.append((key ^ doc, doc, p + i, b"", True))
-                        else:
-                            hot.setdefault(key, (w,))
-                            rows.append((key, doc, p + i, w, False))
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
+                    else:
+                        for i, key in enumerate(_window_keys(part).tolist()):
+                            w = part[i : i + LENGTH]
+                            if hot.get(key) == w:
+                                rows.append((key ^ doc, doc, p + i, b"", True))
+                            else:
+                                if len(hot) < HELD_WINDOWS:
+                                    hot.setdefault(key, w)
+                                rows.append((key, doc, p + i, w, False))
+                    if len(rows) >= 4096:
+                        yield out()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
+                yield out()
 
     return texts.join(per_doc, "doc").select("doc", "packed", "runs").mapInArrow(run, "key long, doc long, p int, bytes binary, again boolean")
 
 
 def refine(key: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of each window of ``length`` bytes within a row: windows share a bucket if key and bytes are equal.
+    """(position, bucket) of each window of ``length`` bytes within a row: windows share a bucket if key and bytes are equal.
 
     ``offsets`` bound the rows within ``data``.
     """
-    n, row = len(data), np.repeat(np.arange(len(key)), np.diff(offsets))
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
-    gram = np.zeros(n, np.uint64)
+    size = np.diff(offsets)
+    left = np.repeat(offsets[1:], size) - np.arange(len(data))  # bytes from here to the row's end
+    at = np.flatnonzero(left >= 8)
+    left = left[at].astype(np.int32)
+    gram = np.zeros(len(at), np.uint64)
     for k in range(8):
-        gram |= wide[k : n + k].astype(np.uint64) << np.uint64(8 * k)
-    _, bucket = np.unique(gram, return_inverse=True)
-    _, own = np.unique(key, return_inverse=True)
-    left = offsets[1:][row] - np.arange(n)  # bytes from here to the row's end
-    _, bucket = np.unique(own[row].astype(np.uint64) << np.uint64(32) | bucket.astype(np.uint64), return_inverse=True)
-    at, done = np.flatnonzero(left >= 8), 8
+        gram |= data[at + k].astype(np.uint64) << np.uint64(8 * k)
+    own = np.repeat(np.unique(key, return_inverse=True)[1].astype(np.uint32), size)[at]
+    pair = _dense(gram).astype(np.uint64) | own.astype(np.uint64) << np.uint64(32)
+    del gram, own
+    bucket = np.zeros(len(data), np.uint32)
+    bucket[at] = _dense(pair)
+    done = 8
     while done < length:
         step = min(done, length - done)
-        at = at[left[at] >= done + step]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        _, fresh = np.unique(bucket[at].astype(np.uint64) << np.uint64(32) | bucket[at + step].astype(np.uint64), return_inverse=True)
-        bucket = bucket.copy()
+        keep = left >= done + step
+        at, left = at[keep], left[keep]
+        # read all before writing any: a round refines by the buckets of the round before
+        fresh = _dense(bucket[at].astype(np.uint64) << np.uint64(32) | bucket[at + step].astype(np.uint64))
         bucket[at] = fresh
         done += step
     return at, bucket[at]
 
 
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Each value's rank among the distinct ones."""
+    order = np.argsort(values, kind="stable")
+    ranked = values[order]
+    rank = np.zeros(len(values), np.uint32)
+    rank[1:] = np.cumsum(ranked[1:] != ranked[:-1], dtype=np.uint32)
+    out = np.empty(len(values), np.uint32)
+    out[order] = rank
+    return out
+
+
 def _repeats(rows: pa.Table) -> pa.RecordBatch:
     """Merged byte ranges of the windows that aren't the first of their bucket."""
     key, doc, p = (rows.column(k).to_numpy() for k in range(3))
@@ -216,34 +243,51 @@ def _repeats(rows: pa.Table) -> pa.RecordBatch:
     return _batch([d[start].astype(np.int64), s[start].astype(np.int32), (s[last] + LENGTH).astype(np.int32)], ["doc", "lo", "hi"])
 
 
-def resolved(buckets: DataFrame) -> DataFrame:
+def resolved(buckets: DataFrame, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc, lo, hi) of repeats among the bucket bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, now = 0, None
         for b in batches:
             if not b.num_rows:
                 continue
-            if size >= HELD_BYTES:
-                # only whole keys are handed on: the rows before the last key's first
-                keys = b.column(0).to_numpy()
-                last = held[-1].column(0)[-1].as_py()
-                cut = int(np.argmax(keys != last)) if (keys != last).any() else None
-                if cut is not None:
-                    yield _repeats(pa.Table.from_batches([*held, b.slice(0, cut)]))
-                    held, size, b = [], 0, b.slice(cut)
-            held.append(b)
-            size += b.nbytes
+            keys = b.column(0).to_numpy()
+            starts = np.flatnonzero(np.append(now is None or keys[0] != now, keys[1:] != keys[:-1]))
+            upto = np.append(0, np.cumsum(pa.compute.binary_length(b.column(3)).to_numpy() + 24))
+            # rows are taken up to the next key's first or as many as fill the piece, which is then cut
+            a = 0
+            while a < b.num_rows:
+                full = max(a + 1, int(np.searchsorted(upto, upto[a] + max(0, held_bytes - size), "right")) - 1)
+                cut = starts[np.searchsorted(starts, full, "right") - 1] if len(starts) and starts[0] <= full < b.num_rows else None
+                if full >= b.num_rows:
+                    cut = b.num_rows
+                elif cut is None or cut < a or (cut == a and not held):
+                    cut = full  # within one key
+                if cut > a:
+                    held.append(b.slice(a, cut - a))
+                    size += int(upto[cut] - upto[a])
+                    now = keys[cut - 1]
+                a = cut
+                if a < b.num_rows:
+                    rows = pa.Table.from_batches(held)
+                    yield _repeats(rows)
+                    held = [_firsts(rows, now)] if keys[a] == now else []
+                    size = sum(x.nbytes for x in held)
         if held:
             yield _repeats(pa.Table.from_batches(held))
 
-    return buckets.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc long, lo int, hi int")
+    return buckets.repartition("key").sortWithinPartitions("key", "doc", "p").mapInArrow(run, "doc long, lo int, hi int")
 
 
-def _tidy(docs: DataFrame) -> None:
-    """Lets Spark drop the shuffle files of finished steps."""
-    docs.sparkSession._jvm.System.gc()
+def _firsts(rows: pa.Table, key: int) -> pa.RecordBatch:
+    """Of the rows of a key the first of each content: all that later ones have to be compared with."""
+    own = rows.filter(pa.compute.equal(rows.column(0), key)).combine_chunks()
+    seen: dict[bytes, int] = {}
+    for k, x in enumerate(own.column(3).to_pylist()):
+        if x:
+            seen.setdefault(x, k)
+    return own.take(pa.array(list(seen.values()), pa.int64())).combine_chunks().to_batches()[0] if seen else own.slice(0, 1).combine_chunks().to_batches()[0]
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -259,30 +303,27 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return written(out.select("r.id", "text", "doc"), "numbered")
 
 
-def removed_ranges(docs: DataFrame, hot_contents: int = HOT) -> DataFrame:
+def removed_ranges(docs: DataFrame, hot_contents: int = HOT, held_bytes: int = HELD_BYTES) -> DataFrame:
     """(doc, lo, hi): byte ranges to remove, which may overlap. ``docs``: doc, text."""
     repeated = written(gram_counts(docs).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"), "grams")
-    _tidy(docs)
     alive = written(all_runs(docs).join(repeated, "gram"), "runs")
-    _tidy(docs)
-    firsts = written(alive.groupBy("content").agg(F.min(F.struct("doc", "p", "n", "gram")).alias("first")).select("content", "first.*"), "first-runs")
+    same = ["content", "again", "n"]
+    firsts = written(alive.groupBy(*same).agg(F.min(F.struct("doc", "p", "gram")).alias("first")).select(*same, "first.*"), "first-runs")
     several = firsts.groupBy("gram").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
     wanted = written(firsts.join(several, "gram").select("doc", "p", "n", "gram", "contents"), "open-runs")
-    whole = alive.join(firsts.select("content", F.col("doc").alias("d0"), F.col("p").alias("p0")), "content").where("doc <> d0 or p <> p0")
+    whole = alive.join(firsts.select(*same, F.col("doc").alias("d0"), F.col("p").alias("p0")), same).where("doc <> d0 or p <> p0")
     whole = written(whole.select("doc", F.col("p").alias("lo"), (F.col("p") + F.col("n") - 1 + LENGTH).cast("int").alias("hi")), "whole-runs")
     for t in (repeated, alive, firsts):
         drop_written(t)
-    _tidy(docs)
-    part = written(resolved(bucket_bytes(packed(docs), wanted, hot_contents)), "repeats")
+    part = written(resolved(bucket_bytes(packed(docs), wanted, hot_contents), held_bytes), "repeats")
     drop_written(wanted)
-    _tidy(docs)
     return whole.unionByName(part)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot_contents: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, hot_contents: int = HOT, held_bytes: int = HELD_BYTES) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary, the remaining bytes) if asked for."""
     rows = _numbered(docs, id_col, text_col)
-    ranges = removed_ranges(rows, hot_contents).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ranges = removed_ranges(rows, hot_contents, held_bytes).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     joined = _with_id(rows.select("id", "doc", "text")).join(ranges, "doc", "left").select("id", "packed", "ranges")
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]

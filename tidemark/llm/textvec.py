@@ -19,7 +19,7 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document forms a chunk of its own.
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE_2 = np.uint64(0xA24BAED4963EE407)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -40,18 +40,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, np.uint64)
+def _pow(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``n`` powers of ``base`` and of its inverse, modulo 2**64."""
+    have = _powers.get(int(base))
+    if have is None or len(have[0]) < n:
+        made = []
+        for step in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+            steps = np.full(max(n, CHUNK_BYTES + 1), step, np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"][:n], _powers["down"]
+            made.append(np.cumprod(steps))
+        have = made[0], made[1]
+        if n <= 4 * CHUNK_BYTES:  # those of a longer text are not kept
+            _powers[int(base)] = have
+    return have[0][:n], have[1]
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +135,12 @@ class Chunk:
         down = _pow(len(self.data) + 1)[1]
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
+    def second_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each byte span that owes nothing to ``span_hash``: other byte values, another base."""
+        weighted = (mix(BYTE_VALUE) | np.uint64(1))[self.data] * _pow(len(self.data) + 1, _BASE_2)[0][: len(self.data)]
+        sums = np.append(np.uint64(0), np.cumsum(weighted))
+        return mix((sums[ends] - sums[starts]) * _pow(len(self.data) + 1, _BASE_2)[1][starts])
+
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
 
