@@ -1,23 +1,29 @@
 """Language-model scores by online logistic context mixing.
 
-A text is coded as its lower-cased bytes and an end mark.  A byte is a path of
-binary decisions in the Huffman tree that the byte before it selects (built
-from the corpus' counts of byte pairs).  Four predictors look at each decision
-under a hash of their context (2, 3 and 5 bytes, and the word so far) and its
-place in the tree: each has a table of bit counts gathered from the training
-rows, with slots in proportion to the training decisions.  Their log-odds are combined by a
-weight vector, which a gate selects by the place in the word; weights follow
-the coding error online.  A last stage with two adaptive parameters refines the
-mixture.  Costs of all decisions sum to the text's bits.
-
-Weights and the last stage start from constants at a text's first byte, move
-after every byte and are carried to its end, so a text is coded in order; texts
-of like length are coded side by side.  A text's score depends on the tables
-and the text alone.
-
-Words (for the base score) are counted over all training rows and joined back
-by word: what a task asks for is packed per word, so a frequent word is one row
-per task.
+What is coded is a text's token sequence: its lower-cased words, a space after
+each, and an end mark.  A byte is a path of binary decisions in the Huffman tree
+that the byte before it selects (built from the corpus' counts of byte pairs).
+Three predictors look at each decision under a hash of their context and its
+place in the tree: the last 3 and 5 bytes, and the word so far (its last 16
+bytes).  Each gives the log-odds of the bit counts gathered from the training
+rows.  A gate selects the weights of their sum by how often the word and the 5
+bytes were seen at this place; a last stage with two adaptive parameters refines
+the mixture.  Costs of all decisions sum to the text's bits.
+
+Weights start from what training rows teach: one in ``FOLDS`` training texts
+(by hash, so copies stay together) is left out of the counts, and weights are
+fitted to its decisions by Newton steps.  From there a text's weights follow its own coding errors, moved
+after every ``STEP`` bytes and carried to its end.  Texts of like length are
+coded side by side, a segment at a time, so a long text takes no more memory.
+A text's score depends on the counts, the start weights and the text alone.
+
+What grows with the corpus is never broadcast.  Texts are packed in batches of
+``BATCH_BYTES``.  A batch sends its distinct contexts of the word predictor (and
+its distinct words, for the base score) with their counts to blocks of the hash
+space, whose number follows the batches; a block adds them up over all batches
+and answers each with what it asked for.  The hash widens with the training
+decisions.  The tables of 3 and 5 bytes have a fixed number of slots, as the
+alphabet rather than the corpus bounds them, and are broadcast (9 MB).
 
 Edge cases: a null text counts as empty: its score is that of the end mark.
 Rows without id learn (the held-out rule needs an id) and are scored.  Repeated
@@ -40,36 +46,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import written
-
-#: log2 of the least slots of each predictor's table, and the training decisions that each slot beyond them is for.
-#: Contexts seen grow by about one per 4096, 512, 64 and 32 decisions (2, 3 and 5 bytes, word), so tables hold them about one a slot.
-SLOTS = (18, 20, 22, 22)
-DECISIONS_PER_SLOT = (4096, 512, 64, 32)
-START = (0.3, 0.35, 0.4, 0.5)
-GATES = 3
-RATE, RATE_LAST = 0.004, 0.002
-CHUNK = 1 << 18
-#: Bytes of texts that are scored side by side.
-CHUNK_SCORED = 1 << 19
-PAD = 6
-#: Ranges of slots whose counts are summed in one task each; distinct counts that a task holds before it passes them on.
-BLOCKS = 256
-HELD_COUNTS = 8_000_000
-_SCALE = 16.0
-
-
-def offsets_of(slots: tuple[int, ...]) -> np.ndarray:
-    """Where each predictor's table begins in the array of all."""
-    return np.concatenate([[0], np.cumsum([1 << s for s in slots])])
-
-
-_OFFSETS = offsets_of(SLOTS)
-
-
-def slots_for(decisions: int) -> tuple[int, ...]:
-    """log2 of the slots of each table for so many training decisions: the tables follow the corpus, without an upper bound."""
-    return tuple(max(least, int(-(-decisions // each) - 1).bit_length()) for least, each in zip(SLOTS, DECISIONS_PER_SLOT))
+from .common import drop_written, written
+
+BATCH_BYTES = 16 << 20
+#: Bytes before each (lengths of the low contexts) and log2 of their tables' slots.
+LOW, LOW_BITS = (3, 5), (20, 23)
+#: log2 of the slots of a word context's hash for each training decision, and the fewest bits.
+SPARE_BITS, LEAST_BITS = 4, 32
+BACK = 16
+STEP = 32
+SIDE_BY_SIDE = 256
+SEGMENT_BYTES = 1 << 16
+FOLDS = 32
+GATES = 16
+START = np.array([0.3, 0.4, 0.5], np.float32)
+RATE, RATE_LAST = 0.01, 0.003
+#: A batch's pieces of the hash space: 8 for each batch of the corpus, within these bounds.
+LEAST_BLOCKS, MOST_BLOCKS = 64, 1 << 20
+LOW_PIECE = 1 << 16
+HELD = 4_000_000
+_SPACE, _END = 32, 10
+_M = np.uint64(0x9E3779B97F4A7C15)
+#: A slot's state in a byte: log-odds in quarters (6 bits, 32 is none), and how often it was seen: never, up to 3, up to 30, more.
+_SILENT = np.uint8(32)
 
 
 def held_out(id_col: Column) -> Column:
@@ -77,13 +76,16 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _mix32(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
-    return x
+def states(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The state byte of bit counts."""
+    n = zero + one
+    odds = np.clip(np.rint(np.log((one + 0.35) / (zero + 0.35)) * 4), -31, 31).astype(np.int64) + 32
+    return (odds | np.digitize(n, [1, 4, 31]) << 6).astype(np.uint8)
+
+
+def bits_for(decisions: int) -> int:
+    """Width of the word contexts' hash: slots follow the training decisions."""
+    return min(60, max(LEAST_BITS, int(decisions).bit_length() + SPARE_BITS))
 
 
 def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -118,7 +120,7 @@ class Tree:
         common = _paths(np.ones(256, np.int64))
         codes = [_paths(floored[k]) if seen[k] else common for k in range(256)]
         deep = max(len(p) for code in codes for p in code)
-        length, node, bits = np.zeros((256, 256), np.int64), np.zeros((256, 256, deep), np.uint32), np.zeros((256, 256, deep), np.int8)
+        length, node, bits = np.zeros((256, 256), np.int32), np.zeros((256, 256, deep), np.uint32), np.zeros((256, 256, deep), np.int8)
         for k, code in enumerate(codes):
             for leaf, path in enumerate(code):
                 length[k, leaf] = len(path)
@@ -127,337 +129,561 @@ class Tree:
         return cls(length.ravel(), _mix32(node.reshape(256 * 256, deep) + np.uint32(77)), bits.reshape(256 * 256, deep))
 
 
-class Coded:
-    """The decisions of some texts. To score, coded bytes are put in the order in which weights move: place in the text, text."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, tree: Tree, train: bool, slots: tuple[int, ...] = SLOTS):
-        n_docs, size = len(offsets) - 1, np.diff(offsets)
-        begin = offsets[:-1] - offsets[0] + np.arange(n_docs) * (PAD + 1) + PAD
-        text = np.zeros(len(data) + n_docs * (PAD + 1), np.uint8)
-        doc = np.repeat(np.arange(n_docs), size + 1)
-        ahead = np.arange(len(doc)) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1)
-        at = begin[doc] + ahead
-        inside = np.ones(len(doc), bool)
-        inside[np.cumsum(size + 1) - 1] = False
-        text[at[inside]] = tv.LOWER[data]
-        c = tv.Chunk(text, np.array([0, len(text)]), lower=False)
-        letter = tv.IS_WORD & (np.arange(256) > 0)
-        # where the word that runs up to each byte began
-        start = np.where(letter[text[:-1]], 0, np.arange(1, len(text))) if len(text) > 1 else np.zeros(0, np.int64)
-        start = np.concatenate([[0], np.maximum.accumulate(start)]) if len(text) else start
-        if not train:
-            order = np.argsort(ahead, kind="stable")
-            at, self.doc = at[order], doc[order]
-            self.gate = np.minimum((at - start[at] + 1) // 2, GATES - 1)
-            self.turns = np.searchsorted(ahead[order], np.arange(int(ahead.max(initial=-1)) + 2))
-        x = [text[np.maximum(at - k, 0)].astype(np.uint32) for k in range(1, 6)]
-        near = x[0] | x[1] << np.uint32(8) | x[2] << np.uint32(16)
-        word = (c.sums[at] - c.sums[start[at]]) * tv._pow(len(text) + 1)[1][start[at]]
-        far = (near | x[3] << np.uint32(24)) * np.uint32(0x9E3779B1) ^ (x[4] * np.uint32(0x85EBCA6B))
-        contexts = [(near & np.uint32(0xFFFF)) + np.uint32(1 << 24), near, far, (tv.mix(word + x[0]) >> np.uint64(32)).astype(np.uint32)]
-        symbol = x[0].astype(np.int64) * 256 + text[at]
-        length = tree.length[symbol]
-        self.length = length
-        byte = np.repeat(np.arange(len(at)), length)
-        depth = np.arange(len(byte)) - np.repeat(np.cumsum(length) - length, length)
-        path = (symbol * tree.place.shape[1])[byte] + depth
-        self.bit = tree.bit.ravel()[path]
-        place = tree.place.ravel()[path]
-        self.slots = [_slot(_mix32(context + np.uint32(k))[byte], place, bits) for k, (bits, context) in enumerate(zip(slots, contexts))]
-
-
-def _slot(context: np.ndarray, place: np.ndarray, bits: int) -> np.ndarray:
-    """The slot of a context at a place of the tree; tables of more than 2**32 slots take a wider hash."""
-    if bits <= 32:
-        return ((context ^ place) >> np.uint32(32 - bits)).astype(np.intp)
-    return (tv.mix(context.astype(np.uint64) << np.uint64(32) | place) >> np.uint64(64 - bits)).astype(np.intp)
-
-
-def _pieces(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, offsets = tv.flat(column)
-    for a, b in tv.chunks(offsets, size):
-        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1]
-
-
-def count_corpus(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over training rows: 0 words by hash, 1 byte pairs (256 * before + byte), 2 the number of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[tuple[np.ndarray, np.ndarray]] = []
-        pairs, rows = np.zeros(1 << 16, np.int64), 0
-
-        def out(last: bool) -> pa.RecordBatch:
-            k = np.concatenate([np.zeros(0, np.uint64), *(w[0] for w in words)])
-            n = np.concatenate([np.zeros(0, np.int64), *(w[1] for w in words)])
-            keys, where = np.unique(k, return_inverse=True)
-            total = np.bincount(where, n, len(keys)).astype(np.int64)
-            words.clear()
-            seen = np.flatnonzero(pairs)
-            more = [pairs[seen], np.array([rows])] if last else [np.zeros(0, np.int64)] * 2
-            kind = np.repeat([0, 1, 2], [len(keys), len(more[0]), len(more[1])]).astype(np.int32)
-            key = np.concatenate([keys.view(np.int64), seen if last else more[0], np.zeros(len(more[1]), np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([total, *more]).astype(np.int64))], names=["kind", "key", "n"])
-
-        for b in batches:
-            b = b.filter(pa.compute.invert(b.column(1)))
-            rows += b.num_rows
-            for _, _, c in tv.each(b.column(0), lower=True):
-                words.append(np.unique(c.word_hash(), return_counts=True))
-                text, size = np.zeros(len(c.data) + c.n_docs + 1, np.int64), np.diff(c.off)
-                text[np.arange(len(c.data)) + np.repeat(np.arange(c.n_docs), size) + 1] = tv.LOWER[c.data]
-                pairs += np.bincount(text[:-1] * 256 + text[1:], minlength=1 << 16)
-                if sum(len(w[0]) for w in words) > 1_500_000:
-                    yield out(False)
-        yield out(True)
-
-    return docs.select("text", "held_out").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def _tally(codes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, ascending, and their counts."""
-    if counts is None:
-        codes.sort()
-    else:
-        order = np.argsort(codes, kind="stable")
-        codes, counts = codes[order], counts[order]
-    new = np.ones(len(codes), bool)
-    new[1:] = codes[1:] != codes[:-1]
-    at = np.flatnonzero(new)
-    return codes[at], (np.diff(np.append(at, len(codes))) if counts is None else np.add.reduceat(counts, at) if len(at) else counts).astype(np.uint32)
+# -- texts ------------------------------------------------------------------------------------------------------------------
 
 
-def learn(docs: DataFrame, tree: Tree, slots: tuple[int, ...] = SLOTS) -> np.ndarray:
-    """Log-odds of every slot, in sixteenths, as int8. Tasks hold and send the counts of slots they met only."""
-    starts = offsets_of(slots)
-    total = int(starts[-1])
-    kind = np.uint32 if 2 * total <= 1 << 32 else np.uint64
-    block = -(-total // BLOCKS) * 2  # codes of a block: two to a slot
+def tokens_of(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The coded bytes of a chunk's texts, and the length of each."""
+    own = np.flatnonzero(c.is_word)
+    first = np.zeros(len(c.data), np.int32)
+    first[c.starts] = 1
+    word = np.cumsum(first, dtype=np.int32)[own] - 1
+    doc = np.repeat(np.arange(c.n_docs, dtype=np.int32), np.diff(c.off))[own]
+    length = np.bincount(doc, minlength=c.n_docs) + c.n_words + 1
+    out = np.full(int(length.sum()), _SPACE, np.uint8)
+    out[np.arange(len(own)) + word + doc] = tv.LOWER[c.data[own]]
+    out[np.cumsum(length) - 1] = _END
+    return out, length
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        fresh: list[np.ndarray] = []
-        held = np.zeros(0, kind), np.zeros(0, np.uint32)
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            new = _tally(np.concatenate([np.zeros(0, kind), *fresh]), None)
-            fresh.clear()
-            return _tally(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+_KINDS = "held array<boolean>, learns array<tinyint>, lengths array<int>, texts binary"
 
-        def out() -> pa.RecordBatch:
-            codes, counts = held
-            first = np.arange(BLOCKS + 1, dtype=np.uint64) * np.uint64(block)
-            cuts = np.searchsorted(codes, np.minimum(first, np.uint64(2 * total)).astype(np.uint64))
-            rows = []
-            for k in np.flatnonzero(np.diff(cuts)).tolist():
-                own = codes[cuts[k] : cuts[k + 1]].astype(np.int64) - k * block
-                both = np.concatenate([np.diff(own, prepend=0).astype(np.uint32), counts[cuts[k] : cuts[k + 1]]])
-                rows.append((k, press.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes())))
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "counts"])
-
-        for b in batches:
-            b = b.filter(pa.compute.invert(b.column(1)))
-            for _, _, data, offsets in _pieces(b.column(0)):
-                c = Coded(data, offsets, tree, train=True, slots=slots)
-                fresh += [(2 * (own + start) + c.bit).astype(kind) for own, start in zip(c.slots, starts)]
-                if sum(map(len, fresh)) > HELD_COUNTS:
-                    held = merged()
-                    if len(held[0]) > HELD_COUNTS:
-                        yield out()
-                        held = held[0][:0], held[1][:0]
-        held = merged()
-        yield out()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
-        now, sums = -1, np.zeros(0, np.int64)
+
+def batches_of(docs: DataFrame) -> DataFrame:
+    """One row per batch: ids, whether held out, what is learnt from each text (0 nothing, 1 counts, 2 weights), coded bytes."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_log_odds(sums).tobytes()], pa.binary())], names=["block", "odds"])
-
-        for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k != now:
-                    if now >= 0:
-                        yield out()
-                    now, sums = k, np.zeros(block, np.int64)
-                both = np.ascontiguousarray(np.frombuffer(unpress.decompress(x), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                n = len(both) // 2
-                sums[np.cumsum(both[:n], dtype=np.int64)] += both[n:]
-        if now >= 0:
+            columns = [pa.concat_arrays([h[k] for h in held]) for k in range(3)]
+            lengths = np.concatenate([h[3] for h in held])
+            one = pa.array([0, len(lengths)], pa.int32())
+            lists = [pa.ListArray.from_arrays(one, c) for c in (*columns, pa.array(lengths, pa.int32()))]
+            texts = pa.array([press.compress(np.concatenate([h[4] for h in held]).tobytes())], pa.binary())
+            held.clear()
+            return pa.RecordBatch.from_arrays([*lists, texts], names=["ids", "held", "learns", "lengths", "texts"])
+
+        for b in found:
+            for a, e, c in tv.each(b.column(3), lower=False):
+                data, length = tokens_of(c)
+                held.append((*(b.column(k).slice(a, e - a) for k in range(3)), length, data))
+                if sum(len(h[4]) for h in held) >= BATCH_BYTES:
+                    yield out()
+        if held:
             yield out()
 
-    parts = docs.select("text", "held_out").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, odds binary")
-    odds = np.zeros(total, np.int8)
-    for row in parts.toLocalIterator():
-        at = row["block"] * (block // 2)
-        part = np.frombuffer(row["odds"], np.int8)[: total - at]
-        odds[at : at + len(part)] = part
-    return odds
+    return docs.select("id", "held", "learns", "text").mapInArrow(run, f"ids array<{kind}>, {_KINDS}").withColumn("batch", F.monotonically_increasing_id())
 
 
-def _log_odds(counts: np.ndarray) -> np.ndarray:
-    zero, one = counts[0::2] + 0.35, counts[1::2] + 0.35
-    return np.clip(np.rint(np.log(one / zero) * _SCALE), -127, 127).astype(np.int8)
+def _open(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, offsets, held, learns) of a batch row."""
+    row = {n: b.column(b.schema.get_field_index(n))[k] for n in ("held", "learns", "lengths", "texts")}
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"].as_py()), np.uint8)
+    lengths = row["lengths"].values.to_numpy()
+    return data, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), row["held"].values.to_numpy(zero_copy_only=False), row["learns"].values.to_numpy()
 
 
-def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, odds: np.ndarray, slots: tuple[int, ...] = SLOTS) -> np.ndarray:
-    """Bits of each text."""
-    c = Coded(data, offsets, tree, train=False, slots=slots)
-    n, starts = len(offsets) - 1, offsets_of(slots)
-    w = np.tile(np.array(START, np.float32), (GATES, n, 1))
-    last = np.tile(np.array([1, 0], np.float32), (n, 1))
-    spent = np.zeros(n)
-    until = np.concatenate([[0], np.cumsum(c.length)])
-    inputs = np.stack([odds[own + start] for own, start in zip(c.slots, starts)], axis=1)
-    signs = c.bit * np.int8(2) - np.int8(1)
-    scale = np.float32(1 / _SCALE)
-    for a, b in zip(c.turns[:-1].tolist(), c.turns[1:].tolist()):  # one byte of every text that is long enough
-        p, q = until[a], until[b]
-        own, gate, many = c.doc[a:b], c.gate[a:b], c.length[a:b]
-        group, run = until[a:b] - p, np.repeat(np.arange(b - a), many)
-        sign, x = signs[p:q].astype(np.float32), inputs[p:q] * scale
-        weights = w[gate, own]
-        z = np.clip((x * weights[run]).sum(axis=1), -10, 10)
-        miss = sign / (1 + np.exp(sign * z))  # bit - probability
-        w[gate, own] = weights + np.float32(RATE) * np.add.reduceat(miss[:, None] * x, group, axis=0)
-        mine = last[own]
-        y = np.clip(mine[run, 0] * z + mine[run, 1], -11, 11)
-        e = np.exp(-sign * y)
-        spent[own] += np.add.reduceat(np.log2(1 + e), group, dtype=np.float64)
-        miss = sign * e / (1 + e)
-        mine += np.float32(RATE_LAST) * np.stack([np.add.reduceat(miss * z, group) * np.float32(0.25), np.add.reduceat(miss, group)], axis=1)
-        last[own] = np.clip(mine, np.array([0.5, -1], np.float32), np.array([2, 1], np.float32))
-    return spent
+def count_pairs(batches: DataFrame) -> DataFrame:
+    """(key, n) over texts that count: 256 * before + byte; -1 training words, -2 training rows."""
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, words, rows = np.zeros(1 << 16, np.int64), 0, 0
+        for b in found:
+            for k in range(b.num_rows):
+                data, off, held, learns = _open(b, k)
+                counts = np.repeat(learns == 1, np.diff(off))
+                before = np.empty(len(data), np.int64)
+                before[1:], before[off[:-1]] = data[:-1], _END
+                pairs += np.bincount((before * 256 + data)[counts], minlength=1 << 16)
+                words += int(((data == _SPACE) & np.repeat(~held, np.diff(off))).sum())
+                rows += int((~held).sum())
+        seen = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2])), pa.array(np.append(pairs[seen], [words, rows]))], names=["key", "n"])
 
-def words_asked(docs: DataFrame) -> DataFrame:
-    """(word, posts): per batch and word, which texts hold it how often; a text's end is the word 0."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = b.column(0).to_numpy()
-            found = [(np.zeros(len(keys), np.uint64), keys, np.ones(len(keys), np.int32))]
-            for a, _, c in tv.each(b.column(1), lower=True):
-                words, docs_ = c.word_hash(), c.doc_of()
-                order = np.lexsort((docs_, words))
-                words, docs_ = words[order], docs_[order]
-                new = np.ones(len(words), bool)
-                new[1:] = (words[1:] != words[:-1]) | (docs_[1:] != docs_[:-1])
-                at = np.flatnonzero(new)
-                found.append((words[at], keys[a + docs_[at]], np.diff(np.append(at, len(words))).astype(np.int32)))
-            word, doc, n = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(word, kind="stable")
-            word, posts = word[order], np.zeros(len(word), [("doc", "<i8"), ("n", "<i4")])
-            posts["doc"], posts["n"] = doc[order], n[order]
-            new = np.ones(len(word), bool)
-            new[1:] = word[1:] != word[:-1]
-            at = np.flatnonzero(new)
-            off = np.append(at, len(word)).astype(np.int64) * posts.itemsize
-            packed = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(posts.tobytes())]).cast(pa.binary())
-            for s in range(0, len(at), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(word[at][s : s + 50_000].view(np.int64)), packed.slice(s, 50_000)], names=["word", "posts"])
-
-    return docs.select("row_key", "text").mapInArrow(run, "word long, posts binary")
-
-
-_SUMS = np.dtype([("row_key", "<i8"), ("logs", "<f8"), ("known", "<i8"), ("times", "<i8")])
-#: Texts whose sums travel in one row, on average.
-GROUP_TEXTS = 4096
-
-
-def _summed(parts: list[np.ndarray]) -> np.ndarray:
-    """One entry per text key."""
-    rows = np.concatenate([np.zeros(0, _SUMS), *parts])
-    keys, where = np.unique(rows["row_key"], return_inverse=True)
-    out = np.zeros(len(keys), _SUMS)
-    out["row_key"] = keys
-    for name in ("logs", "known", "times"):
-        out[name] = np.bincount(where, rows[name], len(keys))
-    return out
-
-
-def base_sums(asked: DataFrame, counts: DataFrame, groups: int) -> DataFrame:
-    """(row_key, logs, known): sum of log10(count + 1) over a text's tokens, and how many tokens are known.
-
-    Texts are dealt to ``groups``; a task packs what it has summed for a group's texts into one row.
-    """
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    return batches.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-        def out() -> pa.RecordBatch:
-            sums = _summed(held)
-            held.clear()
-            group = (tv.mix(sums["row_key"].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            sums, group = sums[order], group[order]
-            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else [0]
-            spans = list(zip(cuts, cuts[1:]))
-            return pa.RecordBatch.from_arrays([pa.array([int(group[x]) for x, _ in spans], pa.int64()), pa.array([sums[x:y].tobytes() for x, y in spans], pa.binary())], names=["part", "sums"])
-
-        for b in batches:
-            raw, off = tv.flat(b.column(1).cast(pa.large_binary()))
-            posts = np.frombuffer(raw.tobytes(), [("doc", "<i8"), ("n", "<i4")])
-            many = np.diff(off) // posts.itemsize
-            each = np.repeat(b.column(2).fill_null(0).to_numpy(), many)
-            part = np.zeros(len(posts), _SUMS)
-            part["row_key"], part["logs"], part["known"] = posts["doc"], posts["n"] * np.log10(each + 1.0), posts["n"] * (each > 0)
-            part["times"] = posts["n"] * np.repeat(b.column(0).to_numpy() == 0, many)
-            held.append(part)
-            if sum(map(len, held)) > 1_000_000:
-                yield out()
-        yield out()
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for b in batches:
-            held += [np.frombuffer(x, _SUMS) for x in b.column(1).to_pylist()]
-            if sum(map(len, held)) > 1_000_000:
-                held = [_summed(held)]
-        sums = _summed(held)
-        # copies of a text share a key: each asks for all its words once
-        times = np.maximum(sums["times"], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(sums["row_key"]), pa.array(sums["logs"] / times), pa.array(sums["known"] // times)], names=["row_key", "logs", "known"])
-
-    packed = asked.join(counts, "word", "left").select("word", "posts", "n").mapInArrow(first, "part long, sums binary")
-    return packed.repartition("part").mapInArrow(second, "row_key long, logs double, known long")
+
+# -- decisions --------------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Segment:
+    """A stretch of some texts, decisions in the order of coding: step, text, byte."""
+
+    text: np.ndarray  # of each decision: which text
+    bit: np.ndarray
+    low: list[np.ndarray]  # slots of the low contexts
+    word: np.ndarray  # hash of the word so far
+    steps: np.ndarray  # decisions before each step
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, tree: Tree, bits: int, most: int = SEGMENT_BYTES) -> Iterator[Segment]:
+    """The decisions of ``texts`` (numbers, by length, shortest first), which are coded side by side."""
+    begin, length = offsets[texts], offsets[texts + 1] - offsets[texts]
+    at = 0
+    while len(length) and at < length[-1]:
+        alive = int(np.searchsorted(length, at, "right"))
+        n = len(length) - alive
+        size = min(max(STEP, most // n // STEP * STEP), -(-int(length[-1] - at) // STEP) * STEP)
+        m = np.full((n, BACK + size), _END, np.uint8)
+        own = np.minimum(length[alive:] - at, size)
+        back = min(at, BACK)
+        for r, (b, w) in enumerate(zip(begin[alive:].tolist(), own.tolist())):
+            m[r, BACK - back : BACK + w] = data[b + at - back : b + at + w]
+        yield _coded(m, own, np.arange(alive, len(length), dtype=np.int32), tree, bits)
+        at += size
+
+
+def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits: int) -> Segment:
+    n, size = len(m), m.shape[1] - BACK
+    inside = np.arange(size) < own[:, None]
+
+    def dealt(a: np.ndarray) -> np.ndarray:
+        return a.reshape(n, size // STEP, STEP).transpose(1, 0, 2)[here]
+
+    here = inside.reshape(n, size // STEP, STEP).transpose(1, 0, 2)
+    before = [m[:, BACK - k : BACK - k + size] for k in range(1, 6)]
+    symbol = dealt(before[0].astype(np.int32) * 256 + m[:, BACK:])
+    near = dealt(before[0].astype(np.uint32) | before[1].astype(np.uint32) << np.uint32(8) | before[2].astype(np.uint32) << np.uint32(16) | before[3].astype(np.uint32) << np.uint32(24))
+    contexts = [near & np.uint32(0xFFFFFF), near * np.uint32(0x9E3779B1) ^ dealt(before[4]) * np.uint32(0x85EBCA6B)]
+    columns = np.arange(m.shape[1] + 1, dtype=np.int32)
+    start = np.zeros((n, m.shape[1] + 1), np.int32)
+    start[:, 1:] = np.where((m == _SPACE) | (m == _END), columns[1:], 0)
+    start = np.maximum(np.maximum.accumulate(start, axis=1)[:, BACK:-1], columns[:size])
+    up, down = tv._pow(m.shape[1] + 1)
+    sums = np.zeros((n, m.shape[1] + 1), np.uint64)
+    np.cumsum(tv.BYTE_VALUE[m] * up[: m.shape[1]], axis=1, out=sums[:, 1:])
+    word = tv.mix(dealt((sums[:, BACK:-1] - np.take_along_axis(sums, start, axis=1)) * down[start]) + np.uint64(7))
+    many = tree.length[symbol]
+    byte = np.repeat(np.arange(len(symbol), dtype=np.int32), many)
+    until = np.cumsum(many, dtype=np.int32) - many
+    path = (symbol * np.int32(tree.place.shape[1]) - until)[byte]
+    path += np.arange(len(byte), dtype=np.int32)
+    place = tree.place.ravel()[path]
+    low = []
+    for k, (c, b) in enumerate(zip(contexts, LOW_BITS)):
+        slot = _mix32(c + np.uint32(k))[byte]
+        slot ^= place
+        slot *= np.uint32(0x9E3779B1)
+        slot >>= np.uint32(32 - b)
+        low.append(slot.view(np.int32))
+    code = word[byte]
+    code ^= place
+    code *= _M
+    code >>= np.uint64(64 - bits)
+    ends = np.cumsum(here.reshape(size // STEP, -1).sum(axis=1))
+    steps = np.append(until, len(byte))[np.append(0, ends)]
+    return Segment(dealt(np.broadcast_to(texts[:, None], (n, size)))[byte], tree.bit.ravel()[path], low, code, steps)
+
+
+def _mix32(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def sides(offsets: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
+    """Texts to code side by side, each group by length."""
+    order = which[np.argsort(np.diff(offsets)[which], kind="stable")]
+    for a in range(0, len(order), SIDE_BY_SIDE):
+        yield order[a : a + SIDE_BY_SIDE]
+
+
+# -- counting ---------------------------------------------------------------------------------------------------------------
+
+
+def _tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    return _runs(keys[order], counts[order])
+
+
+def _runs(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    sums = np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts, at) if len(at) else counts
+    return keys[at], sums.astype(np.int64)
+
+
+class _Sums:
+    """Counts of keys, merged when many have come in."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.fresh.append((keys, counts))
+        if sum(len(k) for k, _ in self.fresh) > max(HELD, len(self.keys) // 2):
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.fresh:
+            self.keys, self.counts = _tally(np.concatenate([self.keys, *(k for k, _ in self.fresh)]), np.concatenate([self.counts, *(n for _, n in self.fresh)]))
+            self.fresh = []
+        return self.keys, self.counts
+
+
+def _pack(press: zstandard.ZstdCompressor, *columns: np.ndarray) -> bytes:
+    """Columns of one length as compressed byte planes; the first ascends and is kept as differences."""
+    n = len(columns[0])
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0)) if n else columns[0]
+    planes = [np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(n, 8).T) for c in (first, *columns[1:])]
+    return press.compress(b"".join([np.array([n, len(planes)], np.uint64).tobytes(), *(p.tobytes() for p in planes)]))
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n, k = np.frombuffer(data, np.uint64, 2).astype(int).tolist()
+    planes = np.frombuffer(data, np.uint8, offset=16).reshape(k, 8, n)
+    columns = [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
+    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]] if n else columns
+
+
+def _pieces(keys: np.ndarray, width: int, blocks: int) -> Iterator[tuple[int, int, int]]:
+    """(block, from, to): where ascending keys of ``width`` bits fall into equal blocks."""
+    edges = np.arange(blocks + 1, dtype=np.float64) * 2.0 ** (width - blocks.bit_length() + 1)
+    cuts = np.searchsorted(keys, edges[1:-1].astype(np.uint64))
+    cuts = np.concatenate([[0], cuts, [len(keys)]])
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, int(cuts[k]), int(cuts[k + 1])
+
+
+CONTEXT, WORD, LOW_TABLE = 0, 1, 2
+_SENT = "kind int, block int, batch long, body binary"
+
+
+def batch_counts(data: np.ndarray, off: np.ndarray, held: np.ndarray, learns: np.ndarray, tree: Tree, bits: int, low: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(contexts, zeros, ones, (words, counts)) of a batch, ascending; ``low`` tables are added to."""
+    sums = _Sums()
+    for counted in (True, False):
+        for texts in sides(off, np.flatnonzero((learns == 1) == counted)):
+            for s in segments(data, off, texts, tree, bits):
+                keys = s.word << np.uint64(2)
+                keys |= s.bit.view(np.uint8) if counted else np.uint8(2)
+                keys.sort()
+                sums.add(*_runs(keys))
+                if counted and low is not None:
+                    for table, slot in zip(low, s.low):
+                        np.add.at(table, 2 * slot + s.bit, np.uint32(1))
+    keys, counts = sums.merge()
+    contexts, where = np.unique(keys >> np.uint64(2), return_inverse=True)
+    zero, one = (np.bincount(where, counts * ((keys & np.uint64(3)) == k), len(contexts)).astype(np.int64) for k in (0, 1))
+    words = _Sums()
+    for a, b in tv.chunks(off):
+        c = tv.Chunk(data[off[a] : off[b]], off[a : b + 1], lower=False)
+        words.add(*_tally(c.word_hash(), np.repeat((~held[a:b]).astype(np.int64), c.n_words)))
+    return contexts, zero, one, words.merge()
+
+
+def asked(batches: DataFrame, tree: Tree, bits: int, blocks: int) -> DataFrame:
+    """What each batch sends: kind, block, batch, packed keys and counts."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        low = [np.zeros(2 << b, np.uint32) for b in LOW_BITS]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["kind", "block", "batch", "body"])
+
+        for b in found:
+            names = b.column(b.schema.get_field_index("batch"))
+            for k in range(b.num_rows):
+                contexts, zero, one, (words, n) = batch_counts(*_open(b, k), tree, bits, low)
+                batch = names[k].as_py()
+                rows = [(CONTEXT, p, batch, _pack(press, contexts[x:y], zero[x:y], one[x:y])) for p, x, y in _pieces(contexts, bits, blocks)]
+                rows += [(WORD, p, batch, _pack(press, words[x:y], n[x:y])) for p, x, y in _pieces(words, 64, blocks)]
+                if rows:
+                    yield out(rows)
+        rows, first = [], 0
+        for table in low:
+            for p in range(0, len(table), LOW_PIECE):
+                seen = np.flatnonzero(table[p : p + LOW_PIECE])
+                if len(seen):
+                    rows.append((LOW_TABLE, first + p // LOW_PIECE, -1, _pack(press, seen.astype(np.uint64), table[p : p + LOW_PIECE][seen])))
+            first += -(-len(table) // LOW_PIECE)
+        if rows:
+            yield out(rows)
+
+    return batches.select("batch", "held", "learns", "lengths", "texts").mapInArrow(run, _SENT)
+
+
+def answers(sent: DataFrame) -> DataFrame:
+    """Sums over all batches: to each batch the states and counts of its keys; under batch -1 the low tables, -2 the numbers of known words."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        now: tuple[int, int] | None = None
+        bodies: list[tuple[int, bytes]] = []
+        sums = [_Sums(), _Sums()]
+
+        def close() -> Iterator[tuple]:
+            kind, block = now
+            keys, first = sums[0].merge()
+            if kind == LOW_TABLE:
+                counts = np.zeros(LOW_PIECE, np.int64)
+                counts[keys.astype(np.int64)] = first
+                yield kind, block, -1, press.compress(states(counts[0::2], counts[1::2]).tobytes())
+                return
+            if kind == WORD:
+                value = first
+                yield kind, block, -2, int((first > 0).sum()).to_bytes(8, "little")
+            else:
+                value = states(first, sums[1].merge()[1]).astype(np.int64)
+            for batch, body in bodies:
+                own = _unpack(body)[0]
+                yield kind, block, batch, _pack(press, own, value[np.searchsorted(keys, own)])
+
+        def rows_of(made: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = list(made)
+            for a in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 256]), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["kind", "block", "batch", "body"])
+
+        for b in found:
+            for kind, block, batch, body in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if (kind, block) != now:
+                    if now is not None:
+                        yield from rows_of(close())
+                    now, bodies, sums = (kind, block), [], [_Sums(), _Sums()]
+                keys, *counts = _unpack(body)
+                for s, n in zip(sums, counts):
+                    s.add(keys, n.astype(np.int64))
+                if kind != LOW_TABLE:
+                    bodies.append((batch, body))
+        if now is not None:
+            yield from rows_of(close())
+
+    return sent.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, _SENT)
+
+
+_READY = f"{_KINDS}, contexts array<binary>, words array<binary>"
+
+
+def ready(batches: DataFrame, answered: DataFrame) -> DataFrame:
+    """One row per batch: its texts with all answers, in order of blocks."""
+    body = F.struct("block", "body")
+    each = answered.where("batch >= 0").groupBy("batch").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, body))).alias(name) for k, name in ((CONTEXT, "contexts"), (WORD, "words"))))
+    joined = batches.join(each, "batch", "left")
+    return joined.select("ids", "held", "learns", "lengths", "texts", F.col("contexts.body").alias("contexts"), F.col("words.body").alias("words"))
+
+
+# -- mixing -----------------------------------------------------------------------------------------------------------------
+
+
+class Answers:
+    """A batch's word contexts and their states: a table by the low bits of the hash that holds the high ones, and a sorted rest."""
+
+    def __init__(self, keys: np.ndarray, state: np.ndarray, bits: int):
+        self.low = max(10, min(bits, (2 * len(keys)).bit_length()))
+        kind = np.uint32 if bits - self.low <= 24 else np.uint64
+        self.mask, self.shift = np.uint64((1 << self.low) - 1), np.uint64(self.low)
+        order = np.argsort(state >> 6, kind="stable")  # of two in one place the more frequent stays
+        slot = (keys & self.mask).astype(np.int64)
+        self.table = np.full(1 << self.low, np.iinfo(kind).max, kind)
+        entry = ((keys >> self.shift).astype(kind) << kind(8)) | state.astype(kind)
+        self.table[slot[order]] = entry[order]
+        lost = np.flatnonzero(self.table[slot] != entry)
+        self.rest, self.rest_state = keys[lost], state[lost]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        entry = self.table[(keys & self.mask).astype(np.int64)]
+        out = entry.astype(np.uint8)
+        apart = np.flatnonzero((entry >> self.table.dtype.type(8)) != (keys >> self.shift))
+        if len(apart):
+            out[apart] = self.rest_state[np.searchsorted(self.rest, keys[apart])]
+        return out
+
+
+def _states(s: Segment, low: list[np.ndarray], known: Answers) -> list[np.ndarray]:
+    return [table[slot] for table, slot in zip(low, s.low)] + [known.of(s.word)]
+
+
+def _mixed(state: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs by predictor, gate) of states."""
+    x = np.empty((len(state), len(state[0])), np.float32)
+    for row, own in zip(x, state):
+        row[:] = own & np.uint8(63)
+    x -= np.float32(32)
+    x *= np.float32(0.25)
+    return x, (state[-1] >> np.uint8(6)) * np.uint8(4) + (state[-2] >> np.uint8(6))
+
+
+def newton_sums(state: np.ndarray, bit: np.ndarray, n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Per gate the curvature and the pull of the logistic loss at ``w``: GATES x (k * k + k). ``state``: by predictor; ``n``: how often."""
+    x, gate = _mixed(state)
+    k = len(x)
+    p = 1 / (1 + np.exp(-np.clip((w[gate].T * x).sum(axis=0), -12, 12)))
+    parts = [x[i] * x[j] * p * (1 - p) * n for i in range(k) for j in range(k)] + [x[i] * (bit - p) * n for i in range(k)]
+    return np.stack([np.bincount(gate, v, GATES) for v in parts], axis=1)
+
+
+def start_weights(batches: DataFrame, bits: int, tree: Tree, low: object, rounds: int = 6) -> np.ndarray:
+    """Weights of each gate from the texts that are kept for them, by Newton steps over counts of (states, bit)."""
+    k = len(START)
+
+    def cases(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for i in range(b.num_rows):
+                data, off, _, learns = _open(b, i)
+                kept = np.flatnonzero(learns == 2)
+                if not len(kept):
+                    continue
+                known, sums = _answers(b, i, bits)[0], _Sums()
+                for texts in sides(off, kept):
+                    for s in segments(data, off, texts, tree, bits):
+                        key = s.bit.astype(np.uint64)
+                        for own in _states(s, low.value, known):
+                            key = key << np.uint64(8) | own
+                        key.sort()
+                        sums.add(*_runs(key))
+                keys, n = sums.merge()
+                for a in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["key", "n"])
+
+    # 2 * 256 ** k rows at most, whatever the corpus
+    seen = written(batches.mapInArrow(cases, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-cases")
+    w = np.tile(START.astype(np.float64), (GATES, 1))
+    for _ in range(rounds):
+
+        def add(found: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((GATES, k * k + k))
+            for b in found:
+                key = b.column(0).to_numpy()
+                state = np.stack([(key >> (8 * (k - 1 - i)) & 255).astype(np.uint8) for i in range(k)])
+                total += newton_sums(state, (key >> (8 * k)).astype(np.float64), b.column(1).to_numpy().astype(np.float64), w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["at", "v"])
+
+        total = np.zeros(GATES * (k * k + k))
+        for r in seen.mapInArrow(add, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # GATES * 12 rows
+            total[r["at"]] = r["v"]
+        total = total.reshape(GATES, -1)
+        step = np.linalg.solve(total[:, : k * k].reshape(GATES, k, k) + np.eye(k), (total[:, k * k :] - (w - START))[:, :, None])[:, :, 0]
+        w = w + np.clip(step, -1, 1)
+    drop_written(seen)
+    return w.astype(np.float32)
+
+
+def _answers(b: pa.RecordBatch, i: int, bits: int) -> tuple[Answers, np.ndarray, np.ndarray]:
+    def column(name: str) -> list[np.ndarray]:
+        bodies = b.column(b.schema.get_field_index(name))[i].as_py() or []
+        parts = [_unpack(x) for x in bodies]
+        return [np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in parts)]) for k in (0, 1)]
+
+    keys, state = column("contexts")
+    words, counts = column("words")
+    return Answers(keys, state.astype(np.uint8), bits), words, counts.astype(np.int64)
+
+
+def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, bits: int, low: list[np.ndarray], known: Answers, start: np.ndarray, rate: float = RATE, rate_last: float = RATE_LAST) -> np.ndarray:
+    """Bits of each text."""
+    spent = np.zeros(len(offsets) - 1)
+    for texts in sides(offsets, np.arange(len(offsets) - 1)):
+        n = len(texts)
+        w = [np.tile(start[:, k].astype(np.float32), n) for k in range(start.shape[1])]  # by text and gate
+        scale, shift = np.ones(n, np.float32), np.zeros(n, np.float32)
+        bill = np.zeros(n)
+        for s in segments(data, offsets, texts, tree, bits):
+            x, gate = _mixed(_states(s, low, known))
+            row = s.text * np.int32(GATES)
+            row += gate
+            sign = s.bit.astype(np.float32) * np.float32(2) - np.float32(1)
+            for a, b in zip(s.steps[:-1].tolist(), s.steps[1:].tolist()):
+                if a == b:
+                    continue
+                at, one, xs = row[a:b], sign[a:b], x[:, a:b]
+                z = w[0][at] * xs[0]
+                for wk, xk in zip(w[1:], xs[1:]):
+                    z += wk[at] * xk
+                np.clip(z, -12, 12, out=z)
+                miss = one / (1 + np.exp(one * z))  # bit - probability
+                first, count = int(s.text[a]) * GATES, (int(s.text[b - 1]) - int(s.text[a]) + 1) * GATES
+                near = at - np.int32(first)
+                for wk, xk in zip(w, xs):
+                    wk[first : first + count] += np.float32(rate) * np.bincount(near, miss * xk, count).astype(np.float32)
+                # the last stage, text by text: decisions of a text are together
+                own = s.text[a:b]
+                begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                who, many = own[begin], np.diff(np.append(begin, b - a))
+                y = np.repeat(scale[who], many) * z + np.repeat(shift[who], many)
+                e = np.exp(-one * y)
+                bill[who] += np.add.reduceat(np.log2(1 + e), begin, dtype=np.float64)
+                miss = one * e / (1 + e)
+                scale[who] = np.clip(scale[who] + np.float32(rate_last / 4) * np.add.reduceat(miss * z, begin), 0.5, 2)
+                shift[who] = np.clip(shift[who] + np.float32(rate_last) * np.add.reduceat(miss, begin), -1, 1)
+        spent[texts] = bill
+    return spent
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), held_out(F.col(id_col)).alias("held_out"), F.xxhash64(text).alias("row_key"))
-    counted = written(count_corpus(rows), "lm-counts")
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte (of the coded tokens)."""
+    spark = docs.sparkSession
+    text, held = F.coalesce(F.col(text_col), F.lit("")), held_out(F.col(id_col))
+    learns = F.when(held, 0).when(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(FOLDS)) == 0, 2).otherwise(1).cast("tinyint")
+    packed = written(batches_of(docs.select(F.col(id_col).alias("id"), held.alias("held"), learns.alias("learns"), text.alias("text"))), "lm-batches")
+    counted = {r["key"]: r["n"] for r in count_pairs(packed).collect()}  # 65,538 rows at most
+    n_rows, n_words = counted.pop(-2, 0), counted.pop(-1, 0)
     pairs = np.zeros(1 << 16, np.int64)
-    for r in counted.where("kind = 1").collect():  # 65,536 at most
-        pairs[r["key"]] = r["n"]
+    pairs[list(counted)] = list(counted.values())
     tree = Tree.of(pairs.reshape(256, 256))
-    n_rows = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = counted.where("kind = 0").select(F.col("key").alias("word"), "n")
-    n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, kinds = n_words + n_rows, distinct + (n_rows > 0)
-    if n_rows:
-        words = words.unionByName(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("word"), F.lit(n_rows).cast("long").alias("n")))
-    groups = max(1, docs.select(F.lit(1)).count() // GROUP_TEXTS)
-    base = written(base_sums(words_asked(rows), words, groups), "lm-base")
-    slots = slots_for(int((pairs * tree.length).sum()))
-    odds = docs.sparkSession.sparkContext.broadcast(learn(rows, tree, slots))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits, n, size = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            b = b.take(pa.compute.sort_indices(pa.compute.binary_length(b.column(2))))
-            for _, _, data, offsets in _pieces(b.column(2), CHUNK_SCORED):
-                bits.append(cost(data, offsets, tree, odds.value, slots))
-                n.append(tv.Chunk(data, offsets, lower=False).n_words + 1)
-                size.append(np.diff(offsets))
-            bits = np.concatenate(bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(np.concatenate(n).astype(np.int64)), pa.array(-bits * np.log10(2.0)), pa.array(bits / np.maximum(np.concatenate(size), 1))], names=["id", "held_out", "row_key", "n_tokens", "score", "bits_per_byte"])
-
+    bits = bits_for(int((pairs * tree.length).sum()))
+    blocks = 1 << (min(MOST_BLOCKS, max(LEAST_BLOCKS, 8 * packed.select("batch").count())) - 1).bit_length()
+    answered = written(answers(asked(packed, tree, bits, blocks)), "lm-answers")
+    distinct = _known(answered)
+    tables = spark.sparkContext.broadcast(_low_tables(answered))
+    each = written(ready(packed, answered), "lm-ready")
+    drop_written(packed)
+    drop_written(answered)
+    start = start_weights(each, bits, tree, tables)
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = rows.select("id", "held_out", "text", "row_key").mapInArrow(run, f"id {kind}, held_out boolean, row_key long, n_tokens long, score double, bits_per_byte double")
+    end_log = float(np.log10(n_rows + 1.0))
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            for i in range(b.num_rows):
+                data, off, held, _ = _open(b, i)
+                known, words, counts = _answers(b, i, bits)
+                spent = cost(data, off, tree, bits, tables.value, known, start)
+                logs, found_words, n_tokens = np.full(len(held), end_log), np.full(len(held), int(n_rows > 0)), np.ones(len(held), np.int64)
+                for a, e in tv.chunks(off):
+                    c = tv.Chunk(data[off[a] : off[e]], off[a : e + 1], lower=False)
+                    count, doc = counts[np.searchsorted(words, c.word_hash())], c.doc_of()
+                    logs[a:e] += np.bincount(doc, np.log10(count + 1.0), e - a)
+                    found_words[a:e] += np.bincount(doc[count > 0], minlength=e - a)
+                    n_tokens[a:e] += c.n_words
+                ids = b.column(b.schema.get_field_index("ids"))[i].values
+                yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(n_tokens), pa.array(found_words.astype(np.int64)), pa.array(logs), pa.array(-spent * np.log10(2.0)), pa.array(spent / np.diff(off))], names=["id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte"])
+
+    scored = each.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double")
+    tokens, kinds = n_words + n_rows, distinct + (n_rows > 0)
     less = float(np.log10(float(tokens + kinds + 1)))
-    return scored.join(base, "row_key").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+    return scored.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * F.lit(less)).alias("base_score"), "score", "bits_per_byte",
     )
+
+
+def _known(answered: DataFrame) -> int:
+    """Distinct training words: one number per block, summed on the executors."""
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(int.from_bytes(x, "little") for b in found for x in b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return answered.where("batch = -2").select("body").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _low_tables(answered: DataFrame) -> list[np.ndarray]:
+    """The tables of fixed size: 9 MB in all, read piece by piece."""
+    sizes = [1 << b for b in LOW_BITS]
+    out = np.full(sum(sizes), _SILENT, np.uint8)
+    half = LOW_PIECE // 2
+    for row in answered.where("batch = -1").select("block", "body").toLocalIterator():
+        out[row["block"] * half : (row["block"] + 1) * half] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["body"])), np.uint8)
+    return [x.copy() for x in np.split(out, np.cumsum(sizes)[:-1])]
