@@ -241,8 +241,8 @@ def test_context_mixing(docs, texts, empty):
 
 
 def _coded(texts):
-    parts = [context_mixing.tokens_of(c) for _, _, c in textvec.each(pa.array(texts), lower=False)]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([p[1] for p in parts]))])
+    data, length = context_mixing.tokens_of(pa.array(texts))
+    return data, np.concatenate([[0], np.cumsum(length)])
 
 
 def test_coded_tokens():
@@ -262,6 +262,11 @@ def _model(texts, learns):
     return data, off, tree, tables, context_mixing.Answers(contexts, context_mixing.states(zero, one), 40)
 
 
+def _cost(data, off, tree, tables, known, start):
+    units = context_mixing.Units(data, off, tree, 40)
+    return context_mixing.cost(data, off, units, tables, known.of(units.code), start)
+
+
 def test_costs_equal_a_plain_model(texts):
     """Contexts in dicts, one decision after the other, weights moved every STEP bytes and carried to the end."""
     rng = np.random.default_rng(3)
@@ -269,7 +274,7 @@ def test_costs_equal_a_plain_model(texts):
     learns = rng.integers(0, 2, len(own)).astype(np.int8)
     data, off, tree, tables, known = _model(own, learns)
     start = rng.uniform(0.1, 0.6, (context_mixing.GATES, 3)).astype(np.float32)
-    got = context_mixing.cost(data, off, tree, 40, tables, known, start)
+    got = _cost(data, off, tree, tables, known, start)
     deep = tree.place.shape[1]
 
     def decisions(text):
@@ -322,9 +327,9 @@ def test_cost_does_not_depend_on_neighbours(texts, monkeypatch):
     own = [t or "" for t in texts.values()] + ["a long text of many words " * 9000]
     data, off, tree, tables, known = _model(own, np.ones(len(own), np.int8))
     start = np.tile(context_mixing.START, (context_mixing.GATES, 1))
-    together = context_mixing.cost(data, off, tree, 40, tables, known, start)
+    together = _cost(data, off, tree, tables, known, start)
     monkeypatch.setattr(context_mixing, "SEGMENT_BYTES", 1 << 12)
-    alone = [context_mixing.cost(data[a:b], np.array([0, b - a]), tree, 40, tables, known, start)[0] for a, b in zip(off[:-1], off[1:])]
+    alone = [_cost(data[a:b], np.array([0, b - a]), tree, tables, known, start)[0] for a, b in zip(off[:-1], off[1:])]
     assert np.allclose(together, alone, rtol=1e-4)
 
 

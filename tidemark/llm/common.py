@@ -10,7 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANUP = {"spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -30,24 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries that end within this block give the disk of their shuffles back at once."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def configured(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings for the actions of a block; names with "_" for ".", as they were before at its end."""
+    names = {k: k.replace("_", ".") for k in settings}
+    before = {n: spark.conf.get(n, None) for n in names.values()}
+    for k, n in names.items():
+        spark.conf.set(n, settings[k])
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: the lineage is cut, and losing an executor loses nothing."""
+def written(df: DataFrame, name: str, **settings: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: the lineage is cut, and losing an executor loses nothing.
+
+    Spark gives back the disk of the shuffles behind it at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with tidy_shuffles(spark):
+    with configured(spark, **_CLEANUP, **settings):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path

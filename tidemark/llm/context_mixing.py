@@ -46,13 +46,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import drop_written, written
+from .common import configured, drop_written, written
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes before each (lengths of the low contexts) and log2 of their tables' slots.
 LOW, LOW_BITS = (3, 5), (20, 23)
 #: log2 of the slots of a word context's hash for each training decision, and the fewest bits.
 SPARE_BITS, LEAST_BITS = 4, 32
+#: Bits for how often a word stands in a batch; a word that does so more often takes several entries.
+TIMES_BITS = 20
+_TIMES = (1 << TIMES_BITS) - 1
 BACK = 16
 STEP = 32
 SIDE_BY_SIDE = 256
@@ -64,7 +67,7 @@ RATE, RATE_LAST = 0.01, 0.003
 #: A batch's pieces of the hash space: 8 for each batch of the corpus, within these bounds.
 LEAST_BLOCKS, MOST_BLOCKS = 64, 1 << 20
 LOW_PIECE = 1 << 16
-HELD = 4_000_000
+HELD = 1_000_000
 _SPACE, _END = 32, 10
 _M = np.uint64(0x9E3779B97F4A7C15)
 #: A slot's state in a byte: log-odds in quarters (6 bits, 32 is none), and how often it was seen: never, up to 3, up to 30, more.
@@ -85,7 +88,7 @@ def states(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 def bits_for(decisions: int) -> int:
     """Width of the word contexts' hash: slots follow the training decisions."""
-    return min(60, max(LEAST_BITS, int(decisions).bit_length() + SPARE_BITS))
+    return min(63 - TIMES_BITS, max(LEAST_BITS, int(decisions).bit_length() + SPARE_BITS))
 
 
 def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -132,18 +135,12 @@ class Tree:
 # -- texts ------------------------------------------------------------------------------------------------------------------
 
 
-def tokens_of(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """The coded bytes of a chunk's texts, and the length of each."""
-    own = np.flatnonzero(c.is_word)
-    first = np.zeros(len(c.data), np.int32)
-    first[c.starts] = 1
-    word = np.cumsum(first, dtype=np.int32)[own] - 1
-    doc = np.repeat(np.arange(c.n_docs, dtype=np.int32), np.diff(c.off))[own]
-    length = np.bincount(doc, minlength=c.n_docs) + c.n_words + 1
-    out = np.full(int(length.sum()), _SPACE, np.uint8)
-    out[np.arange(len(own)) + word + doc] = tv.LOWER[c.data[own]]
-    out[np.cumsum(length) - 1] = _END
-    return out, length
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The coded bytes of some texts, and the length of each. ``bytes.split`` parts at the six ASCII white space bytes."""
+    lower = bytes(tv.LOWER)
+    coded = [b" ".join(t.translate(lower).split()) for t in column.cast(pa.large_binary()).to_pylist()]
+    coded = [t + b" \n" if t else b"\n" for t in coded]
+    return np.frombuffer(b"".join(coded), np.uint8), np.fromiter(map(len, coded), np.int64, len(coded))
 
 
 _KINDS = "held array<boolean>, learns array<tinyint>, lengths array<int>, texts binary"
@@ -167,8 +164,8 @@ def batches_of(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*lists, texts], names=["ids", "held", "learns", "lengths", "texts"])
 
         for b in found:
-            for a, e, c in tv.each(b.column(3), lower=False):
-                data, length = tokens_of(c)
+            for a, e in tv.chunks(tv.flat(b.column(3))[1]):
+                data, length = tokens_of(b.column(3).slice(a, e - a))
                 held.append((*(b.column(k).slice(a, e - a) for k in range(3)), length, data))
                 if sum(len(h[4]) for h in held) >= BATCH_BYTES:
                     yield out()
@@ -209,60 +206,107 @@ def count_pairs(batches: DataFrame) -> DataFrame:
 # -- decisions --------------------------------------------------------------------------------------------------------------
 
 
+class Units:
+    """A batch's distinct units (a word with its space, or an end mark; first ones of a text apart) and their decisions.
+
+    What the word predictor asks, and the path of every byte, depend on the unit alone: they are made once for each
+    distinct one.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, tree: Tree, bits: int):
+        keys, base, begin, size, text = [], [], [], [], []
+        for a, b in tv.chunks(off):
+            part = data[off[a] : off[b]]
+            ends = np.flatnonzero((part == _SPACE) | (part == _END)) + 1
+            starts = np.append(0, ends[:-1])[: len(ends)]
+            c = tv.Chunk(part, np.array([0, len(part)]), lower=False)
+            hashes = c.span_hash(starts, ends)
+            first = np.zeros(len(starts), bool)
+            first[np.searchsorted(starts, off[a:b] - off[a])] = True
+            keys.append(np.where(first, tv.mix(hashes + np.uint64(3)), hashes))
+            base.append(np.where(part[starts] == _END, np.uint64(0), hashes))
+            begin.append(starts + off[a])
+            size.append((ends - starts).astype(np.int32))
+            text.append((np.searchsorted(off[a : b + 1] - off[a], starts, "right") - 1 + a).astype(np.int32))
+        keys, base, begin, size, self.text = (np.concatenate(x) for x in (keys, base, begin, size, text))
+        _, at, self.unit = np.unique(keys, return_index=True, return_inverse=True)
+        self.unit = self.unit.astype(np.int32)
+        del keys
+        #: the word (0 for an end mark) of each distinct unit
+        self.word = base[at]
+        own, start = size[at], np.cumsum(size[at]) - size[at]
+        place = np.repeat(begin[at] - start, own) + np.arange(int(own.sum()))
+        bytes_ = data[place]
+        before = data[np.maximum(place - 1, 0)]
+        before[start[np.isin(begin[at], off)]] = _END
+        #: for each byte of the batch, which byte of the distinct units it is
+        self.at = np.repeat((start[self.unit] - begin).astype(np.int32), size) + np.arange(len(data), dtype=np.int32)
+        symbol = before.astype(np.int32) * 256 + bytes_
+        self.many = tree.length[symbol].astype(np.uint8)
+        self.first = np.cumsum(self.many, dtype=np.int32) - self.many
+        c = tv.Chunk(bytes_, np.array([0, len(bytes_)]), lower=False)
+        here = np.arange(len(bytes_))
+        word = c.span_hash(np.maximum(np.repeat(start, own), here - BACK), here)
+        byte = np.repeat(here.astype(np.int32), self.many)
+        path = (symbol * np.int32(tree.place.shape[1]) - self.first)[byte]
+        path += np.arange(len(byte), dtype=np.int32)
+        self.place, self.bit = tree.place.ravel()[path], tree.bit.ravel()[path]
+        #: hash of the word so far, for each decision
+        self.code = word[byte]
+        self.code ^= self.place
+        self.code *= _M
+        self.code >>= np.uint64(64 - bits)
+        del word, path
+        self.of = np.repeat(np.arange(len(own), dtype=np.int32), own)[byte]
+
+
 @dataclass
 class Segment:
     """A stretch of some texts, decisions in the order of coding: step, text, byte."""
 
-    text: np.ndarray  # of each decision: which text
+    text: np.ndarray  # of each byte: which text
+    byte: np.ndarray  # of each decision: which byte
+    at: np.ndarray  # of each decision: its place among the units' ones
     bit: np.ndarray
     low: list[np.ndarray]  # slots of the low contexts
-    word: np.ndarray  # hash of the word so far
     steps: np.ndarray  # decisions before each step
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, tree: Tree, bits: int, most: int = SEGMENT_BYTES) -> Iterator[Segment]:
+def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, units: Units, most: int | None = None) -> Iterator[Segment]:
     """The decisions of ``texts`` (numbers, by length, shortest first), which are coded side by side."""
     begin, length = offsets[texts], offsets[texts + 1] - offsets[texts]
-    at = 0
+    most, at = most or SEGMENT_BYTES, 0
     while len(length) and at < length[-1]:
         alive = int(np.searchsorted(length, at, "right"))
         n = len(length) - alive
         size = min(max(STEP, most // n // STEP * STEP), -(-int(length[-1] - at) // STEP) * STEP)
-        m = np.full((n, BACK + size), _END, np.uint8)
+        m, where = np.full((n, BACK + size), _END, np.uint8), np.zeros((n, size), np.int32)
         own = np.minimum(length[alive:] - at, size)
         back = min(at, BACK)
         for r, (b, w) in enumerate(zip(begin[alive:].tolist(), own.tolist())):
             m[r, BACK - back : BACK + w] = data[b + at - back : b + at + w]
-        yield _coded(m, own, np.arange(alive, len(length), dtype=np.int32), tree, bits)
+            where[r, :w] = units.at[b + at : b + at + w]
+        yield _coded(m, where, own, np.arange(alive, len(length), dtype=np.int32), units)
         at += size
 
 
-def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits: int) -> Segment:
-    n, size = len(m), m.shape[1] - BACK
-    inside = np.arange(size) < own[:, None]
+def _coded(m: np.ndarray, where: np.ndarray, own: np.ndarray, texts: np.ndarray, units: Units) -> Segment:
+    n, size = where.shape
 
     def dealt(a: np.ndarray) -> np.ndarray:
         return a.reshape(n, size // STEP, STEP).transpose(1, 0, 2)[here]
 
-    here = inside.reshape(n, size // STEP, STEP).transpose(1, 0, 2)
+    here = (np.arange(size) < own[:, None]).reshape(n, size // STEP, STEP).transpose(1, 0, 2)
     before = [m[:, BACK - k : BACK - k + size] for k in range(1, 6)]
-    symbol = dealt(before[0].astype(np.int32) * 256 + m[:, BACK:])
     near = dealt(before[0].astype(np.uint32) | before[1].astype(np.uint32) << np.uint32(8) | before[2].astype(np.uint32) << np.uint32(16) | before[3].astype(np.uint32) << np.uint32(24))
     contexts = [near & np.uint32(0xFFFFFF), near * np.uint32(0x9E3779B1) ^ dealt(before[4]) * np.uint32(0x85EBCA6B)]
-    columns = np.arange(m.shape[1] + 1, dtype=np.int32)
-    start = np.zeros((n, m.shape[1] + 1), np.int32)
-    start[:, 1:] = np.where((m == _SPACE) | (m == _END), columns[1:], 0)
-    start = np.maximum(np.maximum.accumulate(start, axis=1)[:, BACK:-1], columns[:size])
-    up, down = tv._pow(m.shape[1] + 1)
-    sums = np.zeros((n, m.shape[1] + 1), np.uint64)
-    np.cumsum(tv.BYTE_VALUE[m] * up[: m.shape[1]], axis=1, out=sums[:, 1:])
-    word = tv.mix(dealt((sums[:, BACK:-1] - np.take_along_axis(sums, start, axis=1)) * down[start]) + np.uint64(7))
-    many = tree.length[symbol]
-    byte = np.repeat(np.arange(len(symbol), dtype=np.int32), many)
+    at = dealt(where)
+    many = units.many[at]
+    byte = np.repeat(np.arange(len(at), dtype=np.int32), many)
     until = np.cumsum(many, dtype=np.int32) - many
-    path = (symbol * np.int32(tree.place.shape[1]) - until)[byte]
+    path = (units.first[at] - until)[byte]
     path += np.arange(len(byte), dtype=np.int32)
-    place = tree.place.ravel()[path]
+    place = units.place[path]
     low = []
     for k, (c, b) in enumerate(zip(contexts, LOW_BITS)):
         slot = _mix32(c + np.uint32(k))[byte]
@@ -270,13 +314,9 @@ def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits:
         slot *= np.uint32(0x9E3779B1)
         slot >>= np.uint32(32 - b)
         low.append(slot.view(np.int32))
-    code = word[byte]
-    code ^= place
-    code *= _M
-    code >>= np.uint64(64 - bits)
     ends = np.cumsum(here.reshape(size // STEP, -1).sum(axis=1))
     steps = np.append(until, len(byte))[np.append(0, ends)]
-    return Segment(dealt(np.broadcast_to(texts[:, None], (n, size)))[byte], tree.bit.ravel()[path], low, code, steps)
+    return Segment(dealt(np.broadcast_to(texts[:, None], (n, size))), byte, path, units.bit[path], low, steps)
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -362,25 +402,37 @@ _SENT = "kind int, block int, batch long, body binary"
 
 def batch_counts(data: np.ndarray, off: np.ndarray, held: np.ndarray, learns: np.ndarray, tree: Tree, bits: int, low: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """(contexts, zeros, ones, (words, counts)) of a batch, ascending; ``low`` tables are added to."""
-    sums = _Sums()
-    for counted in (True, False):
-        for texts in sides(off, np.flatnonzero((learns == 1) == counted)):
-            for s in segments(data, off, texts, tree, bits):
-                keys = s.word << np.uint64(2)
-                keys |= s.bit.view(np.uint8) if counted else np.uint8(2)
-                keys.sort()
-                sums.add(*_runs(keys))
-                if counted and low is not None:
-                    for table, slot in zip(low, s.low):
-                        np.add.at(table, 2 * slot + s.bit, np.uint32(1))
-    keys, counts = sums.merge()
-    contexts, where = np.unique(keys >> np.uint64(2), return_inverse=True)
-    zero, one = (np.bincount(where, counts * ((keys & np.uint64(3)) == k), len(contexts)).astype(np.int64) for k in (0, 1))
-    words = _Sums()
-    for a, b in tv.chunks(off):
-        c = tv.Chunk(data[off[a] : off[b]], off[a : b + 1], lower=False)
-        words.add(*_tally(c.word_hash(), np.repeat((~held[a:b]).astype(np.int64), c.n_words)))
-    return contexts, zero, one, words.merge()
+    units = Units(data, off, tree, bits)
+    times = np.bincount(units.unit, (learns == 1)[units.text], len(units.word)).astype(np.uint64)
+    # code, bit and times in one number: sorting it is ten times as fast as sorting an index
+    packed = units.code
+    packed <<= np.uint64(1 + TIMES_BITS)
+    packed |= units.bit.astype(np.uint64) << np.uint64(TIMES_BITS)
+    packed |= np.minimum(times, np.uint64(_TIMES))[units.of]
+    more = []
+    for k in np.flatnonzero((times > _TIMES)[units.of]):  # a word that fills a text of megabytes
+        rest = int(times[units.of[k]]) - _TIMES
+        more += [packed[k] & ~np.uint64(_TIMES) | np.uint64(min(_TIMES, rest - done)) for done in range(0, rest, _TIMES)]
+    packed = np.concatenate([packed, np.array(more, np.uint64)]) if more else packed
+    packed.sort()
+    contexts = packed >> np.uint64(1 + TIMES_BITS)
+    new = np.flatnonzero(np.append(len(contexts) > 0, contexts[1:] != contexts[:-1])[: len(contexts)])
+    contexts = contexts[new]
+    is_one = (packed & np.uint64(1 << TIMES_BITS)) > 0
+    packed &= np.uint64(_TIMES)
+    every = np.add.reduceat(packed, new).astype(np.int64) if len(new) else np.zeros(0, np.int64)
+    packed *= is_one
+    one = np.add.reduceat(packed, new).astype(np.int64) if len(new) else every
+    zero = every - one
+    del packed, is_one
+    taught = np.bincount(units.unit, (~held)[units.text], len(units.word))
+    real = units.word != 0
+    words = _tally(units.word[real], taught[real])
+    for texts in sides(off, np.flatnonzero(learns == 1)) if low is not None else ():
+        for s in segments(data, off, texts, units):
+            for table, slot in zip(low, s.low):
+                np.add.at(table, 2 * slot + s.bit, np.uint32(1))
+    return contexts, zero, one, words
 
 
 def asked(batches: DataFrame, tree: Tree, bits: int, blocks: int) -> DataFrame:
@@ -501,8 +553,8 @@ class Answers:
         return out
 
 
-def _states(s: Segment, low: list[np.ndarray], known: Answers) -> list[np.ndarray]:
-    return [table[slot] for table, slot in zip(low, s.low)] + [known.of(s.word)]
+def _states(s: Segment, low: list[np.ndarray], word: np.ndarray) -> list[np.ndarray]:
+    return [table[slot] for table, slot in zip(low, s.low)] + [word[s.at]]
 
 
 def _mixed(state: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -535,11 +587,12 @@ def start_weights(batches: DataFrame, bits: int, tree: Tree, low: object, rounds
                 kept = np.flatnonzero(learns == 2)
                 if not len(kept):
                     continue
-                known, sums = _answers(b, i, bits)[0], _Sums()
+                units, sums = Units(data, off, tree, bits), _Sums()
+                word = _answers(b, i, bits)[0].of(units.code)
                 for texts in sides(off, kept):
-                    for s in segments(data, off, texts, tree, bits):
+                    for s in segments(data, off, texts, units):
                         key = s.bit.astype(np.uint64)
-                        for own in _states(s, low.value, known):
+                        for own in _states(s, low.value, word):
                             key = key << np.uint64(8) | own
                         key.sort()
                         sums.add(*_runs(key))
@@ -581,17 +634,18 @@ def _answers(b: pa.RecordBatch, i: int, bits: int) -> tuple[Answers, np.ndarray,
     return Answers(keys, state.astype(np.uint8), bits), words, counts.astype(np.int64)
 
 
-def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, bits: int, low: list[np.ndarray], known: Answers, start: np.ndarray, rate: float = RATE, rate_last: float = RATE_LAST) -> np.ndarray:
-    """Bits of each text."""
+def cost(data: np.ndarray, offsets: np.ndarray, units: Units, low: list[np.ndarray], word: np.ndarray, start: np.ndarray, rate: float = RATE, rate_last: float = RATE_LAST) -> np.ndarray:
+    """Bits of each text. ``word``: states of the units' decisions."""
     spent = np.zeros(len(offsets) - 1)
     for texts in sides(offsets, np.arange(len(offsets) - 1)):
         n = len(texts)
         w = [np.tile(start[:, k].astype(np.float32), n) for k in range(start.shape[1])]  # by text and gate
         scale, shift = np.ones(n, np.float32), np.zeros(n, np.float32)
         bill = np.zeros(n)
-        for s in segments(data, offsets, texts, tree, bits):
-            x, gate = _mixed(_states(s, low, known))
-            row = s.text * np.int32(GATES)
+        for s in segments(data, offsets, texts, units):
+            x, gate = _mixed(_states(s, low, word))
+            text = s.text[s.byte]
+            row = text * np.int32(GATES)
             row += gate
             sign = s.bit.astype(np.float32) * np.float32(2) - np.float32(1)
             for a, b in zip(s.steps[:-1].tolist(), s.steps[1:].tolist()):
@@ -603,12 +657,12 @@ def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, bits: int, low: list
                     z += wk[at] * xk
                 np.clip(z, -12, 12, out=z)
                 miss = one / (1 + np.exp(one * z))  # bit - probability
-                first, count = int(s.text[a]) * GATES, (int(s.text[b - 1]) - int(s.text[a]) + 1) * GATES
+                first, count = int(text[a]) * GATES, (int(text[b - 1]) - int(text[a]) + 1) * GATES
                 near = at - np.int32(first)
                 for wk, xk in zip(w, xs):
                     wk[first : first + count] += np.float32(rate) * np.bincount(near, miss * xk, count).astype(np.float32)
                 # the last stage, text by text: decisions of a text are together
-                own = s.text[a:b]
+                own = text[a:b]
                 begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 who, many = own[begin], np.diff(np.append(begin, b - a))
                 y = np.repeat(scale[who], many) * z + np.repeat(shift[who], many)
@@ -626,41 +680,46 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spark = docs.sparkSession
     text, held = F.coalesce(F.col(text_col), F.lit("")), held_out(F.col(id_col))
     learns = F.when(held, 0).when(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(FOLDS)) == 0, 2).otherwise(1).cast("tinyint")
+    # rows that hold a batch each are handed to Python few at a time
+    few = {"spark_sql_execution_arrow_maxBytesPerBatch": "8m"}
     packed = written(batches_of(docs.select(F.col(id_col).alias("id"), held.alias("held"), learns.alias("learns"), text.alias("text"))), "lm-batches")
-    counted = {r["key"]: r["n"] for r in count_pairs(packed).collect()}  # 65,538 rows at most
+    with configured(spark, **few):
+        counted = {r["key"]: r["n"] for r in count_pairs(packed).collect()}  # 65,538 rows at most
     n_rows, n_words = counted.pop(-2, 0), counted.pop(-1, 0)
     pairs = np.zeros(1 << 16, np.int64)
     pairs[list(counted)] = list(counted.values())
     tree = Tree.of(pairs.reshape(256, 256))
     bits = bits_for(int((pairs * tree.length).sum()))
     blocks = 1 << (min(MOST_BLOCKS, max(LEAST_BLOCKS, 8 * packed.select("batch").count())) - 1).bit_length()
-    answered = written(answers(asked(packed, tree, bits, blocks)), "lm-answers")
+    answered = written(answers(asked(packed, tree, bits, blocks)), "lm-answers", **few)
     distinct = _known(answered)
     tables = spark.sparkContext.broadcast(_low_tables(answered))
     each = written(ready(packed, answered), "lm-ready")
     drop_written(packed)
     drop_written(answered)
-    start = start_weights(each, bits, tree, tables)
+    with configured(spark, **few):
+        start = start_weights(each, bits, tree, tables)
     kind = docs.schema[id_col].dataType.simpleString()
-    end_log = float(np.log10(n_rows + 1.0))
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in found:
             for i in range(b.num_rows):
                 data, off, held, _ = _open(b, i)
                 known, words, counts = _answers(b, i, bits)
-                spent = cost(data, off, tree, bits, tables.value, known, start)
-                logs, found_words, n_tokens = np.full(len(held), end_log), np.full(len(held), int(n_rows > 0)), np.ones(len(held), np.int64)
-                for a, e in tv.chunks(off):
-                    c = tv.Chunk(data[off[a] : off[e]], off[a : e + 1], lower=False)
-                    count, doc = counts[np.searchsorted(words, c.word_hash())], c.doc_of()
-                    logs[a:e] += np.bincount(doc, np.log10(count + 1.0), e - a)
-                    found_words[a:e] += np.bincount(doc[count > 0], minlength=e - a)
-                    n_tokens[a:e] += c.n_words
+                units = Units(data, off, tree, bits)
+                count = np.full(len(units.word), n_rows)
+                real = units.word != 0
+                count[real] = counts[np.searchsorted(words, units.word[real])]
+                logs = np.bincount(units.text, np.log10(count + 1.0)[units.unit], len(held))
+                found_words = np.bincount(units.text, (count > 0)[units.unit], len(held))
+                n_tokens = np.bincount(units.text, minlength=len(held))
+                spent = cost(data, off, units, tables.value, known.of(units.code), start)
                 ids = b.column(b.schema.get_field_index("ids"))[i].values
                 yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(n_tokens), pa.array(found_words.astype(np.int64)), pa.array(logs), pa.array(-spent * np.log10(2.0)), pa.array(spent / np.diff(off))], names=["id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte"])
 
-    scored = each.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double")
+    scored = written(each.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double"), "lm-scores", **few)
+    drop_written(each)
+    tables.unpersist()
     tokens, kinds = n_words + n_rows, distinct + (n_rows > 0)
     less = float(np.log10(float(tokens + kinds + 1)))
     return scored.select(
