@@ -241,8 +241,7 @@ def test_context_mixing(docs, texts, empty):
 
 
 def _coded(texts):
-    data, length = context_mixing.tokens_of(pa.array(texts))
-    return data, np.concatenate([[0], np.cumsum(length)])
+    return context_mixing.tokens_of(*textvec.flat(pa.array(texts)))
 
 
 def test_coded_tokens():
@@ -250,21 +249,18 @@ def test_coded_tokens():
     assert [data[a:b].tobytes().decode() for a, b in zip(off, off[1:])] == ["ab c Äd \n", "\n", "x \n", "\n"]
 
 
+BITS = (20, 22, 22)
+
+
 def _model(texts, learns):
-    """Tree, tables and answers as the operator makes them, without Spark."""
+    """Tree and tables as the operator makes them, without Spark."""
     data, off = _coded(texts)
     before = np.concatenate([[10], data[:-1]]).astype(np.int64)
     before[off[:-1]] = 10
     tree = context_mixing.Tree.of(np.bincount(before * 256 + data, minlength=1 << 16).reshape(256, 256))
-    low = [np.zeros(2 << b, np.uint32) for b in context_mixing.LOW_BITS]
-    contexts, zero, one, _ = context_mixing.batch_counts(data, off, np.zeros(len(texts), bool), learns, tree, 40, low)
-    tables = [context_mixing.states(t[0::2].astype(np.int64), t[1::2].astype(np.int64)) for t in low]
-    return data, off, tree, tables, context_mixing.Answers(contexts, context_mixing.states(zero, one), 40)
-
-
-def _cost(data, off, tree, tables, known, start):
-    units = context_mixing.Units(data, off, tree, 40)
-    return context_mixing.cost(data, off, units, tables, known.of(units.code), start)
+    counts = [np.zeros(2 << b, np.uint32) for b in BITS]
+    context_mixing.count_bits(*_coded([t for t, k in zip(texts, learns) if k == 1]), tree, BITS, counts)
+    return data, off, tree, [context_mixing.states(t[0::2].astype(np.int64), t[1::2].astype(np.int64)) for t in counts]
 
 
 def test_costs_equal_a_plain_model(texts):
@@ -272,9 +268,9 @@ def test_costs_equal_a_plain_model(texts):
     rng = np.random.default_rng(3)
     own = [t or "" for t in texts.values()][:25] + ["ab " * 700 + "abc", "x" * 90 + " y"]
     learns = rng.integers(0, 2, len(own)).astype(np.int8)
-    data, off, tree, tables, known = _model(own, learns)
+    data, off, tree, tables = _model(own, learns)
     start = rng.uniform(0.1, 0.6, (context_mixing.GATES, 3)).astype(np.float32)
-    got = _cost(data, off, tree, tables, known, start)
+    got = context_mixing.cost(data, off, tree, BITS, tables, start)
     deep = tree.place.shape[1]
 
     def decisions(text):
@@ -325,11 +321,11 @@ def test_every_code_is_complete(texts):
 
 def test_cost_does_not_depend_on_neighbours(texts, monkeypatch):
     own = [t or "" for t in texts.values()] + ["a long text of many words " * 9000]
-    data, off, tree, tables, known = _model(own, np.ones(len(own), np.int8))
+    data, off, tree, tables = _model(own, np.ones(len(own), np.int8))
     start = np.tile(context_mixing.START, (context_mixing.GATES, 1))
-    together = _cost(data, off, tree, tables, known, start)
+    together = context_mixing.cost(data, off, tree, BITS, tables, start)
     monkeypatch.setattr(context_mixing, "SEGMENT_BYTES", 1 << 12)
-    alone = [_cost(data[a:b], np.array([0, b - a]), tree, tables, known, start)[0] for a, b in zip(off[:-1], off[1:])]
+    alone = [context_mixing.cost(data[a:b], np.array([0, b - a]), tree, BITS, tables, start)[0] for a, b in zip(off[:-1], off[1:])]
     assert np.allclose(together, alone, rtol=1e-4)
 
 
@@ -358,13 +354,16 @@ def test_newton_sums():
         assert np.allclose(got[:, 9 + i], -(loss(up) - loss(down)) / 2e-4, rtol=1e-3, atol=1e-3)
 
 
-def test_answers_hold_every_context():
-    rng = np.random.default_rng(5)
-    keys = np.unique(rng.integers(0, 1 << 40, 50_000, dtype=np.uint64))
-    state = rng.integers(0, 256, len(keys)).astype(np.uint8)
-    asked = rng.permutation(len(keys))
-    assert np.array_equal(context_mixing.Answers(keys, state, 40).of(keys[asked]), state[asked])
-    assert context_mixing.bits_for(10**15) > context_mixing.bits_for(10**9) > context_mixing.LEAST_BITS
+def test_tables_hold_the_counts_of_a_plain_loop(spark, texts):
+    own = [t or "" for t in texts.values()]
+    tree = context_mixing.Tree.of(np.ones((256, 256), np.int64))
+    counts = [np.zeros(2 << b, np.uint32) for b in BITS]
+    context_mixing.count_bits(*_coded(own), tree, BITS, counts)
+    docs = spark.createDataFrame([(t, 1) for t in own] + [("never learnt", 0), ("kept for weights", 2)], "text string, learns int").repartition(3)
+    for got, want in zip(context_mixing.learn(docs, tree, BITS), counts):
+        assert np.array_equal(got, context_mixing.states(want[0::2].astype(np.int64), want[1::2].astype(np.int64)))
+    few, many = context_mixing.slots_for(10**6), context_mixing.slots_for(10**10)
+    assert few == context_mixing.LEAST_SLOTS and many == context_mixing.MOST_SLOTS
 
 
 def _vectors(rng):

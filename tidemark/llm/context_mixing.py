@@ -5,7 +5,7 @@ each, and an end mark.  A byte is a path of binary decisions in the Huffman tree
 that the byte before it selects (built from the corpus' counts of byte pairs).
 Three predictors look at each decision under a hash of their context and its
 place in the tree: the last 3 and 5 bytes, and the word so far (its last 16
-bytes).  Each gives the log-odds of the bit counts gathered from the training
+bytes), each with a table of hashed slots.  Each gives the log-odds of the bit counts gathered from the training
 rows.  A gate selects the weights of their sum by how often the word and the 5
 bytes were seen at this place; a last stage with two adaptive parameters refines
 the mixture.  Costs of all decisions sum to the text's bits.
@@ -17,13 +17,10 @@ after every ``STEP`` bytes and carried to its end.  Texts of like length are
 coded side by side, a segment at a time, so a long text takes no more memory.
 A text's score depends on the counts, the start weights and the text alone.
 
-What grows with the corpus is never broadcast.  Texts are packed in batches of
-``BATCH_BYTES``.  A batch sends its distinct contexts of the word predictor (and
-its distinct words, for the base score) with their counts to blocks of the hash
-space, whose number follows the batches; a block adds them up over all batches
-and answers each with what it asked for.  The hash widens with the training
-decisions.  The tables of 3 and 5 bytes have a fixed number of slots, as the
-alphabet rather than the corpus bounds them, and are broadcast (9 MB).
+The tables grow with the training decisions, the word's up to 2**24 slots: they
+are broadcast, 21 MB at most.  What grows without bound, the counts of words for
+the base score, is joined by word: what a task asks for is packed per word, so a
+frequent word is one row per task.
 
 Edge cases: a null text counts as empty: its score is that of the end mark.
 Rows without id learn (the held-out rule needs an id) and are scored.  Repeated
@@ -46,16 +43,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import configured, drop_written, written
-
-BATCH_BYTES = 4 << 20
-#: Bytes before each (lengths of the low contexts) and log2 of their tables' slots.
-LOW, LOW_BITS = (3, 5), (20, 23)
-#: log2 of the slots of a word context's hash for each training decision, and the fewest bits.
-SPARE_BITS, LEAST_BITS = 4, 32
-#: Bits for how often a word stands in a batch; a word that does so more often takes several entries.
-TIMES_BITS = 20
-_TIMES = (1 << TIMES_BITS) - 1
+from .common import drop_written, written
+
+#: log2 of the least and the most slots of each table (3 bytes, 5 bytes, word), and the training decisions that a slot is for.
+LEAST_SLOTS, MOST_SLOTS, DECISIONS_PER_SLOT = (18, 20, 22), (20, 22, 24), (2048, 512, 256)
 BACK = 16
 STEP = 32
 SIDE_BY_SIDE = 256
@@ -64,12 +55,12 @@ FOLDS = 32
 GATES = 16
 START = np.array([0.3, 0.4, 0.5], np.float32)
 RATE, RATE_LAST = 0.01, 0.003
-#: A batch's pieces of the hash space: 8 for each batch of the corpus, within these bounds.
-LEAST_BLOCKS, MOST_BLOCKS = 64, 1 << 20
-LOW_PIECE = 1 << 16
-HELD = 1_000_000
+#: Counts of a task are sent in pieces of so many slots.
+PIECE = 1 << 16
+CHUNK = 1 << 20
 _SPACE, _END = 32, 10
-_M = np.uint64(0x9E3779B97F4A7C15)
+#: Keys that a task counts before it merges or sends them.
+HELD = 1_000_000
 #: A slot's state in a byte: log-odds in quarters (6 bits, 32 is none), and how often it was seen: never, up to 3, up to 30, more.
 _SILENT = np.uint8(32)
 
@@ -86,9 +77,9 @@ def states(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return (odds | np.digitize(n, [1, 4, 31]) << 6).astype(np.uint8)
 
 
-def bits_for(decisions: int) -> int:
-    """Width of the word contexts' hash: slots follow the training decisions."""
-    return min(63 - TIMES_BITS, max(LEAST_BITS, int(decisions).bit_length() + SPARE_BITS))
+def slots_for(decisions: int) -> tuple[int, ...]:
+    """log2 of each table's slots."""
+    return tuple(min(most, max(least, (decisions // each).bit_length())) for least, most, each in zip(LEAST_SLOTS, MOST_SLOTS, DECISIONS_PER_SLOT))
 
 
 def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -135,144 +126,74 @@ class Tree:
 # -- texts ------------------------------------------------------------------------------------------------------------------
 
 
-def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The coded bytes of some texts, and the length of each. ``bytes.split`` parts at the six ASCII white space bytes."""
-    lower = bytes(tv.LOWER)
-    coded = [b" ".join(t.translate(lower).split()) for t in column.cast(pa.large_binary()).to_pylist()]
-    coded = [t + b" \n" if t else b"\n" for t in coded]
-    return np.frombuffer(b"".join(coded), np.uint8), np.fromiter(map(len, coded), np.int64, len(coded))
-
-
-_KINDS = "held array<boolean>, learns array<tinyint>, lengths array<int>, texts binary"
-
-
-def batches_of(docs: DataFrame) -> DataFrame:
-    """One row per batch: ids, whether held out, what is learnt from each text (0 nothing, 1 counts, 2 weights), coded bytes."""
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        held: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            columns = [pa.concat_arrays([h[k] for h in held]) for k in range(3)]
-            lengths = np.concatenate([h[3] for h in held])
-            one = pa.array([0, len(lengths)], pa.int32())
-            lists = [pa.ListArray.from_arrays(one, c) for c in (*columns, pa.array(lengths, pa.int32()))]
-            texts = pa.array([press.compress(np.concatenate([h[4] for h in held]).tobytes())], pa.binary())
-            held.clear()
-            return pa.RecordBatch.from_arrays([*lists, texts], names=["ids", "held", "learns", "lengths", "texts"])
-
-        for b in found:
-            for a, e in tv.chunks(tv.flat(b.column(3))[1]):
-                data, length = tokens_of(b.column(3).slice(a, e - a))
-                held.append((*(b.column(k).slice(a, e - a) for k in range(3)), length, data))
-                if sum(len(h[4]) for h in held) >= BATCH_BYTES:
-                    yield out()
-        if held:
-            yield out()
-
-    return docs.select("id", "held", "learns", "text").mapInArrow(run, f"ids array<{kind}>, {_KINDS}").withColumn("batch", F.monotonically_increasing_id())
-
-
-def _open(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(data, offsets, held, learns) of a batch row."""
-    row = {n: b.column(b.schema.get_field_index(n))[k] for n in ("held", "learns", "lengths", "texts")}
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["texts"].as_py()), np.uint8)
-    lengths = row["lengths"].values.to_numpy()
-    return data, np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), row["held"].values.to_numpy(zero_copy_only=False), row["learns"].values.to_numpy()
-
-
-def count_pairs(batches: DataFrame) -> DataFrame:
-    """(key, n) over texts that count: 256 * before + byte; -1 training words, -2 training rows."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, words, rows = np.zeros(1 << 16, np.int64), 0, 0
-        for b in found:
-            for k in range(b.num_rows):
-                data, off, held, learns = _open(b, k)
-                counts = np.repeat(learns == 1, np.diff(off))
-                before = np.empty(len(data), np.int64)
-                before[1:], before[off[:-1]] = data[:-1], _END
-                pairs += np.bincount((before * 256 + data)[counts], minlength=1 << 16)
-                words += int(((data == _SPACE) & np.repeat(~held, np.diff(off))).sum())
-                rows += int((~held).sum())
+_CODED = tv.LOWER.copy()
+_CODED[~tv.IS_WORD] = _SPACE
+
+
+def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The coded bytes of some texts, and their offsets."""
+    n, coded = len(off) - 1, _CODED[data]
+    space = coded == _SPACE
+    drop = np.empty_like(space)
+    if len(drop):
+        drop[0] = True
+        drop[1:] = space[:-1]
+        drop[off[:-1][off[:-1] < len(drop)]] = True
+    drop &= space
+    kept = np.flatnonzero(~drop)
+    size = np.diff(np.searchsorted(kept, off))
+    coded = coded[kept]
+    last = np.cumsum(size) - 1
+    bare = (size > 0) & (coded[np.maximum(last, 0)] != _SPACE) if len(coded) else np.zeros(n, bool)
+    length = size + bare + 1
+    out = np.full(int(length.sum()), _SPACE, np.uint8)
+    ends = np.cumsum(length)
+    out[np.arange(len(coded)) + np.repeat(ends - length - (last + 1 - size), size)] = coded
+    out[ends - 1] = _END
+    return out, np.concatenate([[0], ends])
+
+
+def _texts(batches: Iterator[pa.RecordBatch], k: int, limit: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, coded bytes, offsets) of whole texts, about ``limit`` bytes at a time, of like length."""
+    for b in batches:
+        data, off = tv.flat(b.column(k))
+        order = np.argsort(np.diff(off), kind="stable")
+        b = b.take(pa.array(order))
+        data, off = tv.flat(b.column(k))
+        for x, y in tv.chunks(off, limit):
+            yield (b.slice(x, y - x), *tokens_of(data[off[x] : off[y]], off[x : y + 1] - off[x]))
+
+
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """(key, n) over training texts: 256 * before + byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(1 << 16, np.int64)
+        for _, data, off in _texts(batches, 0):
+            before = np.empty(len(data), np.uint16)
+            before[1:], before[off[:-1]] = data[:-1], _END
+            pairs += np.bincount(before << np.uint16(8) | data, minlength=1 << 16)
         seen = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2])), pa.array(np.append(pairs[seen], [words, rows]))], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(pairs[seen])], names=["key", "n"])
 
-    return batches.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.where("not held_out").select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 # -- decisions --------------------------------------------------------------------------------------------------------------
 
 
-class Units:
-    """A batch's distinct units (a word with its space, or an end mark; first ones of a text apart) and their decisions.
-
-    What the word predictor asks, and the path of every byte, depend on the unit alone: they are made once for each
-    distinct one.
-    """
-
-    def __init__(self, data: np.ndarray, off: np.ndarray, tree: Tree, bits: int):
-        keys, base, begin, size, text = [], [], [], [], []
-        for a, b in tv.chunks(off):
-            part = data[off[a] : off[b]]
-            ends = np.flatnonzero((part == _SPACE) | (part == _END)) + 1
-            starts = np.append(0, ends[:-1])[: len(ends)]
-            c = tv.Chunk(part, np.array([0, len(part)]), lower=False)
-            hashes = c.span_hash(starts, ends)
-            first = np.zeros(len(starts), bool)
-            first[np.searchsorted(starts, off[a:b] - off[a])] = True
-            keys.append(np.where(first, tv.mix(hashes + np.uint64(3)), hashes))
-            base.append(np.where(part[starts] == _END, np.uint64(0), hashes))
-            begin.append(starts + off[a])
-            size.append((ends - starts).astype(np.int32))
-            text.append((np.searchsorted(off[a : b + 1] - off[a], starts, "right") - 1 + a).astype(np.int32))
-        keys, base, begin, size, self.text = (np.concatenate(x) for x in (keys, base, begin, size, text))
-        _, at, self.unit = np.unique(keys, return_index=True, return_inverse=True)
-        self.unit = self.unit.astype(np.int32)
-        del keys
-        #: the word (0 for an end mark) of each distinct unit
-        self.word = base[at]
-        own, start = size[at], np.cumsum(size[at]) - size[at]
-        place = np.repeat(begin[at] - start, own) + np.arange(int(own.sum()))
-        bytes_ = data[place]
-        before = data[np.maximum(place - 1, 0)]
-        before[start[np.isin(begin[at], off)]] = _END
-        #: for each byte of the batch, which byte of the distinct units it is
-        self.at = np.repeat((start[self.unit] - begin).astype(np.int32), size) + np.arange(len(data), dtype=np.int32)
-        symbol = before.astype(np.int32) * 256 + bytes_
-        self.many = tree.length[symbol].astype(np.uint8)
-        self.first = np.cumsum(self.many, dtype=np.int32) - self.many
-        c = tv.Chunk(bytes_, np.array([0, len(bytes_)]), lower=False)
-        here = np.arange(len(bytes_))
-        word = c.span_hash(np.maximum(np.repeat(start, own), here - BACK), here)
-        byte = np.repeat(here.astype(np.int32), self.many)
-        path = (symbol * np.int32(tree.place.shape[1]) - self.first)[byte]
-        path += np.arange(len(byte), dtype=np.int32)
-        self.place, self.bit = tree.place.ravel()[path], tree.bit.ravel()[path]
-        #: hash of the word so far, for each decision
-        self.code = word[byte]
-        self.code ^= self.place
-        self.code *= _M
-        self.code >>= np.uint64(64 - bits)
-        del word, path
-        self.of = np.repeat(np.arange(len(own), dtype=np.int32), own)[byte]
-
-
 @dataclass
 class Segment:
     """A stretch of some texts, decisions in the order of coding: step, text, byte."""
 
     text: np.ndarray  # of each byte: which text
     byte: np.ndarray  # of each decision: which byte
-    at: np.ndarray  # of each decision: its place among the units' ones
     bit: np.ndarray
-    low: list[np.ndarray]  # slots of the low contexts
+    slots: list[np.ndarray]  # by predictor
     steps: np.ndarray  # decisions before each step
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, units: Units, most: int | None = None) -> Iterator[Segment]:
+def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, tree: Tree, bits: tuple[int, ...], most: int | None = None) -> Iterator[Segment]:
     """The decisions of ``texts`` (numbers, by length, shortest first), which are coded side by side."""
     begin, length = offsets[texts], offsets[texts + 1] - offsets[texts]
     most, at = most or SEGMENT_BYTES, 0
@@ -280,43 +201,50 @@ def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, units: Un
         alive = int(np.searchsorted(length, at, "right"))
         n = len(length) - alive
         size = min(max(STEP, most // n // STEP * STEP), -(-int(length[-1] - at) // STEP) * STEP)
-        m, where = np.full((n, BACK + size), _END, np.uint8), np.zeros((n, size), np.int32)
+        m = np.full((n, BACK + size), _END, np.uint8)
         own = np.minimum(length[alive:] - at, size)
         back = min(at, BACK)
         for r, (b, w) in enumerate(zip(begin[alive:].tolist(), own.tolist())):
             m[r, BACK - back : BACK + w] = data[b + at - back : b + at + w]
-            where[r, :w] = units.at[b + at : b + at + w]
-        yield _coded(m, where, own, np.arange(alive, len(length), dtype=np.int32), units)
+        yield _coded(m, own, np.arange(alive, len(length), dtype=np.int32), tree, bits)
         at += size
 
 
-def _coded(m: np.ndarray, where: np.ndarray, own: np.ndarray, texts: np.ndarray, units: Units) -> Segment:
-    n, size = where.shape
+def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits: tuple[int, ...]) -> Segment:
+    n, size = len(m), m.shape[1] - BACK
 
     def dealt(a: np.ndarray) -> np.ndarray:
         return a.reshape(n, size // STEP, STEP).transpose(1, 0, 2)[here]
 
     here = (np.arange(size) < own[:, None]).reshape(n, size // STEP, STEP).transpose(1, 0, 2)
     before = [m[:, BACK - k : BACK - k + size] for k in range(1, 6)]
+    symbol = dealt(before[0].astype(np.int32) * 256 + m[:, BACK:])
     near = dealt(before[0].astype(np.uint32) | before[1].astype(np.uint32) << np.uint32(8) | before[2].astype(np.uint32) << np.uint32(16) | before[3].astype(np.uint32) << np.uint32(24))
-    contexts = [near & np.uint32(0xFFFFFF), near * np.uint32(0x9E3779B1) ^ dealt(before[4]) * np.uint32(0x85EBCA6B)]
-    at = dealt(where)
-    many = units.many[at]
-    byte = np.repeat(np.arange(len(at), dtype=np.int32), many)
+    columns = np.arange(m.shape[1] + 1, dtype=np.int32)
+    start = np.zeros((n, m.shape[1] + 1), np.int32)
+    start[:, 1:] = np.where((m == _SPACE) | (m == _END), columns[1:], 0)
+    start = np.maximum(np.maximum.accumulate(start, axis=1)[:, BACK:-1], columns[:size])
+    up, down = tv._pow(m.shape[1] + 1)
+    sums = np.zeros((n, m.shape[1] + 1), np.uint64)
+    np.cumsum(tv.BYTE_VALUE[m] * up[: m.shape[1]], axis=1, out=sums[:, 1:])
+    word = dealt((sums[:, BACK:-1] - np.take_along_axis(sums, start, axis=1)) * down[start])
+    contexts = [near & np.uint32(0xFFFFFF), near * np.uint32(0x9E3779B1) ^ dealt(before[4]) * np.uint32(0x85EBCA6B), (tv.mix(word) >> np.uint64(32)).astype(np.uint32)]
+    many = tree.length[symbol]
+    byte = np.repeat(np.arange(len(symbol), dtype=np.int32), many)
     until = np.cumsum(many, dtype=np.int32) - many
-    path = (units.first[at] - until)[byte]
+    path = (symbol * np.int32(tree.place.shape[1]) - until)[byte]
     path += np.arange(len(byte), dtype=np.int32)
-    place = units.place[path]
-    low = []
-    for k, (c, b) in enumerate(zip(contexts, LOW_BITS)):
+    place = tree.place.ravel()[path]
+    slots = []
+    for k, (c, b) in enumerate(zip(contexts, bits)):
         slot = _mix32(c + np.uint32(k))[byte]
         slot ^= place
         slot *= np.uint32(0x9E3779B1)
         slot >>= np.uint32(32 - b)
-        low.append(slot.view(np.int32))
+        slots.append(slot.view(np.int32))
     ends = np.cumsum(here.reshape(size // STEP, -1).sum(axis=1))
     steps = np.append(until, len(byte))[np.append(0, ends)]
-    return Segment(dealt(np.broadcast_to(texts[:, None], (n, size))), byte, path, units.bit[path], low, steps)
+    return Segment(dealt(np.broadcast_to(texts[:, None], (n, size))), byte, tree.bit.ravel()[path], slots, steps)
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -338,223 +266,63 @@ def sides(offsets: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
 # -- counting ---------------------------------------------------------------------------------------------------------------
 
 
-def _tally(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    return _runs(keys[order], counts[order])
-
-
-def _runs(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(new)
-    sums = np.diff(np.append(at, len(keys))) if counts is None else np.add.reduceat(counts, at) if len(at) else counts
-    return keys[at], sums.astype(np.int64)
-
-
-class _Sums:
-    """Counts of keys, merged when many have come in."""
-
-    def __init__(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.fresh.append((keys, counts))
-        if sum(len(k) for k, _ in self.fresh) > max(HELD, len(self.keys) // 2):
-            self.merge()
+def count_bits(data: np.ndarray, off: np.ndarray, tree: Tree, bits: tuple[int, ...], counts: list[np.ndarray]) -> None:
+    """Adds the decisions of all texts to ``counts`` (two to a slot)."""
+    for texts in sides(off, np.arange(len(off) - 1)):
+        for s in segments(data, off, texts, tree, bits):
+            for table, slot in zip(counts, s.slots):
+                np.add.at(table, 2 * slot + s.bit, np.uint32(1))
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.fresh:
-            self.keys, self.counts = _tally(np.concatenate([self.keys, *(k for k, _ in self.fresh)]), np.concatenate([self.counts, *(n for _, n in self.fresh)]))
-            self.fresh = []
-        return self.keys, self.counts
 
+def learn(docs: DataFrame, tree: Tree, bits: tuple[int, ...]) -> list[np.ndarray]:
+    """States of every slot. Tasks send the counts of the slots that they met, in pieces that are summed apart."""
+    first = np.cumsum([0, *(-(-(2 << b) // PIECE) for b in bits)]).tolist()
 
-def _pack(press: zstandard.ZstdCompressor, *columns: np.ndarray) -> bytes:
-    """Columns of one length as compressed byte planes; the first ascends and is kept as differences."""
-    n = len(columns[0])
-    first = np.diff(columns[0], prepend=columns[0].dtype.type(0)) if n else columns[0]
-    planes = [np.ascontiguousarray(c.astype(np.uint64).view(np.uint8).reshape(n, 8).T) for c in (first, *columns[1:])]
-    return press.compress(b"".join([np.array([n, len(planes)], np.uint64).tobytes(), *(p.tobytes() for p in planes)]))
-
-
-def _unpack(raw: bytes) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    n, k = np.frombuffer(data, np.uint64, 2).astype(int).tolist()
-    planes = np.frombuffer(data, np.uint8, offset=16).reshape(k, 8, n)
-    columns = [np.ascontiguousarray(p.T).view(np.uint64).ravel() for p in planes]
-    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]] if n else columns
-
-
-def _pieces(keys: np.ndarray, width: int, blocks: int) -> Iterator[tuple[int, int, int]]:
-    """(block, from, to): where ascending keys of ``width`` bits fall into equal blocks."""
-    edges = np.arange(blocks + 1, dtype=np.float64) * 2.0 ** (width - blocks.bit_length() + 1)
-    cuts = np.searchsorted(keys, edges[1:-1].astype(np.uint64))
-    cuts = np.concatenate([[0], cuts, [len(keys)]])
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, int(cuts[k]), int(cuts[k + 1])
-
-
-CONTEXT, WORD, LOW_TABLE = 0, 1, 2
-_SENT = "kind int, block int, batch long, body binary"
-
-
-def batch_counts(data: np.ndarray, off: np.ndarray, held: np.ndarray, learns: np.ndarray, tree: Tree, bits: int, low: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """(contexts, zeros, ones, (words, counts)) of a batch, ascending; ``low`` tables are added to."""
-    units = Units(data, off, tree, bits)
-    times = np.bincount(units.unit, (learns == 1)[units.text], len(units.word)).astype(np.uint64)
-    # code, bit and times in one number: sorting it is ten times as fast as sorting an index
-    packed = units.code
-    packed <<= np.uint64(1 + TIMES_BITS)
-    packed |= units.bit.astype(np.uint64) << np.uint64(TIMES_BITS)
-    packed |= np.minimum(times, np.uint64(_TIMES))[units.of]
-    more = []
-    for k in np.flatnonzero((times > _TIMES)[units.of]):  # a word that fills a text of megabytes
-        rest = int(times[units.of[k]]) - _TIMES
-        more += [packed[k] & ~np.uint64(_TIMES) | np.uint64(min(_TIMES, rest - done)) for done in range(0, rest, _TIMES)]
-    packed = np.concatenate([packed, np.array(more, np.uint64)]) if more else packed
-    packed.sort()
-    contexts = packed >> np.uint64(1 + TIMES_BITS)
-    new = np.flatnonzero(np.append(len(contexts) > 0, contexts[1:] != contexts[:-1])[: len(contexts)])
-    contexts = contexts[new]
-    is_one = (packed & np.uint64(1 << TIMES_BITS)) > 0
-    packed &= np.uint64(_TIMES)
-    every = np.add.reduceat(packed, new).astype(np.int64) if len(new) else np.zeros(0, np.int64)
-    packed *= is_one
-    one = np.add.reduceat(packed, new).astype(np.int64) if len(new) else every
-    zero = every - one
-    del packed, is_one
-    taught = np.bincount(units.unit, (~held)[units.text], len(units.word))
-    real = units.word != 0
-    words = _tally(units.word[real], taught[real])
-    for texts in sides(off, np.flatnonzero(learns == 1)) if low is not None else ():
-        for s in segments(data, off, texts, units):
-            for table, slot in zip(low, s.low):
-                np.add.at(table, 2 * slot + s.bit, np.uint32(1))
-    return contexts, zero, one, words
-
-
-def asked(batches: DataFrame, tree: Tree, bits: int, blocks: int) -> DataFrame:
-    """What each batch sends: kind, block, batch, packed keys and counts."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        low = [np.zeros(2 << b, np.uint32) for b in LOW_BITS]
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["kind", "block", "batch", "body"])
-
-        for b in found:
-            names = b.column(b.schema.get_field_index("batch"))
-            for k in range(b.num_rows):
-                contexts, zero, one, (words, n) = batch_counts(*_open(b, k), tree, bits, low)
-                batch = names[k].as_py()
-                rows = [(CONTEXT, p, batch, _pack(press, contexts[x:y], zero[x:y], one[x:y])) for p, x, y in _pieces(contexts, bits, blocks)]
-                rows += [(WORD, p, batch, _pack(press, words[x:y], n[x:y])) for p, x, y in _pieces(words, 64, blocks)]
-                if rows:
-                    yield out(rows)
-        rows, first = [], 0
-        for table in low:
-            for p in range(0, len(table), LOW_PIECE):
-                seen = np.flatnonzero(table[p : p + LOW_PIECE])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, counts = zstandard.ZstdCompressor(level=1), [np.zeros(2 << b, np.uint32) for b in bits]
+        for _, data, off in _texts(batches, 0):
+            count_bits(data, off, tree, bits, counts)
+        for begin, table in zip(first, counts):
+            rows = []
+            for k in range(0, len(table), PIECE):
+                seen = np.flatnonzero(table[k : k + PIECE]).astype(np.uint32)
                 if len(seen):
-                    rows.append((LOW_TABLE, first + p // LOW_PIECE, -1, _pack(press, seen.astype(np.uint64), table[p : p + LOW_PIECE][seen])))
-            first += -(-len(table) // LOW_PIECE)
-        if rows:
-            yield out(rows)
-
-    return batches.select("batch", "held", "learns", "lengths", "texts").mapInArrow(run, _SENT)
-
-
-def answers(sent: DataFrame) -> DataFrame:
-    """Sums over all batches: to each batch the states and counts of its keys; under batch -1 the low tables, -2 the numbers of known words."""
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        now: tuple[int, int] | None = None
-        bodies: list[tuple[int, bytes]] = []
-        sums = [_Sums(), _Sums()]
-
-        def close() -> Iterator[tuple]:
-            kind, block = now
-            keys, first = sums[0].merge()
-            if kind == LOW_TABLE:
-                counts = np.zeros(LOW_PIECE, np.int64)
-                counts[keys.astype(np.int64)] = first
-                yield kind, block, -1, press.compress(states(counts[0::2], counts[1::2]).tobytes())
-                return
-            if kind == WORD:
-                value = first
-                yield kind, block, -2, int((first > 0).sum()).to_bytes(8, "little")
-            else:
-                value = states(first, sums[1].merge()[1]).astype(np.int64)
-            for batch, body in bodies:
-                own = _unpack(body)[0]
-                yield kind, block, batch, _pack(press, own, value[np.searchsorted(keys, own)])
-
-        def rows_of(made: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-            rows = list(made)
-            for a in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 256]), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["kind", "block", "batch", "body"])
-
-        for b in found:
-            for kind, block, batch, body in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if (kind, block) != now:
-                    if now is not None:
-                        yield from rows_of(close())
-                    now, bodies, sums = (kind, block), [], [_Sums(), _Sums()]
-                keys, *counts = _unpack(body)
-                for s, n in zip(sums, counts):
-                    s.add(keys, n.astype(np.int64))
-                if kind != LOW_TABLE:
-                    bodies.append((batch, body))
-        if now is not None:
-            yield from rows_of(close())
-
-    return sent.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(run, _SENT)
-
-
-_READY = f"{_KINDS}, contexts array<binary>, words array<binary>"
-
-
-def ready(batches: DataFrame, answered: DataFrame) -> DataFrame:
-    """One row per batch: its texts with all answers, in order of blocks."""
-    body = F.struct("block", "body")
-    each = answered.where("batch >= 0").groupBy("batch").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, body))).alias(name) for k, name in ((CONTEXT, "contexts"), (WORD, "words"))))
-    joined = batches.join(each, "batch", "left")
-    return joined.select("ids", "held", "learns", "lengths", "texts", F.col("contexts.body").alias("contexts"), F.col("words.body").alias("words"))
-
+                    both = np.concatenate([np.diff(seen, prepend=np.uint32(0)), table[k : k + PIECE][seen]])
+                    rows.append((begin + k // PIECE, press.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 4).T).tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["piece", "body"])
 
-# -- mixing -----------------------------------------------------------------------------------------------------------------
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress, press = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        now, total = -1, np.zeros(PIECE, np.int64)
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([press.compress(states(total[0::2], total[1::2]).tobytes())], pa.binary())], names=["piece", "body"])
+
+        for b in batches:
+            for k, body in zip(b.column(0).to_pylist(), b.column(1)):
+                if k != now:
+                    if now >= 0:
+                        yield out()
+                    now = k
+                    total[:] = 0
+                both = np.ascontiguousarray(np.frombuffer(unpress.decompress(body.as_py()), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                n = len(both) // 2
+                total[np.cumsum(both[:n], dtype=np.int64)] += both[n:]
+        if now >= 0:
+            yield out()
 
-class Answers:
-    """A batch's word contexts and their states: a table by the low bits of the hash that holds the high ones, and a sorted rest."""
+    counted = docs.where("learns = 1").select("text").mapInArrow(count, "piece int, body binary")
+    out, half = np.full(first[-1] * PIECE // 2, _SILENT, np.uint8), PIECE // 2
+    for row in counted.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, body binary").toLocalIterator():
+        out[row["piece"] * half : (row["piece"] + 1) * half] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["body"])), np.uint8)
+    return [out[f * half : f * half + (1 << b)].copy() for f, b in zip(first, bits)]
 
-    def __init__(self, keys: np.ndarray, state: np.ndarray, bits: int):
-        self.low = max(10, min(bits, (2 * len(keys)).bit_length()))
-        kind = np.uint32 if bits - self.low <= 24 else np.uint64
-        self.mask, self.shift = np.uint64((1 << self.low) - 1), np.uint64(self.low)
-        order = np.argsort(state >> 6, kind="stable")  # of two in one place the more frequent stays
-        slot = (keys & self.mask).astype(np.int64)
-        self.table = np.full(1 << self.low, np.iinfo(kind).max, kind)
-        entry = ((keys >> self.shift).astype(kind) << kind(8)) | state.astype(kind)
-        self.table[slot[order]] = entry[order]
-        lost = np.flatnonzero(self.table[slot] != entry)
-        self.rest, self.rest_state = keys[lost], state[lost]
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        entry = self.table[(keys & self.mask).astype(np.int64)]
-        out = entry.astype(np.uint8)
-        apart = np.flatnonzero((entry >> self.table.dtype.type(8)) != (keys >> self.shift))
-        if len(apart):
-            out[apart] = self.rest_state[np.searchsorted(self.rest, keys[apart])]
-        return out
+# -- mixing -----------------------------------------------------------------------------------------------------------------
 
 
-def _states(s: Segment, low: list[np.ndarray], word: np.ndarray) -> list[np.ndarray]:
-    return [table[slot] for table, slot in zip(low, s.low)] + [word[s.at]]
+def _states(s: Segment, tables: list[np.ndarray]) -> list[np.ndarray]:
+    return [table[slot] for table, slot in zip(tables, s.slots)]
 
 
 def _mixed(state: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -576,32 +344,43 @@ def newton_sums(state: np.ndarray, bit: np.ndarray, n: np.ndarray, w: np.ndarray
     return np.stack([np.bincount(gate, v, GATES) for v in parts], axis=1)
 
 
-def start_weights(batches: DataFrame, bits: int, tree: Tree, low: object, rounds: int = 6) -> np.ndarray:
+class _Sums:
+    """Counts of keys, merged when many have come in."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.fresh = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.fresh.append(np.unique(keys, return_counts=True))
+        if sum(len(k) for k, _ in self.fresh) > HELD:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        self.keys, where = np.unique(np.concatenate([self.keys, *(k for k, _ in self.fresh)]), return_inverse=True)
+        self.counts = np.bincount(where, np.concatenate([self.counts, *(n for _, n in self.fresh)]), len(self.keys)).astype(np.int64)
+        self.fresh = []
+        return self.keys, self.counts
+
+
+def start_weights(docs: DataFrame, tree: Tree, bits: tuple[int, ...], tables: object, rounds: int = 6) -> np.ndarray:
     """Weights of each gate from the texts that are kept for them, by Newton steps over counts of (states, bit)."""
     k = len(START)
 
-    def cases(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            for i in range(b.num_rows):
-                data, off, _, learns = _open(b, i)
-                kept = np.flatnonzero(learns == 2)
-                if not len(kept):
-                    continue
-                units, sums = Units(data, off, tree, bits), _Sums()
-                word = _answers(b, i, bits)[0].of(units.code)
-                for texts in sides(off, kept):
-                    for s in segments(data, off, texts, units):
-                        key = s.bit.astype(np.uint64)
-                        for own in _states(s, low.value, word):
-                            key = key << np.uint64(8) | own
-                        key.sort()
-                        sums.add(*_runs(key))
-                keys, n = sums.merge()
-                for a in range(0, len(keys), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], names=["key", "n"])
+    def cases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for _, data, off in _texts(batches, 0):
+            for texts in sides(off, np.arange(len(off) - 1)):
+                for s in segments(data, off, texts, tree, bits):
+                    key = s.bit.astype(np.int64)
+                    for own in _states(s, tables.value):
+                        key = key << 8 | own
+                    sums.add(key)
+        keys, n = sums.merge()
+        for a in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(n[a : a + 100_000])], names=["key", "n"])
 
     # 2 * 256 ** k rows at most, whatever the corpus
-    seen = written(batches.mapInArrow(cases, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-cases")
+    seen = written(docs.where("learns = 2").select("text").mapInArrow(cases, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-cases")
     w = np.tile(START.astype(np.float64), (GATES, 1))
     for _ in range(rounds):
 
@@ -623,27 +402,16 @@ def start_weights(batches: DataFrame, bits: int, tree: Tree, low: object, rounds
     return w.astype(np.float32)
 
 
-def _answers(b: pa.RecordBatch, i: int, bits: int) -> tuple[Answers, np.ndarray, np.ndarray]:
-    def column(name: str) -> list[np.ndarray]:
-        bodies = b.column(b.schema.get_field_index(name))[i].as_py() or []
-        parts = [_unpack(x) for x in bodies]
-        return [np.concatenate([np.zeros(0, np.uint64), *(p[k] for p in parts)]) for k in (0, 1)]
-
-    keys, state = column("contexts")
-    words, counts = column("words")
-    return Answers(keys, state.astype(np.uint8), bits), words, counts.astype(np.int64)
-
-
-def cost(data: np.ndarray, offsets: np.ndarray, units: Units, low: list[np.ndarray], word: np.ndarray, start: np.ndarray, rate: float = RATE, rate_last: float = RATE_LAST) -> np.ndarray:
-    """Bits of each text. ``word``: states of the units' decisions."""
+def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, bits: tuple[int, ...], tables: list[np.ndarray], start: np.ndarray, rate: float = RATE, rate_last: float = RATE_LAST) -> np.ndarray:
+    """Bits of each text."""
     spent = np.zeros(len(offsets) - 1)
     for texts in sides(offsets, np.arange(len(offsets) - 1)):
         n = len(texts)
         w = [np.tile(start[:, k].astype(np.float32), n) for k in range(start.shape[1])]  # by text and gate
         scale, shift = np.ones(n, np.float32), np.zeros(n, np.float32)
         bill = np.zeros(n)
-        for s in segments(data, offsets, texts, units):
-            x, gate = _mixed(_states(s, low, word))
+        for s in segments(data, offsets, texts, tree, bits):
+            x, gate = _mixed(_states(s, tables))
             text = s.text[s.byte]
             row = text * np.int32(GATES)
             row += gate
@@ -675,74 +443,162 @@ def cost(data: np.ndarray, offsets: np.ndarray, units: Units, low: list[np.ndarr
     return spent
 
 
+# -- base score -------------------------------------------------------------------------------------------------------------
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) over training rows, words by hash; summed within tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+        for b in batches:
+            for _, _, c in tv.each(b.column(0), lower=True):
+                held.append(c.word_hash())
+                if sum(map(len, held)) > HELD:
+                    yield out()
+        yield out()
+
+    return docs.where("not held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+#: Set in one post of each text: they count how often the text was asked for.
+_MARK = np.int32(1 << 30)
+
+
+def words_asked(docs: DataFrame) -> DataFrame:
+    """(word, posts): per batch and word, which texts hold it how often; one word of each text (least hash) bears its mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            found = [(np.zeros(0, np.uint64), keys[:0], np.zeros(0, np.int32))]
+            for a, _, c in tv.each(b.column(1), lower=True):
+                words, docs_ = c.word_hash(), c.doc_of()
+                order = np.lexsort((docs_, words))
+                words, docs_ = words[order], docs_[order]
+                new = np.ones(len(words), bool)
+                new[1:] = (words[1:] != words[:-1]) | (docs_[1:] != docs_[:-1])
+                at = np.flatnonzero(new)
+                n, docs_ = np.diff(np.append(at, len(words))).astype(np.int32), docs_[at]
+                n[np.unique(docs_, return_index=True)[1]] |= _MARK
+                found.append((words[at], keys[a + docs_], n))
+            word, doc, n = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(word, kind="stable")
+            word, posts = word[order], np.zeros(len(word), [("doc", "<i8"), ("n", "<i4")])
+            posts["doc"], posts["n"] = doc[order], n[order]
+            new = np.ones(len(word), bool)
+            new[1:] = word[1:] != word[:-1]
+            at = np.flatnonzero(new)
+            off = np.append(at, len(word)).astype(np.int64) * posts.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(posts.tobytes())]).cast(pa.binary())
+            for s in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(word[at][s : s + 50_000].view(np.int64)), packed.slice(s, 50_000)], names=["word", "posts"])
+
+    return docs.select("row_key", "text").mapInArrow(run, "word long, posts binary")
+
+
+_SUMS = np.dtype([("row_key", "<i8"), ("logs", "<f8"), ("known", "<i8"), ("times", "<i8")])
+#: Texts whose sums travel in one row, on average.
+GROUP_TEXTS = 4096
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """One entry per text key."""
+    rows = np.concatenate([np.zeros(0, _SUMS), *parts])
+    keys, where = np.unique(rows["row_key"], return_inverse=True)
+    out = np.zeros(len(keys), _SUMS)
+    out["row_key"] = keys
+    for name in ("logs", "known", "times"):
+        out[name] = np.bincount(where, rows[name], len(keys))
+    return out
+
+
+def base_sums(asked: DataFrame, counts: DataFrame, groups: int) -> DataFrame:
+    """(row_key, logs, known): sum of log10(count + 1) over a text's words, and how many of its words are known; texts without words have no row.
+
+    Texts are dealt to ``groups``; a task packs what it has summed for a group's texts into one row.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            sums = _summed(held)
+            held.clear()
+            group = (tv.mix(sums["row_key"].view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            sums, group = sums[order], group[order]
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else [0]
+            spans = list(zip(cuts, cuts[1:]))
+            return pa.RecordBatch.from_arrays([pa.array([int(group[x]) for x, _ in spans], pa.int64()), pa.array([sums[x:y].tobytes() for x, y in spans], pa.binary())], names=["part", "sums"])
+
+        for b in batches:
+            raw, off = tv.flat(b.column(1).cast(pa.large_binary()))
+            posts = np.frombuffer(raw.tobytes(), [("doc", "<i8"), ("n", "<i4")])
+            many = np.diff(off) // posts.itemsize
+            each = np.repeat(b.column(2).fill_null(0).to_numpy(), many)
+            part = np.zeros(len(posts), _SUMS)
+            n = posts["n"] & ~_MARK
+            part["row_key"], part["logs"], part["known"], part["times"] = posts["doc"], n * np.log10(each + 1.0), n * (each > 0), (posts["n"] & _MARK) > 0
+            held.append(part)
+            if sum(map(len, held)) > 1_000_000:
+                yield out()
+        yield out()
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in batches:
+            held += [np.frombuffer(x, _SUMS) for x in b.column(1).to_pylist()]
+            if sum(map(len, held)) > 1_000_000:
+                held = [_summed(held)]
+        sums = _summed(held)
+        # copies of a text share a key: each asks for all its words once
+        times = np.maximum(sums["times"], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(sums["row_key"]), pa.array(sums["logs"] / times), pa.array(sums["known"] // times)], names=["row_key", "logs", "known"])
+
+    packed = asked.join(counts, "word", "left").select("word", "posts", "n").mapInArrow(first, "part long, sums binary")
+    return packed.repartition("part").mapInArrow(second, "row_key long, logs double, known long")
+
+
+# -- all together -----------------------------------------------------------------------------------------------------------
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte (of the coded tokens)."""
     spark = docs.sparkSession
     text, held = F.coalesce(F.col(text_col), F.lit("")), held_out(F.col(id_col))
-    learns = F.when(held, 0).when(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(FOLDS)) == 0, 2).otherwise(1).cast("tinyint")
-    # rows that hold a batch each are handed to Python few at a time
-    few = {"spark_sql_execution_arrow_maxBytesPerBatch": "8m"}
-    packed = written(batches_of(docs.select(F.col(id_col).alias("id"), held.alias("held"), learns.alias("learns"), text.alias("text"))), "lm-batches")
-    with configured(spark, **few):
-        counted = {r["key"]: r["n"] for r in count_pairs(packed).collect()}  # 65,538 rows at most
-    n_rows, n_words = counted.pop(-2, 0), counted.pop(-1, 0)
+    learns = F.when(held, 0).when(F.pmod(F.xxhash64(text, F.lit(5)), F.lit(FOLDS)) == 0, 2).otherwise(1)
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), held.alias("held_out"), learns.alias("learns"), F.xxhash64(text).alias("row_key"))
     pairs = np.zeros(1 << 16, np.int64)
-    pairs[list(counted)] = list(counted.values())
+    for r in count_pairs(rows).collect():  # 65,536 at most
+        pairs[r["key"]] = r["n"]
     tree = Tree.of(pairs.reshape(256, 256))
-    bits = bits_for(int((pairs * tree.length).sum()))
-    blocks = 1 << (min(MOST_BLOCKS, max(LEAST_BLOCKS, 8 * packed.select("batch").count())) - 1).bit_length()
-    answered = written(answers(asked(packed, tree, bits, blocks)), "lm-answers", **few)
-    distinct = _known(answered)
-    tables = spark.sparkContext.broadcast(_low_tables(answered))
-    each = written(ready(packed, answered), "lm-ready")
-    drop_written(packed)
-    drop_written(answered)
-    with configured(spark, **few):
-        start = start_weights(each, bits, tree, tables)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in found:
-            for i in range(b.num_rows):
-                data, off, held, _ = _open(b, i)
-                known, words, counts = _answers(b, i, bits)
-                units = Units(data, off, tree, bits)
-                count = np.full(len(units.word), n_rows)
-                real = units.word != 0
-                count[real] = counts[np.searchsorted(words, units.word[real])]
-                logs = np.bincount(units.text, np.log10(count + 1.0)[units.unit], len(held))
-                found_words = np.bincount(units.text, (count > 0)[units.unit], len(held))
-                n_tokens = np.bincount(units.text, minlength=len(held))
-                spent = cost(data, off, units, tables.value, known.of(units.code), start)
-                ids = b.column(b.schema.get_field_index("ids"))[i].values
-                yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(n_tokens), pa.array(found_words.astype(np.int64)), pa.array(logs), pa.array(-spent * np.log10(2.0)), pa.array(spent / np.diff(off))], names=["id", "held_out", "n_tokens", "n_known", "logs", "score", "bits_per_byte"])
-
-    scored = written(each.mapInArrow(run, f"id {kind}, held_out boolean, n_tokens long, n_known long, logs double, score double, bits_per_byte double"), "lm-scores", **few)
-    drop_written(each)
-    tables.unpersist()
+    bits = slots_for(int((pairs * tree.length).sum()))
+    tables = spark.sparkContext.broadcast(learn(rows, tree, bits))
+    start = start_weights(rows, tree, bits, tables)
+    words = written(count_words(rows), "lm-words")
+    n_rows, total = rows.agg(F.count_if(~F.col("held_out")), F.count(F.lit(1))).first()
+    n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = n_words + n_rows, distinct + (n_rows > 0)
-    less = float(np.log10(float(tokens + kinds + 1)))
-    return scored.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.lit(less)).alias("base_score"), "score", "bits_per_byte",
-    )
-
-
-def _known(answered: DataFrame) -> int:
-    """Distinct training words: one number per block, summed on the executors."""
+    base = written(base_sums(words_asked(rows), words, max(1, total // GROUP_TEXTS)), "lm-base")
+    drop_written(words)
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int.from_bytes(x, "little") for b in found for x in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, off in _texts(batches, 2, 4 * CHUNK):
+            spent = cost(data, off, tree, bits, tables.value, start)
+            n = np.add.reduceat(data == _SPACE, off[:-1], dtype=np.int64) + 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n), pa.array(-spent * np.log10(2.0)), pa.array(spent / np.diff(off))], names=["id", "held_out", "row_key", "n_tokens", "score", "bits_per_byte"])
 
-    return answered.where("batch = -2").select("body").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def _low_tables(answered: DataFrame) -> list[np.ndarray]:
-    """The tables of fixed size: 9 MB in all, read piece by piece."""
-    sizes = [1 << b for b in LOW_BITS]
-    out = np.full(sum(sizes), _SILENT, np.uint8)
-    half = LOW_PIECE // 2
-    for row in answered.where("batch = -1").select("block", "body").toLocalIterator():
-        out[row["block"] * half : (row["block"] + 1) * half] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["body"])), np.uint8)
-    return [x.copy() for x in np.split(out, np.cumsum(sizes)[:-1])]
+    kind = docs.schema[id_col].dataType.simpleString()
+    scored = rows.select("id", "held_out", "text", "row_key").mapInArrow(run, f"id {kind}, held_out boolean, row_key long, n_tokens long, score double, bits_per_byte double")
+    less = float(np.log10(float(tokens + kinds + 1)))
+    logs = F.coalesce("logs", F.lit(0.0)) + F.lit(float(np.log10(n_rows + 1.0))) - F.col("n_tokens") * F.lit(less)
+    return scored.join(base, "row_key", "left").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.coalesce("known", F.lit(0)) + F.lit(int(n_rows > 0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), logs.alias("base_score"), "score", "bits_per_byte",
+    )
