@@ -53,6 +53,12 @@ def rate_of(params: Params, what: str) -> float:
     return rate
 
 
+def one_series(key: SeriesKey | None, what: str) -> None:
+    """Refuses partition keys where a function has one result for the whole table, rather than mixing the series."""
+    if key and key.partition_by:
+        raise ValueError(f"{what} takes one series; filter by {', '.join(key.partition_by)} first")
+
+
 def sample(df: DataFrame, key: SeriesKey, *columns: str) -> DataFrame:
     """The series' columns as doubles, rows with a null in any of them left out, with ``idx`` among those that stay."""
     keep = list(dict.fromkeys([*key.partition_by, *key.order_by]))

@@ -6,11 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import EngineError
 from ..series import SeriesKey
 from . import spectral, stats, timeseries
-from .base import Params, Result
+from .base import Params, Result, column_of, numeric_columns
 
 Function = Callable[[DataFrame, SeriesKey, Params], Result]
 
@@ -71,6 +72,33 @@ BUILT_IN = [
 ]
 
 
+#: Parameters that a result repeats, with the values that functions take where they are not given.
+_DEFAULTS = {
+    ("anomaly_detect", "method"): "threshold", ("digital_filter", "type"): "lowpass", ("resample", "mode"): "decimate", ("envelope", "mode"): "rms", ("smoothing", "method"): "sma",
+    ("interpolate", "method"): "linear", ("hypothesis_test", "test"): "ttest", ("kalman_filter", "model"): "trend", ("time_series_analysis", "windowSize"): 3,
+}
+
+
+def _complete(info: FunctionInfo, result: Result, df: DataFrame, key: SeriesKey, params: Params) -> Result:
+    """Adds declared fields that only repeat parameters, or count a series, where the function hasn't made them."""
+    made = {*result.plain, *result.series, *(result.scalars.columns if result.scalars is not None else ())}
+    for field in info.results:
+        if field in made:
+            continue
+        if field == "sampleCount":
+            frame = next(iter(result.series.values()))[0]
+            result.series[field] = (frame.groupBy(*key.partition_by).agg(F.count(F.lit(1)).alias(field)), field)
+        elif field == "queryPoints" and "values" in result.series:
+            result.series[field] = (result.series["values"][0], "query")
+        elif field == "column":
+            result.plain[field] = params.get("column") or column_of(df, params, key)
+        elif field == "columns":
+            result.plain[field] = list(params.get("columns") or numeric_columns(df, key))
+        elif field in params or (info.name, field) in _DEFAULTS:
+            result.plain[field] = params.get(field, _DEFAULTS.get((info.name, field)))
+    return result
+
+
 class Registry:
     def __init__(self):
         self.by_name = {i.name: i for i in BUILT_IN}
@@ -95,7 +123,7 @@ class Registry:
         if missing:
             raise EngineError("analysis.parameter_error", f"{name} needs {', '.join(missing)}", step=f"function:{name}")
         try:
-            return info.run(df, key, params)
+            return _complete(info, info.run(df, key, params), df, key, params)
         except EngineError:
             raise
         except Exception as e:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..series import INDEX, SeriesKey
 from . import kernels as K
-from .base import Params, Result, long_frame, number, per_series, rate_of
+from .base import long_frame, number, one_series, Params, per_series, rate_of, Result
 from .timeseries import _line, _pair
 
 
@@ -83,7 +83,9 @@ def psd_welch(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     parts = list(key.partition_by)
     bands = [F.sum(F.when((F.col("frequency") >= float(b["low"])) & (F.col("frequency") < float(b["high"])), F.col("psd") * (rate / size)).otherwise(0.0)).alias(b.get("name", f"{b['low']}-{b['high']}")) for b in params.get("bands") or []]
     s = frame.groupBy(*parts).agg(F.max("segments").alias("segments"), *bands).withColumn("resolution", F.lit(rate / size))
-    return Result(scalars=s, series={"frequencies": (frame, "frequency"), "psd": (frame, "psd")}, plain={"column": c})
+    names = [b.get("name", f"{b['low']}-{b['high']}") for b in params.get("bands") or []]
+    s = s.withColumn("bandPowers", F.struct(*names)) if names else s
+    return Result(scalars=s, series={"frequencies": (frame, "frequency"), "psd": (frame, "psd")}, plain={"column": c} if names else {"column": c, "bandPowers": {}})
 
 
 def spectrogram(df: DataFrame, key: SeriesKey, params: Params) -> Result:
@@ -167,7 +169,7 @@ def eeg_band_powers(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     bands = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("band"), F.col(n).alias("power")) for i, (n, _, _) in enumerate(EEG_BANDS)))
     long = one.select(*parts, total.alias("totalPower"), F.explode(bands).alias("b")).select(*parts, "b.band", "b.power", "b.i", "totalPower", F.when(F.col("totalPower") > 0, F.col("b.power") / F.col("totalPower")).otherwise(0.0).alias("relative"))
     best = long.groupBy(*parts).agg(F.max_by("band", F.struct("power", -F.col("i"))).alias("dominantBand"), F.max("totalPower").alias("totalPower"))
-    return Result(scalars=best, series={"bandPowers": (long.drop("i", "totalPower"), "power")}, plain={"column": c})
+    return Result(scalars=best, series={"bandPowers": (long.drop("i", "totalPower"), "power"), "relativePowers": (long.drop("i", "totalPower"), "relative")}, plain={"column": c})
 
 
 def lomb_scargle(df: DataFrame, key: SeriesKey, params: Params) -> Result:
@@ -175,6 +177,7 @@ def lomb_scargle(df: DataFrame, key: SeriesKey, params: Params) -> Result:
 
     A task holds a chunk of samples against all frequencies (a stated number), and its sums are added up.
     """
+    one_series(key, "lomb_scargle")
     columns = params.get("columns")
     if not columns or len(columns) != 2:
         raise ValueError("lomb_scargle needs [time, value]")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..series import INDEX, SeriesKey
-from .base import Params, Result, column_of, number, numeric_columns
+from .base import Params, Result, column_of, number, numeric_columns, one_series
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -37,6 +39,48 @@ def nearest_rank(values: DataFrame, groups: list[str], shares: list[float]) -> D
     return ranked.withColumn("w", want).where((at >= F.col("_lo")) & (at < F.col("_hi"))).select(*groups, "w.r", "v")
 
 
+#: Half the width, as a share of the rows, of the bracket in which an order statistic is looked for.
+BRACKET = 3e-4
+
+
+def order_statistics(rows: DataFrame, columns: list[str], shares: list[float], place: Callable[[float, int], int]) -> dict[str, list[float | None]]:
+    """Per column the values at the sorted positions ``place(share, n)``, nulls aside; no column is sorted whole.
+
+    A sketch brackets each position; one pass counts what lies below the brackets and the values within.  Where a
+    bracket misses its position it is the whole range.  Only brackets, counts and results reach the driver.
+    """
+    wide = [min(1.0, max(0.0, s + d)) for s in shares for d in (-BRACKET, BRACKET)]
+    first = rows.agg(*(x for c in columns for x in (F.count(c), F.percentile_approx(c, wide, 10_000), F.min(c), F.max(c)))).first()
+    found: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}
+    open_ = []
+    for i, c in enumerate(columns):
+        n, at, low, high = first[4 * i : 4 * i + 4]
+        for k, s in enumerate(shares if n else []):
+            lo, hi = (low if wide[2 * k] == 0 else at[2 * k]), (high if wide[2 * k + 1] == 1 else at[2 * k + 1])
+            open_.append((c, k, min(max(place(s, n), 0), n - 1), lo, hi, low, high))
+    while open_:
+        counted = rows.agg(*(F.count_if(F.col(c) < F.lit(lo)) for c, _, _, lo, _, _, _ in open_), *(F.count_if(F.col(c).between(lo, hi)) for c, _, _, lo, hi, _, _ in open_)).first()
+        sound, missed = [], []
+        for i, (c, k, at, lo, hi, low, high) in enumerate(open_):
+            below, inside = counted[i], counted[len(open_) + i]
+            if lo == hi and below <= at < below + inside:
+                found[c][k] = lo
+            elif below <= at < below + inside:
+                sound.append((c, k, at - below, lo, hi))
+            else:
+                missed.append((c, k, at, low, high, low, high))
+        if sound:
+            cases = F.explode(F.array_compact(F.array(*(F.when(F.col(c).between(lo, hi), F.struct(F.lit(j).alias("j"), F.col(c).alias("v"))) for j, (c, _, _, lo, hi) in enumerate(sound)))))
+            near = rows.select(cases.alias("x")).select("x.*").groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
+            upto = F.sum("n").over(W.partitionBy("j").orderBy("v"))
+            want = F.element_at(F.array(*(F.lit(at) for _, _, at, _, _ in sound)), F.col("j") + 1)
+            hit = near.withColumn("hi", upto).where((want < F.col("hi")) & (want >= F.col("hi") - F.col("n")))
+            for r in hit.select("j", "v").collect():  # a row per position
+                found[sound[r["j"]][0]][sound[r["j"]][1]] = r["v"]
+        open_ = missed
+    return found
+
+
 def descriptive_stats(df: DataFrame, key: SeriesKey | None, params: Params) -> Result:
     """Per column: count, min, max, avg, std (n-1), skewness (population), kurtosis (3 for a normal), p<k> by nearest rank."""
     parts = list(key.partition_by) if key else []
@@ -51,7 +95,11 @@ def descriptive_stats(df: DataFrame, key: SeriesKey | None, params: Params) -> R
         F.when(moments & (spread > 0), F.skewness("v")).otherwise(0.0).alias("skewness"),
         F.when(moments & (spread > 0), F.kurtosis("v") + 3).otherwise(0.0).alias("kurtosis"),
     )
-    if percentiles:
+    if percentiles and not parts:
+        at = order_statistics(df.select(*(F.col(c).cast("double").alias(c) for c in columns)), columns, [p / 100 for p in percentiles], lambda s, n: math.floor(s * (n - 1) + 0.5))
+        ranks = df.sparkSession.createDataFrame([(c, *at[c]) for c in columns], "column string, " + ", ".join(f"p{p} double" for p in percentiles))
+        out = out.join(F.broadcast(ranks), "column")  # a row per column
+    elif percentiles:
         ranks = nearest_rank(values, [*parts, "column"], [p / 100 for p in percentiles])
         ranks = ranks.groupBy(*parts, "column").pivot("r", list(range(len(percentiles)))).agg(F.first("v"))
         for i, p in enumerate(percentiles):
@@ -97,6 +145,7 @@ def covariance_matrix(df: DataFrame, key: SeriesKey | None, params: Params) -> R
 
 def histogram(df: DataFrame, key: SeriesKey | None, params: Params) -> Result:
     """(bin, lo, hi, count) with under- and overflow; the last bin holds its upper edge."""
+    one_series(key, "histogram")
     c = column_of(df, params, key)
     bins = max(1, int(params.get("bins", 10)))
     rows = df.select(F.col(c).cast("double").alias("v")).where("v is not null")
@@ -118,6 +167,7 @@ def histogram(df: DataFrame, key: SeriesKey | None, params: Params) -> Result:
 
 def regression(df: DataFrame, key: SeriesKey | None, params: Params) -> Result:
     """Least-squares polynomial by power sums of the scaled x: one aggregate, a (degree + 1) square solve on the driver."""
+    one_series(key, "regression")
     xc, yc = _two(params) if params.get("columns") else (None, column_of(df, params, key))
     degree = max(1, int(params.get("degree", 1)))
     if xc is None:
@@ -152,6 +202,7 @@ def hypothesis_test(df: DataFrame, key: SeriesKey | None, params: Params) -> Res
 
     KS walks both sorted samples; at equal values the first sample goes first, so ties widen the distance.
     """
+    one_series(key, "hypothesis_test")
     a, b = params["columns"]
     if params.get("test", "ttest") == "ks":
         sides = [df.select(F.col(c).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias(n)) for c, n in ((a, "na"), (b, "nb"))]
@@ -177,6 +228,7 @@ def pca(df: DataFrame, key: SeriesKey | None, params: Params) -> Result:
 
     Of each component the loading of largest size is positive.
     """
+    one_series(key, "pca")
     columns = list(params.get("columns") or numeric_columns(df, key))
     rows = df.select(*(key.order_by if key else ()), *(F.col(c).cast("double").alias(c) for c in columns)).dropna(subset=columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
@@ -190,7 +242,7 @@ def pca(df: DataFrame, key: SeriesKey | None, params: Params) -> Result:
     vectors = vectors[:, order] * np.sign(vectors[np.abs(vectors[:, order]).argmax(axis=0), order])
     score = [sum(((F.col(c) - got[f"m{i}"]) * float(vectors[i, k] / scale[i]) for i, c in enumerate(columns)), F.lit(0.0)) for k in range(len(order))]
     frame = df.sparkSession.createDataFrame([(k, float(values[o]), float(values[o] / total)) for k, o in enumerate(order)], "component int, explainedVariance double, explainedVarianceRatio double")
-    return Result(scalars=frame, series={"scores": (rows.select(*(key.order_by if key else ()), *(s.alias(f"pc{k}") for k, s in enumerate(score))), "pc0")}, plain={"components": vectors.T.tolist(), "columns": columns})
+    return Result(scalars=frame, series={"scores": (rows.select(*(key.order_by if key else ()), *(s.alias(f"pc{k}") for k, s in enumerate(score)), F.array(*score).alias("scores")), "scores")}, plain={"components": vectors.T.tolist(), "columns": columns})
 
 
 _COMPARE = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
@@ -209,7 +261,8 @@ def rule_based_classification(df: DataFrame, key: SeriesKey | None, params: Para
     label = chain.otherwise(default) if chain is not None else F.lit(default)
     name = params.get("outputColumn", "_label")
     rows = df.withColumn(name, label)
-    return Result(scalars=rows.groupBy(name).agg(F.count(F.lit(1)).alias("count")), series={"labeledRows": (rows, name)})
+    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("count"))
+    return Result(scalars=counts, series={"labeledRows": (rows, name), "distribution": (counts, "count"), "totalRows": (counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("totalRows")), "totalRows")}, plain={"outputColumn": name})
 
 
 def anomaly_detect(df: DataFrame, key: SeriesKey, params: Params) -> Result:
@@ -228,15 +281,22 @@ def anomaly_detect(df: DataFrame, key: SeriesKey, params: Params) -> Result:
         found = found.withColumn("score", score).where(F.col("score") > limit)
     elif method == "iqr":
         k = number(params, "sensitivity", 1.5)
-        ranks = _floor_ranks(rows, parts, [0.25, 0.75])
-        found = on(ranks.groupBy(*parts).agg(F.max(F.when(F.col("r") == 0, F.col("v"))).alias("q1"), F.max(F.when(F.col("r") == 1, F.col("v"))).alias("q3")))
+        if parts:
+            ranks = _floor_ranks(rows, parts, [0.25, 0.75])
+            found = on(ranks.groupBy(*parts).agg(F.max(F.when(F.col("r") == 0, F.col("v"))).alias("q1"), F.max(F.when(F.col("r") == 1, F.col("v"))).alias("q3")))
+        else:
+            q1, q3 = order_statistics(rows, ["value"], [0.25, 0.75], lambda s, n: math.floor(s * n))["value"]
+            found = rows.withColumns({"q1": F.lit(q1).cast("double"), "q3": F.lit(q3).cast("double")})
         lo, hi = F.col("q1") - k * (F.col("q3") - F.col("q1")), F.col("q3") + k * (F.col("q3") - F.col("q1"))
         found = found.where((v < lo) | (v > hi)).withColumn("score", F.when(v < lo, lo - v).otherwise(v - hi))
     elif method == "mad":
         limit = number(params, "sensitivity", 3.5)
-        med = on(rows.groupBy(*parts).agg(F.percentile(v, 0.5).alias("med"))).withColumn("dev", F.abs(v - F.col("med")))
-        mad = med.groupBy(*parts).agg(F.percentile("dev", 0.5).alias("mad"))
-        found = med.join(mad, parts) if parts else med.crossJoin(F.broadcast(mad))
+        if parts:
+            med = on(rows.groupBy(*parts).agg(F.percentile(v, 0.5).alias("med"))).withColumn("dev", F.abs(v - F.col("med")))
+            found = med.join(med.groupBy(*parts).agg(F.percentile("dev", 0.5).alias("mad")), parts)
+        else:
+            med = rows.withColumn("dev", F.abs(v - F.lit(_median(rows, "value"))))
+            found = med.withColumn("mad", F.lit(_median(med, "dev")).cast("double"))
         found = found.withColumn("score", F.when(F.col("mad") > 0, 0.6745 * F.col("dev") / F.col("mad"))).where(F.col("score") > limit)
     elif method == "ewma":
         from .timeseries import ema_frame
@@ -255,6 +315,11 @@ def anomaly_detect(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     return Result(scalars=found.groupBy(*parts).agg(F.count(F.lit(1)).alias("count")), series={"anomalies": (found, "value")})
 
 
+def _median(rows: DataFrame, column: str) -> float | None:
+    a, b = order_statistics(rows, [column], [0.5, 0.5 + 1e-12], lambda s, n: (n - 1) // 2 if s == 0.5 else n // 2)[column]
+    return None if a is None else (a + b) / 2
+
+
 def _floor_ranks(rows: DataFrame, parts: list[str], shares: list[float]) -> DataFrame:
     counts = rows.groupBy(*parts, F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     every = W.partitionBy(*(parts or [F.lit(0)]))

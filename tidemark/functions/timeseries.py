@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..series import CHUNK, INDEX, SeriesKey, over_rows
 from . import kernels as K
-from .base import Params, Result, column_of, long_frame, number, per_series, sample
+from .base import Params, Result, column_of, long_frame, number, one_series, per_series, sample
 
 
 def _line(df: DataFrame, key: SeriesKey, params: Params) -> tuple[DataFrame, str, list[str]]:
@@ -391,8 +391,7 @@ def acf(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     """Biased autocorrelation to maxLag; the period is the highest local maximum above 2 / sqrt(n)."""
     rows, _, _ = _line(df, key, params)
     parts = list(key.partition_by)
-    if parts:
-        raise ValueError("acf takes one series")
+    one_series(key, "acf")
     n, mean = rows.agg(F.count(F.lit(1)), F.avg("x")).first()
     if n < 4:
         raise ValueError("acf needs 4 values")
@@ -409,6 +408,7 @@ def acf(df: DataFrame, key: SeriesKey, params: Params) -> Result:
 
 
 def cross_correlation(df: DataFrame, key: SeriesKey, params: Params) -> Result:
+    one_series(key, "cross_correlation")
     rows, _, _ = _pair(df, key, params, "cross_correlation")
     n, ma, mb, va, vb = rows.agg(F.count(F.lit(1)), F.avg("a"), F.avg("b"), F.var_pop("a"), F.var_pop("b")).first()
     if n < 4:

@@ -21,7 +21,7 @@ from ..operators.transforms import TransformPipeline, time_column
 from ..series import INDEX, SeriesKey, materialised
 from ..sources.registry import SourceRegistry, with_retry
 from ..streaming import windows
-from ..streaming.alerts import Publisher, Rule, evaluate_frame
+from ..streaming.alerts import Publisher, Rule, evaluate_frame, parse
 from .governance import AuditLog, Policy
 from .model import MOVES, Artifact, InputSource, Job, OutputDef, Spec, StepInput, validate
 from .store import ArtifactStore, SpecStore
@@ -65,28 +65,38 @@ class Engine:
                 self._stream(spec, job)
                 return job
             self.spark.sparkContext.setJobGroup(job.job_id, spec.spec_id, interruptOnCancel=True)
-            timer = threading.Timer(TIMEOUTS.get(mode, TIMEOUTS["batch"]), lambda: (job.errors.append({"code": "job.timeout"}), self.spark.sparkContext.cancelJobGroup(job.job_id)))
+            timer = threading.Timer(TIMEOUTS.get(mode, TIMEOUTS["batch"]), self._late, (job,))
             timer.daemon = True
             timer.start()
             try:
                 self._batch(spec, job, mode)
             finally:
                 timer.cancel()
-            if job.status == "running":
+            if job.status == "running" and any(e["code"] == "job.timeout" for e in job.errors):
+                self._move(job, "failed")
+            elif job.status == "running":
                 self._move(job, "completed")
                 job.progress = 1.0
-        except EngineError as e:
-            job.errors.append({"code": e.code, "message": e.message, "step": e.step})
+        except Exception as e:  # results are lazy: Spark's own errors come up here too
+            if not any(x["code"] == "job.timeout" for x in job.errors):
+                known = isinstance(e, EngineError)
+                job.errors.append({"code": e.code, "message": e.message, "step": e.step} if known else {"code": "analysis.execution_error", "message": str(e).strip().split("\n")[0][:500], "step": None})
             if job.status == "running":
                 self._move(job, "failed")
         self.metrics("analysis.job_duration_ms", (datetime.now() - started).total_seconds() * 1000)
         self.metrics("analysis.failure_rate", float(job.status == "failed"))
         return job
 
+    def _late(self, job: Job) -> None:
+        job.errors.append({"code": "job.timeout", "message": f"no result after {TIMEOUTS.get(job.mode, TIMEOUTS['batch'])} s"})
+        self.spark.sparkContext.cancelJobGroup(job.job_id)
+
     def cancel(self, job_id: str) -> Job:
         job = self.job(job_id)
         if job.handle is not None:
             job.handle.stop()
+            if job.watch is not None:
+                job.watch.stop()
         else:
             self.spark.sparkContext.cancelJobGroup(job_id)
         self._move(job, "canceled")
@@ -95,7 +105,12 @@ class Engine:
     def job(self, job_id: str) -> Job:
         if job_id not in self.jobs:
             raise EngineError("job.not_found", f'no job "{job_id}"')
-        return self.jobs[job_id]
+        job = self.jobs[job_id]
+        broken = job.handle.exception() if job.handle is not None and job.status == "running" else None
+        if broken is not None:
+            job.errors.append({"code": "stream.error", "message": str(broken).strip().split("\n")[0][:500]})
+            self._move(job, "failed")
+        return job
 
     def _move(self, job: Job, status: str) -> None:
         if status not in MOVES.get(job.status, ()):
@@ -181,12 +196,21 @@ class Engine:
             return result.plain[field]
         if field in result.series:
             frame, column = result.series[field]
+            if frame.columns == [field]:  # one number
+                row = frame.first()
+                return row[0] if row else None
             order = INDEX if INDEX in frame.columns else frame.columns[0]
             found = [r[0] for r in frame.orderBy(order).select(column).limit(SERIES_VALUES + 1).collect()]
             return found if len(found) <= SERIES_VALUES else frame.select(order, column)
         if result.scalars is not None and field in result.scalars.columns:
-            row = result.scalars.select(field).first()
-            return row[0] if row else None
+            rows = self._rows(result.scalars)
+            if rows is None:
+                return result.scalars
+            values = [r[field] for r in rows]
+            size = len({r["a"] for r in rows}) if rows and {"a", "b"} <= set(rows[0]) else 0
+            if size and size * size == len(rows):  # a matrix, by rows
+                return [values[k : k + size] for k in range(0, len(values), size)]
+            return values if len(values) > 1 else values[0] if values else None
         raise KeyError(field)
 
     def _artifact(self, spec: Spec, job: Job, o: OutputDef, results: dict[str, Result]) -> Artifact | None:
@@ -238,7 +262,7 @@ class Engine:
         spec = self.specs.get(art.spec_id)
         for s in spec.input_sources:
             try:
-                df = self.sources.read(self.spark, s.source_type, s.query, s.filter, s.time_range)
+                df = self._read(s)
             except EngineError:
                 continue
             rule = next(r for r in self._rules(spec) if r.rule_id == art.name)
@@ -248,14 +272,39 @@ class Engine:
     # -- streams --------------------------------------------------------------------------------------------------------
 
     def _stream(self, spec: Spec, job: Job) -> None:
-        """A running query: windows per micro-batch, alert rules on the window's aggregates, artifacts per trigger."""
+        """A running query: windows per micro-batch, artifacts per trigger, alert rules.
+
+        Row-wise transforms run before the windows.  Rules on the source's own columns see every point of a
+        micro-batch; rules on ``value``, where the source has no such column, see the windows' averages.
+        """
         source = self._read(spec.input_sources[0])
         p = job.parameters
+        if spec.transforms:
+            stateful = {"sort", "fillna", "resample", "join"}
+            for t in spec.transforms:
+                if t.name in stateful and not (t.name == "fillna" and t.parameters.get("method", "value") == "value"):
+                    raise EngineError("transform.parameter_error", f'"{t.name}" needs the whole series and can\'t run on a stream', step=f"transform:{t.name}")
+            source = self.transforms.run(source, [(t.name, t.parameters) for t in spec.transforms], self._key(source, spec))
         ts = p.get("timestampColumn") or time_column(source)
         value = p.get("valueColumn") or next(f.name for f in source.schema if isinstance(f.dataType, T.NumericType))
         made = windows.stream_windows(source, ts, value, p.get("windowSize", "5m"), p.get("windowKind", "sliding"), p.get("maxWindowPoints"), p.get("allowedLateness"), p.get("keyColumn"))
         rules = self._rules(spec)
 
+        def column_in(r: Rule) -> bool:
+            try:
+                return parse(r.condition).column in source.columns
+            except EngineError:
+                return False
+
+        on_points = [r for r in rules if column_in(r)]
+        rules = [r for r in rules if r not in on_points]
+        hooks = {r.rule_id: r.action_hook for r in [*rules, *on_points]}
+
+        def points(batch: DataFrame, number: int) -> None:
+            for a in evaluate_frame(batch, on_points, [ts], self.clock() if self.clock else None).collect():  # a row per rule
+                if a["triggered"]:
+                    self.publisher.send(a.asDict(), hooks[a["ruleId"]])
+
         def each(batch: DataFrame, number: int) -> None:
             states = self._rows(batch)
             if states is None:  # the batch ends with its trigger: its table stays
@@ -272,8 +321,12 @@ class Engine:
                 frame = batch.withColumn("value", F.col("avg"))
                 for a in evaluate_frame(frame, rules, ["windowEnd"]).collect():
                     if a["triggered"]:
-                        self.publisher.send(a.asDict(), next(r.action_hook for r in rules if r.rule_id == a["ruleId"]))
+                        self.publisher.send(a.asDict(), hooks[a["ruleId"]])
 
+        if on_points:
+            watch = source.writeStream.foreachBatch(points)
+            watch = watch.option("checkpointLocation", f"{p['checkpointLocation'].rstrip('/')}-points") if p.get("checkpointLocation") else watch
+            job.watch = (watch.trigger(availableNow=True) if p.get("availableNow") else watch).start()
         writer = made.writeStream.outputMode("update").foreachBatch(each)
         if p.get("checkpointLocation"):
             writer = writer.option("checkpointLocation", p["checkpointLocation"])

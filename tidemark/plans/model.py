@@ -191,6 +191,7 @@ class Job:
     artifact_ids: list[str] = field(default_factory=list)
     parameters: dict = field(default_factory=dict)
     handle: Any = None
+    watch: Any = None
 
 
 MOVES = {"queued": {"running", "canceled", "failed"}, "running": {"completed", "failed", "canceled"}}

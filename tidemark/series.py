@@ -9,12 +9,13 @@ that carries as many neighbours as the window reaches (its halo).
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,12 +37,21 @@ class SeriesKey:
 def materialised(df: DataFrame, name: str = "t") -> DataFrame:
     """``df`` as a Parquet table in the shared folder (``spark.checkpoint.dir``), read back."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/tidemark-work"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset in a single local JVM (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/tidemark-work"
+    return root.rstrip("/")
+
+
 def with_index(df: DataFrame, key: SeriesKey) -> DataFrame:
     """Adds ``idx``: 0, 1, 2 ... along each series."""
     if key.partition_by:

@@ -13,10 +13,13 @@ from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..durations import seconds
 
@@ -33,21 +36,133 @@ def number_of(c: Column) -> Column:
     return F.coalesce(c.cast("string").try_cast("double"), F.lit(0.0))
 
 
+#: A series is cut into spans of so many windows; a task holds whole spans, with the points of one window before each.
+SPAN_WINDOWS = 16
+#: Rows that are handed on together, as soon as a span ends.
+HELD_ROWS = 200_000
+
+
 def sliding(df: DataFrame, ts: str, value: str, window: str, aggregates: list[str] = ["avg"], partition_by: list[str] = []) -> DataFrame:  # noqa: B006
     """Per row the aggregates over the closed interval [t - window, t].
 
-    A series without ``partition_by`` is cut into spans of many windows: each holds, besides its rows, those of one
-    window before, so that no task sees the whole series.
+    Series are cut into spans of many windows, so that no task sees a whole one.  Within a span every row's window is
+    a range of the sorted rows: sums come from prefix sums, extremes from minima over powers of two.  Rows without a
+    time have no window: their aggregates are null.
     """
+    size = int(seconds(window) * 1_000_000)
+    span = max(1, SPAN_WINDOWS * size)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    size = seconds(window) * 1_000_000
-    span = 256 * size
     rows = df.withColumn("_us", micros).withColumn("_x", number_of(F.col(value)))
     own = F.floor(F.col("_us") / span)
-    spread = rows.withColumn("_span", F.explode(F.sequence(own, F.floor((F.col("_us") + size) / span)))).withColumn("_own", F.col("_span") == own)
-    w = W.partitionBy(*partition_by, "_span").orderBy("_us").rangeBetween(-size, 0)
-    out = spread.withColumns({a: F.coalesce(_aggregate(a, F.col("_x")).over(w).cast("double"), F.lit(0.0)) for a in aggregates})
-    return out.where("_own").select(*df.columns, *aggregates)
+    reach = F.when(F.col("_us").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(own, F.floor((F.col("_us") + size) / span)))
+    spread = rows.withColumn("_span", F.explode(reach)).withColumn("_own", F.coalesce(F.col("_span") == own, F.lit(True)))
+    keys = [*partition_by, "_span"]
+    dealt = spread.repartition(*keys).sortWithinPartitions(*keys, "_us")
+    names, at = [*df.columns], {c: i for i, c in enumerate(spread.columns)}
+    schema = T.StructType([*df.schema.fields, *(T.StructField(a, T.DoubleType()) for a in aggregates)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts in _whole_groups(batches, [at[k] for k in keys]):
+            timed = rows.column(at["_us"]).is_valid().to_numpy(zero_copy_only=False)
+            us = rows.column(at["_us"]).fill_null(0).to_numpy()
+            made = window_aggregates(us, rows.column(at["_x"]).to_numpy(), starts, size, aggregates)
+            keep = pa.array(rows.column(at["_own"]))
+            columns = [rows.column(at[c]).filter(keep) for c in names] + [pa.array(made[a], mask=~timed).filter(keep) for a in aggregates]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *aggregates])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(rows, starts of groups): rows sorted by key, cut only between groups."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def starts_of(b: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(b.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            c = b.column(k)
+            same = pa.compute.equal(c.slice(1), c.slice(0, len(c) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+            both = pa.compute.and_(c.slice(1).is_null(), c.slice(0, len(c) - 1).is_null()).to_numpy(zero_copy_only=False)
+            new[1:] |= ~(same | both)
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) >= HELD_ROWS:
+            rows = joined()
+            starts = starts_of(rows)
+            if len(starts) > 1:
+                yield rows.slice(0, int(starts[-1])), starts[:-1]
+                held = [rows.slice(int(starts[-1]))]
+            else:
+                held = [rows]
+    if held:
+        rows = joined()
+        yield rows, starts_of(rows)
+
+
+def window_aggregates(us: np.ndarray, x: np.ndarray, starts: np.ndarray, size: int, aggregates: list[str]) -> dict[str, np.ndarray]:
+    """Aggregates over [t - size, t] for each row of groups that begin at ``starts``; times ascend within a group."""
+    n = len(us)
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+    low = us.min() if n else 0
+    # one ascending key for all groups: groups lie further apart than a window reaches
+    apart = int(us.max() - low + size + 1) if n else 1
+    place = (us - low) + group * apart if len(starts) * apart < 1 << 62 else None
+    if place is not None:
+        lo, hi = np.searchsorted(place, place - size, "left"), np.searchsorted(place, place, "right")
+    else:
+        lo, hi = np.empty(n, np.int64), np.empty(n, np.int64)
+        for a, b in zip(starts, np.append(starts[1:], n)):
+            lo[a:b], hi[a:b] = a + np.searchsorted(us[a:b], us[a:b] - size, "left"), a + np.searchsorted(us[a:b], us[a:b], "right")
+    lo = np.maximum(lo, starts[group])
+    count = (hi - lo).astype(np.float64)
+    finite = np.isfinite(x)
+    plain = np.where(finite, x, 0.0)
+    # a group's mean is taken off first: prefix sums then lose no digits of the spread
+    mean = (np.add.reduceat(plain, starts) / np.diff(np.append(starts, n)))[group] if n else plain
+    d = np.where(finite, plain - mean, 0.0)
+    # extended precision: a far value elsewhere in the span must not cost a window its digits
+    over = lambda v: ((c := np.append(np.longdouble(0), np.cumsum(v, dtype=np.longdouble)))[hi] - c[lo]).astype(np.float64)
+    odd = None
+    if not finite.all():
+        nan, up, down = over(np.isnan(x)), over(x == np.inf), over(x == -np.inf)
+        odd = np.select([(nan > 0) | ((up > 0) & (down > 0)), up > 0, down > 0], [np.nan, np.inf, -np.inf], 0.0)
+    out: dict[str, np.ndarray] = {}
+    s1 = over(d) if {"avg", "sum", "std"} & set(aggregates) else None
+    for a in aggregates:
+        if a == "count":
+            out[a] = count
+        elif a in ("avg", "sum"):
+            v = s1 / count + mean
+            v = v * count if a == "sum" else v
+            out[a] = v if odd is None else np.where(odd == 0, v, odd)
+        elif a == "std":
+            v = np.sqrt(np.maximum(over(d.astype(np.longdouble) ** 2) - s1 * s1 / count, 0) / np.maximum(count - 1, 1))
+            v = np.where(count > 1, v, 0.0)
+            out[a] = v if odd is None else np.where((odd == 0) | (count < 2), v, np.nan)
+        elif a in ("min", "max"):
+            out[a] = _extremes(x, lo, hi, np.fmin if a == "min" else np.maximum)
+        else:
+            out[a] = np.zeros(n)
+    return out
+
+
+def _extremes(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """pick over x[lo:hi] of each row: two overlapping stretches of a power of two cover a range."""
+    power = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    out, level = np.empty(len(x)), x
+    for k in range(int(power.max(initial=0)) + 1):
+        own = np.flatnonzero(power == k)
+        out[own] = pick(level[lo[own]], level[hi[own] - (1 << k)])
+        level = pick(level[: len(level) - (1 << k)], level[1 << k :])
+    return out
 
 
 def tumbling(df: DataFrame, ts: str, value: str, window: str, aggregates: list[str] = ["avg"], partition_by: list[str] = []) -> DataFrame:  # noqa: B006
@@ -195,10 +310,11 @@ def stream_windows(stream: DataFrame, ts: str, value: str, window: str = "5m", k
             w.load(*kept)
             if r is not None and held is not None:
                 r.__dict__.update(held)
-        for pdf in batches:
-            for t, v in zip(pdf["t"].tolist(), pdf["v"].tolist()):
-                for a, b in r.add(t, v) if r is not None else [(t, v)]:
-                    w.add(a, b)
+        # Spark promises no order of a key's rows within a micro-batch: they are taken by time
+        points = pd.concat([b[["t", "v"]] for b in batches]).sort_values(["t", "v"], kind="stable")
+        for t, v in zip(points["t"].tolist(), points["v"].tolist()):
+            for a, b in r.add(t, v) if r is not None else [(t, v)]:
+                w.add(a, b)
         state.update((pickle.dumps((w.dump(), r.__dict__ if r is not None else None)),))
         one = {a: [w.aggregate(a)] for a in ("avg", "min", "max", "sum", "std")}
         yield pd.DataFrame({"series": [keys[0]], "windowEnd": [w.points[-1][0] if w.points else 0.0], "pointCount": [len(w.points)], **one, "lateDropped": [w.late + (r.late if r else 0)], "overflowDropped": [w.overflow]})
