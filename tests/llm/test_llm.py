@@ -366,6 +366,12 @@ def test_tables_hold_the_counts_of_a_plain_loop(spark, texts):
     assert few == context_mixing.LEAST_SLOTS and many == context_mixing.MOST_SLOTS
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1.0, 1.0]), (3, [1e-200, 1e-200]), (4, [1.0, -1.0]), (5, [5e-324, 5e-324]), (6, [1e200, -1e-200])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
 def _vectors(rng):
     base = rng.standard_normal((150, 16))
     near = base[:20] + 0.15 * rng.standard_normal((20, 16))

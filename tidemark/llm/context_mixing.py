@@ -19,8 +19,8 @@ A text's score depends on the counts, the start weights and the text alone.
 
 The tables grow with the training decisions, the word's up to 2**24 slots: they
 are broadcast, 21 MB at most.  What grows without bound, the counts of words for
-the base score, is joined by word: what a task asks for is packed per word, so a
-frequent word is one row per task.
+the base score, is joined by word: what a task asks for is packed per word, and
+the most frequent words (a stated number) are known to every task.
 
 Edge cases: a null text counts as empty: its score is that of the end mark.
 Rows without id learn (the held-out rule needs an id) and are scored.  Repeated
@@ -467,27 +467,37 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-#: Set in one post of each text: they count how often the text was asked for.
-_MARK = np.int32(1 << 30)
+_SUMS = np.dtype([("row_key", "<i8"), ("logs", "<f8"), ("known", "<i8"), ("times", "<i8")])
+#: Texts whose sums travel in one row, on average.
+GROUP_TEXTS = 4096
+#: The most frequent words, whose counts every task has: they would meet in few tasks otherwise.
+COMMON_WORDS = 4096
 
 
-def words_asked(docs: DataFrame) -> DataFrame:
-    """(word, posts): per batch and word, which texts hold it how often; one word of each text (least hash) bears its mark."""
+def words_asked(docs: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """(word, direct, posts): per batch and word, which texts hold it how often.
+
+    Words of ``common`` (ascending) are summed at once: ``direct`` rows hold these sums, with an entry for every text.
+    """
+    logs = np.log10(counts + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy()
             found = [(np.zeros(0, np.uint64), keys[:0], np.zeros(0, np.int32))]
-            for a, _, c in tv.each(b.column(1), lower=True):
+            sums = np.zeros(len(keys), _SUMS)
+            sums["row_key"], sums["times"] = keys, 1
+            for a, e, c in tv.each(b.column(1), lower=True):
                 words, docs_ = c.word_hash(), c.doc_of()
-                order = np.lexsort((docs_, words))
-                words, docs_ = words[order], docs_[order]
-                new = np.ones(len(words), bool)
-                new[1:] = (words[1:] != words[:-1]) | (docs_[1:] != docs_[:-1])
-                at = np.flatnonzero(new)
-                n, docs_ = np.diff(np.append(at, len(words))).astype(np.int32), docs_[at]
-                n[np.unique(docs_, return_index=True)[1]] |= _MARK
-                found.append((words[at], keys[a + docs_], n))
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, words), len(common) - 1)
+                    here = common[at] == words
+                    sums["logs"][a:e] = np.bincount(docs_[here], logs[at[here]], e - a)
+                    sums["known"][a:e] = np.bincount(docs_[here], minlength=e - a)
+                    words, docs_ = words[~here], docs_[~here]
+                distinct, rank = np.unique(words, return_inverse=True)
+                pair, n = np.unique(rank * np.int64(c.n_docs) + docs_, return_counts=True)
+                found.append((distinct[pair // c.n_docs], keys[a + pair % c.n_docs], n.astype(np.int32)))
             word, doc, n = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(word, kind="stable")
             word, posts = word[order], np.zeros(len(word), [("doc", "<i8"), ("n", "<i4")])
@@ -497,15 +507,14 @@ def words_asked(docs: DataFrame) -> DataFrame:
             at = np.flatnonzero(new)
             off = np.append(at, len(word)).astype(np.int64) * posts.itemsize
             packed = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(posts.tobytes())]).cast(pa.binary())
+            names = ["word", "direct", "posts"]
             for s in range(0, len(at), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(word[at][s : s + 50_000].view(np.int64)), packed.slice(s, 50_000)], names=["word", "posts"])
+                own = word[at][s : s + 50_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), bool)), packed.slice(s, 50_000)], names=names)
+            # a word by which these rows are spread
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:1]), pa.array(np.ones(len(keys[:1]), bool)), pa.array([sums.tobytes()][: len(keys)], pa.binary())], names=names)
 
-    return docs.select("row_key", "text").mapInArrow(run, "word long, posts binary")
-
-
-_SUMS = np.dtype([("row_key", "<i8"), ("logs", "<f8"), ("known", "<i8"), ("times", "<i8")])
-#: Texts whose sums travel in one row, on average.
-GROUP_TEXTS = 4096
+    return docs.select("row_key", "text").mapInArrow(run, "word long, direct boolean, posts binary")
 
 
 def _summed(parts: list[np.ndarray]) -> np.ndarray:
@@ -520,7 +529,7 @@ def _summed(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def base_sums(asked: DataFrame, counts: DataFrame, groups: int) -> DataFrame:
-    """(row_key, logs, known): sum of log10(count + 1) over a text's words, and how many of its words are known; texts without words have no row.
+    """(row_key, logs, known): sum of log10(count + 1) over a text's words, and how many of its words are known.
 
     Texts are dealt to ``groups``; a task packs what it has summed for a group's texts into one row.
     """
@@ -538,14 +547,15 @@ def base_sums(asked: DataFrame, counts: DataFrame, groups: int) -> DataFrame:
             spans = list(zip(cuts, cuts[1:]))
             return pa.RecordBatch.from_arrays([pa.array([int(group[x]) for x, _ in spans], pa.int64()), pa.array([sums[x:y].tobytes() for x, y in spans], pa.binary())], names=["part", "sums"])
 
-        for b in batches:
+        for whole in batches:
+            held += [np.frombuffer(x, _SUMS) for x in whole.column(1).filter(whole.column(3)).to_pylist()]
+            b = whole.filter(pa.compute.invert(whole.column(3)))
             raw, off = tv.flat(b.column(1).cast(pa.large_binary()))
             posts = np.frombuffer(raw.tobytes(), [("doc", "<i8"), ("n", "<i4")])
             many = np.diff(off) // posts.itemsize
             each = np.repeat(b.column(2).fill_null(0).to_numpy(), many)
             part = np.zeros(len(posts), _SUMS)
-            n = posts["n"] & ~_MARK
-            part["row_key"], part["logs"], part["known"], part["times"] = posts["doc"], n * np.log10(each + 1.0), n * (each > 0), (posts["n"] & _MARK) > 0
+            part["row_key"], part["logs"], part["known"] = posts["doc"], posts["n"] * np.log10(each + 1.0), posts["n"] * (each > 0)
             held.append(part)
             if sum(map(len, held)) > 1_000_000:
                 yield out()
@@ -562,7 +572,7 @@ def base_sums(asked: DataFrame, counts: DataFrame, groups: int) -> DataFrame:
         times = np.maximum(sums["times"], 1)
         yield pa.RecordBatch.from_arrays([pa.array(sums["row_key"]), pa.array(sums["logs"] / times), pa.array(sums["known"] // times)], names=["row_key", "logs", "known"])
 
-    packed = asked.join(counts, "word", "left").select("word", "posts", "n").mapInArrow(first, "part long, sums binary")
+    packed = asked.join(counts, "word", "left").select("word", "posts", "n", "direct").mapInArrow(first, "part long, sums binary")
     return packed.repartition("part").mapInArrow(second, "row_key long, logs double, known long")
 
 
@@ -586,7 +596,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     n_rows, total = rows.agg(F.count_if(~F.col("held_out")), F.count(F.lit(1))).first()
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, kinds = n_words + n_rows, distinct + (n_rows > 0)
-    base = written(base_sums(words_asked(rows), words, max(1, total // GROUP_TEXTS)), "lm-base")
+    top = sorted((r["word"] & (1 << 64) - 1, r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(COMMON_WORDS).collect())
+    common, often = np.array([w for w, _ in top], np.uint64), np.array([n for _, n in top], np.int64)
+    base = written(base_sums(words_asked(rows, common, often), words, max(1, total // GROUP_TEXTS)), "lm-base")
     drop_written(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -598,7 +610,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.select("id", "held_out", "text", "row_key").mapInArrow(run, f"id {kind}, held_out boolean, row_key long, n_tokens long, score double, bits_per_byte double")
     less = float(np.log10(float(tokens + kinds + 1)))
-    logs = F.coalesce("logs", F.lit(0.0)) + F.lit(float(np.log10(n_rows + 1.0))) - F.col("n_tokens") * F.lit(less)
-    return scored.join(base, "row_key", "left").select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.coalesce("known", F.lit(0)) + F.lit(int(n_rows > 0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), logs.alias("base_score"), "score", "bits_per_byte",
+    logs = F.col("logs") + F.lit(float(np.log10(n_rows + 1.0))) - F.col("n_tokens") * F.lit(less)
+    return scored.join(base, "row_key").select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.lit(int(n_rows > 0))).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), logs.alias("base_score"), "score", "bits_per_byte",
     )

@@ -57,6 +57,8 @@ def keys_of(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
 
 
 def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -7,8 +7,10 @@ quality weight, documents are taken by ascending key while the running sum of
 sizes is nearest to the rest.
 
 A source may hold a third of all rows, so its order is made in two steps: keys
-fall into equal slices of (0, 1), slices are summed and those sums prefix-summed
-per source, then rows are sorted within their slice only.
+fall into slices of equal ratio, of which none holds more than about a third of
+an octave's share whatever the weights are (a weight only moves the logarithm of
+a key), slices are summed and those sums prefix-summed per source, then rows are
+sorted within their slice only.
 
 Edge cases: null or empty texts have size 0 and weight 1.  A null source is a
 source of its own, last in the order.  Null ids are drawn as the empty id; rows
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Rows of a slice, on average; one slice is sorted in one task.
+#: Rows of a slice, about, at most (but for rows with one id, which share a key); one slice is sorted in one task.
 SLICE_ROWS = 2048
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,7 +76,7 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
 
 def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The columns ``keep`` with mix_size, mix_source_size, mix_target and mix_times (how often the mix holds the row)."""
-    n_slices = max(1, docs.select(F.lit(1)).count() // SLICE_ROWS)
+    per_octave = max(1, docs.select(F.lit(1)).count() // (4 * SLICE_ROWS))
     size = size_of(F.col(text_col))
     sized = docs.select(
         *keep,
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[
         size.alias("mix_size"),
         sample_key(F.col(id_col), quality_weight(F.col(text_col), size), seed).alias("mix_key"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"),
-    ).withColumn("mix_slice", F.least(F.floor((1 - F.exp(-F.col("mix_key"))) * n_slices), F.lit(n_slices - 1)).cast("long"))
+    ).withColumn("mix_slice", F.coalesce(F.floor(F.log2("mix_key") * per_octave), F.lit(-(1 << 62))).cast("long"))
     source = ["mix_none", "mix_source"]
     slices = sized.groupBy(*source, "mix_slice").agg(F.sum("mix_size").alias("mix_sum"))
     aims = targets(slices.groupBy(*source).agg(F.sum("mix_sum").alias("mix_source_size")), weights, share, cap)

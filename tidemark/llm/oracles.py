@@ -45,4 +45,29 @@ e AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor
 SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN 2 * upto - size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END) AS taken FROM e
 """
 
-ORACLES = {"op4_mixing": OP4, "op1_quality_rules": OP1}
+_REACH = """e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS node, a AS least FROM e UNION SELECT e.b, r.least FROM r JOIN e ON e.a = r.node AND r.least < e.b),
+c AS (SELECT node, min(least) AS least FROM r GROUP BY 1)"""
+
+OP8 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings),
+g AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+l AS (SELECT p.vec_id AS a, q.vec_id AS b FROM g p JOIN g q ON p.vec_id < q.vec_id AND len(p.x) = len(q.x) AND list_cosine_similarity(p.x, q.x) >= 0.9),
+{_REACH},
+n AS (SELECT a, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+"""
+
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+k AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS shared FROM s p JOIN s q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+{_REACH}
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c.least, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
+"""
+
+ORACLES = {"op4_mixing": OP4, "op1_quality_rules": OP1, "op8_embedding_dedup": OP8, "op10_minhash_dedup": OP10}
