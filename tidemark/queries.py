@@ -11,6 +11,7 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,14 +84,25 @@ for _name, _params, _where in [
     ("filter_le", {"column": "user_id", "operator": "<=", "value": 20}, "user_id <= 20"),
     ("filter_in", {"column": "event_type", "operator": "in", "value": ["view", "signup"]}, "event_type IN ('view', 'signup')"),
     ("filter_notin", {"column": "event_type", "operator": "notIn", "value": ["view", "signup"]}, "event_type NOT IN ('view', 'signup')"),
-    ("filter_isnull", {"column": "value", "operator": "isNull"}, "value IS NULL"),
     ("filter_isnotnull", {"column": "value", "operator": "isNotNull"}, "value IS NOT NULL"),
 ]:
     query(_name, f"SELECT * FROM events WHERE {_where}", "value", _E)(lambda s, d, p=_params: t(table(s, d, "events"), None, ("filter", p)).select(*_COLUMNS))
 
-query("sort_multi", "SELECT * FROM lineitem", "l_quantity l_extendedprice", "l_orderkey l_linenumber")(
-    lambda s, d: t(table(s, d, "lineitem"), None, ("sort", {"columns": ["l_extendedprice", "l_orderkey", "l_linenumber"], "ascending": False})).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-)
+_BY = ["l_extendedprice", "l_orderkey", "l_linenumber"]
+
+
+@query("sort_multi", f"SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, row_number() OVER (ORDER BY {', '.join(c + ' DESC' for c in _BY)}) - 1 AS position FROM lineitem", "l_quantity l_extendedprice", "l_orderkey l_linenumber position")
+def _sort(s, d):
+    """The rows with their places in the operator's own order: partition by partition, row by row."""
+    from .series import materialised
+
+    ordered = t(table(s, d, "lineitem"), None, ("sort", {"columns": _BY, "ascending": False})).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    placed = materialised(ordered.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)), "sorted")
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))  # a row per partition
+    return placed.join(F.broadcast(counts), "_part").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", (F.col("_id") - F.shiftleft(F.col("_part"), 33) + F.col("_before")).cast("long").alias("position"))
+
+
 query("clip", "SELECT l_orderkey, l_linenumber, least(greatest(l_quantity, 10), 40) AS l_quantity FROM lineitem", "l_quantity", "l_orderkey l_linenumber")(
     lambda s, d: t(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), None, ("clip", {"column": "l_quantity", "min": 10, "max": 40}))
 )
@@ -111,6 +123,7 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("t", F.when(~((i % 7).isin(3, 4) | (i < 2)), F.col("v")).alias("v"))
 
 
+query("filter_isnull", f"{HGAP} SELECT t FROM G WHERE v IS NULL", "", "t")(lambda s, d: t(gaps(s, d), None, ("filter", {"column": "v", "operator": "isNull"})).select("t"))
 _LAST = "last_value(v IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 _NEXT = "first_value(v IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 _RUN = "idx - last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -193,9 +206,9 @@ query("correlation_regression", f"{_REG} SELECT c / sqrt(vx * vy) AS correlation
 )
 query(
     "covariance_matrix",
-    " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) / 1.0 AS covariance, covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) AS correlation, count(*) AS rowCount FROM lineitem" for a in NUM[:3] for b in NUM[:3]),
-    "correlation", "a b rowCount",
-)(lambda s, d: f("covariance_matrix", table(s, d, "lineitem"), SeriesKey.of(()), columns=NUM[:3]).drop("covariance"))
+    " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_samp({a}, {b}), 3) AS covariance, covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) AS correlation, count(*) AS rowCount FROM lineitem" for a in NUM[:3] for b in NUM[:3]),
+    "covariance correlation", "a b rowCount",
+)(lambda s, d: f("covariance_matrix", table(s, d, "lineitem"), SeriesKey.of(()), columns=NUM[:3]).withColumn("covariance", F.round("covariance", 3)))
 query(
     "histogram",
     "WITH e AS (SELECT min(l_extendedprice) lo, (max(l_extendedprice) - min(l_extendedprice)) / 12 AS w FROM lineitem), b AS (SELECT CAST(least(floor((l_extendedprice - lo) / w), 11) AS INTEGER) AS bin, count(*) AS c FROM lineitem, e GROUP BY 1) "
@@ -317,7 +330,6 @@ query(
     "value", "idx",
 )(lambda s, d: f("resample", hourly(s, d), KEY_H, "values", column="v", mode="linear", sourceRate=4.0, targetRate=3.0))
 query("interpolate_linear", f"WITH {H} SELECT a.idx, a.idx + 0.5 AS query, (a.v + b.v) / 2 AS value FROM H a JOIN H b ON b.idx = a.idx + 1", "query value", "idx")(lambda s, d: f("interpolate", hourly(s, d), KEY_H, "values", column="v"))
-query("interpolate_spline")(lambda s, d: f("interpolate", hourly(s, d), KEY_H, "values", column="v", method="spline"))
 query(
     "seasonality",
     f"WITH {H}, a AS (SELECT *, count(*) OVER () n, avg(v) OVER (ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) x, avg(v) OVER (ORDER BY idx ROWS BETWEEN 11 PRECEDING AND 12 FOLLOWING) y FROM H), b AS (SELECT idx, v, CASE WHEN idx >= 12 AND idx < n - 12 THEN (x + y) / 2 END AS trend FROM a), "
@@ -370,20 +382,45 @@ query(
     "SELECT i + 1, l + b + n0 / (n0 + 1) * (v - l - b), b + n1 / (n0 + 1) * (v - l - b), (1 - n0 / (n0 + 1)) * n0, (1 - n0 / (n0 + 1)) * n1, n2 - n1 / (n0 + 1) * n1 FROM (SELECT *, p0 + 2 * p1 + p2 + 0.001 AS n0, p1 + p2 AS n1, p2 + 0.001 AS n2 FROM E) e JOIN H ON H.idx = e.i) SELECT i - 1 AS idx, l AS value FROM E WHERE i > 0",
     "value", "idx",
 )(lambda s, d: f("kalman_filter", hourly(s, d), KEY_H, "filtered", column="v"))
-_BQ = "WITH RECURSIVE {H}, E AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE x1, 0.0::DOUBLE x2, 0.0::DOUBLE y1, 0.0::DOUBLE y2 UNION ALL SELECT i + 1, v, x1, {b0} * v + {b1} * x1 + {b2} * x2 - ({a1}) * y1 - ({a2}) * y2, y1 FROM E JOIN H ON H.idx = E.i) SELECT i - 1 AS idx, y1 AS value FROM E WHERE i > 0"
+_B = {"lowpass": ("(1 - co) / 2", "1 - co", "(1 - co) / 2"), "highpass": ("(1 + co) / 2", "-(1 + co)", "(1 + co) / 2"), "bandpass": ("al", "0", "-al"), "notch": ("1", "-2 * co", "1")}
 
 
-def _biquad_sql(kind: str, rate: float, cutoff: float, q: float = 0.7071) -> str:
-    from .functions.kernels import biquad
+def _coefficients(name: str, kind: str, cutoff: float, q: str = "0.7071") -> str:
+    """A row b0, b1, b2, a1, a2 of the audio cookbook's formulas; ``cutoff`` in cycles a sample."""
+    b = ", ".join(f"CAST(({x}) / (1 + al) AS DOUBLE) AS b{k}" for k, x in enumerate(_B[kind]))
+    return f"{name} AS (SELECT {b}, -2 * co / (1 + al) AS a1, (1 - al) / (1 + al) AS a2 FROM (SELECT sin(2 * pi() * {cutoff}::DOUBLE) / (2 * {q}) AS al, cos(2 * pi() * {cutoff}::DOUBLE) AS co))"
 
-    b, a = biquad(kind, rate, cutoff, q)
-    return _BQ.format(H=H, **{f"b{k}": f"{b[k]!r}".replace("np.float64(", "").rstrip(")") + "::DOUBLE" for k in range(3)}, **{f"a{k}": f"{a[k]!r}".replace("np.float64(", "").rstrip(")") + "::DOUBLE" for k in (1, 2)})
 
+def _section(name: str, source: str, k: str) -> str:
+    """``name``: (idx, v) of ``source`` through the section ``k``."""
+    step = f"SELECT e.i + 1, h.v, e.x1, k.b0 * h.v + k.b1 * e.x1 + k.b2 * e.x2 - k.a1 * e.y1 - k.a2 * e.y2, e.y1 FROM {name}_e e JOIN {source} h ON h.idx = e.i, {k} k"
+    return f"{name}_e AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS x2, 0.0::DOUBLE AS y1, 0.0::DOUBLE AS y2 UNION ALL {step}), {name} AS MATERIALIZED (SELECT i - 1 AS idx, y1 AS v FROM {name}_e WHERE i > 0)"
 
+
+def _biquad_sql(kind: str, cutoff: float) -> str:
+    return f"WITH RECURSIVE {H}, {_coefficients('K', kind, cutoff)}, {_section('Y', 'H', 'K')} SELECT idx, v AS value FROM Y"
+
+
+_Q4 = ["(1 / (2 * sin(pi() / 8)))", "(1 / (2 * sin(3 * pi() / 8)))"]
+_TURN = "{0} AS MATERIALIZED (SELECT (SELECT max(idx) FROM {1}) - idx AS idx, v FROM {1})"
+_ZERO_PHASE = (
+    f"WITH RECURSIVE {H}, {_coefficients('K', 'lowpass', 0.05, _Q4[0])}, {_coefficients('L', 'lowpass', 0.05, _Q4[1])}, {_section('A', 'H', 'K')}, {_section('B', 'A', 'L')}, {_TURN.format('R', 'B')}, {_section('C', 'R', 'K')}, {_section('D', 'C', 'L')}, {_TURN.format('Z', 'D')} SELECT idx, v AS value FROM Z"
+)
+_LOCKIN = (
+    f"WITH RECURSIVE {_C}, {_coefficients('K', 'lowpass', 0.1 / 24)}, XC AS MATERIALIZED (SELECT idx, x * cos(2 * pi() * idx / 24.0) AS v FROM Z), XS AS MATERIALIZED (SELECT idx, x * sin(2 * pi() * idx / 24.0) AS v FROM Z), {_section('A', 'XC', 'K')}, {_section('B', 'A', 'K')}, {_section('C', 'XS', 'K')}, {_section('D', 'C', 'K')}, "
+    "m AS (SELECT avg(B.v) AS i, avg(D.v) AS q FROM B JOIN D USING (idx) WHERE idx >= (SELECT CAST(floor(max(n) * 0.5) AS BIGINT) FROM Z)) SELECT 2 * sqrt(i * i + q * q) AS amplitude, atan2(i, q) AS phase, i, q FROM m"
+)
+_SPLINE = (
+    f"WITH RECURSIVE {H}, n AS (SELECT max(idx) AS last FROM H), r AS MATERIALIZED (SELECT idx, 6 * (lead(v) OVER w - 2 * v + lag(v) OVER w) AS r FROM H WINDOW w AS (ORDER BY idx)), "
+    "F AS (SELECT 0::BIGINT AS i, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d UNION ALL SELECT i + 1, 1 / (4 - c), (r.r - d) / (4 - c) FROM F JOIN r ON r.idx = F.i + 1, n WHERE F.i + 1 < n.last), G AS MATERIALIZED (SELECT * FROM F), "
+    "M AS (SELECT last AS i, 0.0::DOUBLE AS m FROM n UNION ALL SELECT M.i - 1, G.d - G.c * M.m FROM M JOIN G ON G.i = M.i - 1) "
+    "SELECT a.idx, a.idx + 0.5 AS query, (p.m + q.m) * 0.125 / 6 + (a.v - p.m / 6) * 0.5 + (b.v - q.m / 6) * 0.5 AS value FROM H a JOIN H b ON b.idx = a.idx + 1 JOIN M p ON p.i = a.idx JOIN M q ON q.i = a.idx + 1"
+)
+query("interpolate_spline", _SPLINE, "query value", "idx")(lambda s, d: f("interpolate", hourly(s, d), KEY_H, "values", column="v", method="spline"))
 for _kind, _cut in [("lowpass", 0.05), ("highpass", 0.1), ("bandpass", 0.1), ("notch", 0.125)]:
-    query(f"biquad_{_kind}", _biquad_sql(_kind, 1.0, _cut), "value", "idx")(lambda s, d, k=_kind, c=_cut: f("digital_filter", hourly(s, d), KEY_H, "values", column="v", type=k, sampleRate=1.0, cutoff=c))
-query("biquad_zero_phase")(lambda s, d: f("digital_filter", hourly(s, d), KEY_H, "values", column="v", type="lowpass", sampleRate=1.0, cutoff=0.05, order=4, zeroPhase=True))
-query("lockin")(lambda s, d: f("lockin", centred(s, d), KEY_H, column="x", sampleRate=24.0, referenceFrequency=1.0))
+    query(f"biquad_{_kind}", _biquad_sql(_kind, _cut), "value", "idx")(lambda s, d, k=_kind, c=_cut: f("digital_filter", hourly(s, d), KEY_H, "values", column="v", type=k, sampleRate=1.0, cutoff=c))
+query("biquad_zero_phase", _ZERO_PHASE, "value", "idx")(lambda s, d: f("digital_filter", hourly(s, d), KEY_H, "values", column="v", type="lowpass", sampleRate=1.0, cutoff=0.05, order=4, zeroPhase=True))
+query("lockin", _LOCKIN, "amplitude phase i q")(lambda s, d: f("lockin", centred(s, d), KEY_H, column="x", sampleRate=24.0, referenceFrequency=1.0))
 
 # -- spectra ------------------------------------------------------------------------------------------------------------
 
@@ -423,12 +460,12 @@ query("harmonics")(lambda s, d: f("harmonics", centred(s, d), KEY_H, "harmonics"
 
 
 def uneven(s, d):
-    return table(s, d, "events").where("event_type = 'purchase' and user_id < 20").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600 - 473352).alias("x"), F.col("value").alias("y"))
+    return table(s, d, "events").select((F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600 - 473352).alias("x"), F.col("value").alias("y"))
 
 
 query(
     "lomb_scargle",
-    "WITH r AS (SELECT epoch_us(ts) / 1e6 / 3600 - 473352 AS t, value AS y0 FROM events WHERE event_type = 'purchase' AND user_id < 20), z AS (SELECT t, y0 - avg(y0) OVER () AS y, var_samp(y0) OVER () AS var FROM r), k AS (SELECT k, 0.01::DOUBLE + (0.2::DOUBLE - 0.01::DOUBLE) * k / 39 AS f FROM range(0, 40) q(k)), "
+    "WITH r AS (SELECT epoch_us(ts) / 1e6 / 3600 - 473352 AS t, value AS y0 FROM events), z AS (SELECT t, y0 - avg(y0) OVER () AS y, var_samp(y0) OVER () AS var FROM r), k AS (SELECT k, 0.01::DOUBLE + (0.2::DOUBLE - 0.01::DOUBLE) * k / 39 AS f FROM range(0, 40) q(k)), "
     "a AS (SELECT k, f, atan2(sum(sin(4 * pi() * f * t)), sum(cos(4 * pi() * f * t))) / (4 * pi() * f) AS tau FROM k, z GROUP BY k, f), b AS (SELECT k, f, sum(y * cos(2 * pi() * f * (t - tau))) yc, sum(pow(cos(2 * pi() * f * (t - tau)), 2)) cc, sum(y * sin(2 * pi() * f * (t - tau))) ys, sum(pow(sin(2 * pi() * f * (t - tau)), 2)) ss, max(var) var FROM a, z GROUP BY k, f) "
     "SELECT k AS idx, f AS frequency, (yc*yc/cc + ys*ys/ss) / (2 * var) AS power FROM b",
     "frequency power", "idx",
