@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash_dedup, mixing, pii, quality_rules, sentencepiece
+from tidemark.llm.common import drop_written, written
 from tidemark.llm.queries import tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -54,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """The stages over ``documents``; each one's rows are written to the shared folder and read back for the next."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, before, sf_dir), f"pipeline-{name}")
+        drop_written(before)  # of the tables made here; documents stay
+        before = docs
     return docs
