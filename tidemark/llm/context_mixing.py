@@ -218,7 +218,7 @@ def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits:
 
     here = (np.arange(size) < own[:, None]).reshape(n, size // STEP, STEP).transpose(1, 0, 2)
     before = [m[:, BACK - k : BACK - k + size] for k in range(1, 6)]
-    symbol = dealt(before[0].astype(np.int32) * 256 + m[:, BACK:])
+    symbol = dealt(before[0].astype(np.intp) * 256 + m[:, BACK:])
     near = dealt(before[0].astype(np.uint32) | before[1].astype(np.uint32) << np.uint32(8) | before[2].astype(np.uint32) << np.uint32(16) | before[3].astype(np.uint32) << np.uint32(24))
     columns = np.arange(m.shape[1] + 1, dtype=np.int32)
     start = np.zeros((n, m.shape[1] + 1), np.int32)
@@ -230,10 +230,10 @@ def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits:
     word = dealt((sums[:, BACK:-1] - np.take_along_axis(sums, start, axis=1)) * down[start])
     contexts = [near & np.uint32(0xFFFFFF), near * np.uint32(0x9E3779B1) ^ dealt(before[4]) * np.uint32(0x85EBCA6B), (tv.mix(word) >> np.uint64(32)).astype(np.uint32)]
     many = tree.length[symbol]
-    byte = np.repeat(np.arange(len(symbol), dtype=np.int32), many)
+    byte = np.repeat(np.arange(len(symbol)), many)  # indices of the machine's width are not copied
     until = np.cumsum(many, dtype=np.int32) - many
-    path = (symbol * np.int32(tree.place.shape[1]) - until)[byte]
-    path += np.arange(len(byte), dtype=np.int32)
+    path = (symbol * tree.place.shape[1] - until)[byte]
+    path += np.arange(len(byte))
     place = tree.place.ravel()[path]
     slots = []
     for k, (c, b) in enumerate(zip(contexts, bits)):
@@ -322,7 +322,7 @@ def learn(docs: DataFrame, tree: Tree, bits: tuple[int, ...]) -> list[np.ndarray
 
 
 def _states(s: Segment, tables: list[np.ndarray]) -> list[np.ndarray]:
-    return [table[slot] for table, slot in zip(tables, s.slots)]
+    return [table[slot.astype(np.intp)] for table, slot in zip(tables, s.slots)]
 
 
 def _mixed(state: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,8 +412,8 @@ def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, bits: tuple[int, ...
         bill = np.zeros(n)
         for s in segments(data, offsets, texts, tree, bits):
             x, gate = _mixed(_states(s, tables))
-            text = s.text[s.byte]
-            row = text * np.int32(GATES)
+            text = s.text.astype(np.intp)[s.byte]
+            row = text * GATES
             row += gate
             sign = s.bit.astype(np.float32) * np.float32(2) - np.float32(1)
             for a, b in zip(s.steps[:-1].tolist(), s.steps[1:].tolist()):
@@ -426,7 +426,7 @@ def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, bits: tuple[int, ...
                 np.clip(z, -12, 12, out=z)
                 miss = one / (1 + np.exp(one * z))  # bit - probability
                 first, count = int(text[a]) * GATES, (int(text[b - 1]) - int(text[a]) + 1) * GATES
-                near = at - np.int32(first)
+                near = at - first
                 for wk, xk in zip(w, xs):
                     wk[first : first + count] += np.float32(rate) * np.bincount(near, miss * xk, count).astype(np.float32)
                 # the last stage, text by text: decisions of a text are together
