@@ -55,10 +55,10 @@ class Engine:
         spec = self.specs.get(spec) if isinstance(spec, str) else spec
         if role is not None:
             self.policy.check(actor, role, "execute")
+        self.audit.add(actor, "run", spec.spec_id)
         job = Job(f"job-{uuid.uuid4().hex[:12]}", spec.spec_id, spec.version, mode, parameters={**spec.parameters, **(parameters or {})})
         self.jobs[job.job_id] = job
         self._move(job, "running")
-        self.audit.add(actor, "run", spec.spec_id)
         started = datetime.now()
         try:
             if mode == "streaming":
@@ -231,6 +231,8 @@ class Engine:
             extra |= {"modelVersion": o.parameters.get("modelVersion", spec.version), "performanceMetrics": o.parameters.get("performanceMetrics") or {"result": 1}}
             if not value:
                 raise EngineError("artifact.build_error", f'model "{o.name}" has no parameters')
+        elif o.type == "chart":
+            extra |= {"xAxis": {"label": o.index_field or "index", "type": "linear"}, "yAxis": {"label": o.field or "value", "type": "linear"}}
         elif o.type == "series" and not isinstance(value, (list, DataFrame)):
             value = [value]
         return Artifact(f"artifact-{uuid.uuid4().hex[:12]}", o.type, o.name, value, job.job_id, spec.spec_id, spec.version, list(o.parameters.get("tags", [])), extra=extra)
@@ -277,7 +279,8 @@ class Engine:
         Row-wise transforms run before the windows.  Rules on the source's own columns see every point of a
         micro-batch; rules on ``value``, where the source has no such column, see the windows' averages.
         """
-        source = self._read(spec.input_sources[0])
+        first = spec.input_sources[0]
+        source = merge.alias_columns(self.sources.subscribe(self.spark, first.source_type, first.query, first.filter), first.column_aliases)
         p = job.parameters
         if spec.transforms:
             stateful = {"sort", "fillna", "resample", "join"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -36,10 +36,19 @@ class Policy:
 
 @dataclass
 class AuditLog:
+    """``sink``: where entries are kept besides; an action whose entry can't be kept doesn't happen."""
+
     entries: list[dict] = field(default_factory=list)
+    sink: Callable[[dict], None] | None = None
 
     def add(self, actor: str, action: str, target: str) -> None:
-        self.entries.append({"time": datetime.now(timezone.utc), "actor": actor, "action": action, "target": target})
+        entry = {"time": datetime.now(timezone.utc), "actor": actor, "action": action, "target": target}
+        if self.sink is not None:
+            try:
+                self.sink(entry)
+            except Exception as e:
+                raise EngineError("governance.audit_failed", f"{action} of {target}: {e}") from e
+        self.entries.append(entry)
 
     def between(self, start: datetime, end: datetime) -> list[dict]:
         return [e for e in self.entries if start <= e["time"] <= end]
@@ -58,9 +67,13 @@ def _version(text: str) -> tuple[int, int, int]:
 
 
 def compatible(range_: str, version: str) -> bool:
-    """^1.2.0, or space-separated >=, >, <=, <, = conditions."""
-    v = _version(version)
-    for part in range_.split():
+    """^1.2.0, or space-separated >=, >, <=, <, = conditions; what is no version fits nothing."""
+    try:
+        v, parts = _version(version), range_.split()
+        [_version(part.lstrip("<>=^")) for part in parts]
+    except ValueError:
+        return False
+    for part in parts:
         op = next(o for o in (">=", "<=", "^", ">", "<", "=", "") if part.startswith(o))
         w = _version(part[len(op) :])
         ok = {">=": v >= w, "<=": v <= w, ">": v > w, "<": v < w, "=": v == w, "": v == w, "^": v >= w and v[0] == w[0]}[op]

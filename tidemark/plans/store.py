@@ -53,10 +53,19 @@ class KeyValueStore:
 
 
 class ArtifactStore:
-    def __init__(self):
+    """``kept``: a store outside to which every artifact goes as well; of a value that is a frame, its columns."""
+
+    def __init__(self, kept: KeyValueStore | None = None):
         self.by_id: dict[str, Artifact] = {}
+        self.kept = kept
 
     def save(self, a: Artifact) -> None:
+        if self.kept is not None:
+            value = {"columns": a.value.columns} if isinstance(a.value, DataFrame) else a.value
+            try:
+                self.kept.save(a.artifact_id, {"kind": a.kind, "name": a.name, "value": value, "jobId": a.job_id, "specId": a.spec_id, "specVersion": a.spec_version, "tags": a.tags, "createdAt": a.created_at.isoformat()})
+            except Exception as e:
+                raise EngineError("artifact.store_failed", f'"{a.name}": {e}') from e
         self.by_id[a.artifact_id] = a
 
     def get(self, artifact_id: str) -> Artifact:

@@ -13,6 +13,7 @@ from urllib.parse import parse_qsl, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import EngineError
 from ..operators.merge import TIME
@@ -20,6 +21,8 @@ from . import synthetic
 
 
 class SourceAdapter(Protocol):
+    """``available()`` and, for what can stream, ``subscribe(spark, query)`` may be there as well."""
+
     def query(self, spark: SparkSession, query: str) -> DataFrame: ...
 
 
@@ -163,6 +166,9 @@ class SyntheticSource:
     def query(self, spark: SparkSession, query: str) -> DataFrame:
         return synthetic.generate(spark, query)
 
+    def subscribe(self, spark: SparkSession, query: str) -> DataFrame:
+        return synthetic.stream(spark, query)
+
 
 @dataclass
 class TableSource:
@@ -181,10 +187,37 @@ class SourceRegistry:
     def register(self, kind: str, adapter: SourceAdapter) -> None:
         self.adapters[kind] = adapter
 
-    def read(self, spark: SparkSession, kind: str, query: str = "", where: str | None = None, time_range: tuple[Any, Any] | None = None) -> DataFrame:
+    def unregister(self, kind: str) -> None:
+        self.adapters.pop(kind, None)
+
+    def types(self) -> list[str]:
+        return list(self.adapters)
+
+    def available(self, kind: str) -> bool:
+        """Whether there is an adapter that says it can answer; one that says nothing can."""
+        return kind in self.adapters and bool(getattr(self.adapters[kind], "available", lambda: True)())
+
+    def _adapter(self, kind: str) -> SourceAdapter:
         if kind not in self.adapters:
-            raise EngineError("source.unavailable", f'no source of type "{kind}"')
-        df = self.adapters[kind].query(spark, query)
+            raise EngineError("source.unavailable", f'no source of type "{kind}"', details={"sourceType": kind, "available": self.types()})
+        if not self.available(kind):
+            raise EngineError("source.unavailable", f'the source "{kind}" is not available', details={"sourceType": kind})
+        return self.adapters[kind]
+
+    def schema(self, spark: SparkSession, kind: str, query: str = "") -> T.StructType:
+        """Columns and types of what a query gives; nothing is run that the reader needn't run for its schema."""
+        return self._adapter(kind).query(spark, query).schema
+
+    def subscribe(self, spark: SparkSession, kind: str, query: str = "", where: str | None = None) -> DataFrame:
+        """A streaming frame, from an adapter that can make one."""
+        adapter = self._adapter(kind)
+        df = adapter.subscribe(spark, query) if hasattr(adapter, "subscribe") else adapter.query(spark, query)
+        if not df.isStreaming:
+            raise EngineError("source.unavailable", f'the source "{kind}" does not stream', details={"sourceType": kind})
+        return df.where(where) if where else df
+
+    def read(self, spark: SparkSession, kind: str, query: str = "", where: str | None = None, time_range: tuple[Any, Any] | None = None) -> DataFrame:
+        df = self._adapter(kind).query(spark, query)
         if where:
             df = df.where(where)
         if time_range and TIME in df.columns:

@@ -80,8 +80,7 @@ def system(c: Mapping[str, Any]) -> tuple[np.ndarray, np.ndarray, np.ndarray, fl
     return a, b, out, _get(c, "d", 0.0), x0
 
 
-def generate(spark: SparkSession, spec: str | Mapping[str, Any]) -> DataFrame:
-    """``_timestamp``, ``value`` and, for an ensemble, ``value_p<k>``: the sum of the spec's components."""
+def _parsed(spec: str | Mapping[str, Any]) -> Mapping[str, Any]:
     if isinstance(spec, str):
         try:
             spec = json.loads(spec)
@@ -89,6 +88,36 @@ def generate(spark: SparkSession, spec: str | Mapping[str, Any]) -> DataFrame:
             raise _bad(f"the query must be a JSON spec: {e}") from e
     if not isinstance(spec, Mapping):
         raise _bad("the spec must be an object")
+    return spec
+
+
+def _stamp(rate: float) -> Column:
+    step = math.floor(1e6 / rate + 0.5)
+    return F.timestamp_micros(F.unix_micros(F.lit(EPOCH).cast("timestamp")) + F.col(INDEX) * step).alias("_timestamp")
+
+
+def stream(spark: SparkSession, spec: str | Mapping[str, Any]) -> DataFrame:
+    """The rows of ``generate`` as a stream, ``batchSize`` samples (100 if not given) to a micro-batch.
+
+    A sample depends on its index alone, so a restarted query gives the same rows. Models need what came before and
+    ensembles all runs: they don't stream. After the last sample micro-batches are empty.
+    """
+    spec = _parsed(spec)
+    n, rate = int(spec.get("samples", 1000)), _get(spec, "sampleRate", 1.0)
+    if not 0 < n <= MAX_SAMPLES:
+        raise _bad(f"samples must be 1 to {MAX_SAMPLES}")
+    parts = spec.get("components") or [{"kind": "constant", "level": 0.0}]
+    if spec.get("ensemble") or any(c.get("kind") in MODELS for c in parts):
+        raise _bad("models and ensembles don't stream")
+    numbers = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", int(spec.get("batchSize", 100))).load()
+    rows = numbers.select(F.col("value").alias(INDEX)).where(F.col(INDEX) < n)
+    t, seed = F.col(INDEX) / F.lit(rate), F.lit(int(spec.get("seed", 0))) + F.lit(0).cast("long")
+    return rows.select(_stamp(rate), sum((point(c, t, i, seed) for i, c in enumerate(parts)), F.lit(0.0)).alias("value"))
+
+
+def generate(spark: SparkSession, spec: str | Mapping[str, Any]) -> DataFrame:
+    """``_timestamp``, ``value`` and, for an ensemble, ``value_p<k>``: the sum of the spec's components."""
+    spec = _parsed(spec)
     n, rate, seed = int(spec.get("samples", 1000)), _get(spec, "sampleRate", 1.0), int(spec.get("seed", 0))
     if not 0 < n <= MAX_SAMPLES:
         raise _bad(f"samples must be 1 to {MAX_SAMPLES}")
@@ -123,8 +152,7 @@ def generate(spark: SparkSession, spec: str | Mapping[str, Any]) -> DataFrame:
             return pd.DataFrame({INDEX: pdf[INDEX], "run": pdf["run"], "value": total})
 
         rows = rows.groupBy("run").applyInPandas(simulate, f"{INDEX} long, run long, value double")
-    step = math.floor(1e6 / rate + 0.5)
-    stamp = F.timestamp_micros(F.unix_micros(F.lit(EPOCH).cast("timestamp")) + F.col(INDEX) * step).alias("_timestamp")
+    stamp = _stamp(rate)
     if not ensemble:
         return rows.select(stamp, "value")
     shares = [float(p) for p in ensemble.get("percentiles", [5, 50, 95]) if 0 <= p <= 100]
