@@ -52,7 +52,7 @@ def features(column: pa.Array) -> np.ndarray:
     words, lines, chars = np.maximum(m["n_words"], 1), np.maximum(m["n_lines"], 1), np.maximum(m["word_chars"], 1)
     distinct, digits, bars = [], [], []
     for _, _, c in tv.each(column, lower=True):
-        distinct.append(tv.distinct_per_doc(c.doc_of(), c.word_hash(), c.n_docs))
+        distinct.append(tv.distinct_per_doc(c.doc_of(), c.word_codes()[0], c.n_docs))
         digits.append(c.count(_DIGIT))
         bars.append(c.count(_BAR))
     distinct, digits, bars = (np.concatenate([np.zeros(0), *x]) for x in (distinct, digits, bars))

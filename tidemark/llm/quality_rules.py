@@ -68,7 +68,7 @@ DEFAULT_POLICY = "web@1"
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
     parts: list[list[np.ndarray]] = []
     for _, _, c in tv.each(column, lower=False):
-        n, docs, words = c.n_docs, c.doc_of(), c.word_hash()
+        n, docs, words = c.n_docs, c.doc_of(), c.word_codes()[0]
         newline = np.flatnonzero(c.data == _NEWLINE)
         begin = np.unique(np.concatenate([c.off[:-1], newline + 1]))
         # a newline that ends a document opens an empty line, which has no word and is left out
@@ -79,15 +79,17 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         has_word = np.searchsorted(c.starts, end) > np.searchsorted(c.starts, begin)
         begin, end, line_doc = begin[has_word], end[has_word], line_doc[has_word]
         n_lines = np.bincount(line_doc, minlength=n)
-        distinct = tv.distinct_per_doc(line_doc, c.span_hash(begin, end), n)
+        distinct = tv.distinct_per_doc(line_doc, c.codes(begin, end)[0], n)
         covered = np.zeros(len(words) + 2, bool)
-        grams = tv.gram_hash(words, 3)
-        if len(grams):
-            whole = docs[: len(grams)] == docs[2 : 2 + len(grams)]
-            at = np.flatnonzero(whole)
-            salted = tv.mix(grams[at] + docs[at].astype(np.uint64) * np.uint64(0xC4CEB9FE1A85EC53))
-            order = np.argsort(salted)
-            ranked = salted[order]
+        if len(words) >= 3:
+            at = np.flatnonzero(docs[:-2] == docs[2:])
+            size = int(words.max()) + 1
+            pair = words[at] * size + words[at + 1]
+            pair = pair if size <= 1 << 20 else tv.dense(pair)  # below 2**40 either way
+            gram = tv.dense(pair << 20 | words[at + 2] if size <= 1 << 20 else pair * size + words[at + 2])
+            key = gram * n + docs[at]
+            order = np.argsort(key)
+            ranked = key[order]
             same = ranked[1:] == ranked[:-1]
             twice = np.zeros(len(at), bool)
             twice[order[1:][same]] = True

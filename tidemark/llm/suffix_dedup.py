@@ -10,7 +10,7 @@ windows with one anchor form a run.  Runs fall into buckets by their anchor's
 gram; a bucket of one run holds no repeat and is left out.
 
 Refinement.  Within a bucket, equal runs are told by their whole content (its
-length and 128 bits of two independent hashes): all but the first are repeats
+length and a 128-bit digest): all but the first are repeats
 from end to end.  First runs of buckets with several
 contents go on with their bytes.  There, windows start in buckets by their
 first eight bytes and are refined by sorting on the pair (own bucket, bucket of
@@ -37,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +55,13 @@ HELD_BYTES = 1 << 20
 HELD_WINDOWS = 50_000
 
 
-def runs(c: tv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(gram hash, two content hashes, document, first window, windows) of each run of the chunk."""
+def runs(c: tv.Chunk, length: int = LENGTH, gram: int = GRAM, content: bool = True) -> tuple[np.ndarray, ...]:
+    """(gram hash, two content hashes, document, first window, windows) of each run of the chunk; or the gram hash alone."""
     n, none = len(c.data), np.zeros(0, np.int64)
     if n < length:
         return none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), none, none, none
     at = np.arange(n - gram + 1)
-    hashes = c.span_hash(at, at + gram)
+    hashes = c.rolling(gram)
     bits = np.uint64((1 << max(20, n.bit_length())) - 1)
     least = (hashes & ~bits) | at.astype(np.uint64)
     width, k = length - gram + 1, 1
@@ -81,8 +82,18 @@ def runs(c: tv.Chunk, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarra
     first, count = window[start], np.diff(np.append(start, len(window)))
     doc = np.searchsorted(c.off, first, "right") - 1
     gram_hash, ends = hashes[anchor[start]], first + count - 1 + length
+    if not content:
+        return (gram_hash,)
     del hashes, least, edge, window, anchor, new
-    return gram_hash, c.span_hash(first, ends), c.second_hash(first, ends), doc, first - c.off[doc], count
+    return gram_hash, *_contents(c, first, ends), doc, first - c.off[doc], count
+
+
+def _contents(c: tv.Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each span's digest."""
+    raw = memoryview(c.padded)
+    found = b"".join(xxhash.xxh3_128_digest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist()))
+    pair = np.frombuffer(found, np.uint64).reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
 
 
 def _batch(columns: list, names: list[str]) -> pa.RecordBatch:
@@ -102,7 +113,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             for _, _, c in tv.each(b.column(0), lower=False):
-                held.append(runs(c)[0])
+                held.append(runs(c, content=False)[0])
                 if sum(map(len, held)) >= HELD_RUNS:
                     yield out()
         yield out()
@@ -136,8 +147,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 def _window_keys(data: bytes) -> np.ndarray:
     c = tv.Chunk(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False)
-    at = np.arange(len(data) - LENGTH + 1)
-    return c.span_hash(at, at + LENGTH).view(np.int64)
+    return c.rolling(LENGTH).view(np.int64)
 
 
 def bucket_bytes(texts: DataFrame, wanted: DataFrame, hot_contents: int = HOT) -> DataFrame:

@@ -5,12 +5,17 @@ documents.  Words are maximal runs of bytes other than the six ASCII white
 space bytes (``[^\\x20\\x09-\\x0D]+``); since every byte of a multi-byte UTF-8
 character is above 0x7F, byte runs and code point runs are the same.
 
-Hashes are 64-bit: a position-weighted sum of random byte values modulo 2**64
-(one cumulative sum serves every substring of the chunk), then a finalizer.
+A span's hash takes its bytes eight at a time through a finalizer, in two lanes
+of 64 bits; spans above ``LONG`` bytes take a cryptographic digest.  Where a
+result must not rest on hashes at all, ``Chunk.codes`` compares the bytes of
+spans whose hashes agree.  ``Chunk.rolling`` hashes the windows of one width at
+every byte, modulo 2**64; unequal windows may share such a hash, so it only
+deals into buckets whose content is compared afterwards.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +24,9 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer document forms a chunk of its own.
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_2 = np.uint64(0xA24BAED4963EE407)
+_LANE = np.uint64(0xA24BAED4963EE407)
+#: Bytes from which a span's hash is a digest of its own.
+LONG = 64
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
@@ -40,21 +47,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_powers: tuple[np.ndarray, np.ndarray] = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
-def _pow(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """At least the first ``n`` powers of ``base`` and of its inverse, modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
+def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``n`` powers of the base and of its inverse, modulo 2**64."""
+    global _powers
+    have = _powers
+    if len(have[0]) < n:
         made = []
-        for step in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+        for step in (_BASE, np.uint64(pow(int(_BASE), -1, 1 << 64))):
             steps = np.full(max(n, CHUNK_BYTES + 1), step, np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps))
         have = made[0], made[1]
         if n <= 4 * CHUNK_BYTES:  # those of a longer text are not kept
-            _powers[int(base)] = have
+            _powers = have
     return have[0][:n], have[1]
 
 
@@ -81,11 +90,15 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 class Chunk:
-    """Words of some documents: ``starts``/``ends`` byte positions; ``first[d]`` the index of document d's first word."""
+    """Words of some documents: ``starts``/``ends`` byte positions; ``first[d]`` the index of document d's first word.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    With ``lower`` the letters A-Z count as a-z in every hash and comparison; ``data`` stays as it is.  ``is_word``
+    holds for the bytes that words are made of.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, is_word: np.ndarray = IS_WORD):
         self.data, self.off = data, offsets - offsets[0]
-        word = IS_WORD[data]
+        word = is_word[data]
         self.is_word = word
         before = np.empty_like(word)
         if len(word):
@@ -103,7 +116,7 @@ class Chunk:
         self.ends = np.flatnonzero(word & ~after) + 1
         self.first = np.searchsorted(self.starts, self.off)
         self.lower = lower
-        self._sums: np.ndarray | None = None
+        self._padded: np.ndarray | None = None
 
     @property
     def n_docs(self) -> int:
@@ -118,32 +131,80 @@ class Chunk:
         return np.repeat(np.arange(self.n_docs), np.diff(first))
 
     @property
-    def sums(self) -> np.ndarray:
-        if self._sums is None:
-            values = BYTE_VALUE[LOWER] if self.lower else BYTE_VALUE
-            weighted = values[self.data]
-            weighted *= _pow(len(weighted))[0]
-            out = np.empty(len(weighted) + 1, np.uint64)
-            out[0] = 0
-            np.cumsum(weighted, out=out[1:])
-            self._sums = out
-        return self._sums
+    def padded(self) -> np.ndarray:
+        """The bytes as they count, and eight zeros."""
+        if self._padded is None:
+            self._padded = np.zeros(len(self.data) + 8, np.uint8)
+            self._padded[: len(self.data)] = LOWER[self.data] if self.lower else self.data
+        return self._padded
+
+    def _eight(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Up to eight bytes from each position, as one number."""
+        every = np.ndarray((len(self.data) + 1,), "<u8", self.padded, strides=(1,))
+        return every[at] & _KEEP[np.minimum(left, 8)]
+
+    def lanes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that tell the bytes of each span."""
+        size = ends - starts
+        block = self._eight(starts, size)
+        a = mix(block + size.astype(np.uint64) * _BASE)
+        b = mix(block * _LANE ^ size.astype(np.uint64))
+        alive, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(alive):
+            block = self._eight(starts[alive] + k, size[alive] - k)
+            a[alive] = mix(a[alive] * _BASE ^ block)
+            b[alive] = mix(b[alive] + block * _LANE)
+            k += 8
+            alive = alive[size[alive] > k]
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            raw = memoryview(self.padded)
+            found = b"".join(hashlib.blake2b(raw[s:e], digest_size=16).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist()))
+            a[long], b[long] = np.frombuffer(found, np.uint64).reshape(-1, 2).T
+        return a, b
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hash of each byte span."""
-        sums = self.sums
-        down = _pow(len(self.data) + 1)[1]
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-    def second_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of each byte span that owes nothing to ``span_hash``: other byte values, another base."""
-        weighted = (mix(BYTE_VALUE) | np.uint64(1))[self.data] * _pow(len(self.data) + 1, _BASE_2)[0][: len(self.data)]
-        sums = np.append(np.uint64(0), np.cumsum(weighted))
-        return mix((sums[ends] - sums[starts]) * _pow(len(self.data) + 1, _BASE_2)[1][starts])
+        a, b = self.lanes(starts, ends)
+        return mix(a ^ (b >> np.uint64(7)) * _M1)
 
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.starts, self.ends)
 
+    def codes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code of each span, a span of each code): codes are equal exactly where the bytes are."""
+        _, at, code = np.unique(self.span_hash(starts, ends), return_index=True, return_inverse=True)
+        other = at[code]
+        size = ends - starts
+        same = size == size[other]
+        alive, k = np.flatnonzero(same & (other != np.arange(len(other)))), 0
+        while len(alive) and k <= LONG:
+            left = size[alive] - k
+            equal = self._eight(starts[alive] + k, left) == self._eight(starts[other[alive]] + k, left)
+            same[alive[~equal]] = False
+            k += 8
+            alive = alive[equal & (left > 8)]
+        raw = memoryview(self.padded)
+        for i in alive.tolist():
+            j = int(other[i])
+            same[i] = raw[starts[i] : ends[i]] == raw[starts[j] : ends[j]]
+        if not same.all():  # unequal spans of one hash: by the bytes themselves
+            found: dict[bytes, int] = {}
+            code = np.fromiter((found.setdefault(bytes(raw[s:e]), len(found)) for s, e in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+            at = np.unique(code, return_index=True)[1]
+        return code, at
+
+    def word_codes(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.codes(self.starts, self.ends)
+
+    def rolling(self, width: int) -> np.ndarray:
+        """A bucket number for the ``width`` bytes from each position; equal bytes share it, unequal ones may."""
+        data = self.padded[: len(self.data)]
+        up, down = _pow(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
+        return mix((sums[width:] - sums[:-width]) * down[: max(0, len(data) - width + 1)])
+
     def count(self, table: np.ndarray) -> np.ndarray:
         """Per document: bytes for which ``table`` holds."""
         total = np.zeros(len(self.data) + 1, np.int64)
@@ -151,10 +212,10 @@ class Chunk:
         return np.diff(total[self.off])
 
 
-def each(column: pa.Array, lower: bool, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Chunk]]:
+def each(column: pa.Array, lower: bool, limit: int = CHUNK_BYTES, is_word: np.ndarray = IS_WORD) -> Iterator[tuple[int, int, Chunk]]:
     data, offsets = flat(column)
     for a, b in chunks(offsets, limit):
-        yield a, b, Chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1], lower)
+        yield a, b, Chunk(data[offsets[a] : offsets[b]], offsets[a : b + 1], lower, is_word)
 
 
 _WEIGHTS = mix(np.arange(11, 43, dtype=np.uint64)) | np.uint64(1)
@@ -171,13 +232,13 @@ def gram_hash(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
-def distinct_per_doc(docs: np.ndarray, keys: np.ndarray, n_docs: int) -> np.ndarray:
-    """Distinct keys of each document; ``docs`` ascend."""
-    if not len(keys):
+def distinct_per_doc(docs: np.ndarray, codes: np.ndarray, n_docs: int) -> np.ndarray:
+    """Distinct codes (from ``Chunk.codes``) of each document."""
+    if not len(codes):
         return np.zeros(n_docs, np.int64)
-    salted = mix(keys + docs.astype(np.uint64) * _M1)
-    order = np.argsort(salted)
-    mixed = salted[order]
-    fresh = np.ones(len(mixed), bool)
-    fresh[1:] = mixed[1:] != mixed[:-1]
-    return np.bincount(docs[order[fresh]], minlength=n_docs)
+    size = int(codes.max()) + 1
+    return np.bincount(np.unique(docs * size + codes) // size, minlength=n_docs)
+
+
+def dense(codes: np.ndarray) -> np.ndarray:
+    return np.unique(codes, return_inverse=True)[1]

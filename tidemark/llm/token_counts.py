@@ -63,7 +63,7 @@ def word_separable(path: str) -> bool:
 
 class Counter:
     def __init__(self, path: str):
-        self.by_word: dict[int, int] = {}
+        self.by_word: dict[bytes, int] = {}
         self.by_piece: dict[str, int] = {}
         self.separable = word_separable(path)
         if path.endswith(".json"):
@@ -101,17 +101,14 @@ class Counter:
             return np.array([n for a in range(0, len(texts), 16) for n in self.lengths(texts[a : a + 16])], np.int64)
         out = [np.zeros(0, np.int64)]
         for _, _, c in tv.each(column, lower=False):
-            keys, at, where = np.unique(c.word_hash(), return_index=True, return_inverse=True)
-            if len(self.by_word) + len(keys) > REMEMBERED:
+            where, at = c.word_codes()
+            if len(self.by_word) + len(at) > REMEMBERED:
                 self.by_word.clear()
-            ks = keys.tolist()
-            missing = [i for i, k in enumerate(ks) if k not in self.by_word]
-            if missing:
-                raw = c.data.tobytes()
-                spans = zip(c.starts[at[missing]].tolist(), c.ends[at[missing]].tolist())
-                found = self._words([raw[s:e].decode() for s, e in spans])
-                self.by_word.update(zip((ks[i] for i in missing), found))
-            each = np.fromiter((self.by_word[k] for k in ks), np.int64, len(ks))
+            raw = c.data.tobytes()
+            words = [raw[s:e] for s, e in zip(c.starts[at].tolist(), c.ends[at].tolist())]
+            missing = [w for w in words if w not in self.by_word]
+            self.by_word.update(zip(missing, self._words([w.decode() for w in missing])))
+            each = np.fromiter((self.by_word[w] for w in words), np.int64, len(words))
             total = np.concatenate([[0], np.cumsum(each[where])])
             out.append(total[c.first[1:]] - total[c.first[:-1]])
         return np.concatenate(out)
