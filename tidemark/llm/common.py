@@ -8,7 +8,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = {"spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true"}
 
@@ -25,7 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/tidemark-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -64,3 +66,60 @@ def drop_written(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Ids that share a key in one row, at most.
+PACK = 4096
+#: Rows that a task holds to bring the ids of one key together.
+HELD_ROWS = 1 << 17
+
+
+def packed_ids(rows: DataFrame) -> DataFrame:
+    """(key binary, id) as (key, ids): each task brings ids of one key together, so that a key of very many rows makes few.
+
+    ``explode`` gives the rows back; an id may be null, a key may not.
+    """
+    names = rows.columns
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        code = whole.column(0).combine_chunks().dictionary_encode()
+        order = np.argsort(code.indices.to_numpy(), kind="stable")
+        ranked = code.indices.to_numpy()[order]
+        first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        within = np.arange(len(ranked)) - np.repeat(first, np.diff(np.append(first, len(ranked))))
+        start = np.flatnonzero(within % PACK == 0)
+        ids = pa.ListArray.from_arrays(pa.array(np.append(start, len(ranked)), pa.int32()), whole.column(1).combine_chunks().take(pa.array(order)))
+        return pa.RecordBatch.from_arrays([code.dictionary.take(pa.array(ranked[start])), ids], names=["key", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= HELD_ROWS:
+                yield packed(held)
+                held.clear()
+        if held:
+            yield packed(held)
+
+    return rows.mapInArrow(run, f"key binary, ids array<{rows.schema[names[1]].dataType.simpleString()}>")
+
+
+def ranked(rows: DataFrame, *order: Column, name: str = "ranked") -> DataFrame:
+    """Adds ``place``, 1, 2, 3 ... in the order given: ranges are sorted apart, then their sizes are summed.
+
+    The rows are written once, as another run could cut the ranges elsewhere; the sizes are a row per range.
+    """
+    spark = rows.sparkSession
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, name)
+    sizes = placed.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    before, upto = [], 0
+    for r in sizes:
+        before.append((r["_range"], upto))
+        upto += r["n"]
+    starts = spark.createDataFrame(before, "_range long, _before long")
+    out = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts), "_range")
+    place = F.col("_before") + F.col("_at") - F.shiftleft(F.col("_range"), 33) + 1
+    return out.withColumn("place", place).drop("_range", "_before", "_at")

@@ -70,4 +70,52 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, c
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id
 """
 
-ORACLES = {"op4_mixing": OP4, "op1_quality_rules": OP1, "op8_embedding_dedup": OP8, "op10_minhash_dedup": OP10}
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS target FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id IS DISTINCT FROM target AND target IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM target THEN target END AS refers_to FROM m
+"""
+
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS p FROM d)),
+g AS (SELECT lang, k, ws[i:i + k - 1] AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS z(k) WHERE len(ws) >= k)),
+t AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+f AS (SELECT lang, k, g, CAST(count(*) AS BIGINT) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT f.lang, f.k, f.g, f.f AS a, cut, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * f.f) // (x.f + y.f) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1) f JOIN f x ON x.lang = f.lang AND x.g = f.g[1:cut] JOIN f y ON y.lang = f.lang AND y.g = f.g[cut + 1:]),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+i AS (SELECT lang, g[s:s + n - 1] AS g, max(f) AS f FROM (SELECT *, unnest(range(1, k - n + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS n FROM f WHERE k > 2)) GROUP BY ALL),
+o AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g WHERE i.f IS NULL OR 100 * i.f < 80 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang)
+QUALIFY rank <= 2000
+"""
+
+_CRC = "list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT))), lambda c, x: " + "({})" + ")"
+_STEP = "xor({0} >> 1, 3988292384 * ({0} & 1))"
+
+
+def _crc_sql() -> str:
+    """CRC-32 of the bytes that the hexadecimal text h spells: the table's entry of each low byte, then eight bits on."""
+    return "xor(" + _CRC.format("xor(c >> 8, crc[1 + xor(c & 255, x)])") + ", 4294967295)"
+
+
+OP13 = rf"""
+WITH RECURSIVE e AS (SELECT b, 0 AS s, CAST(b AS BIGINT) AS v FROM range(256) z(b) UNION ALL SELECT b, s + 1, {_STEP.format('v')} FROM e WHERE s < 8),
+tab AS (SELECT list(v ORDER BY b) AS crc FROM e WHERE s = 8),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+k AS (SELECT w, {_crc_sql()} % 10000 AS bucket FROM (SELECT w, lower(hex(encode(w))) AS h, crc FROM (SELECT w FROM dw UNION SELECT w FROM q), tab)),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN k USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM q JOIN k USING (w) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000) AS DOUBLE) / CAST((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+v AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN k USING (w) JOIN g USING (bucket) GROUP BY 1),
+x AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN v USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM x WHERE n_features >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)
+"""
+
+ORACLES = {"op4_mixing": OP4, "op1_quality_rules": OP1, "op8_embedding_dedup": OP8, "op10_minhash_dedup": OP10, "op11_warc": OP11, "op12_phrase_mining": OP12, "op13_importance_resampling": OP13}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, embedding_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts
-from .common import table
+from . import context_mixing, embedding_dedup, importance_resampling, minhash_dedup, mixing, phrase_mining, pii, quality_classifier, quality_rules, sentencepiece, suffix_dedup, token_counts, warc
+from .common import shared_dir, table
 from .oracles import ORACLES
 
 
@@ -66,8 +67,22 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    back = warc.read(warc.write(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"))
+    return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents", "lang", "text"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op4_mixing, op5_token_counts, op6_suffix_dedup, op7_context_mixing, op8_embedding_dedup, op9_pii, op10_minhash_dedup]
+    every = [op1_quality_rules, op2_quality_classifier, op3_sentencepiece, op4_mixing, op5_token_counts, op6_suffix_dedup, op7_context_mixing, op8_embedding_dedup, op9_pii, op10_minhash_dedup, op11_warc, op12_phrase_mining, op13_importance_resampling]
     return {f.__name__: f for f in every}
 
 
