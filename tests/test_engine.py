@@ -132,32 +132,6 @@ def test_alert_rules_share_one_query(spark):
     assert got == {"a": (True, 58.0), "b": (False, 54.0), "c": (True, 0.5), "d": (False, None), "e": (False, 59.0)}
 
 
-def test_window_state_equals_rescans():
-    rng = random.Random(11)
-    w, seen, top = windows.WindowState(50.0), [], None
-    for i in range(3000):
-        t, v = i * 0.137 + rng.uniform(-3, 0), rng.uniform(-5, 5)
-        top = t if top is None else max(top, t)
-        w.add(t, v)
-        seen.append((t, v))
-        if i % 100 == 0:
-            live = [v for t, v in w.points]
-            assert w.aggregate("sum") == pytest.approx(sum(live), abs=1e-8) and w.aggregate("max") == max(live) and w.aggregate("min") == min(live)
-    w = windows.WindowState(10, "tumbling")
-    assert [w.add(t, 1) for t in (1, 5, 11, 9, 12)] == [True, True, True, False, True] and w.late == 1 and w.aggregate("count") == 2
-    w = windows.WindowState(100, max_points=3)
-    for t in range(5):
-        w.add(t, t)
-    assert (w.overflow, w.aggregate("sum")) == (2, 9)
-
-
-def test_reorder_buffer():
-    r = windows.ReorderBuffer(5)
-    out = [x for t in (10, 8, 12, 16, 9, 20) for x in r.add(t, t)]
-    assert [t for t, _ in out] == [8, 10, 12] and r.late == 1
-    assert [t for t, _ in r.flush()] == [16, 20]
-
-
 def test_stream_equals_batch(spark, tmp_path, engine):
     t0 = datetime(2024, 1, 1)
     rows = [(t0 + timedelta(seconds=10 * i), float(i % 7)) for i in range(200)]

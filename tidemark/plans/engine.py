@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durations import seconds
 from ..errors import EngineError
 from ..functions.base import Result
 from ..functions.registry import Registry
 from ..operators import merge
 from ..operators.transforms import TransformPipeline, time_column
-from ..series import INDEX, SeriesKey, materialised
+from ..series import INDEX, SeriesKey, materialised, shared_dir
 from ..sources.registry import SourceRegistry, with_retry
-from ..streaming import windows
-from ..streaming.alerts import Publisher, Rule, evaluate_frame, parse
+from ..streaming import stateful
+from ..streaming.alerts import Condition, Publisher, Rule, evaluate_frame, parse
 from .governance import AuditLog, Policy
 from .model import MOVES, Artifact, InputSource, Job, OutputDef, Spec, StepInput, validate
 from .store import ArtifactStore, SpecStore
@@ -94,22 +95,19 @@ class Engine:
     def cancel(self, job_id: str) -> Job:
         job = self.job(job_id)
         if job.handle is not None:
+            self._move(job, "canceled")
             job.handle.stop()
-            if job.watch is not None:
-                job.watch.stop()
         else:
             self.spark.sparkContext.cancelJobGroup(job_id)
-        self._move(job, "canceled")
+            self._move(job, "canceled")
         return job
 
     def job(self, job_id: str) -> Job:
         if job_id not in self.jobs:
             raise EngineError("job.not_found", f'no job "{job_id}"')
         job = self.jobs[job_id]
-        broken = job.handle.exception() if job.handle is not None and job.status == "running" else None
-        if broken is not None:
-            job.errors.append({"code": "stream.error", "message": str(broken).strip().split("\n")[0][:500]})
-            self._move(job, "failed")
+        if job.handle is not None and job.status == "running" and not job.handle.isActive:
+            job.watch.join()
         return job
 
     def _move(self, job: Job, status: str) -> None:
@@ -274,45 +272,34 @@ class Engine:
     # -- streams --------------------------------------------------------------------------------------------------------
 
     def _stream(self, spec: Spec, job: Job) -> None:
-        """A running query: windows per micro-batch, artifacts per trigger, alert rules.
+        """One running query for the source: windows as keyed state, artifacts per trigger, rules over the windows' points.
 
-        Row-wise transforms run before the windows.  Rules on the source's own columns see every point of a
-        micro-batch; rules on ``value``, where the source has no such column, see the windows' averages.
+        Row-wise transforms run before the windows.  A rule's column is one of the source's; ``value``, where the source
+        has no such column, is the window's value.  With ``availableNow`` the job ends with the stream.
         """
         first = spec.input_sources[0]
         source = merge.alias_columns(self.sources.subscribe(self.spark, first.source_type, first.query, first.filter), first.column_aliases)
         p = job.parameters
         if spec.transforms:
-            stateful = {"sort", "fillna", "resample", "join"}
+            whole_series = {"sort", "fillna", "resample", "join"}
             for t in spec.transforms:
-                if t.name in stateful and not (t.name == "fillna" and t.parameters.get("method", "value") == "value"):
+                if t.name in whole_series and not (t.name == "fillna" and t.parameters.get("method", "value") == "value"):
                     raise EngineError("transform.parameter_error", f'"{t.name}" needs the whole series and can\'t run on a stream', step=f"transform:{t.name}")
             source = self.transforms.run(source, [(t.name, t.parameters) for t in spec.transforms], self._key(source, spec))
         ts = p.get("timestampColumn") or time_column(source)
         value = p.get("valueColumn") or next(f.name for f in source.schema if isinstance(f.dataType, T.NumericType))
-        made = windows.stream_windows(source, ts, value, p.get("windowSize", "5m"), p.get("windowKind", "sliding"), p.get("maxWindowPoints"), p.get("allowedLateness"), p.get("keyColumn"))
         rules = self._rules(spec)
-
-        def column_in(r: Rule) -> bool:
-            try:
-                return parse(r.condition).column in source.columns
-            except EngineError:
-                return False
-
-        on_points = [r for r in rules if column_in(r)]
-        rules = [r for r in rules if r not in on_points]
-        hooks = {r.rule_id: r.action_hook for r in [*rules, *on_points]}
-
-        def points(batch: DataFrame, number: int) -> None:
-            for a in evaluate_frame(batch, on_points, [ts], self.clock() if self.clock else None).collect():  # a row per rule
-                if a["triggered"]:
-                    self.publisher.send(a.asDict(), hooks[a["ruleId"]])
+        hooks = {r.rule_id: r.action_hook for r in rules}
+        shape = stateful.shape_of(p.get("windowSize", "5m"), p.get("windowKind", "sliding"), p.get("maxWindowPoints"), p.get("allowedLateness"), [self._condition(job, r) for r in rules], self.clock().timestamp() if self.clock else None)
+        made = stateful.stream_windows(source, ts, value, shape, p.get("keyColumn"))
 
         def each(batch: DataFrame, number: int) -> None:
-            states = self._rows(batch)
+            batch = batch.persist()  # artifacts and alerts read it
+            own = batch.drop("alerts")
+            states = self._rows(own)
             if states is None:  # the batch ends with its trigger: its table stays
-                batch = materialised(batch, "stream-batch")
-            for state in [batch] if states is None else states:
+                own = materialised(own, "stream-batch")
+            for state in [own] if states is None else states:
                 for o in spec.outputs:
                     if o.source_key in ("windowState", "pointCount", "lateDropped", "overflowDropped"):
                         whole = o.source_key == "windowState"
@@ -321,17 +308,39 @@ class Engine:
                         self.artifacts.save(art)
                         job.artifact_ids.append(art.artifact_id)
             if rules:
-                frame = batch.withColumn("value", F.col("avg"))
-                for a in evaluate_frame(frame, rules, ["windowEnd"]).collect():
-                    if a["triggered"]:
-                        self.publisher.send(a.asDict(), hooks[a["ruleId"]])
-
-        if on_points:
-            watch = source.writeStream.foreachBatch(points)
-            watch = watch.option("checkpointLocation", f"{p['checkpointLocation'].rstrip('/')}-points") if p.get("checkpointLocation") else watch
-            job.watch = (watch.trigger(availableNow=True) if p.get("availableNow") else watch).start()
-        writer = made.writeStream.outputMode("update").foreachBatch(each)
-        if p.get("checkpointLocation"):
-            writer = writer.option("checkpointLocation", p["checkpointLocation"])
-        writer = writer.trigger(availableNow=True) if p.get("availableNow") else writer.trigger(processingTime=p.get("emitInterval", "1 minute").replace("m", " minutes") if p.get("emitInterval", "")[-1:] == "m" else "1 minute")
-        job.handle = writer.start()
+                for a in batch.select("series", F.explode("alerts").alias("a")).where("a.triggered").toLocalIterator():
+                    r = rules[a["a"]["rule"]]
+                    self.publisher.send({"ruleId": r.rule_id, "severity": r.severity, "condition": r.condition, "triggered": True, "value": a["a"]["value"], "at": a["a"]["at"], "series": a["series"]}, hooks[r.rule_id])
+            batch.unpersist()
+
+        place = p.get("checkpointLocation") or f"{shared_dir(self.spark)}/stream-{job.job_id}"
+        writer = made.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", place)
+        writer = writer.trigger(availableNow=True) if p.get("availableNow") else writer.trigger(processingTime=f"{seconds(p.get('emitInterval') or '1m', 60)} seconds")
+        with stateful.state_store(self.spark):
+            job.handle = writer.start()
+
+        def ended() -> None:
+            """What still waits at the end of a finished stream is released; then the job is done."""
+            try:
+                job.handle.awaitTermination()
+                if job.status != "running" or not p.get("availableNow"):
+                    return
+                if shape.lateness is not None:
+                    each(stateful.flushed(self.spark, place, shape), -1)
+                self._move(job, "completed")
+                job.progress = 1.0
+            except Exception as e:
+                if job.status == "running":
+                    job.errors.append({"code": "stream.error", "message": str(e).strip().split("\n")[0][:500]})
+                    self._move(job, "failed")
+
+        job.watch = threading.Thread(target=ended, name=job.job_id, daemon=True)
+        job.watch.start()
+
+    def _condition(self, job: Job, rule: Rule) -> Condition | None:
+        """The rule's condition; one that can't be read is noted and never holds."""
+        try:
+            return parse(rule.condition)
+        except EngineError as e:
+            job.errors.append({"code": e.code, "message": e.message, "ruleId": rule.rule_id})
+            return None

@@ -1,20 +1,10 @@
-"""Trailing and tumbling windows: as one query on a frame, and as keyed state on a stream.
-
-On a stream Spark's own watermark moves once a micro-batch; the processors here
-keep their own highest event time, so late and overflowing points are dealt
-with record by record.
-"""
+"""Trailing and tumbling windows as one query on a frame; on streams, see ``stateful``."""
 
 from __future__ import annotations
 
-import bisect
-import math
-from collections import deque
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -171,152 +161,3 @@ def tumbling(df: DataFrame, ts: str, value: str, window: str, aggregates: list[s
     x = number_of(F.col(value))
     out = df.groupBy(*partition_by, F.window(F.col(ts), f"{seconds(window)} seconds").alias("_w")).agg(*(F.coalesce(_aggregate(a, x).cast("double"), F.lit(0.0)).alias(a) for a in aggregates))
     return out.select(*partition_by, F.col("_w.start").cast(kind).alias("start"), *aggregates)
-
-
-class WindowState:
-    """Points of one key's window. Sums are compensated; extremes come from monotonic queues."""
-
-    def __init__(self, size: float, kind: str = "sliding", max_points: int | None = None):
-        self.size, self.kind, self.max_points = size, kind, max_points
-        self.points: deque[tuple[float, float]] = deque()
-        self.low: deque[tuple[int, float]] = deque()
-        self.high: deque[tuple[int, float]] = deque()
-        self.first = self.next = 0
-        self.top: float | None = None
-        self.bucket: float | None = None
-        self.late = self.overflow = 0
-        self._sums = [0.0, 0.0, 0.0, 0.0]
-
-    def _add(self, k: int, x: float) -> None:
-        s, c = self._sums[k], self._sums[k + 1]
-        y = x - c
-        t = s + y
-        self._sums[k], self._sums[k + 1] = t, (t - s) - y
-
-    def _drop(self) -> None:
-        _, x = self.points.popleft()
-        self._add(0, -x)
-        self._add(2, -x * x)
-        for q in (self.low, self.high):
-            if q and q[0][0] == self.first:
-                q.popleft()
-        self.first += 1
-        if not self.points:
-            self._sums = [0.0, 0.0, 0.0, 0.0]
-
-    def add(self, t: float, v: Any) -> bool:
-        """False if the point comes too late to count."""
-        x = float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else 0.0
-        self.top = t if self.top is None else max(self.top, t)
-        if self.kind == "tumbling":
-            bucket = math.floor(t / self.size) * self.size
-            if self.bucket is not None and bucket < self.bucket:
-                self.late += 1
-                return False
-            if self.bucket is None or bucket > self.bucket:
-                while self.points:
-                    self._drop()
-                self.bucket = bucket
-        elif t < self.top - self.size:
-            self.late += 1
-            return False
-        self.points.append((t, x))
-        self._add(0, x)
-        self._add(2, x * x)
-        for q, worse in ((self.low, lambda a: a >= x), (self.high, lambda a: a <= x)):
-            while q and worse(q[-1][1]):
-                q.pop()
-            q.append((self.next, x))
-        self.next += 1
-        while self.kind == "sliding" and self.points and self.points[0][0] < self.top - self.size:
-            self._drop()
-        while self.max_points is not None and len(self.points) > self.max_points:
-            self._drop()
-            self.overflow += 1
-        return True
-
-    def aggregate(self, name: str) -> float:
-        n = len(self.points)
-        if not n:
-            return 0.0
-        total, squares = self._sums[0], self._sums[2]
-        if name == "std":
-            return math.sqrt(max(0.0, (squares - total * total / n) / (n - 1))) if n > 1 else 0.0
-        return {"avg": total / n, "sum": total, "count": float(n), "min": self.low[0][1], "max": self.high[0][1]}.get(name, 0.0)
-
-    def dump(self) -> tuple:
-        return (list(self.points), self.top, self.bucket, self.late, self.overflow)
-
-    def load(self, points, top, bucket, late, overflow) -> WindowState:
-        for t, x in points:
-            self.points.append((t, x))
-            self._add(0, x)
-            self._add(2, x * x)
-            for q, worse in ((self.low, lambda a, x=x: a >= x), (self.high, lambda a, x=x: a <= x)):
-                while q and worse(q[-1][1]):
-                    q.pop()
-                q.append((self.next, x))
-            self.next += 1
-        self.top, self.bucket, self.late, self.overflow = top, bucket, late, overflow
-        return self
-
-
-class ReorderBuffer:
-    """Holds points until the highest time less ``lateness`` has passed them; drops what is older than the last release."""
-
-    def __init__(self, lateness: float):
-        self.lateness, self.pending = lateness, []
-        self.top: float | None = None
-        self.released: float | None = None
-        self.late = self._seq = 0
-
-    def add(self, t: float, v: Any) -> list[tuple[float, Any]]:
-        if self.released is not None and t < self.released:
-            self.late += 1
-            return []
-        self.top = t if self.top is None else max(self.top, t)
-        bisect.insort(self.pending, (t, self._seq, v))
-        self._seq += 1
-        cut = bisect.bisect_right(self.pending, (self.top - self.lateness, math.inf))
-        return self._take(cut)
-
-    def flush(self) -> list[tuple[float, Any]]:
-        return self._take(len(self.pending))
-
-    def _take(self, n: int) -> list[tuple[float, Any]]:
-        out, self.pending = [(t, v) for t, _, v in self.pending[:n]], self.pending[n:]
-        if out:
-            self.released = out[-1][0]
-        return out
-
-
-STREAM_SCHEMA = "series string, windowEnd double, pointCount long, avg double, min double, max double, sum double, std double, lateDropped long, overflowDropped long"
-_STATE = "state binary"
-
-
-def stream_windows(stream: DataFrame, ts: str, value: str, window: str = "5m", kind: str = "sliding", max_points: int | None = None, lateness: str | None = None, key: str | None = None) -> DataFrame:
-    """Running window of each key of a stream: one row per key and micro-batch, with its aggregates and drop counts."""
-    import pickle
-
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    size, late = float(seconds(window)), float(seconds(lateness)) if lateness else None
-    rows = stream.select((F.col(key).cast("string") if key else F.lit("all")).alias("series"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("t"), number_of(F.col(value)).alias("v"))
-
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        w, r = WindowState(size, kind, max_points), ReorderBuffer(late) if late is not None else None
-        if state.exists:
-            kept, held = pickle.loads(state.get[0])
-            w.load(*kept)
-            if r is not None and held is not None:
-                r.__dict__.update(held)
-        # Spark promises no order of a key's rows within a micro-batch: they are taken by time
-        points = pd.concat([b[["t", "v"]] for b in batches]).sort_values(["t", "v"], kind="stable")
-        for t, v in zip(points["t"].tolist(), points["v"].tolist()):
-            for a, b in r.add(t, v) if r is not None else [(t, v)]:
-                w.add(a, b)
-        state.update((pickle.dumps((w.dump(), r.__dict__ if r is not None else None)),))
-        one = {a: [w.aggregate(a)] for a in ("avg", "min", "max", "sum", "std")}
-        yield pd.DataFrame({"series": [keys[0]], "windowEnd": [w.points[-1][0] if w.points else 0.0], "pointCount": [len(w.points)], **one, "lateDropped": [w.late + (r.late if r else 0)], "overflowDropped": [w.overflow]})
-
-    return rows.groupBy("series").applyInPandasWithState(step, STREAM_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
