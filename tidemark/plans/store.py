@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import EngineError
+from ..series import shared_dir
 from .model import Artifact, Spec
 
 
@@ -52,8 +54,33 @@ class KeyValueStore:
         self._write(f"{self.namespace}:{key}", json.dumps(value, default=str))
 
 
+def stored(value):
+    """A value as JSON can hold it: a frame becomes the path of a table in the shared folder."""
+    if isinstance(value, DataFrame):
+        frame, path = _written(value)
+        return {"table": path, "columns": frame.columns}
+    if isinstance(value, dict):
+        return {k: stored(v) for k, v in value.items()}
+    return value
+
+
+def restored(spark: SparkSession, value):
+    """The value that ``stored`` was given, frames read back."""
+    if isinstance(value, dict) and set(value) == {"table", "columns"}:
+        return spark.read.parquet(value["table"])
+    if isinstance(value, dict):
+        return {k: restored(spark, v) for k, v in value.items()}
+    return value
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    path = f"{shared_dir(df.sparkSession)}/artifact-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 class ArtifactStore:
-    """``kept``: a store outside to which every artifact goes as well; of a value that is a frame, its columns."""
+    """Artifacts by id. ``kept``: a store outside to which every artifact goes as well, and from which others come back."""
 
     def __init__(self, kept: KeyValueStore | None = None):
         self.by_id: dict[str, Artifact] = {}
@@ -61,16 +88,21 @@ class ArtifactStore:
 
     def save(self, a: Artifact) -> None:
         if self.kept is not None:
-            value = {"columns": a.value.columns} if isinstance(a.value, DataFrame) else a.value
             try:
-                self.kept.save(a.artifact_id, {"kind": a.kind, "name": a.name, "value": value, "jobId": a.job_id, "specId": a.spec_id, "specVersion": a.spec_version, "tags": a.tags, "createdAt": a.created_at.isoformat()})
+                self.kept.save(a.artifact_id, {"kind": a.kind, "name": a.name, "value": stored(a.value), "extra": stored(a.extra), "jobId": a.job_id, "specId": a.spec_id, "specVersion": a.spec_version, "tags": a.tags, "createdAt": a.created_at.isoformat()})
             except Exception as e:
                 raise EngineError("artifact.store_failed", f'"{a.name}": {e}') from e
         self.by_id[a.artifact_id] = a
 
-    def get(self, artifact_id: str) -> Artifact:
+    def get(self, artifact_id: str, spark: SparkSession | None = None) -> Artifact:
+        """With ``spark``, an artifact that another session has saved to ``kept`` is read back."""
         if artifact_id not in self.by_id:
-            raise EngineError("artifact.not_found", f'no artifact "{artifact_id}"')
+            held = self.kept.get(artifact_id) if self.kept is not None and spark is not None else None
+            if held is None:
+                raise EngineError("artifact.not_found", f'no artifact "{artifact_id}"')
+            self.by_id[artifact_id] = Artifact(
+                artifact_id, held["kind"], held["name"], restored(spark, held["value"]), held["jobId"], held["specId"], held["specVersion"], held["tags"], extra=restored(spark, held["extra"]), created_at=datetime.fromisoformat(held["createdAt"])
+            )
         return self.by_id[artifact_id]
 
     def query(self, job_id: str | None = None, spec_id: str | None = None, kind: str | None = None, tags: list[str] | None = None, created: tuple[datetime, datetime] | None = None, limit: int | None = None) -> list[Artifact]:
@@ -81,6 +113,6 @@ class ArtifactStore:
         return found[:limit] if limit else found
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
-        """The artifacts as rows with a JSON payload, ready for ``df.write``."""
-        rows = [(a.artifact_id, a.kind, a.name, json.dumps(None if isinstance(a.value, DataFrame) else a.value, default=str), a.job_id, a.spec_id, a.spec_version, a.tags, a.created_at) for a in self.by_id.values()]
+        """The artifacts as rows with a JSON payload, ready for ``df.write``; frames are written as tables, see ``restored``."""
+        rows = [(a.artifact_id, a.kind, a.name, json.dumps(stored(a.value), default=str), a.job_id, a.spec_id, a.spec_version, a.tags, a.created_at) for a in self.by_id.values()]
         return spark.createDataFrame(rows, "artifact_id string, kind string, name string, payload string, job_id string, spec_id string, spec_version string, tags array<string>, created_at timestamp")
