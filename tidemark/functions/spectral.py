@@ -1,4 +1,4 @@
-"""Spectra. Segment methods deal each segment's samples to its own group, so that one series is many tasks."""
+"""Spectra. One long series is many tasks: segments by chunk, whole transforms by columns and rows."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..series import INDEX, SeriesKey
+from . import chunkwise as C
 from . import kernels as K
-from .base import long_frame, number, one_series, Params, per_series, rate_of, Result
+from .base import number, one_series, Params, rate_of, Result
 from .timeseries import _line, _pair
 
 
@@ -19,27 +20,38 @@ def fft(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     rows, c, _ = _line(df, key, params)
     rate, kind = rate_of(params, "fft"), params.get("window", "hann")
 
-    def run(x):
-        if len(x) < 2:
-            raise ValueError("fft needs 2 values")
-        g = K.fft(x, rate, kind)
-        return long_frame(frequency=g["frequencies"], magnitude=g["magnitudes"], phase=g["phases"], n=len(x))
-
-    frame = per_series(rows, key, ["x"], run, f"{INDEX} long, frequency double, magnitude double, phase double, n long")
+    frame = _transform(rows, key, rate, kind, 2, "fft")
     parts = list(key.partition_by)
     top = F.struct("magnitude", -F.col(INDEX))
-    s = frame.groupBy(*parts).agg(F.coalesce(F.max_by("frequency", F.when(F.col(INDEX) > 0, top)), F.lit(0.0)).alias("dominantFrequency"), F.max("n").alias("sampleCount"), (2 * F.count(F.lit(1))).alias("fftSize"))
+    s = frame.groupBy(*parts).agg(F.coalesce(F.max_by("frequency", F.when(F.col(INDEX) > 0, top)), F.lit(0.0)).alias("dominantFrequency"), F.max("n").alias("sampleCount"), F.max("m").alias("fftSize"))
     s = s.withColumn("resolution", F.lit(rate) / F.col("fftSize"))
+    frame = frame.drop("m")
     return Result(scalars=s, series={"frequencies": (frame, "frequency"), "magnitudes": (frame, "magnitude"), "phases": (frame, "phase")}, plain={"column": c})
 
 
-def _segments(rows: DataFrame, size: int, hop: int, total: Column) -> DataFrame:
-    """Each sample in every whole segment that holds it: (segment, at)."""
-    last = F.floor((total - size) / hop)
-    lo = F.greatest(F.ceil((F.col(INDEX) - size + 1) / hop), F.lit(0))
-    hi = F.least(F.floor(F.col(INDEX) / hop), last)
-    out = rows.where(hi >= lo).withColumn("segment", F.explode(F.sequence(lo, hi)))
-    return out.withColumn("at", F.col(INDEX) - F.col("segment") * hop)
+def _least(n: Column, least: int, what: str) -> Column:
+    """``n``, or an error where a series is too short."""
+    return F.when(n >= least, n).otherwise(F.raise_error(F.lit(f"{what} needs {least} values")).cast("bigint"))
+
+
+def _counted(rows: DataFrame, key: SeriesKey, least: int, what: str) -> DataFrame:
+    parts = list(key.partition_by)
+    n = rows.groupBy(*parts).agg(_least(F.count(F.lit(1)), least, what).alias("_n"))
+    full = rows.join(n, parts) if parts else rows.crossJoin(F.broadcast(n))  # one row
+    return full.where("_n is not null")
+
+
+def _transform(rows: DataFrame, key: SeriesKey, rate: float, kind: str, least: int, what: str) -> DataFrame:
+    """(parts, idx, frequency, magnitude, phase, n, m) of the windowed series' bins below half the transform's size."""
+    parts = list(key.partition_by)
+    full = _counted(rows, key, least, what)
+    a, b = {"hamming": (0.54, 0.46), "rect": (1.0, 0.0)}.get(kind, (0.5, 0.5))
+    w = F.lit(a) - F.lit(b) * F.cos(2 * np.pi * F.col(INDEX) / (F.col("_n") - 1))
+    got = C.spectrum(full.select(*parts, INDEX, (F.col("x") * w).alias("x")), key)
+    # the window's mean in closed form: its cosines sum to 1 over the whole series
+    gain = F.lit(a) - F.lit(b) * F.when(F.col("n") > 2, 1 / F.col("n")).otherwise(1.0)
+    scale = F.when(F.col(INDEX) == 0, 1.0).otherwise(2.0) / (F.col("n") * gain)
+    return got.select(*parts, INDEX, (F.col(INDEX) * rate / F.col("m")).alias("frequency"), (F.hypot("re", "im") * scale).alias("magnitude"), F.atan2("im", "re").alias("phase"), "n", "m")
 
 
 def _plan(params: Params) -> tuple[int, int, str]:
@@ -48,30 +60,17 @@ def _plan(params: Params) -> tuple[int, int, str]:
     return size, max(1, math.floor(size * (1 - overlap) + 0.5)), params.get("window", "hann")
 
 
-def _by_segment(rows: DataFrame, key: SeriesKey, columns: list[str], size: int, hop: int, schema: str, run) -> DataFrame:
-    """``run`` gives columns of arrays by bin, for each segment."""
-    parts = list(key.partition_by)
-    n = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
-    full = rows.join(n, parts) if parts else rows.crossJoin(F.broadcast(n))  # one row
-    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in parts)
-
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        out = pd.DataFrame({"bin": np.arange(size // 2, dtype=np.int64), **run(*(pdf[c].to_numpy() for c in columns))})
-        out.insert(0, "segment", pdf["segment"].iloc[0])
-        for i, c in enumerate(parts):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
-
-    return _segments(full, size, hop, F.col("_n")).select(*parts, "segment", "at", *columns).groupBy(*parts, "segment").applyInPandas(apply, f"{kinds}segment long, bin long, {schema}")
+def _by_bin(names: list[str], sums: list[np.ndarray], n: int) -> pd.DataFrame:
+    return pd.DataFrame({"bin": np.arange(len(sums[0]), dtype=np.int64), **dict(zip(names, sums)), "segments": n})
 
 
 def _psd_frame(rows: DataFrame, key: SeriesKey, rate: float, size: int, hop: int, kind: str) -> DataFrame:
     w = K.window(kind, size)
     scale = np.where(np.arange(size // 2) == 0, 1.0, 2.0) / (rate * (w * w).sum())
-    each = _by_segment(rows, key, ["x"], size, hop, "p double", lambda x: {"p": np.abs(K.half_spectrum(x, kind)) ** 2 * scale})
-    out = each.groupBy(*key.partition_by, "bin").agg(F.avg("p").alias("psd"), F.count(F.lit(1)).alias("segments"))
-    return out.select(*key.partition_by, F.col("bin").alias(INDEX), (F.col("bin") * (rate / size)).alias("frequency"), "psd", "segments")
+    run = lambda numbers, x: _by_bin(["p"], [(np.abs(K.half_spectrum(x, kind)) ** 2).sum(0) * scale], len(numbers))
+    each = C.segments(rows, key, ["x"], size, hop, "bin long, p double, segments long", run)
+    out = each.groupBy(*key.partition_by, "bin").agg(F.sum("p").alias("p"), F.sum("segments").alias("segments")).where("segments > 0")
+    return out.select(*key.partition_by, F.col("bin").alias(INDEX), (F.col("bin") * (rate / size)).alias("frequency"), (F.col("p") / F.col("segments")).alias("psd"), "segments")
 
 
 def psd_welch(df: DataFrame, key: SeriesKey, params: Params) -> Result:
@@ -95,7 +94,11 @@ def spectrogram(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     size, hop, kind = _plan(params)
     gain = K.window(kind, size).mean()
     scale = np.where(np.arange(size // 2) == 0, 1.0, 2.0) / (size * gain)
-    each = _by_segment(rows, key, ["x"], size, hop, "magnitude double", lambda x: {"magnitude": np.abs(K.half_spectrum(x, kind)) * scale})
+
+    def run(numbers, x):
+        return pd.DataFrame({"segment": np.repeat(numbers, size // 2), "bin": np.tile(np.arange(size // 2), len(numbers)), "magnitude": (np.abs(K.half_spectrum(x, kind)) * scale).ravel()})
+
+    each = C.segments(rows, key, ["x"], size, hop, "segment long, bin long, magnitude double", run)
     frame = each.select(*key.partition_by, "segment", F.col("bin").alias(INDEX), ((F.col("segment") * hop + size / 2) / rate).alias("time"), (F.col("bin") * (rate / size)).alias("frequency"), "magnitude")
     return Result(scalars=frame.groupBy(*key.partition_by).agg(F.countDistinct("segment").alias("segmentCount")), series={"magnitudes": (frame, "magnitude"), "times": (frame, "time"), "frequencies": (frame, "frequency")}, plain={"column": c})
 
@@ -106,13 +109,14 @@ def cross_psd(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     rate = rate_of(params, "cross_psd")
     size, hop, kind = _plan(params)
 
-    def run(a, b):
+    def run(numbers, a, b):
         x, y = K.half_spectrum(a, kind), K.half_spectrum(b, kind)
-        cross = np.conj(x) * y
-        return {"aa": np.abs(x) ** 2, "bb": np.abs(y) ** 2, "re": cross.real, "im": cross.imag}
+        cross = (np.conj(x) * y).sum(0)
+        return _by_bin(["aa", "bb", "re", "im"], [(np.abs(x) ** 2).sum(0), (np.abs(y) ** 2).sum(0), cross.real, cross.imag], len(numbers))
 
     parts = list(key.partition_by)
-    s = _by_segment(rows, key, ["a", "b"], size, hop, "aa double, bb double, re double, im double", run).groupBy(*parts, "bin").agg(*(F.sum(c).alias(c) for c in ("aa", "bb", "re", "im")), F.count(F.lit(1)).alias("segments"))
+    each = C.segments(rows, key, ["a", "b"], size, hop, "bin long, aa double, bb double, re double, im double, segments long", run)
+    s = each.groupBy(*parts, "bin").agg(*(F.sum(c).alias(c) for c in ("aa", "bb", "re", "im", "segments"))).where("segments > 0")
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     frame = s.select(
         *parts, F.col("bin").alias(INDEX), (F.col("bin") * (rate / size)).alias("frequency"), F.when((F.col("aa") > 0) & (F.col("bb") > 0), power / (F.col("aa") * F.col("bb"))).otherwise(0.0).alias("coherence"),
@@ -123,34 +127,37 @@ def cross_psd(df: DataFrame, key: SeriesKey, params: Params) -> Result:
 
 
 def cepstrum(df: DataFrame, key: SeriesKey, params: Params) -> Result:
+    """Transform of the log magnitudes; the peak is the highest from the fourth place on."""
     rows, c, _ = _line(df, key, params)
-    rate = rate_of(params, "cepstrum")
-
-    def run(x):
-        if len(x) < 8:
-            raise ValueError("cepstrum needs 8 values")
-        g = K.cepstrum(x, rate)
-        return long_frame(quefrency=g["quefrencies"], value=g["cepstrum"])
-
-    frame = per_series(rows, key, ["x"], run, f"{INDEX} long, quefrency double, value double")
-    best = frame.groupBy(*key.partition_by).agg(F.max_by("quefrency", F.when(F.col(INDEX) >= 4, F.struct("value", -F.col(INDEX)))).alias("peakQuefrency"))
+    rate, parts = rate_of(params, "cepstrum"), list(key.partition_by)
+    got = C.spectrum(_counted(rows, key, 8, "cepstrum").select(*parts, INDEX, "x"), key, half=False)
+    logs = got.select(*parts, INDEX, F.log(F.greatest(F.hypot("re", "im"), F.lit(1e-300))).alias("x"))
+    frame = C.spectrum(logs, key).select(*parts, INDEX, (F.col(INDEX) / rate).alias("quefrency"), (F.col("re") / F.col("m")).alias("value"))
+    best = frame.groupBy(*parts).agg(F.coalesce(F.max_by("quefrency", F.when(F.col(INDEX) >= 4, F.struct("value", -F.col(INDEX)))), F.lit(0.0)).alias("peakQuefrency"))
     return Result(scalars=best, series={"cepstrum": (frame, "value"), "quefrencies": (frame, "quefrency")}, plain={"column": c})
 
 
 def harmonics(df: DataFrame, key: SeriesKey, params: Params) -> Result:
+    """(order, frequency, amplitude, phase) of the strongest bin within one of each multiple below half the rate."""
     rows, c, _ = _line(df, key, params)
     rate, f0, count = rate_of(params, "harmonics"), number(params, "fundamental"), max(1, int(params.get("harmonicCount", 10)))
-
-    def run(x):
-        if len(x) < 16:
-            raise ValueError("harmonics needs 16 values")
-        g = K.harmonics(x, rate, f0, count)
-        r = np.array(g["harmonics"], float).reshape(-1, 4)
-        return long_frame(order=r[:, 0].astype(np.int64), frequency=r[:, 1], amplitude=r[:, 2], phase=r[:, 3], fundamental=np.full(len(r), g["fundamental"]), thd=np.full(len(r), g["thd"]))
-
-    frame = per_series(rows, key, ["x"], run, f"{INDEX} long, order long, frequency double, amplitude double, phase double, fundamental double, thd double")
-    s = frame.groupBy(*key.partition_by).agg(F.max("fundamental").alias("fundamental"), F.max("thd").alias("thd"), (100 * F.max("thd")).alias("thdPercent"))
-    return Result(scalars=s, series={"harmonics": (frame.drop("fundamental", "thd"), "amplitude")}, plain={"column": c})
+    parts = list(key.partition_by)
+    bins = _transform(rows, key, rate, "rect", 16, "harmonics")
+    top = F.max_by("frequency", F.when(F.col(INDEX) > 0, F.struct("magnitude", -F.col(INDEX))))
+    one = bins.groupBy(*parts).agg((F.lit(f0) if f0 is not None else top).alias("fundamental"), F.max("m").alias("m"))
+    orders = one.withColumn("order", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(count).cast("long")))).where(F.col("order") * F.col("fundamental") < rate / 2)
+    near = F.floor(F.col("order") * F.col("fundamental") * F.col("m") / rate + 0.5)
+    # equal magnitudes: the nearest bin, then the lower one
+    tries = orders.withColumn("t", F.explode(F.array(*(F.struct(F.lit(rank).alias("rank"), (near + d).alias("bin")) for rank, d in ((0, 0), (1, -1), (2, 1))))))
+    tries = tries.where((F.col("t.rank") == 0) | ((F.col("t.bin") > 0) & (F.col("t.bin") < F.col("m") / 2))).select(*parts, "order", "fundamental", (-F.col("t.rank")).alias("rank"), F.least("t.bin", F.floor(F.col("m") / 2) - 1).alias(INDEX))
+    met = tries.join(bins.drop("m", "n"), [*parts, INDEX])
+    frame = met.groupBy(*parts, "order", "fundamental").agg(F.max_by(F.struct("frequency", "magnitude", "phase"), F.struct("magnitude", "rank")).alias("b"))
+    frame = frame.select(*parts, (F.col("order") - 1).alias(INDEX), "order", "b.frequency", F.col("b.magnitude").alias("amplitude"), "b.phase")
+    first, rest = F.max(F.when(F.col("order") == 1, F.col("amplitude"))), F.sum(F.when(F.col("order") > 1, F.col("amplitude") * F.col("amplitude")))
+    thd = frame.groupBy(*parts).agg(F.when(first > 0, F.sqrt(F.coalesce(rest, F.lit(0.0))) / first).otherwise(0.0).alias("thd"))
+    s = one.drop("m").join(thd, parts, "left") if parts else one.drop("m").crossJoin(F.broadcast(thd))  # one row
+    s = s.withColumn("thd", F.coalesce("thd", F.lit(0.0)))
+    return Result(scalars=s.withColumn("thdPercent", 100 * F.col("thd")), series={"harmonics": (frame, "amplitude")}, plain={"column": c})
 
 
 #: Fixed values: (name, low, high) in Hz.

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..series import CHUNK, INDEX, SeriesKey, over_rows
+from . import chunkwise as C
 from . import kernels as K
-from .base import Params, Result, column_of, long_frame, number, one_series, per_series, sample
+from .base import Params, Result, column_of, number, one_series, per_series, sample
 
 
 def _line(df: DataFrame, key: SeriesKey, params: Params) -> tuple[DataFrame, str, list[str]]:
@@ -146,8 +147,11 @@ def digital_filter(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     if cutoff >= rate / 2:
         raise ValueError("the cutoff must be below half the sample rate")
     q, order, zero = number(params, "q", 0.7071), int(params.get("order", 2)), bool(params.get("zeroPhase", False))
-    out = per_series(rows, key, ["x"], lambda x: long_frame(value=K.digital_filter(x, kind, rate, cutoff, q, order, zero)), f"{INDEX} long, value double")
-    return Result(series={"values": (out, "value")})
+    parts = K.sections(kind, rate, cutoff, q, order)
+    out = C.filtered(rows, key, parts, ["x"])
+    if zero:
+        out = C.turned(C.filtered(C.turned(out, key), key, parts, ["x"]), key)
+    return Result(series={"values": (out.withColumnRenamed("x", "value"), "value")})
 
 
 def resample(df: DataFrame, key: SeriesKey, params: Params) -> Result:
@@ -190,11 +194,7 @@ def interpolate(df: DataFrame, key: SeriesKey, params: Params) -> Result:
         out = over_rows(rows, key, 0, 1, w).where("x1 is not null")
         return Result(series={"values": (out.select(*parts, INDEX, ((F.col("px") + F.col("x1")) / 2).alias("query"), (F.col("py") * 0.5 + F.col("y1") * 0.5).alias("value")), "value")})
 
-    def run(x, y):
-        at = np.array(points, float) if points is not None else (x[:-1] + x[1:]) / 2
-        return long_frame(query=at, value=K.natural_spline(x, y, at) if method == "spline" else np.interp(at, x, y))
-
-    return Result(series={"values": (per_series(rows, key, ["px", "py"], run, f"{INDEX} long, query double, value double"), "value")})
+    return Result(series={"values": (C.spline(rows, key, points, linear=method != "spline"), "value")})
 
 
 def seasonality_analysis(df: DataFrame, key: SeriesKey, params: Params) -> Result:
@@ -225,22 +225,18 @@ def seasonality_analysis(df: DataFrame, key: SeriesKey, params: Params) -> Resul
 
 
 def peak_detect(df: DataFrame, key: SeriesKey, params: Params) -> Result:
-    """Local maxima; without prominence and distance gates a pure window query."""
+    """Local maxima: strict rise before, no rise after; gates by height, prominence and distance, in that order."""
     rows, _, keep = _line(df, key, params)
     height, prominence, distance = number(params, "minHeight"), number(params, "minProminence", 0.0), int(params.get("minDistance", 1))
     parts = list(key.partition_by)
-    if prominence > 0 or distance > 1:
-        def run(x):
-            at = K.peaks(x, height, prominence, distance)
-            return pd.DataFrame({INDEX: at, "value": x[at]})
-
-        out = per_series(rows, key, ["x"], run, f"{INDEX} long, value double")
-    else:
-        near = over_rows(rows, key, 1, 1, {"_l": lambda w: F.lag("x", 1).over(w), "_r": lambda w: F.lead("x", 1).over(w)})
-        out = near.where((F.col("x") > F.col("_l")) & (F.col("x") >= F.col("_r"))).select(*parts, INDEX, F.col("x").alias("value"))
-        out = out.where(F.col("value") >= height) if height is not None else out
-    gaps = out.withColumn("interval", F.col(INDEX) - F.lag(INDEX, 1).over(W.partitionBy(*(parts or [F.lit(0)])).orderBy(INDEX)))
-    return Result(scalars=out.groupBy(*parts).agg(F.count(F.lit(1)).alias("count")), series={"values": (out, "value"), "indices": (out, INDEX), "intervals": (gaps.where("interval is not null"), "interval")})
+    near = over_rows(rows, key, 1, 1, {"_l": lambda w: F.lag("x", 1).over(w), "_r": lambda w: F.lead("x", 1).over(w)})
+    out = near.where((F.col("x") > F.col("_l")) & (F.col("x") >= F.col("_r"))).select(*parts, INDEX, F.col("x").alias("value"))
+    out = out.where(F.col("value") >= height) if height is not None else out
+    if prominence > 0:
+        out = C.prominence(rows, key, out).where(F.col("prominence") >= prominence).drop("prominence")
+    if distance > 1:
+        out = C.spaced(out, key, distance)
+    return Result(scalars=out.groupBy(*parts).agg(F.count(F.lit(1)).alias("count")), series={"values": (out, "value"), "indices": (out, INDEX), "intervals": (C.steps_between(out, key), "interval")})
 
 
 def zero_crossing(df: DataFrame, key: SeriesKey, params: Params) -> Result:
@@ -310,20 +306,6 @@ def hrv_metrics(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     return Result(scalars=s.select(*parts, "count", "meanRR", F.when(F.col("meanRR") > 0, 60000 / F.col("meanRR")).otherwise(0.0).alias("meanHeartRate"), F.coalesce("sdnn", F.lit(0.0)).alias("sdnn"), F.coalesce("rmssd", F.lit(0.0)).alias("rmssd"), F.when(F.col("count") > 1, 100.0 * F.col("_n50") / (F.col("count") - 1)).otherwise(0.0).alias("pnn50")))
 
 
-def _kernel(rows: DataFrame, key: SeriesKey, fields: dict[str, str], scalars: list[str], run) -> Result:
-    """One pass per series whose kernel gives arrays and numbers; the arrays are then exploded."""
-    schema = ", ".join([*(f"`{f}` array<double>" for f in fields), *(f"`{s}` double" for s in scalars)])
-
-    def frame(*arrays):
-        got = run(*arrays)
-        return pd.DataFrame({**{f: [np.asarray(got[f], float)] for f in fields}, **{s: [float(got[s])] for s in scalars}})
-
-    one = per_series(rows, key, [c for c in rows.columns if c not in (*key.partition_by, *key.order_by, INDEX)], frame, schema)
-    parts = list(key.partition_by)
-    long = {f: (one.select(*parts, F.posexplode(f).alias("i", name)).select(*parts, F.col("i").cast("long").alias(INDEX), name), name) for f, name in fields.items()}
-    return Result(scalars=one.select(*parts, *scalars), series=long)
-
-
 def changepoint_cusum(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     rows, _, _ = _line(df, key, params)
     base = params.get("baselineWindow")
@@ -331,28 +313,59 @@ def changepoint_cusum(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     return Result(scalars=out.groupBy(*key.partition_by).agg(F.count(F.lit(1)).alias("count")), series={"changepoints": (out, INDEX)})
 
 
+def _ahead(ends: DataFrame, parts: list[str], horizon: int, value: Column) -> DataFrame:
+    """(parts, idx, value) of ``horizon`` steps; ``value`` is an expression over ``h``."""
+    out = ends.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))) if horizon > 0 else ends.withColumn("h", F.lit(1)).limit(0)
+    return out.select(*parts, (F.col("h") - 1).cast("long").alias(INDEX), value.alias("value"))
+
+
+def _last(frame: DataFrame, parts: list[str], *columns: str) -> DataFrame:
+    last = frame.groupBy(*parts).agg(F.max_by(F.struct(*columns, INDEX), INDEX).alias("z"))
+    return (last if parts else last.where("z is not null")).select(*parts, "z.*")
+
+
 def holt_winters(df: DataFrame, key: SeriesKey, params: Params) -> Result:
+    """Additive level, trend and season; ``horizon`` steps ahead."""
     rows, _, _ = _line(df, key, params)
-    get = lambda n, d: number(params, n, d)
-    run = lambda x: K.holt_winters(x, int(get("horizon", 10)), int(get("period", 0)), get("alpha", 0.3), get("beta", 0.1), get("gamma", 0.1))
-    return _kernel(rows, key, {"forecast": "value"}, ["fittedLast", "level", "trend"], run)
+    period, horizon = int(number(params, "period", 0)), int(number(params, "horizon", 10))
+    ends = C.holt_winters(rows, key, period, *(number(params, n, d) for n, d in (("alpha", 0.3), ("beta", 0.1), ("gamma", 0.1))))
+    parts = list(key.partition_by)
+    one = _last(ends, parts, "state", "fitted").select(*parts, F.col("fitted").alias("fittedLast"), F.element_at("state", 1).alias("level"), F.element_at("state", 2).alias("trend"), "state")
+    # the seasonal terms follow level and trend, the next place's first
+    value = F.col("level") + F.col("h") * F.col("trend") + F.element_at("state", ((F.col("h") - 1) % max(1, period) + 3).cast("int"))
+    return Result(scalars=one.drop("state"), series={"forecast": (_ahead(one, parts, horizon, value), "value")})
 
 
 def kalman_filter(df: DataFrame, key: SeriesKey, params: Params) -> Result:
+    """Random-walk level, or level and trend, from the first sample (and first step) with unit covariance."""
     rows, _, _ = _line(df, key, params)
-    run = lambda x: K.kalman(x, params.get("model", "trend"), number(params, "processNoise", 1e-3), number(params, "measurementNoise", 1.0), int(params.get("horizon", 10)))
-    return _kernel(rows, key, {"filtered": "value", "forecast": "value"}, ["level", "trend", "innovationStd"], run)
+    parts = list(key.partition_by)
+    frame = C.kalman(rows, key, params.get("model", "trend"), number(params, "processNoise", 1e-3), number(params, "measurementNoise", 1.0))
+    last = _last(frame, parts, "value", "slope").select(*parts, F.col("value").alias("level"), F.col("slope").alias("trend"))
+    error = frame.groupBy(*parts).agg(F.sqrt(F.sum(F.when(F.col(INDEX) > 0, F.col("error") * F.col("error")).otherwise(0.0)) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias("innovationStd"))
+    scalars = last.join(error, parts) if parts else last.crossJoin(F.broadcast(error))  # one row
+    ahead = _ahead(last, parts, int(params.get("horizon", 10)), F.col("level") + F.col("h") * F.col("trend"))
+    return Result(scalars=scalars, series={"filtered": (frame.select(*parts, INDEX, "value"), "value"), "forecast": (ahead, "value")})
 
 
 def lockin(df: DataFrame, key: SeriesKey, params: Params) -> Result:
+    """Product with a reference and its quarter turn, each through two lowpass biquads; means after the settling share."""
     from .base import rate_of
 
     rows, _, _ = _line(df, key, params)
+    parts = list(key.partition_by)
     rate, ref = rate_of(params, "lockin"), number(params, "referenceFrequency")
     if not ref or ref <= 0 or ref >= rate / 2:
         raise ValueError("lockin needs a referenceFrequency below half the sample rate")
-    run = lambda x: K.lockin(x, rate, ref, number(params, "lowpassCutoff"), min(0.9, max(0.0, number(params, "settle", 0.5))))
-    return _kernel(rows, key, {"amplitudeSeries": "value"}, ["amplitude", "phase", "i", "q"], run)
+    settle = min(0.9, max(0.0, number(params, "settle", 0.5)))
+    angle = F.lit(2 * np.pi * ref) * (F.col(INDEX) / rate)
+    mixed = rows.withColumn("i", F.col("x") * F.cos(angle)).withColumn("q", F.col("x") * F.sin(angle))
+    out = C.filtered(mixed, key, [K.biquad("lowpass", rate, number(params, "lowpassCutoff") or ref / 10, 0.7071)] * 2, ["i", "q"])
+    n = out.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"))
+    full = out.join(n, parts) if parts else out.crossJoin(F.broadcast(n))  # one row
+    late = full.where(F.col(INDEX) >= F.least(F.col("_n") - 1, F.floor(F.col("_n") * settle))).groupBy(*parts).agg(F.avg("i").alias("i"), F.avg("q").alias("q"))
+    scalars = late.select(*parts, (2 * F.hypot("i", "q")).alias("amplitude"), F.atan2("i", "q").alias("phase"), "i", "q")
+    return Result(scalars=scalars, series={"amplitudeSeries": (out.select(*parts, INDEX, (2 * F.hypot("i", "q")).alias("value")), "value")})
 
 
 def _pair(df: DataFrame, key: SeriesKey, params: Params, what: str) -> tuple[DataFrame, str, str]:
