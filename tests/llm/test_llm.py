@@ -83,13 +83,48 @@ def test_classifier_learns_from_positives_and_unlabelled():
     good, bad = rng.normal(0, 1, (600, 3)), rng.normal(0, 1, (600, 3)) + [4, 0, 0]
     unlabelled = np.vstack([good[:350], bad[:150]])
     first = quality_classifier.fit(good[350:475], unlabelled[::2], 0.5)
-    prior = quality_classifier.class_prior(first.score(good[475:]), first.score(unlabelled[1::2]))
+    prior = quality_classifier.class_prior(*(quality_classifier.histogram(first.score(x)) for x in (good[475:], unlabelled[1::2])))
     assert prior == pytest.approx(0.7, abs=0.1)
     model = quality_classifier.fit(good[350:], unlabelled, prior)
     accuracy = np.concatenate([model.score(good) >= 0.5, model.score(bad[150:]) < 0.5]).mean()
     assert accuracy > 0.95
 
 
+def test_non_negative_step_equals_differences_of_the_risk():
+    """The step is the risk's gradient by differences, or that of the part on negatives, turned, where that part is below zero."""
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0, 1, (40, 3)), rng.normal(0.3, 1, (60, 3))
+    weight = rng.uniform(0, 1, 60)
+    weight /= weight.sum()
+    seen = set()
+    for prior, size in ((0.3, 0.5), (0.95, 0.5), (0.95, 3.0), (0.6, 2.0)):
+        w = [rng.normal(0, size, s) for s in ((3, 4), (4,), (4,), (1,))]
+        risk, below = quality_classifier.risks(w, p, u, weight, prior), quality_classifier.risks(w, p, u, weight, prior)[1] < 0
+        plain = sum(float(a) * quality_classifier.risks(w, p, u[i : i + 1], np.ones(1), 0.0)[1] for i, a in enumerate(weight))
+        assert risk[1] == pytest.approx(plain - prior * np.mean([np.log1p(np.exp(np.tanh(x @ w[0] + w[1]) @ w[2] + w[3][0])) for x in p]))
+        seen.add(below)
+        value = (lambda: -quality_classifier.risks(w, p, u, weight, prior)[1]) if below else (lambda: sum(quality_classifier.risks(w, p, u, weight, prior)))
+        for g, m in zip(quality_classifier.step_of(w, p, u, weight, prior), w):
+            for at in np.ndindex(m.shape):
+                m[at] += 1e-6
+                up = value()
+                m[at] -= 2e-6
+                assert g[at] == pytest.approx((up - value()) / 2e-6, abs=1e-5)
+                m[at] += 1e-6
+    assert seen == {True, False}
+
+
+def test_every_unlabelled_row_counts(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (500, len(quality_classifier.FEATURES)))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(4)
+    moments = x.mean(axis=0), x.std(axis=0)
+    points = x[:20]
+    scaled = np.clip((x - moments[0]) / moments[1], -6, 6)
+    want = Counter(int(np.argmin(((scaled[:20] - z) ** 2).sum(axis=1))) for z in scaled)
+    assert quality_classifier.nearest_counts(df, points, moments).tolist() == [want[k] for k in range(20)]
+
+
 def test_classifier_on_held_out_labels(spark):
     from tidemark.llm.queries import op2_quality_classifier
 
@@ -432,22 +467,42 @@ def test_disclosing_terms(spark, empty):
     assert pii.redact("abcdef", [(1, 3, "X"), (2, 4, "Y")]) == "aXef"
 
 
-def test_terms_of_an_entity_in_one_text(spark):
-    """A term that stands only beside an entity of one text gives it away; one that stands elsewhere as well does not."""
+@pytest.mark.parametrize("n", [1000, 2000, 4000])
+def test_a_term_of_one_text_proves_nothing_at_any_size(spark, n):
+    """Neither rare words nor copies of one text give an entity away; three texts do, in a table of any size."""
     rng = np.random.default_rng(11)
-    rows = [(0, "the river Zaphodia wrote about zaph@mail.example.com of stone", 1)] + [(i, prose(rng, 40) + " wrote about", i) for i in range(1, 2000)]
-    got = rows_of(pii.detect(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).withColumn("spans", pii.span_text()))
-    assert [rows[0][1][int(a) : int(b)] for k, a, b in (s.split(":") for s in got[0].spans.split(",")) if k == "term"] == ["Zaphodia"]
-    assert all(got[i].spans == "" for i in range(1, 2000))
+    rows = [(0, "the river Zaphodia wrote about zaph@mail.example.com of stone")] * 5
+    rows += [(k, f"{prose(rng, 5)} Trillia {prose(rng, 5)} trill@else.example.org {k}") for k in (1, 2, 3)] + [(k, f"{prose(rng, 5)} Fordia ford@third.example.net {k}") for k in (4, 5)]
+    rows += [(i, prose(rng, 40) + f" wrote about word{i}") for i in range(6, n)]
+    text = dict(rows)
+    got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("spans", pii.span_text()).collect()
+    marked = {(r.doc_id, text[r.doc_id][x["start"] : x["end"]]) for r in got for x in r.added or []}
+    assert marked == {(k, "Trillia") for k in (1, 2, 3)}
+
+
+def test_groups_of_entities(spark):
+    assert pii.entities([(0, 0, 5, "a@x.org"), (9, 1, 20, "10.0.0.7"), (30, 3, 44, "15555550199")]) == ["email-group:x.org", "email:a@x.org", "ip-group:10.0.0", "ip:10.0.0.7", "phone-group:155555", "phone:15555550199"]
+    rng = np.random.default_rng(2)
+    rows = [(i, f"{prose(rng, 9)} Betelgeuse{'!' * (i % 2)} user{i}@corp.example {prose(rng, 9)}") for i in range(12)] + [(100 + i, prose(rng, 30)) for i in range(60)]
+    text = dict(rows)
+    got = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {text[r.doc_id][x["start"] : x["end"]] for r in got for x in r.added or []} == {"Betelgeuse", "Betelgeuse!"}
+    assert pii.fewest_texts(1.0) == 3
+
+
+def test_sanitised_keeps_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "call +1 (555) 555-0199 now", "a", "b", "c", "d"), (2, "none", "e", None, "g", "h")], "doc_id long, text string, pii_digest string, digest string, added string, row string")
+    got = rows_of(pii.sanitised(df))
+    assert tuple(got[1]) == (1, "call <PHONE> now", "a", "b", "c", "d") and tuple(got[2]) == (2, "none", "e", None, "g", "h")
 
 
 def test_terms_anywhere_in_a_text(spark):
     """Terms far from the entity, of any length, at each of their places; pairs equal those of a plain loop."""
     rng = np.random.default_rng(12)
     long = "Z" * 60
-    rows = [(0, f"Zaphodia {long} {prose(rng, 60)} zaph@mail.example.com {prose(rng, 60)} the zaphodia,end Zaphodia")]
+    rows = [(k, f"Zaphodia {long} {prose(rng, 60)} zaph@mail.example.com {prose(rng, 60)} the zaphodia,end Zaphodia") for k in (0, 900, 901)]
     rows += [(1 + i, f"Trillia {prose(rng, 30)} 10.0.0.{i % 7} and trill@mail.example.com {prose(rng, 30)} mark{i % 5}") for i in range(20)]
-    rows += [(100 + i, prose(rng, 40) + (" mark3" if i < 3 else "")) for i in range(1500)] + [(0, rows[0][1])]
+    rows += [(100 + i, prose(rng, 40) + (" mark3" if i < 3 else "")) for i in range(700)] + [(0, rows[0][1])] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = pii.detect(df).withColumn("spans", pii.span_text()).collect()
     first = {r.spans for r in got if r.doc_id == 0}
@@ -456,17 +511,24 @@ def test_terms_anywhere_in_a_text(spark):
     marked = [text[0][int(a) : int(b)] for k, a, b in (s.split(":") for s in first.pop().split(",")) if k == "term"]
     assert marked == ["Zaphodia", long, "zaphodia,end", "Zaphodia"]
     base = {t: pii.base_spans(t) for t in text.values()}
-    entities = {t: {(k, v) for _, k, _, v in b} for t, b in base.items()}
+    held = {t: set(pii.entities(b)) for t, b in base.items()}
     words = {t: {pii._lower(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)} for t in base}
     every = [t for _, t in rows]
-    n_e, n_t = Counter(e for t in every for e in entities[t]), Counter(w for t in every for w in words[t])
+    n_t = Counter(w for t in every for w in words[t])
     free = {t: {pii._lower(t[a:b]) for a, b in pii.free_words(t, base[t])} for t in base}
-    n_te = Counter((e, w) for t in every for e in entities[t] for w in free[t])
-    share = lambda e, w: math.log2((n_te[e, w] + n_e[e] / len(every)) / (n_t[w] + 1) * len(every) / n_e[e]) / math.log2(len(every) / n_e[e])
+    n_te, m_te = (Counter((e, w) for t in ts for e in held[t] for w in free[t]) for ts in (every, set(every)))
+
+    def unsaid(e, w):
+        p, n, z = n_te[e, w] / n_t[w], n_t[w] * m_te[e, w] / n_te[e, w], 1.645
+        return -math.log2((p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))
+
+    some = 0
     for r in got:
         t = text[r.doc_id]
-        want = sorted((a, b) for a, b in pii.free_words(t, base[t]) if any(share(e, pii._lower(t[a:b])) >= 0.9 for e in entities[t]))
+        want = sorted((a, b) for a, b in pii.free_words(t, base[t]) if any(unsaid(e, pii._lower(t[a:b])) <= 1 for e in held[t]))
+        some += len(want)
         assert sorted((x["start"], x["end"]) for x in r.added or []) == want
+    assert some > 20
 
 
 @pytest.mark.parametrize("percent", [85, 60])

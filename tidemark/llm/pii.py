@@ -1,32 +1,35 @@
 """Personal data: fixed patterns, and terms that give the found entities away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers.  Then
-information theory decides on the words of the texts that hold them: over the
-whole corpus, a term t says about an entity e
-
-    PMI(t; e) = log2(n_te * N / (n_t * n_e))      of      IC(e) = log2(N / n_e)
-
-(n_te rows with t and e, n_t rows with t, n_e rows with e, N rows).  A term
-whose share PMI / IC reaches ``threshold`` discloses e: it is generalised, or
-removed where it never stands without the entity (n_te = n_t).  Every entity is
-judged, one that stands in a single text too: n_te / n_t is drawn towards n_e / N,
-what chance would give, by ``SMOOTH`` rows, so few rows prove less than many:
-
-    PMI(t; e) = log2((n_te + SMOOTH * n_e / N) / (n_t + SMOOTH) / (n_e / N))
+Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each is
+an entity, and so is its group: the e-mail's domain, the address's network (three
+parts), the first six digits of a card or phone number.  Then information theory
+decides on the words of the texts that hold them: over the whole corpus, a term t
+says about an entity e
+
+    PMI(t; e) = log2(P(e | t) / P(e))      of      IC(e) = -log2 P(e)
+
+A term discloses e if it leaves at most ``BITS`` of IC(e) unsaid, that is if
+-log2 P(e | t) <= BITS.  P(e | t) is the lower end of a one-sided confidence
+interval (Wilson's, at 95 %) for n_te / n_t (rows with t and e, rows with t), so a
+term seen once or twice proves nothing however large the corpus is, and nothing
+changes with the number of rows.  Copies of a text are one observation: the
+interval is for n_t scaled by the share of different texts among the n_te rows.
+At full agreement three different texts are the fewest that suffice.  A term that
+discloses is generalised, or removed where it never stands without the entity.
 
 A term is a word of any length that touches no pattern's span, wherever it
 stands in the text; each of its occurrences in a text that holds the entity is
 marked.
 
 The texts are read twice: once for patterns, when texts that have some are kept
-aside, once to count the documents of those texts' words only (they are told
-apart by a bit set of fixed size).  Pairs that can't reach the threshold
-whatever their n_te are left out before pairs are made: n_te is n_e at most, so
-n_t is bounded.  Entities of one text share their counts and are one.
+aside, once to count the rows of those texts' words only (they are told apart by
+a bit set of fixed size).  Pairs that can't reach the threshold whatever their
+n_te are left out before pairs are made: n_te is n_e at most, so n_t is bounded.
 
 Edge cases: a null text counts as empty; null ids and repeated rows stay, as
 results are joined by text digest.  Extra columns are neither read nor
-returned, except by ``sanitised``, which keeps all.  Empty table: empty result.
+returned, except by ``sanitised``, which keeps all, whatever their names.  Empty
+table: empty result.
 """
 
 from __future__ import annotations
@@ -41,10 +44,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import written
+from .common import drop_written, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-THRESHOLD, SMOOTH = 0.9, 1.0
+#: Bits of an entity's content that a disclosing term may leave unsaid, and the normal quantile of the interval's one side.
+BITS, Z = 1.0, 1.645
 #: Bits of the set of terms whose documents are counted: 1 MB whatever the corpus. Full, it costs time, not results.
 FILTER_BITS = 23
 
@@ -95,6 +99,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def entities(spans: list[tuple[int, int, int, str]]) -> list[str]:
+    """The values of spans and the groups that they belong to."""
+    out = set()
+    for _, k, _, v in spans:
+        group = v.rpartition("@")[2] if k == 0 else v.rpartition(".")[0] if k == 1 else v[:6]
+        out |= {f"{KINDS[k]}:{v}", f"{KINDS[k]}-group:{group}"}
+    return sorted(out)
+
+
 def _lower(s: str) -> str:
     return s.lower() if s.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), s)
 
@@ -138,15 +151,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 b = whole.slice(a, 500)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 spans = [base_spans(t) for t in texts]
-                values = [sorted({f"{KINDS[k]}:{v}" for _, k, _, v in x}) for x in spans]
+                values = [entities(x) for x in spans]
                 hashes = _hash_words([v for x in values for v in x]).tolist()
                 ends = np.cumsum([0, *map(len, values)]).tolist()
-                entities = [hashes[i:j] for i, j in zip(ends, ends[1:])]
+                held = [hashes[i:j] for i, j in zip(ends, ends[1:])]
                 counts = [pa.array([sum(x[1] == k for x in s) for s in spans], pa.int64()) for k in range(4)]
                 sha = [hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e, _ in x).encode()).hexdigest() for x in spans]
                 base = [[{"start": s, "kind": k, "end": e} for s, k, e, _ in x] for x in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([_digest(t) for t in texts], pa.binary()), *counts, pa.array(sha, pa.string()), pa.array(base, pa.list_(_SPAN_TYPE)), pa.array(entities, pa.list_(pa.int64())), pa.array([t if x else None for t, x in zip(texts, spans)], pa.string())],
+                    [b.column(0), pa.array([_digest(t) for t in texts], pa.binary()), *counts, pa.array(sha, pa.string()), pa.array(base, pa.list_(_SPAN_TYPE)), pa.array(held, pa.list_(pa.int64())), pa.array([t if x else None for t, x in zip(texts, spans)], pa.string())],
                     names=[id_col, "digest", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "text"],
                 )
 
@@ -196,17 +209,16 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
     return docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def share_of(total: float) -> Column:
-    """PMI / IC of a row with n_te, n_t and n_e, smoothed; ``total`` rows in all."""
-    chance = F.col("n_e") / F.lit(total)
-    content = -F.log2(chance)
-    # an entity that is in every row has no content to disclose
-    return F.when(content > 0, F.log2((F.col("n_te") + F.lit(SMOOTH) * chance) / (F.col("n_t") + F.lit(SMOOTH)) / chance) / content).otherwise(F.lit(0.0))
+def least_share() -> Column:
+    """The lower end for P(e | t), of a row with n_te, n_t (rows) and m_te (different texts among the n_te)."""
+    p, n = F.col("n_te") / F.col("n_t"), F.col("n_t") * F.col("m_te") / F.col("n_te")
+    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
 
 
-def _most(n_e: Column, total: float, threshold: float) -> Column:
-    """The most rows that a term may stand in and still reach the threshold for an entity of ``n_e`` rows."""
-    return (n_e + F.lit(SMOOTH)) * F.pow(F.lit(total) / n_e, F.lit(1 - threshold)) * F.lit(1 + 1e-9)
+#: Different texts below which an entity can't be disclosed: at full agreement the lower end is m / (m + Z^2).
+def fewest_texts(bits: float) -> int:
+    share = 2.0**-bits
+    return int(np.ceil(Z * Z * share / (1 - share)))
 
 
 def rare_terms(texts: DataFrame) -> DataFrame:
@@ -231,34 +243,31 @@ def rare_terms(texts: DataFrame) -> DataFrame:
     return texts.select("digest", "text", "n", "most").mapInArrow(run, "digest binary, term long")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def disclosing(found: DataFrame, docs: DataFrame, bits: float = BITS, text_col: str = "text") -> DataFrame:
     """(digest, term, remove): the terms of each text that disclose an entity of it, and whether one never stands without it."""
-    total = float(found.count())
     held = found.where(F.size("entities") > 0)
     # copies of a text are summed first
     texts = held.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"))
     of_text = texts.select("digest", "n", F.explode("entities").alias("entity"))
-    stats = of_text.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"))
-    of_text = of_text.join(stats, "entity")
-    own = F.col("texts") == 1
-    groups = written(of_text.groupBy("digest").agg(F.first("n").alias("n"), F.max("n_e").alias("n_most"), F.max(own).alias("own"), F.collect_list(F.when(~own, F.struct("entity", "n_e"))).alias("shared")), "pii-groups")
-    # between the least and the most n_e of a text the bound is highest at one of the two
-    bound = F.greatest(_most(F.col("n_most").cast("double"), total, threshold), _most(F.col("n").cast("double"), total, threshold))
-    bounds = groups.select("digest", F.col("n").cast("double").alias("n"), bound.alias("most"))
+    stats = of_text.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= fewest_texts(bits))
+    # n_te / n_t is no less than its interval's lower end, and n_te is n_e at most
+    reach = F.col("n_e") * F.lit(2.0**bits)
+    groups = written(of_text.join(stats, "entity").groupBy("digest").agg(F.first("n").alias("n"), F.max(reach).alias("most"), F.collect_list(F.struct("entity", "n_e")).alias("shared")), "pii-groups")
     one = held.select("digest", "text").groupBy("digest").agg(F.first("text").alias("text"))
-    terms = written(rare_terms(one.join(bounds, "digest")), "pii-terms")
+    terms = written(rare_terms(one.join(groups.select("digest", F.col("n").cast("double").alias("n"), "most"), "digest")), "pii-terms")
     counts = document_counts(docs, terms.select("term").distinct(), text_col)
-    rows = written(terms.join(counts, "term").join(groups, "digest").where(F.col("n_t") <= bound).select("digest", "term", "n", "n_t", "own", "shared"), "pii-pairs")
-    alone = rows.where("own").select("digest", "term", F.col("n").alias("n_te"), "n_t", F.col("n").alias("n_e"))
-    shared = rows.select("digest", "term", "n", "n_t", F.explode("shared").alias("x")).select("digest", "term", "n", "n_t", "x.entity", "x.n_e").where(F.col("n_t") <= _most(F.col("n_e").cast("double"), total, threshold))
-    pairs = shared.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
-    remove = (F.col("n_te") >= F.col("n_t")).alias("remove")
-    pairs = pairs.where(share_of(total) >= threshold).select("entity", "term", remove)
-    every = alone.where(share_of(total) >= threshold).select("digest", "term", remove).unionByName(shared.select("digest", "term", "entity").join(pairs, ["entity", "term"]).select("digest", "term", "remove"))
-    return every.groupBy("digest", "term").agg(F.max("remove").alias("remove"))
+    rows = written(terms.join(counts, "term").join(groups, "digest").where(F.col("n_t") <= F.col("most")).select("digest", "term", "n", "n_t", "shared"), "pii-pairs")
+    shared = rows.select("digest", "term", "n", "n_t", F.explode("shared").alias("x")).select("digest", "term", "n", "n_t", "x.entity", "x.n_e").where(F.col("n_t") <= reach)
+    pairs = shared.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("m_te"), F.first("n_t").alias("n_t"))
+    pairs = pairs.where(-F.log2(least_share()) <= bits).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("remove"))
+    every = shared.select("digest", "term", "entity").join(pairs, ["entity", "term"]).groupBy("digest", "term").agg(F.max("remove").alias("remove"))
+    out = written(every, "pii-disclosing")
+    for t in (groups, terms, rows):
+        drop_written(t)
+    return out
 
 
-def all_spans(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def all_spans(found: DataFrame, docs: DataFrame, bits: float = BITS, text_col: str = "text") -> DataFrame:
     """(digest, added): per text with disclosing terms, all their spans: start, kind 4, end, and whether to remove or to generalise."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,15 +280,15 @@ def all_spans(found: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, t
                 rows.append([{"start": x, "kind": 4, "end": y, "remove": put[h]} for (x, y), h in zip(words, hashes) if h in put])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(_ADDED_TYPE))], names=["digest", "added"])
 
-    terms = disclosing(found, docs, threshold, text_col).groupBy("digest").agg(F.collect_list(F.struct("term", "remove")).alias("terms"))
+    terms = disclosing(found, docs, bits, text_col).groupBy("digest").agg(F.collect_list(F.struct("term", "remove")).alias("terms"))
     texts = found.where(F.size("entities") > 0).select("digest", "text").groupBy("digest").agg(F.first("text").alias("text"))
     return texts.join(terms, "digest").mapInArrow(run, "digest binary, added array<struct<start:int,kind:int,end:int,remove:boolean>>")
 
 
-def detect(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, bits: float = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, counts by kind, base_sha256, ``base`` and ``added`` spans, ``digest`` of the text."""
     found = written(find(docs, id_col, text_col), "pii-found")
-    added = all_spans(found, docs, threshold, text_col)
+    added = all_spans(found, docs, bits, text_col)
     return found.drop("entities", "text").join(added, "digest", "left")
 
 
@@ -301,17 +310,20 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitised(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitised(docs: DataFrame, bits: float = BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with personal data replaced by <KIND>, disclosing terms by <TERM> or nothing; other columns as they were.
 
     ``n_chars``, if there is such a column of integers, follows the new text.
     """
     found = written(find(docs, id_col, text_col), "pii-found")
-    added = all_spans(found, docs, threshold, text_col)
+    added = all_spans(found, docs, bits, text_col)
     columns, at = docs.columns, docs.columns.index(text_col)
     length = columns.index("n_chars") if "n_chars" in columns else None
     digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), 1, 16)
-    joined = docs.select(*columns, digest.alias("pii_digest")).join(added.withColumnRenamed("digest", "pii_digest").withColumnRenamed("added", "pii_added"), "pii_digest", "left").select(*columns, "pii_added")
+    # the row as one column: no name of its own can clash with those of the join
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), digest.alias("digest"))
+    met = whole.join(added, "digest", "left")
+    joined = met.select(*(met["row"].getField(c).alias(f"_{i}") for i, c in enumerate(columns)), met["added"].alias("_added"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -11,8 +11,13 @@ model cannot gain by it (the non-negative risk).
 
 The features are shares of a text (marks, case, repetition, word shapes, word
 variety) and need no vocabulary; the model is a small network with one hidden
-layer.  It is fitted on a bounded sample (``MAX_POSITIVE``, ``MAX_UNLABELLED``
-rows, those with the least hashes of their ids), all else covers every row.
+layer.  Texts are read once, for a table of features.
+
+Positives for the fit are bounded (``MAX_POSITIVE`` rows, those with the least
+hashes of their ids).  Unlabelled texts all count: ``MAX_UNLABELLED`` of them stand
+for all, each with the number of rows that are nearest to it as its weight.  The
+scaling comes from the moments of all unlabelled rows, the class prior from the
+histogram of their scores.
 
 Edge cases: null and empty texts have zero features and get a score like any
 other.  Labels without a document, or that are null, are left out; a document
@@ -23,7 +28,7 @@ neither read nor returned.  Empty table: empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,12 +38,13 @@ from pyspark.sql import functions as F
 
 from . import quality_rules as rules
 from . import textvec as tv
+from .common import written
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 12_000
 HIDDEN, STEPS, RATE, DECAY = 16, 1500, 0.02, 1e-4
-#: How far below zero the estimate may fall before a step counts it as too low: room for the prior's own error.
-TOLERANCE = 0.2
+#: Bins of a score's histogram.
+BINS = 4096
 #: Least distance of the prior from 0 and 1.
 PRIOR_EDGE = 0.02
 FEATURES = ("symbols", "upper", "exclaims", "dup_lines", "repeat_words", "word_chars", "variety", "log_words", "letters", "line_words", "digits", "bars")
@@ -81,45 +87,63 @@ class Model:
 
 
 def class_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
-    """Share of positives among the unlabelled, from scores of rows that the scorer wasn't fitted on.
+    """Share of positives among the unlabelled, from histograms (by ascending score) of rows that the scorer wasn't fitted on.
 
     Best bin: above any threshold the unlabelled share is at least prior times the positive share, and almost equal
     where hardly a negative scores that high.  Of all thresholds the one with the least upper bound is taken.
     """
-    cuts = np.unique(np.concatenate([positive, unlabelled]))
-    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
-    u, p = above(unlabelled), above(positive)
-    slack = sum(np.sqrt(np.log(4 / confidence) / (2 * n)) for n in (len(positive), len(unlabelled)))
-    cuts_used = p > 0
-    ratio, bound = u[cuts_used] / p[cuts_used], (u[cuts_used] + slack) / p[cuts_used]
+    u, p = (np.cumsum(x[::-1])[::-1] / x.sum() for x in (unlabelled, positive))
+    slack = sum(np.sqrt(np.log(4 / confidence) / (2 * x.sum())) for x in (positive, unlabelled))
+    used = p > 0
+    ratio, bound = u[used] / p[used], (u[used] + slack) / p[used]
     return float(np.clip(ratio[np.argmin(bound)], PRIOR_EDGE, 1 - PRIOR_EDGE))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 5, steps: int = STEPS) -> Model:
-    """Minimises the non-negative risk with the logistic loss, by Adam over the whole sample."""
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    rng = np.random.default_rng(seed)
-    w = [rng.standard_normal((p.shape[1], HIDDEN)) / np.sqrt(p.shape[1]), np.zeros(HIDDEN), rng.standard_normal(HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
-    first, second = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+def histogram(scores: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum((scores * BINS).astype(np.int64), BINS - 1), minlength=BINS)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def _forward(w: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.tanh(x @ w[0] + w[1])
+    return h, h @ w[2] + w[3][0]
+
+
+def risks(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, weight: np.ndarray, prior: float) -> tuple[float, float]:
+    """(prior * E_p[l(f, +)], E_u[l(f, -)] - prior * E_p[l(f, -)]) with the logistic loss; ``weight`` sums to 1."""
+    zp, zu = _forward(w, p)[1], _forward(w, u)[1]
+    return prior * np.logaddexp(0, -zp).mean(), float(weight @ np.logaddexp(0, zu)) - prior * np.logaddexp(0, zp).mean()
 
-    def forward(x):
-        h = np.tanh(x @ w[0] + w[1])
-        return h, h @ w[2] + w[3][0]
+
+def step_of(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, weight: np.ndarray, prior: float) -> list[np.ndarray]:
+    """The direction to go against: the whole risk's gradient, or, where the part on negatives is below zero, that part's gradient turned round."""
 
     def back(x, h, dz):
         dh = np.outer(dz, w[2]) * (1 - h * h)
         return [x.T @ dh, dh.sum(axis=0), h.T @ dz, np.array([dz.sum()])]
 
+    (hp, zp), (hu, zu) = _forward(w, p), _forward(w, u)
+    # calling x negative costs softplus(z), whose slope is sigmoid(z)
+    on_negatives = weight @ np.logaddexp(0, zu) - prior * np.logaddexp(0, zp).mean()
+    as_negative = [a - b for a, b in zip(back(u, hu, _sigmoid(zu) * weight), back(p, hp, prior * _sigmoid(zp) / len(p)))]
+    if on_negatives < 0:
+        return [-b for b in as_negative]
+    return [a + b for a, b in zip(back(p, hp, prior * (_sigmoid(zp) - 1) / len(p)), as_negative)]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, weight: np.ndarray | None = None, moments: tuple[np.ndarray, np.ndarray] | None = None, seed: int = 5, steps: int = STEPS) -> Model:
+    """Minimises the non-negative risk with the logistic loss, by Adam over all rows given."""
+    mean, scale = moments if moments is not None else (unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3)
+    weight = np.full(len(unlabelled), 1 / len(unlabelled)) if weight is None else weight / weight.sum()
+    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
+    rng = np.random.default_rng(seed)
+    w = [rng.standard_normal((p.shape[1], HIDDEN)) / np.sqrt(p.shape[1]), np.zeros(HIDDEN), rng.standard_normal(HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
+    first, second = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
     for t in range(1, steps + 1):
-        (hp, zp), (hu, zu) = forward(p), forward(u)
-        # the logistic loss: calling x negative costs softplus(z), whose slope is sigmoid(z)
-        on_negatives = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        as_positive = back(p, hp, prior * (sigmoid(zp) - 1) / len(p))
-        as_negative = [a - b for a, b in zip(back(u, hu, sigmoid(zu) / len(u)), back(p, hp, prior * sigmoid(zp) / len(p)))]
-        step = [a + b for a, b in zip(as_positive, as_negative)] if on_negatives >= -TOLERANCE else [-b for b in as_negative]
-        for k, g in enumerate(step):
+        for k, g in enumerate(step_of(w, p, u, weight, prior)):
             g = g + DECAY * w[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
@@ -136,44 +160,101 @@ def _sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n)
 
 
-def _features_of(rows: DataFrame) -> np.ndarray:
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) of every row, written once: all later passes read it instead of the texts."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(0))
+            x = features(b.column(1))
             off = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off), pa.array(x.ravel()))], names=["x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(x.ravel()))], names=["doc_id", "x"])
+
+    return written(docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, x array<double>"), "quality-features")
+
 
-    got = rows.select("text").mapInArrow(run, "x array<double>").toPandas()["x"]
-    x = np.array(got.tolist(), np.float64).reshape(-1, len(FEATURES))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def _collected(rows: DataFrame) -> np.ndarray:
+    x = np.array(rows.select("x").toPandas()["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     return x[np.lexsort(x.T)]  # the order of rows that arrive from tasks must not matter
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Model | None, float]:
-    """The model (None without positives) and the prior. Only rows that aren't held out take part.
+def _summed(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over all rows of arrays that ``of`` makes of a batch: tasks add up, then their few rows are added."""
 
-    Ids are drawn first; texts are then fetched for the drawn ids alone, whose number is bounded.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(~held_out(F.col(id_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                got = of(_matrix(b.column(0).slice(a, 1000)))
+                total = got if total is None else total + got
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.float64))], names=["k", "v"])
+
+    got = rows.select("x").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(int(got["k"].max()) + 1 if len(got) else 0)
+    out[got["k"].to_numpy(np.int64)] = got["v"].to_numpy()
+    return out
+
+
+def nearest_counts(rows: DataFrame, points: np.ndarray, moments: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each of ``points`` the number of rows that are nearest to it, by scaled features (of equally near ones to the first)."""
+    mean, scale = moments
+    near = np.clip((points - mean) / scale, -6, 6).astype(np.float32)
+    half = (near * near).sum(axis=1) / 2
+
+    def of(x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - mean) / scale, -6, 6).astype(np.float32)
+        return np.bincount(np.argmin(half - z @ near.T, axis=1), minlength=len(near))
+
+    out = _summed(rows, of)
+    return np.append(out, np.zeros(len(points) - len(out)))
+
+
+def train_on(table: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, id_col: str = "doc_id", label_col: str = "quality") -> tuple[Model | None, float]:
+    """The model (None without positives) and the prior, of a ``feature_table``. Only rows that aren't held out take part."""
+    rows = table.where(~held_out(F.col("doc_id")))
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     drawn = (_sample(known.where("label = 1").select("doc_id").distinct(), max_positive, 1), _sample(rows.select("doc_id").distinct(), max_unlabelled, 2))
-    positive, unlabelled = (_features_of(rows.join(F.broadcast(ids), "doc_id")) for ids in drawn)
-    if not len(positive) or not len(unlabelled):
+    positive, points = (_collected(rows.join(F.broadcast(ids), "doc_id")) for ids in drawn)  # ids of a stated number
+    if not len(positive) or not len(points):
         return None, 0.5
+    k = len(FEATURES)
+    sums = _summed(rows, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    sums = np.append(sums, np.zeros(2 * k + 1 - len(sums)))
+    mean = sums[1 : k + 1] / sums[0]
+    moments = mean, np.sqrt(np.maximum(sums[k + 1 :] / sums[0] - mean * mean, 0)) + 1e-3
+    weight = nearest_counts(rows, points, moments)
     prior = 0.5
-    if min(len(positive), len(unlabelled)) >= 20:
-        # rows are in the order of their features: every other one is a fair half
-        first = fit(positive[::2], unlabelled[::2], prior=0.5)
-        prior = class_prior(first.score(positive[1::2]), first.score(unlabelled[1::2]))
-    return fit(positive, unlabelled, prior), prior
+    if min(len(positive), len(points)) >= 20:
+        # points are in the order of their features: every other one is a fair half; the scorer's own count little among all rows
+        first = fit(positive[::2], points[::2], 0.5, weight[::2] + 1e-9, moments)
+        seen = _summed(rows, lambda x: histogram(first.score(x)))
+        seen = np.append(seen, np.zeros(BINS - len(seen))) - histogram(first.score(points[::2]))
+        prior = class_prior(histogram(first.score(positive[1::2])), np.maximum(seen, 0))
+    return fit(positive, points, prior, weight, moments), prior
 
 
-def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, score (0 to 1, higher: better). One narrow pass."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[Model | None, float]:
+    return train_on(feature_table(docs, id_col, text_col), labels, max_positive, max_unlabelled, id_col, label_col)
+
+
+def score_on(table: DataFrame, model: Model | None, prior: float, id_col: str = "doc_id") -> DataFrame:
+    """Per row of a ``feature_table``: id, score (0 to 1, higher: better)."""
+    kind = table.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = model.score(features(b.column(1))) if model is not None else np.full(b.num_rows, prior)
+            got = model.score(_matrix(b.column(1))) if model is not None else np.full(b.num_rows, prior)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return table.mapInArrow(run, f"`{id_col}` {kind}, score double")
+
+
+def score(docs: DataFrame, model: Model | None, prior: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, score (0 to 1, higher: better)."""
+    return score_on(feature_table(docs, id_col, text_col), model, prior, id_col)

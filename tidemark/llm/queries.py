@@ -21,8 +21,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    model, prior = quality_classifier.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
-    rows = quality_classifier.score(docs, model, prior)
+    found = quality_classifier.feature_table(docs)
+    model, prior = quality_classifier.train_on(found, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    rows = quality_classifier.score_on(found, model, prior)
     return rows.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
