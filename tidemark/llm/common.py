@@ -123,3 +123,24 @@ def ranked(rows: DataFrame, *order: Column, name: str = "ranked") -> DataFrame:
     out = placed.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(starts), "_range")
     place = F.col("_before") + F.col("_at") - F.shiftleft(F.col("_range"), 33) + 1
     return out.withColumn("place", place).drop("_range", "_before", "_at")
+
+
+def numbered_ids(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` with ids as longs in the ids' order, and the table (number, id) that tells them back; None where ids are integers.
+
+    Null ids stay null.
+    """
+    if dict(rows.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint"):
+        return rows, None
+    ids = rows.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    names = ranked(ids, F.col("id"), name="id-numbers").select(F.col("place").alias("number"), "id")
+    met = rows.join(names, rows[id_col] == names["id"], "left")
+    return met.select(*(F.col("number").alias(c) if c == id_col else rows[c] for c in rows.columns)), names
+
+
+def named_ids(rows: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """The numbers of ``columns`` as the ids that they stand for."""
+    for c in columns if names is not None else ():
+        own = names.select(F.col("number").alias("_number"), F.col("id").alias("_id"))
+        rows = rows.join(own, rows[c] == own["_number"], "left").select(*(F.col("_id").alias(x) if x == c else rows[x] for x in rows.columns))
+    return rows

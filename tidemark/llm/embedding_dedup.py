@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, named_ids, numbered_ids, written
 from .components import components
 
 BLOCK = 512
@@ -100,7 +100,11 @@ def _compare(x: np.ndarray, keys: np.ndarray, table: int, own: np.ndarray, pair:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, miss: float = MISS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Per row: vec_id, n_links (other vectors linked directly), component_id (least id reachable), kept."""
+    """Per row: vec_id, n_links (other vectors linked directly), component_id (least id reachable), kept.
+
+    Ids of any type that has an order; integers are fastest.
+    """
+    vectors, names = numbered_ids(vectors.select(id_col, vector_col), id_col)
     v = F.col(vector_col).cast("array<double>")
     finite = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
     good = finite & (F.size(v) > 0) & F.coalesce(F.exists(v, lambda c: c != 0), F.lit(False))
@@ -175,7 +179,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, miss: float = MI
     same_id = members.where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))
     parts = components(ends.unionByName(same_id))
     out = members.join(parts, members["vec_id"] == parts["node"], "left").withColumn("component_id", F.coalesce("component", "vec_id"))
-    return out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    drop_written(met)
+    out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return named_ids(out, names, "vec_id", "component_id")
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:

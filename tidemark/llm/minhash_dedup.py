@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import drop_written, written
+from .common import drop_written, named_ids, numbered_ids, written
 from .components import components
 
 WORDS = 5
@@ -296,7 +296,11 @@ def joining_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles (long), component_id (least id reachable by links, null without id), kept."""
+    """Per row: doc_id, n_shingles (long), component_id (least id reachable by links, null without id), kept.
+
+    Ids of any type that has an order; integers are fastest.
+    """
+    docs, names = numbered_ids(docs.select(id_col, text_col), id_col)
     signed = written(signatures(docs, id_col, text_col), "signatures")
     of_set = ["set_lo", "set_hi"]
     full = signed.where("n_shingles > 0")
@@ -311,11 +315,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     texts = written(packed_texts(docs, classes.select("rep", "text_key", "sketch"), grouped.select("rep").distinct(), id_col, text_col).join(classes.select("rep", "n_shingles"), "rep"), "texts")
     stars = grouped.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = written(verified(screened(stars, classes, percent), texts, percent), "links")
-    parts = written(components(links), "components")
+    parts = parts_written = written(components(links), "components")
     own = lambda c: F.coalesce("component", c)
     labelled = grouped.join(parts, grouped["rep"] == parts["node"], "left").select("key", "n", "band", "rep", own("rep").alias("part"))
     several = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    more = joining_links(written(labelled.join(several, "key"), "open-groups"), texts, percent)
+    open_groups = written(labelled.join(several, "key"), "open-groups")
+    more = joining_links(open_groups, texts, percent)
     same_id = full.where("doc_id is not null").join(linked, of_set).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more).unionByName(same_id.where("a <> b")))
-    return signed.join(final, signed["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", own("doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    for t in (linked, classes, grouped, texts, links, parts_written, open_groups):
+        drop_written(t)
+    out = signed.join(final, signed["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", own("doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return named_ids(out, names, "doc_id", "component_id")

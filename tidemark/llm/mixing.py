@@ -15,8 +15,8 @@ sorted within their slice only.
 Edge cases: null or empty texts have size 0 and weight 1.  A null source is a
 source of its own, last in the order.  Null ids are drawn as the empty id; rows
 with equal ids get equal keys, the tie goes by size.  Empty table: empty result.
-Clashing extra columns are carried only through ``keep``; the operator's own
-columns start with ``mix_``.
+``mix`` carries the columns of ``keep``, whose names mustn't start with ``mix_``;
+``mixed_rows`` carries all, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,8 +103,11 @@ def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[
     )
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken."""
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs``, all columns whatever their names, as often as it is taken."""
     columns = docs.columns
-    out = mix(docs, columns, **options)
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("mix_times"), F.lit(1)).cast("int")))).where("mix_times > 0").select(*columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("mix_row")
+    whole = docs.select(row, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    out = mix(whole, ["mix_row"], **options)
+    taken = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("mix_times"), F.lit(1)).cast("int")))).where("mix_times > 0")
+    return taken.select(*(F.col("mix_row").getField(c).alias(c) for c in columns))

@@ -43,7 +43,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
+    """Over a store that already holds the benchmark's texts."""
+    path, store = tokenizer_file("word_bpe_49k.json"), f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    token_counts.count_tokens(table(spark, sf_dir, "benchmark", "item_id", "text"), path, store, "item_id")
+    rows = token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), path, store)
     return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 

@@ -1,9 +1,15 @@
 """Token counts through a digest cache.
 
 A text's count depends only on its content and on the tokenizer, so counts are
-stored under (tokenizer digest, content digest).  A run joins its documents'
-digests to the store, encodes each distinct missing content once, appends the
-new counts and joins them back.
+stored under (tokenizer digest, content digest), a folder per tokenizer.  A run
+joins its documents' digests to the store, encodes each distinct missing content
+once, appends the new counts and joins them back.  Copies of one content are
+brought together within tasks before either join.
+
+Contents are normalised before they are digested, as far as the tokenizer file
+says that it does the same: A-Z to a-z, and runs of ASCII white space to one
+space.  A text that spells one of the file's added tokens in any case, which
+the tokenizer looks for before it normalises, is digested as it is.
 
 Within an encoding task, counts are also remembered by word: the tokenizer
 never joins characters across white space, so a text's count is the sum of its
@@ -21,17 +27,18 @@ import hashlib
 import json
 import os
 import re
+import string
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import shared_dir
+from .common import packed_ids, shared_dir
 
 #: Remembered words per task; the memory is emptied when full, which costs time and never changes a count.
 REMEMBERED = 150_000
@@ -119,21 +126,36 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-STORE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
+STORE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
+
+
+def normalised(text: Column, path: str) -> Column:
+    """``text`` without what can't matter to the tokenizer's counts."""
+    if not path.endswith(".json"):
+        return text
+    spec = json.loads(Path(path).read_text())
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    lowers, spaces = any(s["type"] == "Lowercase" for s in steps), any(s["type"] == "Replace" and s["pattern"].get("Regex") == r"\s+" and s["content"] == " " for s in steps)
+    if not lowers or not {s["type"] for s in steps} <= {"NFC", "Replace", "Lowercase"} or any(t.get("normalized") for t in spec["added_tokens"]):
+        return text
+    out = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    special = F.lit(False)
+    for t in spec["added_tokens"]:
+        special = special | F.contains(out, F.lit(t["content"].lower()))
+    return F.when(special, text).otherwise(F.regexp_replace(out, r"[\x20\x09-\x0D]+", " ") if spaces else out)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens (long).
 
     ``store`` is the cache's folder, on storage that the cluster shares; by default a new one under
-    ``spark.checkpoint.dir``, so that nothing is kept between calls.  Contents meet by digest after a map-side
-    combine, so thousands of copies reach the encoder once; only ids and digests take part in the join back.
+    ``spark.checkpoint.dir``, so that nothing is kept between calls.
     """
     spark = docs.sparkSession
     store = store or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     version = tokenizer_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2(normalised(F.col("text"), tokenizer_path), 256)))
     contents = rows.groupBy("digest").agg(F.first("text").alias("text"))
     if _exists(spark, store):
         known = spark.read.schema(STORE_SCHEMA).parquet(store).where(F.col("tokenizer") == version).select("digest")
@@ -144,10 +166,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, store: str | None = None,
         counter = Counter(tokenizer_path)
         for b in batches:
             got = counter.counts(b.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array([version] * len(got), pa.string()), b.column(0), pa.array(got, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64()), pa.array([version] * len(got), pa.string())], names=["digest", "n_tokens", "tokenizer"])
 
-    contents.mapInArrow(run, STORE_SCHEMA).write.mode("append").parquet(store)
+    contents.mapInArrow(run, STORE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(store)
     # one run may lose a race to another on the same store; equal digests have equal counts
     counts = spark.read.schema(STORE_SCHEMA).parquet(store).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    slim = rows.select(F.col(id_col), "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return slim.join(counts, "digest").select(id_col, "n_bytes", "n_tokens")
+    packs = packed_ids(rows.select("digest", F.struct("id", F.octet_length("text").cast("long").alias("n_bytes")).alias("row")))
+    met = packs.join(counts, F.col("key") == F.col("digest")).select(F.explode("ids").alias("row"), "n_tokens")
+    return met.select(F.col("row.id").alias(id_col), F.col("row.n_bytes").alias("n_bytes"), "n_tokens")
