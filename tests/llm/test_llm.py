@@ -199,7 +199,8 @@ def test_token_counts(spark, docs, texts, empty, tmp_path):
     want = {i: (len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in every.items()}
     assert {i: (r.n_bytes, r.n_tokens) for i, r in got.items()} == want
     n = spark.read.parquet(store).count()
-    assert n == len({t or "" for t in every.values()})
+    # contents are kept as the tokenizer normalises them, those that spell a special token as they are
+    assert n == len({t if "<|" in (t or "") else re.sub(r"[\x20\x09-\x0D]+", " ", brute.lower(t or "")) for t in every.values()})
     more = df.union(spark.createDataFrame([(900, "brand new words"), (901, "brand new words")], "doc_id long, text string"))
     assert len(token_counts.count_tokens(more, path, store).collect()) == len(every) + 2
     assert spark.read.parquet(store).count() == n + 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import time
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..errors import EngineError
 from ..operators.merge import TIME
-from . import synthetic
+from . import synthetic, telemetry
 
 
 class SourceAdapter(Protocol):
@@ -134,6 +135,13 @@ class ApiSource:
         return spark.read.json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
 
 
+def _topic(query: str) -> tuple[str, str]:
+    if not query.startswith("io://"):
+        raise EngineError("source.schema_mismatch", "telemetry queries are io://device/metric")
+    device, _, metric = query[5:].partition("/")
+    return device or "*", metric or "*"
+
+
 @dataclass
 class TelemetrySource:
     """io://{device}/{metric} over a frame of readings: _timestamp, _deviceId, uri, value, _unit, _quality."""
@@ -141,25 +149,66 @@ class TelemetrySource:
     readings: DataFrame
 
     def query(self, spark: SparkSession, query: str) -> DataFrame:
-        if not query.startswith("io://"):
-            raise EngineError("source.schema_mismatch", "telemetry queries are io://device/metric")
-        device, _, metric = query[5:].partition("/")
-        rows = self.readings if device in ("", "*") else self.readings.where(F.col("_deviceId") == device)
-        return rows if not metric or metric == "*" else rows.where(F.col("uri") == query)
+        device, metric = _topic(query)
+        rows = self.readings if device == "*" else self.readings.where(F.col("_deviceId") == device)
+        return rows if metric == "*" else rows.where(F.col("uri") == query)
+
+
+@dataclass
+class TelemetryPortSource:
+    """io://{device}/{metric} through a port (see ``telemetry``): drained up to its present end, or as a stream.
+
+    ``options``: factory, config and limits of the data source.
+    """
+
+    options: Mapping[str, str]
+
+    def _options(self, spark: SparkSession, query: str) -> dict[str, str]:
+        device, metric = _topic(query)
+        spark.dataSource.register(telemetry.TelemetryDataSource)
+        return {**self.options, "device": device, "metric": metric}
+
+    def query(self, spark: SparkSession, query: str) -> DataFrame:
+        return spark.read.format("telemetry").options(**self._options(spark, query)).load()
+
+    def subscribe(self, spark: SparkSession, query: str) -> DataFrame:
+        return spark.readStream.format("telemetry").options(**self._options(spark, query)).load()
 
 
 @dataclass
 class FactSource:
-    """Facts (_factId, _factType, _timestamp, _confidence, content map): the type is the query, content becomes columns."""
+    """Facts: _factId, _factType, _timestamp, _confidence, and content (a map, JSON text or variant) that becomes columns.
+
+    The query is the type, or a JSON object with ``type`` and ``entityId`` (matched with the column _entityId).  Columns
+    and their types come from one aggregate over the contents; a field of several types is text.
+    """
 
     facts: DataFrame
 
     def query(self, spark: SparkSession, query: str) -> DataFrame:
-        rows = self.facts.where(F.col("_factType") == query)
+        wanted = json.loads(query) if query.lstrip().startswith("{") else {"type": query}
+        rows = self.facts.where(F.col("_factType") == wanted["type"])
+        if wanted.get("entityId") is not None:
+            if "_entityId" not in rows.columns:
+                raise EngineError("source.schema_mismatch", "the facts have no _entityId")
+            rows = rows.where(F.col("_entityId") == wanted["entityId"])
         if "content" not in rows.columns:
             return rows
-        keys = [r[0] for r in rows.select(F.explode(F.map_keys("content"))).distinct().orderBy("col").collect()]
-        return rows.select(*(c for c in rows.columns if c != "content"), *(F.col("content")[k].alias(k) for k in keys))
+        kind = rows.schema["content"].dataType
+        content = F.col("content") if isinstance(kind, T.VariantType) else F.parse_json(F.col("content") if isinstance(kind, T.StringType) else F.to_json("content"))
+        whole = rows.withColumn("content", content)
+        found = whole.agg(F.schema_of_variant_agg("content")).first()[0]
+        fields = variant_fields(found or "")
+        return whole.select(*(c for c in rows.columns if c != "content"), *(F.try_variant_get("content", f"$[{json.dumps(k)}]", t).alias(k) for k, t in fields))
+
+
+def variant_fields(schema: str) -> list[tuple[str, str]]:
+    """(key, type to read it as) of the objects that ``schema_of_variant_agg`` describes, by key."""
+    if not schema.startswith("OBJECT<"):
+        return []
+    struct = T._parse_datatype_string(re.sub(r"\bVOID\b", "STRING", schema.replace("OBJECT<", "STRUCT<", 1).replace("OBJECT<>", "STRING")).replace("OBJECT<", "STRUCT<"))
+    number = lambda t: "double" if isinstance(t, (T.DecimalType, T.FloatType)) else "string" if isinstance(t, (T.VariantType, T.StructType, T.ArrayType, T.MapType)) else t.simpleString()
+    return sorted((f.name, number(f.dataType)) for f in struct.fields)
 
 
 class SyntheticSource:
