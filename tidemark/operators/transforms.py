@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..durations import seconds
 from ..errors import EngineError
 from ..series import INDEX, SeriesKey, carried, with_index
+from .steplog import StepLog
 from .asof import asof_join
 
 OPERATORS = ("==", "!=", ">", "<", ">=", "<=", "in", "notIn", "isNull", "isNotNull")
@@ -213,7 +214,8 @@ class TransformPipeline:
     def __init__(self, custom: Mapping[str, Transform] | None = None):
         self.handlers = BUILT_IN | dict(custom or {})
 
-    def run(self, df: DataFrame, steps: Sequence[tuple[str, Mapping[str, Any]]], key: SeriesKey | None = None) -> DataFrame:
+    def run(self, df: DataFrame, steps: Sequence[tuple[str, Mapping[str, Any]]], key: SeriesKey | None = None, log: StepLog | None = None) -> DataFrame:
+        """The steps in order; with ``log`` each one's rows are observed."""
         for name, params in steps:
             handler = self.handlers.get(name)
             if handler is None:
@@ -224,6 +226,7 @@ class TransformPipeline:
                 raise
             except Exception as e:
                 raise EngineError("transform.failed", f"{name}: {e}", step=name) from e
+            df = log.watch(df, f"transform:{name}") if log is not None else df
         return df
 
     def output_schema(self, spark, schema: T.StructType, steps, key: SeriesKey | None = None) -> T.StructType:

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import json
+import math
 import threading
+import time
 import uuid
 from collections.abc import Callable, Mapping
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..durations import seconds
 from ..errors import EngineError
 from ..functions.base import Result
 from ..functions.registry import Registry
 from ..operators import merge
+from ..operators.steplog import StepLog
 from ..operators.transforms import TransformPipeline, time_column
 from ..series import INDEX, SeriesKey, materialised, shared_dir
 from ..sources.registry import SourceRegistry, with_retry
@@ -32,8 +36,42 @@ SERIES_VALUES = 100_000
 TIMEOUTS = {"batch": 30 * 60, "adhoc": 5 * 60}
 
 
+#: Fixed value: microseconds from the epoch over which a numeric index is spread.
+INDEX_SPAN = 1_000_000_000
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def series_points(values: Any, index: Any) -> list[dict] | DataFrame:
+    """(t, v) of values against their index: times as they are, numbers spread over ``INDEX_SPAN``, else the position.
+
+    A frame of values stays a frame, against its own index.
+    """
+    if isinstance(values, DataFrame):
+        order, column = values.columns
+        number = isinstance(values.schema[order].dataType, T.NumericType)
+        if not number:
+            return values.select(F.col(order).alias("t"), F.col(column).alias("v"))
+        low, high = values.agg(F.min(order), F.max(order)).first()
+        place = F.round((F.col(order) - F.lit(low)) / F.lit((high - low) or 1) * INDEX_SPAN) if low is not None else F.lit(0)
+        return values.select(F.timestamp_micros(place.cast("long")).alias("t"), F.col(column).alias("v"))
+    values = [v for v in (values if isinstance(values, list) else [values]) if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    index = index if isinstance(index, list) else []
+    numbers = [float(x) for x in index[: len(values)] if isinstance(x, (int, float))]
+    low, span = (min(numbers), max(numbers) - min(numbers)) if numbers else (0.0, 0.0)
+    out = []
+    for i, v in enumerate(values):
+        x = index[i] if i < len(index) else None
+        if not isinstance(x, datetime):
+            place = math.floor((float(x) - low) / span * INDEX_SPAN + 0.5) if isinstance(x, (int, float)) and span > 0 else i
+            x = _EPOCH + timedelta(microseconds=place)
+        out.append({"t": x, "v": float(v)})
+    return out
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, sources: SourceRegistry, functions: Registry | None = None, transforms: TransformPipeline | None = None, publisher: Publisher | None = None, policy: Policy | None = None, metrics: Callable[[str, float], None] = lambda name, value: None, clock: Callable[[], datetime] | None = None):
+    def __init__(self, spark: SparkSession, sources: SourceRegistry, functions: Registry | None = None, transforms: TransformPipeline | None = None, publisher: Publisher | None = None, policy: Policy | None = None, metrics: Callable[[str, float], None] = lambda name, value: None, clock: Callable[[], datetime] | None = None, step_log: bool = False):
+        """``step_log``: rows before and after each transform go to the job's log, and batch throughput to ``metrics``."""
+        self.step_log = step_log
         self.spark, self.sources = spark, sources
         self.functions, self.transforms = functions or Registry(), transforms or TransformPipeline()
         self.publisher, self.policy, self.metrics, self.clock = publisher or Publisher(), policy or Policy(), metrics, clock
@@ -139,7 +177,9 @@ class Engine:
     def _batch(self, spec: Spec, job: Job, mode: str) -> None:
         data = self._acquire(spec, job, mode)
         key = self._key(data, spec)
-        data = self.transforms.run(data, [(t.name, t.parameters) for t in spec.transforms], key)
+        log = StepLog() if self.step_log else None
+        data = log.watch(data, "input") if log else data
+        data = self.transforms.run(data, [(t.name, t.parameters) for t in spec.transforms], key, log)
         shared = len(spec.analysis_steps) + any(o.type == "alert" for o in spec.outputs) > 1
         if shared:
             data = data.persist()
@@ -156,10 +196,20 @@ class Engine:
                     self.artifacts.save(a)
                     job.artifact_ids.append(a.artifact_id)
             self._alerts(spec, job, data, key)
+            if log:
+                self._logged(job, log)
         finally:
             if shared:
                 data.unpersist()
 
+    def _logged(self, job: Job, log: StepLog) -> None:
+        took = time.monotonic() - log.began
+        entries = log.entries()
+        for e in entries[1:]:
+            job.logs.append(f"{e['step']}: {e['rowsIn']} -> {e['rowsOut']} rows, columns {', '.join(e['columns'])}")
+        if entries[0]["rowsOut"] is not None:
+            self.metrics("analysis.throughput", entries[0]["rowsOut"] / max(took, 1e-9))
+
     def _step_data(self, results: dict[str, Result], i: StepInput) -> tuple[DataFrame, SeriesKey]:
         """An array field of an earlier step as a table: it stays distributed."""
         got = results[i.from_].series.get(i.field)
@@ -226,13 +276,16 @@ class Engine:
             numbers = [v for v in value.values() if isinstance(v, (int, float))] if isinstance(value, dict) else value if isinstance(value, list) else []
             value = float(numbers[0]) if numbers else 0.0
         elif o.type == "model":
-            extra |= {"modelVersion": o.parameters.get("modelVersion", spec.version), "performanceMetrics": o.parameters.get("performanceMetrics") or {"result": 1}}
+            held = value if isinstance(value, dict) else {}
+            extra |= {"modelVersion": o.parameters.get("modelVersion") or held.get("modelVersion", spec.version), "performanceMetrics": o.parameters.get("performanceMetrics") or held.get("performanceMetrics") or {"result": 1}}
+            value = held.get("parameters", value)
             if not value:
                 raise EngineError("artifact.build_error", f'model "{o.name}" has no parameters')
         elif o.type == "chart":
-            extra |= {"xAxis": {"label": o.index_field or "index", "type": "linear"}, "yAxis": {"label": o.field or "value", "type": "linear"}}
-        elif o.type == "series" and not isinstance(value, (list, DataFrame)):
-            value = [value]
+            extra |= {"series": [{"name": o.field or o.name, "points": series_points(value, index)}], "xAxis": {"label": o.index_field or "index", "type": "linear"}, "yAxis": {"label": o.field or "value", "type": "linear"}}
+        elif o.type == "series":
+            value = value if isinstance(value, (list, DataFrame)) else [value]
+            extra |= {"points": series_points(value, index)}
         return Artifact(f"artifact-{uuid.uuid4().hex[:12]}", o.type, o.name, value, job.job_id, spec.spec_id, spec.version, list(o.parameters.get("tags", [])), extra=extra)
 
     # -- alerts ---------------------------------------------------------------------------------------------------------
@@ -322,7 +375,10 @@ class Engine:
         def ended() -> None:
             """What still waits at the end of a finished stream is released; then the job is done."""
             try:
-                job.handle.awaitTermination()
+                try:
+                    job.handle.awaitTermination()
+                finally:
+                    self.spark.streams.removeListener(job.listener)
                 if job.status != "running" or not p.get("availableNow"):
                     return
                 if shape.lateness is not None:
@@ -334,9 +390,31 @@ class Engine:
                     job.errors.append({"code": "stream.error", "message": str(e).strip().split("\n")[0][:500]})
                     self._move(job, "failed")
 
+        self._listen(job)
         job.watch = threading.Thread(target=ended, name=job.job_id, daemon=True)
         job.watch.start()
 
+    def _listen(self, job: Job) -> None:
+        """Every micro-batch of the job's query tells its throughput."""
+        metrics, query = self.metrics, job.handle.id
+
+        class Progress(StreamingQueryListener):
+            def onQueryStarted(self, event) -> None:
+                pass
+
+            def onQueryProgress(self, event) -> None:
+                if str(event.progress.id) == query:
+                    metrics("analysis.throughput", float(event.progress.processedRowsPerSecond))
+
+            def onQueryIdle(self, event) -> None:
+                pass
+
+            def onQueryTerminated(self, event) -> None:
+                pass
+
+        job.listener = Progress()
+        self.spark.streams.addListener(job.listener)
+
     def _condition(self, job: Job, rule: Rule) -> Condition | None:
         """The rule's condition; one that can't be read is noted and never holds."""
         try:

@@ -192,6 +192,7 @@ class Job:
     parameters: dict = field(default_factory=dict)
     handle: Any = None
     watch: Any = None
+    listener: Any = None
 
 
 MOVES = {"queued": {"running", "canceled", "failed"}, "running": {"completed", "failed", "canceled"}}
