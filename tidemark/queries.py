@@ -342,7 +342,15 @@ query("zero_crossing", f"WITH {H}, z AS (SELECT idx, v - avg(v) OVER () AS x FRO
 query("peak_detect", f"WITH {H}, p AS (SELECT idx, v, lag(v) OVER (ORDER BY idx) l, lead(v) OVER (ORDER BY idx) r FROM H) SELECT idx, v AS value FROM p WHERE v > l AND v >= r AND v >= 60", "value", "idx")(
     lambda s, d: f("peak_detect", hourly(s, d), KEY_H, "values", column="v", minHeight=60)
 )
-query("peak_detect_gated")(lambda s, d: f("peak_detect", hourly(s, d), KEY_H, "values", column="v", minProminence=20, minDistance=6))
+_GATED = (
+    f"WITH RECURSIVE {H}, p AS (SELECT idx, v, lag(v) OVER w AS l, lead(v) OVER w AS r FROM H WINDOW w AS (ORDER BY idx)), c AS (SELECT idx, v FROM p WHERE v > l AND v >= r), "
+    "e AS (SELECT c.idx, c.v, max(H.idx) FILTER (H.idx < c.idx AND H.v > c.v) AS a, min(H.idx) FILTER (H.idx > c.idx AND H.v > c.v) AS b FROM c, H GROUP BY 1, 2), "
+    "m AS (SELECT e.idx, e.v, min(H.v) FILTER (H.idx <= e.idx AND H.idx > coalesce(e.a, -1)) AS lo, min(H.v) FILTER (H.idx >= e.idx AND H.idx < coalesce(e.b, 1000000000)) AS hi FROM e, H GROUP BY 1, 2), "
+    "g AS MATERIALIZED (SELECT idx, v, row_number() OVER (ORDER BY v DESC, idx) AS k FROM m WHERE v - greatest(lo, hi) >= 20), "
+    "t AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS taken UNION ALL SELECT g.k, CASE WHEN len(list_filter(taken, lambda x: abs(x - g.idx) < 6)) = 0 THEN list_append(taken, g.idx) ELSE taken END FROM t JOIN g ON g.k = t.k + 1) "
+    "SELECT g.idx, g.v AS value FROM g WHERE list_contains((SELECT taken FROM t ORDER BY k DESC LIMIT 1), g.idx)"
+)
+query("peak_detect_gated", _GATED, "value", "idx")(lambda s, d: f("peak_detect", hourly(s, d), KEY_H, "values", column="v", minProminence=20, minDistance=6))
 
 
 def centred(s, d):
@@ -367,7 +375,15 @@ query(
     f"WITH {H2}, z AS (SELECT idx, a - avg(a) OVER () a, b - avg(b) OVER () b FROM H2), n AS (SELECT sqrt(sum(a*a) * sum(b*b)) q FROM z), k AS (SELECT l - 24 AS lag FROM range(0, 49) r(l)), s AS (SELECT lag, sum(x.a * y.b) s FROM k, z x JOIN z y ON y.idx = x.idx + lag GROUP BY 1) SELECT lag + 24 AS idx, lag, s / q AS value FROM s, n",
     "value", "idx lag",
 )(lambda s, d: f("cross_correlation", two_channels(s, d), KEY_H, "correlations", columns=["a", "b"], maxLag=24))
-query("cusum")(lambda s, d: f("changepoint_cusum", hourly(s, d), KEY_H, "changepoints", column="v", threshold=4.0))
+_CUSUM = (
+    f"WITH RECURSIVE {H}, z AS (SELECT greatest(8, least(50, count(*) // 4)) AS size FROM H), "
+    "b AS MATERIALIZED (SELECT h.idx, avg(x.v) AS mean, sqrt(greatest(coalesce(var_samp(x.v), 0), 1e-12)) AS sd FROM H h JOIN H x ON x.idx >= h.idx AND x.idx < h.idx + (SELECT size FROM z) GROUP BY 1), "
+    "s AS (SELECT 0::BIGINT AS i, 0::BIGINT AS origin, 0.0::DOUBLE AS hi, 0.0::DOUBLE AS lo, false AS hit UNION ALL "
+    "SELECT i + 1, CASE WHEN h THEN i ELSE origin END, CASE WHEN h THEN 0.0 ELSE hi END, CASE WHEN h THEN 0.0 ELSE lo END, h FROM (SELECT *, hi > 4 OR lo < -4 AS h FROM ("
+    "SELECT s.i, s.origin, CASE WHEN s.i < s.origin + z.size THEN 0.0 ELSE greatest(0, s.hi + (H.v - b.mean) / b.sd - 0.5) END AS hi, CASE WHEN s.i < s.origin + z.size THEN 0.0 ELSE least(0, s.lo + (H.v - b.mean) / b.sd + 0.5) END AS lo "
+    "FROM s JOIN H ON H.idx = s.i JOIN b ON b.idx = s.origin, z))) SELECT i - 1 AS idx FROM s WHERE hit"
+)
+query("cusum", _CUSUM, "", "idx")(lambda s, d: f("changepoint_cusum", hourly(s, d), KEY_H, "changepoints", column="v", threshold=4.0))
 query(
     "holt_winters",
     f"WITH RECURSIVE {H}, E AS (SELECT 0::BIGINT AS i, (SELECT v FROM H WHERE idx = 0) AS l, (SELECT v FROM H WHERE idx = 1) - (SELECT v FROM H WHERE idx = 0) AS b UNION ALL SELECT i + 1, 0.3 * v + 0.7 * (l + b), 0.1 * (0.3 * v + 0.7 * (l + b) - l) + 0.9 * b FROM E JOIN H ON H.idx = E.i), z AS (SELECT l, b FROM E ORDER BY i DESC LIMIT 1) SELECT h - 1 AS idx, l + h * b AS value FROM z, range(1, 11) r(h)",
@@ -429,9 +445,9 @@ _NFFT = "CAST(pow(2, ceil(log2(n))) AS BIGINT)"
 query(
     "fft",
     f"WITH {H}, n AS (SELECT count(*) n FROM H), w AS (SELECT idx, v * {_W.format(i='idx', n='n')} AS x, {_W.format(i='idx', n='n')} AS w, n, {_NFFT} AS m FROM H, n), g AS (SELECT sum(w) g FROM w), "
-    "b AS (SELECT k, sum(x * cos(2 * pi() * ((k * idx) % m) / m)) re, sum(x * sin(2 * pi() * ((k * idx) % m) / m)) im, max(m) m FROM w, (SELECT unnest(range(0, (SELECT max(m) // 2 FROM w))) AS k) GROUP BY 1) SELECT k AS idx, k * 24.0 / m AS frequency, sqrt(re*re + im*im) * (CASE k WHEN 0 THEN 1 ELSE 2 END) / g AS magnitude FROM b, g",
-    "frequency magnitude", "idx",
-)(lambda s, d: f("fft", hourly(s, d), KEY_H, "magnitudes", column="v", sampleRate=24.0).select(INDEX, "frequency", "magnitude"))
+    "b AS (SELECT k, sum(x * cos(2 * pi() * ((k * idx) % m) / m)) re, sum(x * sin(2 * pi() * ((k * idx) % m) / m)) im, max(m) m FROM w, (SELECT unnest(range(0, (SELECT max(m) // 2 FROM w))) AS k) GROUP BY 1) SELECT k AS idx, k * 24.0 / m AS frequency, sqrt(re*re + im*im) * (CASE k WHEN 0 THEN 1 ELSE 2 END) / g AS magnitude, atan2(-im, re) AS phase FROM b, g",
+    "frequency magnitude phase", "idx",
+)(lambda s, d: f("fft", hourly(s, d), KEY_H, "magnitudes", column="v", sampleRate=24.0).select(INDEX, "frequency", "magnitude", "phase"))
 _SEG = (
     "n AS (SELECT count(*) n FROM {src}), s AS (SELECT unnest(range(0, (SELECT (n - 64) // 32 + 1 FROM n))) AS seg), x AS (SELECT seg, idx - seg * 32 AS i, {cols} FROM s JOIN {src} ON idx >= seg * 32 AND idx < seg * 32 + 64), "
     "k AS (SELECT unnest(range(0, 32)) AS k), c AS (SELECT k, i, cos(2 * pi() * ((k * i) % 64) / 64) * " + _W.format(i="i", n=64) + " AS c, sin(2 * pi() * ((k * i) % 64) / 64) * " + _W.format(i="i", n=64) + " AS s FROM k, (SELECT unnest(range(0, 64)) AS i))"
@@ -447,16 +463,28 @@ query(
 query(
     "cross_psd",
     f"WITH {H2}, {_SEG.format(src='H2', cols='a, b')}, f AS (SELECT seg, k, sum(a * c) ar, -sum(a * s) ai, sum(b * c) br, -sum(b * s) bi FROM x JOIN c USING (i) GROUP BY 1, 2), p AS (SELECT k, sum(ar*ar + ai*ai) aa, sum(br*br + bi*bi) bb, sum(ar*br + ai*bi) re, sum(ar*bi - ai*br) im FROM f GROUP BY 1) "
-    "SELECT k AS idx, k * 24.0 / 64 AS frequency, (re*re + im*im) / (aa * bb) AS coherence, sqrt(re*re + im*im) / aa AS frfMagnitude FROM p",
-    "frequency coherence frfMagnitude", "idx",
-)(lambda s, d: f("cross_psd", two_channels(s, d), KEY_H, "coherence", columns=["a", "b"], sampleRate=24.0, segmentLength=64).select(INDEX, "frequency", "coherence", "frfMagnitude"))
+    "SELECT k AS idx, k * 24.0 / 64 AS frequency, (re*re + im*im) / (aa * bb) AS coherence, sqrt(re*re + im*im) / aa AS frfMagnitude, atan2(im, re) AS frfPhase FROM p",
+    "frequency coherence frfMagnitude frfPhase", "idx",
+)(lambda s, d: f("cross_psd", two_channels(s, d), KEY_H, "coherence", columns=["a", "b"], sampleRate=24.0, segmentLength=64).select(INDEX, "frequency", "coherence", "frfMagnitude", "frfPhase"))
 query(
     "eeg_bands",
     _PSD.format(rate="128.0") + ", b AS (SELECT band, sum(psd * 2.0) FILTER (k * 2.0 >= lo AND k * 2.0 < hi) AS power FROM p, (VALUES ('delta', 0.5, 4.0), ('theta', 4.0, 8.0), ('alpha', 8.0, 13.0), ('beta', 13.0, 30.0), ('gamma', 30.0, 45.0)) q(band, lo, hi) GROUP BY 1) SELECT band, coalesce(power, 0) AS power, coalesce(power, 0) / (SELECT sum(power) FROM b) AS relative FROM b",
     "power relative", "band",
 )(lambda s, d: f("eeg_band_powers", hourly(s, d), KEY_H, "bandPowers", column="v", sampleRate=128.0, segmentLength=64))
-query("cepstrum")(lambda s, d: f("cepstrum", hourly(s, d), KEY_H, "cepstrum", column="v", sampleRate=24.0))
-query("harmonics")(lambda s, d: f("harmonics", centred(s, d), KEY_H, "harmonics", column="x", sampleRate=24.0).drop("phase"))
+_CEPSTRUM = (
+    f"WITH {H}, n AS (SELECT {_NFFT} AS m FROM (SELECT count(*) AS n FROM H)), k AS (SELECT unnest(range(0, (SELECT m FROM n))) AS k), "
+    "b AS (SELECT k, sum(v * cos(2 * pi() * ((k * idx) % m) / m)) AS re, sum(v * sin(2 * pi() * ((k * idx) % m) / m)) AS im FROM H, k, n GROUP BY 1), g AS MATERIALIZED (SELECT k, ln(greatest(sqrt(re * re + im * im), 1e-300)) AS x FROM b) "
+    "SELECT k.k AS idx, k.k / 24.0 AS quefrency, sum(x * cos(2 * pi() * ((k.k * g.k) % m) / m)) / max(m) AS value FROM k, g, n WHERE k.k < m // 2 GROUP BY 1"
+)
+query("cepstrum", _CEPSTRUM, "quefrency value", "idx")(lambda s, d: f("cepstrum", hourly(s, d), KEY_H, "cepstrum", column="v", sampleRate=24.0))
+_HARMONICS = (
+    f"WITH {_C}, m AS (SELECT {_NFFT} AS m, n FROM (SELECT max(n) AS n FROM Z)), b AS MATERIALIZED (SELECT k, sum(x * cos(2 * pi() * ((k * idx) % m) / m)) AS re, -sum(x * sin(2 * pi() * ((k * idx) % m) / m)) AS im, max(m) AS m, max(m.n) AS n FROM Z, m, (SELECT unnest(range(0, (SELECT m // 2 FROM m))) AS k) GROUP BY 1), "
+    "a AS MATERIALIZED (SELECT k, k * 24.0 / m AS frequency, sqrt(re * re + im * im) * (CASE k WHEN 0 THEN 1 ELSE 2 END) / n AS amplitude, atan2(im, re) AS phase FROM b), f AS (SELECT arg_max(k, (amplitude, -k)) AS k0 FROM a WHERE k > 0), "
+    "o AS (SELECT o AS ord, o * k0 AS near FROM f, (SELECT unnest(range(1, 11)) AS o) WHERE o * k0 < (SELECT m // 2 FROM m)), "
+    "t AS (SELECT o.*, a.*, CASE a.k - near WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS r FROM o JOIN a ON abs(a.k - near) <= 1 AND (a.k = near OR a.k > 0)) "
+    "SELECT ord - 1 AS idx, ord AS \"order\", frequency, amplitude, phase FROM t QUALIFY row_number() OVER (PARTITION BY ord ORDER BY amplitude DESC, r) = 1"
+)
+query("harmonics", _HARMONICS, "frequency amplitude phase", 'idx "order"')(lambda s, d: f("harmonics", centred(s, d), KEY_H, "harmonics", column="x", sampleRate=24.0))
 
 
 def uneven(s, d):

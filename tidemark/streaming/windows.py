@@ -44,8 +44,8 @@ def sliding(df: DataFrame, ts: str, value: str, window: str, aggregates: list[st
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = df.withColumn("_us", micros).withColumn("_x", number_of(F.col(value)))
     own = F.floor(F.col("_us") / span)
-    reach = F.when(F.col("_us").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(own, F.floor((F.col("_us") + size) / span)))
-    spread = rows.withColumn("_span", F.explode(reach)).withColumn("_own", F.coalesce(F.col("_span") == own, F.lit(True)))
+    timed = rows.where(F.col("_us").isNotNull())
+    spread = timed.withColumn("_span", F.explode(F.sequence(own, F.floor((F.col("_us") + size) / span)))).withColumn("_own", F.col("_span") == own)
     keys = [*partition_by, "_span"]
     dealt = spread.repartition(*keys).sortWithinPartitions(*keys, "_us")
     names, at = [*df.columns], {c: i for i, c in enumerate(spread.columns)}
@@ -53,48 +53,52 @@ def sliding(df: DataFrame, ts: str, value: str, window: str, aggregates: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _whole_groups(batches, [at[k] for k in keys]):
-            timed = rows.column(at["_us"]).is_valid().to_numpy(zero_copy_only=False)
-            us = rows.column(at["_us"]).fill_null(0).to_numpy()
-            made = window_aggregates(us, rows.column(at["_x"]).to_numpy(), starts, size, aggregates)
+            made = window_aggregates(rows.column(at["_us"]).to_numpy(), rows.column(at["_x"]).to_numpy(), starts, size, aggregates)
             keep = pa.array(rows.column(at["_own"]))
-            columns = [rows.column(at[c]).filter(keep) for c in names] + [pa.array(made[a], mask=~timed).filter(keep) for a in aggregates]
+            columns = [rows.column(at[c]).filter(keep) for c in names] + [pa.array(made[a]).filter(keep) for a in aggregates]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *aggregates])
 
-    return dealt.mapInArrow(run, schema)
+    # rows without a time take part in no shuffle
+    untimed = rows.where(F.col("_us").isNull()).select(*(F.col(f"`{c}`") for c in names), *(F.lit(None).cast("double").alias(a) for a in aggregates))
+    return dealt.mapInArrow(run, schema).union(untimed)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    """(rows, starts of groups): rows sorted by key, cut only between groups."""
+    """(rows, starts of groups): rows sorted by key, cut only between groups, each put together once."""
     held: list[pa.RecordBatch] = []
+    starts: list[int] = []
+    size, last = 0, None
 
-    def joined() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    def handed() -> tuple[pa.RecordBatch, np.ndarray]:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0], np.array(starts, np.int64)
 
-    def starts_of(b: pa.RecordBatch) -> np.ndarray:
+    for b in batches:
+        if not b.num_rows:
+            continue
         new = np.zeros(b.num_rows, bool)
-        new[0] = True
         for k in keys:
             c = b.column(k)
             same = pa.compute.equal(c.slice(1), c.slice(0, len(c) - 1)).fill_null(False).to_numpy(zero_copy_only=False)
             both = pa.compute.and_(c.slice(1).is_null(), c.slice(0, len(c) - 1).is_null()).to_numpy(zero_copy_only=False)
             new[1:] |= ~(same | both)
-        return np.flatnonzero(new)
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        if sum(x.num_rows for x in held) >= HELD_ROWS:
-            rows = joined()
-            starts = starts_of(rows)
-            if len(starts) > 1:
-                yield rows.slice(0, int(starts[-1])), starts[:-1]
-                held = [rows.slice(int(starts[-1]))]
-            else:
-                held = [rows]
+        first = [b.column(k)[0] for k in keys]
+        new[0] = last is None or any(not (x.equals(y) or not (x.is_valid or y.is_valid)) for x, y in zip(first, last))
+        last = [b.column(k)[b.num_rows - 1] for k in keys]
+        at = np.flatnonzero(new)
+        if len(at) and size + int(at[-1]) >= HELD_ROWS:
+            cut = int(at[-1])
+            if cut:
+                held.append(b.slice(0, cut))
+                starts += (at[:-1] + size).tolist()
+            if held:
+                yield handed()
+            held, starts, size = [b.slice(cut)], [0], b.num_rows - cut
+        else:
+            held.append(b)
+            starts += (at + size).tolist()
+            size += b.num_rows
     if held:
-        rows = joined()
-        yield rows, starts_of(rows)
+        yield handed()
 
 
 def window_aggregates(us: np.ndarray, x: np.ndarray, starts: np.ndarray, size: int, aggregates: list[str]) -> dict[str, np.ndarray]:
