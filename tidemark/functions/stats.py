@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..series import INDEX, SeriesKey
+from ..series import INDEX, SeriesKey, joined, running_sums
 from .base import Params, Result, column_of, number, numeric_columns, one_series
 
 
@@ -24,19 +24,22 @@ def long_values(df: DataFrame, columns: list[str], parts: list[str]) -> DataFram
     return df.select(*parts, pairs.alias("x")).select(*parts, "x.*").where("v is not null")
 
 
-def nearest_rank(values: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
-    """(groups, r, v): the value at sorted position round(share * (n - 1)), found by counting equal values.
+def at_ranks(values: DataFrame, groups: list[str], places: list[Callable[[Column], Column]]) -> DataFrame:
+    """(groups, r, v): the values at sorted positions, each a function of a group's number of values.
 
-    Values are grouped first, so the window runs over distinct values only.
+    Values are grouped first; their counts are summed by ranges, so a group of very many values is many tasks.
     """
     counts = values.groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy(*(groups or [F.lit(0)])).orderBy("v")
-    upto = F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = F.sum("n").over(W.partitionBy(*(groups or [F.lit(0)])))
-    ranked = counts.withColumn("_hi", upto).withColumn("_lo", F.col("_hi") - F.col("n")).withColumn("_total", total)
-    want = F.explode(F.array(*(F.struct(F.lit(i).alias("r"), F.lit(s).alias("s")) for i, s in enumerate(shares))))
-    at = F.floor(F.col("w.s") * (F.col("_total") - 1) + 0.5)
-    return ranked.withColumn("w", want).where((at >= F.col("_lo")) & (at < F.col("_hi"))).select(*groups, "w.r", "v")
+    ranked = running_sums(counts, groups, ["v"], {"_hi": "n"})
+    total = ranked.groupBy(*groups).agg(F.max("_hi").alias("_total"))
+    full = joined(ranked, total, groups) if groups else ranked.crossJoin(F.broadcast(total))  # one row
+    at = F.array(*(F.struct(F.lit(i).alias("r"), p(F.col("_total")).cast("long").alias("at")) for i, p in enumerate(places)))
+    return full.withColumn("w", F.explode(at)).where((F.col("w.at") >= F.col("_hi") - F.col("n")) & (F.col("w.at") < F.col("_hi"))).select(*groups, "w.r", "v")
+
+
+def nearest_rank(values: DataFrame, groups: list[str], shares: list[float]) -> DataFrame:
+    """(groups, r, v): the value at sorted position round(share * (n - 1))."""
+    return at_ranks(values, groups, [lambda n, s=s: F.floor(s * (n - 1) + 0.5) for s in shares])
 
 
 #: Half the width, as a share of the rows, of the bracket in which an order statistic is looked for.
@@ -207,9 +210,8 @@ def hypothesis_test(df: DataFrame, key: SeriesKey | None, params: Params) -> Res
     if params.get("test", "ttest") == "ks":
         sides = [df.select(F.col(c).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias(n)) for c, n in ((a, "na"), (b, "nb"))]
         both = sides[0].join(sides[1], "v", "full").select("v", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
-        up = W.partitionBy(F.lit(0)).orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
-        every = W.partitionBy(F.lit(0))
-        steps = both.select("na", "nb", F.sum("na").over(up).alias("ca"), F.sum("nb").over(up).alias("cb"), F.sum("na").over(every).alias("n"), F.sum("nb").over(every).alias("m"))
+        walked = running_sums(both, [], ["v"], {"ca": "na", "cb": "nb"})
+        steps = walked.crossJoin(F.broadcast(both.agg(F.sum("na").alias("n"), F.sum("nb").alias("m"))))  # one row
         after_a = F.abs(F.col("ca") / F.col("n") - (F.col("cb") - F.col("nb")) / F.col("m"))
         after_b = F.abs(F.col("ca") / F.col("n") - F.col("cb") / F.col("m"))
         d = steps.agg(F.max(F.greatest(after_a, after_b)).alias("statistic"), F.max("n").alias("n"), F.max("m").alias("m"))
@@ -282,7 +284,7 @@ def anomaly_detect(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     elif method == "iqr":
         k = number(params, "sensitivity", 1.5)
         if parts:
-            ranks = _floor_ranks(rows, parts, [0.25, 0.75])
+            ranks = at_ranks(rows.select(*parts, F.col("value").alias("v")), parts, [lambda n: F.floor(0.25 * n), lambda n: F.floor(0.75 * n)])
             found = on(ranks.groupBy(*parts).agg(F.max(F.when(F.col("r") == 0, F.col("v"))).alias("q1"), F.max(F.when(F.col("r") == 1, F.col("v"))).alias("q3")))
         else:
             q1, q3 = order_statistics(rows, ["value"], [0.25, 0.75], lambda s, n: math.floor(s * n))["value"]
@@ -292,8 +294,8 @@ def anomaly_detect(df: DataFrame, key: SeriesKey, params: Params) -> Result:
     elif method == "mad":
         limit = number(params, "sensitivity", 3.5)
         if parts:
-            med = on(rows.groupBy(*parts).agg(F.percentile(v, 0.5).alias("med"))).withColumn("dev", F.abs(v - F.col("med")))
-            found = med.join(med.groupBy(*parts).agg(F.percentile("dev", 0.5).alias("mad")), parts)
+            med = joined(rows, _medians(rows, parts, "value", "med"), parts).withColumn("dev", F.abs(v - F.col("med")))
+            found = joined(med, _medians(med, parts, "dev", "mad"), parts)
         else:
             med = rows.withColumn("dev", F.abs(v - F.lit(_median(rows, "value"))))
             found = med.withColumn("mad", F.lit(_median(med, "dev")).cast("double"))
@@ -320,13 +322,10 @@ def _median(rows: DataFrame, column: str) -> float | None:
     return None if a is None else (a + b) / 2
 
 
-def _floor_ranks(rows: DataFrame, parts: list[str], shares: list[float]) -> DataFrame:
-    counts = rows.groupBy(*parts, F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    every = W.partitionBy(*(parts or [F.lit(0)]))
-    ranked = counts.withColumn("_hi", F.sum("n").over(every.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))).withColumn("_total", F.sum("n").over(every))
-    want = F.explode(F.array(*(F.struct(F.lit(i).alias("r"), F.lit(s).alias("s")) for i, s in enumerate(shares))))
-    at = F.floor(F.col("w.s") * F.col("_total"))
-    return ranked.withColumn("w", want).where((at >= F.col("_hi") - F.col("n")) & (at < F.col("_hi"))).select(*parts, "w.r", "v")
+def _medians(rows: DataFrame, parts: list[str], column: str, name: str) -> DataFrame:
+    """(parts, name): the mean of the two middle values of each series."""
+    middle = at_ranks(rows.select(*parts, F.col(column).alias("v")), parts, [lambda n: F.floor((n - 1) / 2), lambda n: F.floor(n / 2)])
+    return middle.groupBy(*parts).agg(F.avg("v").alias(name))
 
 
 #: Upper bounds of zones A, B, C (rms, mm/s) by machine class.

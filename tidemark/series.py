@@ -109,3 +109,30 @@ def carried(df: DataFrame, key: SeriesKey, values: dict[str, Column], backward:
         cond[0] = cond[0] & c
     joined = work.join(ends, cond[0], "left")
     return joined.select(*(work[c] for c in df.columns), *(F.coalesce(f"_l_{n}", f"_p_{n}").alias(n) for n in values))
+
+
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the other columns of ``right`` where all keys are equal, null ones too."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`{k}`"))
+    more = [c for c in right.columns if c not in keys]
+    return left.alias("_l").join(right.alias("_r"), on).select(*(F.col(f"_l.`{c}`") for c in left.columns), *(F.col(f"_r.`{c}`") for c in more))
+
+
+def running_sums(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    """Adds, per name, the sum of a column over the group's rows up to each one in ``order``, which is unique in a group.
+
+    Rows are cut into ranges of (group, order) and summed within them; the ranges' totals are then summed along each
+    group, a row per range.  So no task has a whole group.
+    """
+    groups = list(groups)
+    placed = df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id())
+    placed = materialised(placed, "ranges")  # another run could cut the ranges elsewhere
+    totals = placed.groupBy("_part", *groups).agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
+    before = W.partitionBy(*(groups or [F.lit(0)])).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_part", *groups, *(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums))
+    upto = W.partitionBy("_part", *groups).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    work = placed.withColumns({f"_w_{n}": F.sum(c).over(upto) for n, c in sums.items()})
+    met = joined(work, totals, ["_part", *groups])
+    return met.select(*df.columns, *((F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
