@@ -35,13 +35,20 @@ class SeriesKey:
 
 
 def materialised(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` as a Parquet table in the shared folder (``spark.checkpoint.dir``), read back."""
+    """``df`` as a Parquet table in the shared folder (``spark.checkpoint.dir``), read back; it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Lazy results may read an intermediate table as long as the application runs; then its file system deletes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset in a single local JVM (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
