@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..series import gone_at_exit
+
 _CLEANUP = {"spark_sql_classic_shuffleDependency_fileCleanup_enabled": "true"}
 
 
@@ -48,12 +50,13 @@ def configured(spark: SparkSession, **settings: str) -> Iterator[None]:
 def written(df: DataFrame, name: str, **settings: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: the lineage is cut, and losing an executor loses nothing.
 
-    Spark gives back the disk of the shuffles behind it at once.
+    Spark gives back the disk of the shuffles behind it at once.  The table goes with ``drop_written``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with configured(spark, **_CLEANUP, **settings):
         df.write.parquet(path)
+    gone_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

@@ -9,8 +9,8 @@ sizes is nearest to the rest.
 A source may hold a third of all rows, so its order is made in two steps: keys
 fall into slices of equal ratio, of which none holds more than about a third of
 an octave's share whatever the weights are (a weight only moves the logarithm of
-a key), slices are summed and those sums prefix-summed per source, then rows are
-sorted within their slice only.
+a key), slices are summed and those sums prefix-summed per source, by ranges of
+slices, then rows are sorted within their slice only.
 
 Edge cases: null or empty texts have size 0 and weight 1.  A null source is a
 source of its own, last in the order.  Null ids are drawn as the empty id; rows
@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..series import running_sums
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -89,8 +91,8 @@ def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[
     source = ["mix_none", "mix_source"]
     slices = sized.groupBy(*source, "mix_slice").agg(F.sum("mix_size").alias("mix_sum"))
     aims = targets(slices.groupBy(*source).agg(F.sum("mix_sum").alias("mix_source_size")), weights, share, cap)
-    upto = W.partitionBy(*source).orderBy("mix_slice").rowsBetween(W.unboundedPreceding, -1)
-    slices = slices.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(upto), F.lit(0))).drop("mix_sum").join(aims, source)
+    slices = running_sums(slices, source, ["mix_slice"], {"mix_upto": "mix_sum"}).withColumn("mix_before", F.col("mix_upto") - F.col("mix_sum"))
+    slices = slices.drop("mix_sum", "mix_upto").join(aims, source)
     rows = sized.join(slices, [*source, "mix_slice"])
     within = W.partitionBy(*source, "mix_slice").orderBy("mix_key", "mix_id", "mix_size").rowsBetween(W.unboundedPreceding, W.currentRow)
     epochs = F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0)).cast("long")
