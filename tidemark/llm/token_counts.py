@@ -27,18 +27,17 @@ import hashlib
 import json
 import os
 import re
-import string
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import packed_ids, shared_dir
+from .common import packed_ids, shared_dir, written
 
 #: Remembered words per task; the memory is emptied when full, which costs time and never changes a count.
 REMEMBERED = 150_000
@@ -129,20 +128,43 @@ def _exists(spark: SparkSession, path: str) -> bool:
 STORE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
 
 
-def normalised(text: Column, path: str) -> Column:
-    """``text`` without what can't matter to the tokenizer's counts."""
+def normaliser(path: str) -> Callable[[bytes], bytes]:
+    """What makes texts of equal counts equal, as far as the tokenizer file says that it does the same itself."""
     if not path.endswith(".json"):
-        return text
+        return lambda text: text
     spec = json.loads(Path(path).read_text())
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
     lowers, spaces = any(s["type"] == "Lowercase" for s in steps), any(s["type"] == "Replace" and s["pattern"].get("Regex") == r"\s+" and s["content"] == " " for s in steps)
     if not lowers or not {s["type"] for s in steps} <= {"NFC", "Replace", "Lowercase"} or any(t.get("normalized") for t in spec["added_tokens"]):
-        return text
-    out = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    special = F.lit(False)
-    for t in spec["added_tokens"]:
-        special = special | F.contains(out, F.lit(t["content"].lower()))
-    return F.when(special, text).otherwise(F.regexp_replace(out, r"[\x20\x09-\x0D]+", " ") if spaces else out)
+        return lambda text: text
+    special = [t["content"].lower().encode() for t in spec["added_tokens"]]
+
+    def normal(text: bytes) -> bytes:
+        out = text.lower()  # A-Z only
+        if any(t in out for t in special):
+            return text
+        if spaces and out:
+            out = (b" " if out[:1].isspace() else b"") + b" ".join(out.split()) + (b" " if out[-1:].isspace() else b"")
+        return out
+
+    return normal
+
+
+def _digested(rows: DataFrame, path: str, with_text: bool) -> DataFrame:
+    """(id, n_bytes, digest) or (digest, text) of (id, text): one narrow pass."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        normal = normaliser(path)
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            digests = pa.array([hashlib.sha256(normal(t)).digest() for t in texts], pa.binary())
+            if with_text:
+                yield pa.RecordBatch.from_arrays([digests, b.column(1)], names=["digest", "text"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), digests], names=["id", "n_bytes", "digest"])
+
+    return rows.mapInArrow(run, "digest binary, text string" if with_text else f"id {kind}, n_bytes long, digest binary")
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, store: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,13 +176,14 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, store: str | None = None,
     spark = docs.sparkSession
     store = store or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     version = tokenizer_digest(tokenizer_path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2(normalised(F.col("text"), tokenizer_path), 256)))
-    contents = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = _digested(rows, tokenizer_path, with_text=False)
+    contents = _digested(rows, tokenizer_path, with_text=True)
     if _exists(spark, store):
+        marks = written(marks, "token-digests")
         known = spark.read.schema(STORE_SCHEMA).parquet(store).where(F.col("tokenizer") == version).select("digest")
-        wanted = rows.select("digest").distinct().join(known, "digest", "left_anti")
-        contents = rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+        contents = contents.join(marks.select("digest").distinct().join(known, "digest", "left_anti"), "digest", "left_semi")
+    contents = contents.groupBy("digest").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path)
@@ -171,6 +194,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, store: str | None = None,
     contents.mapInArrow(run, STORE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(store)
     # one run may lose a race to another on the same store; equal digests have equal counts
     counts = spark.read.schema(STORE_SCHEMA).parquet(store).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    packs = packed_ids(rows.select("digest", F.struct("id", F.octet_length("text").cast("long").alias("n_bytes")).alias("row")))
+    packs = packed_ids(marks.select("digest", F.struct("id", "n_bytes").alias("row")))
     met = packs.join(counts, F.col("key") == F.col("digest")).select(F.explode("ids").alias("row"), "n_tokens")
     return met.select(F.col("row.id").alias(id_col), F.col("row.n_bytes").alias("n_bytes"), "n_tokens")
