@@ -9,8 +9,9 @@ sizes is nearest to the rest.
 A source may hold a third of all rows, so its order is made in two steps: keys
 fall into slices of equal ratio, of which none holds more than about a third of
 an octave's share whatever the weights are (a weight only moves the logarithm of
-a key), slices are summed and those sums prefix-summed per source, by ranges of
-slices, then rows are sorted within their slice only.
+a key), slices are summed and those sums prefix-summed per source in two levels
+(bands of slices, then the slices of a band), then rows are sorted within their
+slice only.
 
 Edge cases: null or empty texts have size 0 and weight 1.  A null source is a
 source of its own, last in the order.  Null ids are drawn as the empty id; rows
@@ -21,14 +22,13 @@ with equal ids get equal keys, the tie goes by size.  Empty table: empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..series import running_sums
-
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -89,10 +89,13 @@ def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"),
     ).withColumn("mix_slice", F.coalesce(F.floor(F.log2("mix_key") * per_octave), F.lit(-(1 << 62))).cast("long"))
     source = ["mix_none", "mix_source"]
-    slices = sized.groupBy(*source, "mix_slice").agg(F.sum("mix_size").alias("mix_sum"))
-    aims = targets(slices.groupBy(*source).agg(F.sum("mix_sum").alias("mix_source_size")), weights, share, cap)
-    slices = running_sums(slices, source, ["mix_slice"], {"mix_upto": "mix_sum"}).withColumn("mix_before", F.col("mix_upto") - F.col("mix_sum"))
-    slices = slices.drop("mix_sum", "mix_upto").join(aims, source)
+    slices = sized.groupBy(*source, "mix_slice").agg(F.sum("mix_size").alias("mix_sum")).withColumn("mix_band", F.floor(F.col("mix_slice") / max(1, math.isqrt(per_octave))))
+    bands = slices.groupBy(*source, "mix_band").agg(F.sum("mix_sum").alias("mix_total"))
+    aims = targets(bands.groupBy(*source).agg(F.sum("mix_total").alias("mix_source_size")), weights, share, cap)
+    before = lambda column, by, *parts: F.coalesce(F.sum(column).over(W.partitionBy(*source, *parts).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bands = bands.withColumn("mix_below", before("mix_total", "mix_band")).drop("mix_total").join(aims, source)
+    slices = slices.withColumn("mix_within", before("mix_sum", "mix_slice", "mix_band")).drop("mix_sum").join(bands, [*source, "mix_band"])
+    slices = slices.withColumn("mix_before", F.col("mix_below") + F.col("mix_within")).drop("mix_band", "mix_below", "mix_within")
     rows = sized.join(slices, [*source, "mix_slice"])
     within = W.partitionBy(*source, "mix_slice").orderBy("mix_key", "mix_id", "mix_size").rowsBetween(W.unboundedPreceding, W.currentRow)
     epochs = F.when(F.col("mix_source_size") > 0, F.floor(F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0)).cast("long")
