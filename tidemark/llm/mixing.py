@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
@@ -76,8 +78,12 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     return rows.withColumn("mix_target", F.when(level.isNull(), full).otherwise(F.least(full, level * F.col("mix_w")))).select("mix_none", "mix_source", "mix_source_size", "mix_target")
 
 
-def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The columns ``keep`` with mix_size, mix_source_size, mix_target and mix_times (how often the mix holds the row)."""
+def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slim: bool = False) -> DataFrame:
+    """The columns ``keep`` with mix_size, mix_source_size, mix_target and mix_times (how often the mix holds the row).
+
+    ``slim``: the kept columns are small, so rows are written without their texts, which are then read once; else texts
+    are read twice, for the sums of slices (which are written) and for the rows.
+    """
     per_octave = max(1, docs.select(F.lit(1)).count() // (4 * SLICE_ROWS))
     size = size_of(F.col(text_col))
     sized = docs.select(
@@ -88,8 +94,10 @@ def mix(docs: DataFrame, keep: Sequence[str], seed: int = 17, weights: Sequence[
         sample_key(F.col(id_col), quality_weight(F.col(text_col), size), seed).alias("mix_key"),
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"),
     ).withColumn("mix_slice", F.coalesce(F.floor(F.log2("mix_key") * per_octave), F.lit(-(1 << 62))).cast("long"))
+    sized = written(sized, "mix-rows") if slim else sized
     source = ["mix_none", "mix_source"]
-    slices = sized.groupBy(*source, "mix_slice").agg(F.sum("mix_size").alias("mix_sum")).withColumn("mix_band", F.floor(F.col("mix_slice") / max(1, math.isqrt(per_octave))))
+    slices = sized.groupBy(*source, "mix_slice").agg(F.sum("mix_size").alias("mix_sum"))
+    slices = (slices if slim else written(slices, "mix-slices")).withColumn("mix_band", F.floor(F.col("mix_slice") / max(1, math.isqrt(per_octave))))
     bands = slices.groupBy(*source, "mix_band").agg(F.sum("mix_sum").alias("mix_total"))
     aims = targets(bands.groupBy(*source).agg(F.sum("mix_total").alias("mix_source_size")), weights, share, cap)
     before = lambda column, by, *parts: F.coalesce(F.sum(column).over(W.partitionBy(*source, *parts).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -38,7 +38,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), ["doc_id"])
+    rows = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), ["doc_id"], slim=True)
     return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_times")).alias("taken"))
 
 
