@@ -15,6 +15,7 @@ from ..durations import seconds
 from ..errors import EngineError
 from ..operators.merge import TIME
 
+#: The grammar of conditions.
 _OPS = r"(>=|<=|==|!=|>|<)"
 _RATE = re.compile(rf'rate\((\w+),\s*"([^"]+)",\s*(\d+[smhd])\)\s*{_OPS}\s*(.+)')
 _WINDOW = re.compile(rf"(\w+)\((\w+),\s*(\d+[smhd])\)\s*{_OPS}\s*(.+)")
