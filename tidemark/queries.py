@@ -155,11 +155,16 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _ASOF = f"WITH l AS ({_L}), r AS ({_R}), b AS (SELECT l.event_id, r.r_id, r.pressure, r.r_ts FROM l ASOF LEFT JOIN r ON l.ts >= r.r_ts), a AS (SELECT l.event_id, r.r_id, r.pressure, r.r_ts FROM l ASOF LEFT JOIN r ON l.ts <= r.r_ts)"
 _NEAR = "SELECT l.event_id, l.value, CASE WHEN {first} THEN b.r_id ELSE a.r_id END AS r_id, CASE WHEN {first} THEN b.pressure ELSE a.pressure END AS pressure FROM l JOIN b USING (event_id) JOIN a USING (event_id)"
 _D = "a.r_ts IS NULL OR (b.r_ts IS NOT NULL AND (epoch_us(l.ts) - epoch_us(b.r_ts)) // {unit} <= (epoch_us(a.r_ts) - epoch_us(l.ts)) // {unit})"
+# of right rows at equal times the first by r_id counts, and each left row gives one row, as the operator has it
+_FIRST = f"""WITH l AS ({_L}), r AS (SELECT r_ts, r_id, pressure FROM ({_R}) WHERE r_ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY r_ts ORDER BY r_id) = 1),
+b AS (SELECT l.event_id, l.value, l.ts, r.r_ts AS b_ts, r.r_id AS b_id, r.pressure AS b_pressure FROM l ASOF LEFT JOIN r ON l.ts >= r.r_ts),
+a AS (SELECT b.*, r.r_ts AS a_ts, r.r_id AS a_id, r.pressure AS a_pressure FROM b ASOF LEFT JOIN r ON b.ts <= r.r_ts)"""
+_DF = "a_ts IS NULL OR (b_ts IS NOT NULL AND (epoch_us(ts) - epoch_us(b_ts)) // 1000 <= (epoch_us(a_ts) - epoch_us(ts)) // 1000)"
 for _m, _sql in [
     ("exact", f"WITH l AS ({_L}), r AS ({_R}) SELECT l.event_id, l.value, r.r_id, r.pressure FROM l LEFT JOIN r ON r.r_ts = l.ts"),
     ("backward", f"{_ASOF} SELECT l.event_id, l.value, b.r_id, b.pressure FROM l JOIN b USING (event_id)"),
     ("forward", f"{_ASOF} SELECT l.event_id, l.value, a.r_id, a.pressure FROM l JOIN a USING (event_id)"),
-    ("nearest", f"{_ASOF} " + _NEAR.format(first=_D.format(unit=1000))),
+    ("nearest", _FIRST + " SELECT event_id, value, CASE WHEN {first} THEN b_id ELSE a_id END AS r_id, CASE WHEN {first} THEN b_pressure ELSE a_pressure END AS pressure FROM a".format(first=_DF)),
 ]:
     query(f"asof_{_m}", _sql, "value pressure", "event_id r_id")(lambda s, d, m=_m: asof_join(*sides(s, d), "_timestamp", m, right_order="r_id").drop("_timestamp"))
 
