@@ -350,6 +350,33 @@ def test_costs_equal_a_plain_model(texts):
     assert np.allclose(got, [plain(t) for t in pieces], rtol=2e-3)
 
 
+def test_decisions_of_equal_contexts_are_counted_together(texts, monkeypatch):
+    """The tables are those of one decision after the other, across blocks too; what repeats is looked up once."""
+    found, slots = [], context_mixing._slots
+    monkeypatch.setattr(context_mixing, "_slots", lambda c, k, b, which, place: found.append(len(which)) or slots(c, k, b, which, place))
+    data, off = _coded([t or "" for t in texts.values()] + ["", "a", "\n", "ab", "the same words again " * 3000])
+    tree = context_mixing.Tree.of(np.ones((256, 256), np.int64))
+    plain = [np.zeros(2 << b, np.uint32) for b in BITS]
+    for group in context_mixing.sides(off, np.arange(len(off) - 1)):
+        for s in context_mixing.segments(data, off, group, tree, BITS):
+            for table, slot in zip(plain, s.slots):
+                np.add.at(table, 2 * slot + s.bit, np.uint32(1))
+    every = sum(found)
+    for chunk, block in ((1 << 20, 1 << 16), (1 << 12, 1 << 8), (1001, 7)):
+        found.clear()
+        monkeypatch.setattr(context_mixing, "CHUNK", chunk)
+        monkeypatch.setattr(context_mixing, "SEGMENT_BYTES", block)
+        counts = [np.zeros(2 << b, np.uint32) for b in BITS]
+        context_mixing.count_bits(data, off, tree, BITS, counts)
+        assert all(np.array_equal(a, b) for a, b in zip(counts, plain))
+        assert chunk < 1 << 20 or sum(found) < every / 2
+
+
+def test_logs_of_large_products():
+    t = np.array([2, 3, 1e30, 1e30] + [7e10] * 40, np.float32)
+    assert np.allclose(context_mixing._logs(t, np.array([0, 2, 4])), [math.log(6), 60 * math.log(10), 40 * math.log(7e10)])
+
+
 def test_every_code_is_complete(texts):
     tree = _model([t or "" for t in texts.values()], np.ones(len(texts), np.int8))[2]
     assert np.allclose((0.5 ** tree.length.reshape(256, 256)).sum(axis=1), 1)

@@ -186,11 +186,11 @@ def count_pairs(docs: DataFrame) -> DataFrame:
 class Segment:
     """A stretch of some texts, decisions in the order of coding: step, text, byte."""
 
-    text: np.ndarray  # of each byte: which text
-    byte: np.ndarray  # of each decision: which byte
     bit: np.ndarray
     slots: list[np.ndarray]  # by predictor
-    steps: np.ndarray  # decisions before each step
+    text: np.ndarray  # of each run (a text's decisions in a step): which text
+    begin: np.ndarray  # decisions before each run
+    steps: np.ndarray  # runs before each step
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, tree: Tree, bits: tuple[int, ...], most: int | None = None) -> Iterator[Segment]:
@@ -237,14 +237,20 @@ def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits:
     place = tree.place.ravel()[path]
     slots = []
     for k, (c, b) in enumerate(zip(contexts, bits)):
-        slot = _mix32(c + np.uint32(k))[byte]
-        slot ^= place
-        slot *= np.uint32(0x9E3779B1)
-        slot >>= np.uint32(32 - b)
-        slots.append(slot.view(np.int32))
-    ends = np.cumsum(here.reshape(size // STEP, -1).sum(axis=1))
-    steps = np.append(until, len(byte))[np.append(0, ends)]
-    return Segment(dealt(np.broadcast_to(texts[:, None], (n, size))), byte, tree.bit.ravel()[path], slots, steps)
+        slots.append(_slots(c, k, b, byte, place))
+    length = here.sum(axis=2)  # bytes, by step and text
+    at, row = np.nonzero(length)
+    begin = np.append(until, len(byte))[np.append(0, np.cumsum(length[at, row]))]
+    return Segment(tree.bit.ravel()[path], slots, texts[row], begin, np.searchsorted(at, np.arange(size // STEP + 1)))
+
+
+def _slots(contexts: np.ndarray, k: int, bits: int, which: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Slots of predictor ``k``: a context (by number, ``which``) and a place in its tree for each decision."""
+    slot = _mix32(contexts + np.uint32(k))[which]
+    slot ^= place
+    slot *= np.uint32(0x9E3779B1)
+    slot >>= np.uint32(32 - bits)
+    return slot.view(np.int32)
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -266,12 +272,60 @@ def sides(offsets: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
 # -- counting ---------------------------------------------------------------------------------------------------------------
 
 
+def _keys(data: np.ndarray, off: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By predictor, for the coded bytes from ``a`` to ``b``: context (3 bytes as they are, others by hash), then the byte before and the byte in the lowest 16 bits."""
+    begin = max(0, a - BACK)
+    m = data[begin:b]
+    at = np.arange(a - begin, len(m), dtype=np.int32)
+    firsts = off[np.searchsorted(off, a - 5) : np.searchsorted(off, b)] - a
+    before = []
+    for k in range(1, 6):
+        c = np.full(b - a, _END, np.uint8)
+        have = m[max(0, a - begin - k) : len(m) - k]
+        c[len(c) - len(have) :] = have
+        for j in range(k):  # nothing is seen of the text before
+            own = firsts + j
+            c[own[(own >= 0) & (own < len(c))]] = _END
+        before.append(c.astype(np.uint32))
+    three = before[0] | before[1] << np.uint32(8) | before[2] << np.uint32(16)
+    near = three | before[3] << np.uint32(24)
+    symbol = before[0] << np.uint32(8) | m[a - begin :]
+    start = np.zeros(len(m) + 1, np.int32)
+    start[1:] = np.where((m == _SPACE) | (m == _END), np.arange(1, len(m) + 1, dtype=np.int32), 0)
+    start = np.maximum(np.maximum.accumulate(start)[at], at - BACK)
+    up, down = tv._pow(len(m) + 1)
+    sums = np.zeros(len(m) + 1, np.uint64)
+    np.cumsum(tv.BYTE_VALUE[m] * up[: len(m)], out=sums[1:])
+    word = tv.mix((sums[at] - sums[start]) * down[start])
+    five = (near * np.uint32(0x9E3779B1) ^ before[4] * np.uint32(0x85EBCA6B)).astype(np.uint64) << np.uint64(16)
+    return three << np.uint32(8) | m[a - begin :], five | symbol, word >> np.uint64(32) << np.uint64(16) | symbol
+
+
 def count_bits(data: np.ndarray, off: np.ndarray, tree: Tree, bits: tuple[int, ...], counts: list[np.ndarray]) -> None:
-    """Adds the decisions of all texts to ``counts`` (two to a slot)."""
-    for texts in sides(off, np.arange(len(off) - 1)):
-        for s in segments(data, off, texts, tree, bits):
-            for table, slot in zip(counts, s.slots):
-                np.add.at(table, 2 * slot + s.bit, np.uint32(1))
+    """Adds the decisions of all texts to ``counts`` (two to a slot).
+
+    The order of decisions doesn't matter here: equal contexts with equal bytes are brought together by a sort, and
+    their decisions are found once.
+    """
+    place, bit, deep = tree.place.ravel(), tree.bit.ravel(), tree.place.shape[1]
+    for a in range(0, len(data), CHUNK):
+        blocks = [_keys(data, off, x, min(x + SEGMENT_BYTES, a + CHUNK, len(data))) for x in range(a, min(a + CHUNK, len(data)), SEGMENT_BYTES)]
+        for k, (table, b, context) in enumerate(zip(counts, bits, (8, 16, 16))):
+            keys = np.concatenate([block[k] for block in blocks])
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n = np.diff(np.append(first, len(keys))).astype(np.uint32)
+            keys = keys[first]
+            symbol = (keys & keys.dtype.type(0xFFFF)).astype(np.intp)
+            keys = (keys >> keys.dtype.type(context)).astype(np.uint32)
+            for x in range(0, len(keys), SEGMENT_BYTES):
+                own = symbol[x : x + SEGMENT_BYTES]
+                many = tree.length[own]
+                which = np.repeat(np.arange(len(own)), many)
+                path = (own * deep - (np.cumsum(many) - many))[which]
+                path += np.arange(len(which))
+                slot = _slots(keys[x : x + SEGMENT_BYTES], k, b, which, place[path])
+                np.add.at(table, 2 * slot + bit[path], n[x : x + SEGMENT_BYTES][which])
 
 
 def learn(docs: DataFrame, tree: Tree, bits: tuple[int, ...]) -> list[np.ndarray]:
@@ -406,43 +460,55 @@ def cost(data: np.ndarray, offsets: np.ndarray, tree: Tree, bits: tuple[int, ...
     """Bits of each text."""
     spent = np.zeros(len(offsets) - 1)
     for texts in sides(offsets, np.arange(len(offsets) - 1)):
-        n = len(texts)
-        w = [np.tile(start[:, k].astype(np.float32), n) for k in range(start.shape[1])]  # by text and gate
+        n, k = len(texts), start.shape[1]
+        w = np.zeros((n * GATES, 4), np.float32)  # by text and gate; a row is fetched as one number of 16 bytes
+        w[:, :k] = np.tile(start, (n, 1))
+        rows = w.view(np.complex128).ravel()
         scale, shift = np.ones(n, np.float32), np.zeros(n, np.float32)
         bill = np.zeros(n)
         for s in segments(data, offsets, texts, tree, bits):
             x, gate = _mixed(_states(s, tables))
-            text = s.text.astype(np.intp)[s.byte]
-            row = text * GATES
+            many = np.diff(s.begin)
+            row = np.repeat(s.text.astype(np.intp) * GATES, many)
             row += gate
             sign = s.bit.astype(np.float32) * np.float32(2) - np.float32(1)
-            for a, b in zip(s.steps[:-1].tolist(), s.steps[1:].tolist()):
-                if a == b:
+            for r, e in zip(s.steps[:-1].tolist(), s.steps[1:].tolist()):
+                if r == e:
                     continue
-                at, one, xs = row[a:b], sign[a:b], x[:, a:b]
-                z = w[0][at] * xs[0]
-                for wk, xk in zip(w[1:], xs[1:]):
-                    z += wk[at] * xk
+                a, b = int(s.begin[r]), int(s.begin[e])
+                who = slice(int(s.text[r]), int(s.text[e - 1]) + 1)  # the longer texts are left: neighbours
+                own, first, count = many[r:e], who.start * GATES, (who.stop - who.start) * GATES
+                near, one, xs = row[a:b] - first, sign[a:b], x[:, a:b]
+                wx = rows[first : first + count].take(near, mode="clip").view(np.float32).reshape(-1, 4)
+                z = wx[:, 0] * xs[0]
+                for j in range(1, k):
+                    z += wx[:, j] * xs[j]
                 np.clip(z, -12, 12, out=z)
                 miss = one / (1 + np.exp(one * z))  # bit - probability
-                first, count = int(text[a]) * GATES, (int(text[b - 1]) - int(text[a]) + 1) * GATES
-                near = at - first
-                for wk, xk in zip(w, xs):
-                    wk[first : first + count] += np.float32(rate) * np.bincount(near, miss * xk, count).astype(np.float32)
+                for j in range(k):
+                    w[first : first + count, j] += np.float32(rate) * np.bincount(near, miss * xs[j], count).astype(np.float32)
                 # the last stage, text by text: decisions of a text are together
-                own = text[a:b]
-                begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                who, many = own[begin], np.diff(np.append(begin, b - a))
-                y = np.repeat(scale[who], many) * z + np.repeat(shift[who], many)
-                e = np.exp(-one * y)
-                bill[who] += np.add.reduceat(np.log2(1 + e), begin, dtype=np.float64)
-                miss = one * e / (1 + e)
+                begin = s.begin[r:e] - a
+                y = np.repeat(scale[who], own)
+                y *= z
+                y += np.repeat(shift[who], own)
+                y *= one
+                t = np.exp(np.negative(y, out=y)) + np.float32(1)
+                bill[who] += _logs(t, begin)
+                miss = one - one / t
                 scale[who] = np.clip(scale[who] + np.float32(rate_last / 4) * np.add.reduceat(miss * z, begin), 0.5, 2)
                 shift[who] = np.clip(shift[who] + np.float32(rate_last) * np.add.reduceat(miss, begin), -1, 1)
-        spent[texts] = bill
+        spent[texts] = bill / np.log(2.0)
     return spent
 
 
+def _logs(t: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of logs from each of ``begin`` on: logs of products, or of each number where a product is too large."""
+    with np.errstate(over="ignore"):
+        out = np.log(np.multiply.reduceat(t, begin, dtype=np.float64))
+    return out if np.isfinite(out).all() else np.add.reduceat(np.log(t), begin, dtype=np.float64)
+
+
 # -- base score -------------------------------------------------------------------------------------------------------------
 
 
