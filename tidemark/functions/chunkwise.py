@@ -417,6 +417,7 @@ def spline(rows: DataFrame, key: SeriesKey, points: list[float] | None, linear:
         if len(diag):
             lower[0] = upper[-1] = 0.0
         m = np.concatenate([[0.0], tridiagonal(lower, diag, upper, rhs[:, None])[:, 0], [0.0]])
+        m = m[: len(e) + 1]  # a lone knot has no chunk with two ends
         own = np.concatenate([np.stack([m[:-1], m[1:]], 1), np.zeros((len(pdf) - len(e), 2))])
         return _with_keys(pd.DataFrame({CHUNK_COL: pdf[CHUNK_COL].to_numpy(), "_s": list(own)}), pdf, parts)
 
