@@ -372,6 +372,30 @@ def test_decisions_of_equal_contexts_are_counted_together(texts, monkeypatch):
         assert chunk < 1 << 20 or sum(found) < every / 2
 
 
+def test_decisions_of_a_context_are_neighbours():
+    """Nearly all decisions of a byte read one line of 64 slots; ascending hashes have ascending slots but for the 15 bits of a place."""
+    data, off, tree, _ = _model(["the stone river of the quiet cloud and " * 40], np.ones(1, np.int8))
+    before = np.concatenate([[10], data[:-1]]).astype(int)
+    first = np.cumsum(tree.length[before * 256 + data])
+    within = np.setdiff1d(np.arange(1, first[-1]), first)
+    (whole,) = context_mixing.segments(data, off, np.array([0]), tree, BITS)
+    assert len(whole.bit) == first[-1] and len(within) > 500
+    for slot in whole.slots:
+        assert np.mean(slot[within] >> 6 == slot[within - 1] >> 6) > 0.95
+    for k, bits in ((1, 22), (2, 24)):
+        hashes = np.sort(np.random.default_rng(k).integers(0, 1 << 32, 1000, dtype=np.uint32))
+        slot = context_mixing._slots(hashes, k, bits, np.arange(1000), np.full(1000, tree.place.max()).astype(np.intp))
+        assert (np.diff(slot >> 15) >= 0).all() and slot.max() < 1 << bits
+
+
+def test_coded_tokens_equal_a_plain_loop():
+    rng = np.random.default_rng(7)
+    own = ["".join(rng.choice(list("aB \n\tä"), int(rng.integers(0, 8)))) for _ in range(400)]
+    data, off = _coded(own)
+    want = ["".join(w + " " for w in brute.WORD.findall(brute.lower(t))) + "\n" for t in own]
+    assert [data[a:b].tobytes().decode() for a, b in zip(off, off[1:])] == want
+
+
 def test_logs_of_large_products():
     t = np.array([2, 3, 1e30, 1e30] + [7e10] * 40, np.float32)
     assert np.allclose(context_mixing._logs(t, np.array([0, 2, 4])), [math.log(6), 60 * math.log(10), 40 * math.log(7e10)])

@@ -63,6 +63,8 @@ _SPACE, _END = 32, 10
 HELD = 1_000_000
 #: A slot's state in a byte: log-odds in quarters (6 bits, 32 is none), and how often it was seen: never, up to 3, up to 30, more.
 _SILENT = np.uint8(32)
+#: The lowest bytes of a number, by how many.
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def held_out(id_col: Column) -> Column:
@@ -100,7 +102,11 @@ def _paths(counts: np.ndarray) -> list[list[tuple[int, int]]]:
 
 @dataclass(frozen=True)
 class Tree:
-    """A code for each byte before: ``length`` decisions for a byte, each with a hashed place and a bit."""
+    """A code for each byte before: ``length`` decisions for a byte, each with a place and a bit.
+
+    Places of a tree are numbered from the root on by how often they are met, so that a context's common decisions are
+    neighbours in the tables; trees differ in the bits above.
+    """
 
     length: np.ndarray
     place: np.ndarray
@@ -118,9 +124,9 @@ class Tree:
         for k, code in enumerate(codes):
             for leaf, path in enumerate(code):
                 length[k, leaf] = len(path)
-                node[k, leaf, : len(path)] = [n + 1024 * k for n, _ in path]
+                node[k, leaf, : len(path)] = [510 - n + 256 * (k & 127) for n, _ in path]
                 bits[k, leaf, : len(path)] = [b for _, b in path]
-        return cls(length.ravel(), _mix32(node.reshape(256 * 256, deep) + np.uint32(77)), bits.reshape(256 * 256, deep))
+        return cls(length.ravel(), node.reshape(256 * 256, deep), bits.reshape(256 * 256, deep))
 
 
 # -- texts ------------------------------------------------------------------------------------------------------------------
@@ -140,15 +146,15 @@ def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
         drop[1:] = space[:-1]
         drop[off[:-1][off[:-1] < len(drop)]] = True
     drop &= space
-    kept = np.flatnonzero(~drop)
-    size = np.diff(np.searchsorted(kept, off))
-    coded = coded[kept]
+    size = np.diff(off - np.searchsorted(np.flatnonzero(drop), off))
+    coded = coded[~drop]
     last = np.cumsum(size) - 1
     bare = (size > 0) & (coded[np.maximum(last, 0)] != _SPACE) if len(coded) else np.zeros(n, bool)
     length = size + bare + 1
-    out = np.full(int(length.sum()), _SPACE, np.uint8)
-    ends = np.cumsum(length)
-    out[np.arange(len(coded)) + np.repeat(ends - length - (last + 1 - size), size)] = coded
+    out, ends = np.full(int(length.sum()), _SPACE, np.uint8), np.cumsum(length)
+    own = np.ones(len(out), bool)
+    own[ends - 1] = own[ends[bare] - 2] = False
+    out[own] = coded
     out[ends - 1] = _END
     return out, np.concatenate([[0], ends])
 
@@ -213,44 +219,59 @@ def segments(data: np.ndarray, offsets: np.ndarray, texts: np.ndarray, tree: Tre
 def _coded(m: np.ndarray, own: np.ndarray, texts: np.ndarray, tree: Tree, bits: tuple[int, ...]) -> Segment:
     n, size = len(m), m.shape[1] - BACK
 
-    def dealt(a: np.ndarray) -> np.ndarray:
-        return a.reshape(n, size // STEP, STEP).transpose(1, 0, 2)[here]
-
     here = (np.arange(size) < own[:, None]).reshape(n, size // STEP, STEP).transpose(1, 0, 2)
-    before = [m[:, BACK - k : BACK - k + size] for k in range(1, 6)]
-    symbol = dealt(before[0].astype(np.intp) * 256 + m[:, BACK:])
-    near = dealt(before[0].astype(np.uint32) | before[1].astype(np.uint32) << np.uint32(8) | before[2].astype(np.uint32) << np.uint32(16) | before[3].astype(np.uint32) << np.uint32(24))
-    columns = np.arange(m.shape[1] + 1, dtype=np.int32)
-    start = np.zeros((n, m.shape[1] + 1), np.int32)
-    start[:, 1:] = np.where((m == _SPACE) | (m == _END), columns[1:], 0)
-    start = np.maximum(np.maximum.accumulate(start, axis=1)[:, BACK:-1], columns[:size])
-    up, down = tv._pow(m.shape[1] + 1)
-    sums = np.zeros((n, m.shape[1] + 1), np.uint64)
-    np.cumsum(tv.BYTE_VALUE[m] * up[: m.shape[1]], axis=1, out=sums[:, 1:])
-    word = dealt((sums[:, BACK:-1] - np.take_along_axis(sums, start, axis=1)) * down[start])
-    contexts = [near & np.uint32(0xFFFFFF), near * np.uint32(0x9E3779B1) ^ dealt(before[4]) * np.uint32(0x85EBCA6B), (tv.mix(word) >> np.uint64(32)).astype(np.uint32)]
+    at = np.arange(m.size).reshape(m.shape)[:, BACK:].reshape(n, size // STEP, STEP).transpose(1, 0, 2)[here]
+    symbol, contexts = _contexts(m.ravel(), at)
     many = tree.length[symbol]
-    byte = np.repeat(np.arange(len(symbol)), many)  # indices of the machine's width are not copied
-    until = np.cumsum(many, dtype=np.int32) - many
+    byte, until = _owners(many)
     path = (symbol * tree.place.shape[1] - until)[byte]
     path += np.arange(len(byte))
-    place = tree.place.ravel()[path]
-    slots = []
-    for k, (c, b) in enumerate(zip(contexts, bits)):
-        slots.append(_slots(c, k, b, byte, place))
+    place = tree.place.ravel()[path].astype(np.intp)
+    slots = [_slots(c, k, b, byte, place) for k, (c, b) in enumerate(zip(contexts, bits))]
     length = here.sum(axis=2)  # bytes, by step and text
     at, row = np.nonzero(length)
     begin = np.append(until, len(byte))[np.append(0, np.cumsum(length[at, row]))]
     return Segment(tree.bit.ravel()[path], slots, texts[row], begin, np.searchsorted(at, np.arange(size // STEP + 1)))
 
 
+def _owners(many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of ``many`` entries (one at least): the run of each entry, and the entries before each run."""
+    upto = np.cumsum(many, dtype=np.intp)
+    new = np.zeros(upto[-1] if len(upto) else 0, np.int8)
+    new[upto[:-1]] = 1
+    return np.cumsum(new, dtype=np.intp), upto - many  # indices of the machine's width are not copied
+
+
+def _contexts(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For the bytes of ``m`` at ``at``: 256 * the byte before + the byte, and each predictor's context (3 bytes as they are, others by hash).
+
+    ``BACK`` bytes are before each of ``at``, end marks where the text has none.
+    """
+    past = m.astype(np.uint64)
+    for k in (1, 2, 4):  # the last 2, 4, 8 bytes up to each
+        past[k:] |= past[:-k] << np.uint64(8 * k)
+    bound = np.where((m == _SPACE) | (m == _END), np.arange(len(m), dtype=np.int32), np.int32(-BACK))
+    before = at - 1
+    size = before - np.maximum.accumulate(bound)[before]
+    near = past[before]
+    word = near & _LAST[np.minimum(size, 8)]
+    word += np.minimum(size, BACK).astype(np.uint64) * tv._BASE
+    long = np.flatnonzero(size > 8)
+    word[long] ^= tv.mix(past[before[long] - 8] & _LAST[np.minimum(size[long], BACK) - 8])
+    five = tv.mix(near & _LAST[5])
+    three = (near & _LAST[3]).astype(np.uint32)
+    symbol = (near & _LAST[1]).astype(np.intp) << 8 | m[at]
+    return symbol, [three, (five >> np.uint64(32)).astype(np.uint32), (tv.mix(word) >> np.uint64(32)).astype(np.uint32)]
+
+
 def _slots(contexts: np.ndarray, k: int, bits: int, which: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Slots of predictor ``k``: a context (by number, ``which``) and a place in its tree for each decision."""
-    slot = _mix32(contexts + np.uint32(k))[which]
+    """Slots of predictor ``k``: a context (by number, ``which``) and a place in its tree for each decision.
+
+    Hashes in ascending order have slots in ascending order but for the place's bits.
+    """
+    slot = ((contexts if k else _mix32(contexts)) >> np.uint32(32 - bits)).astype(np.intp)[which]
     slot ^= place
-    slot *= np.uint32(0x9E3779B1)
-    slot >>= np.uint32(32 - bits)
-    return slot.view(np.int32)
+    return slot
 
 
 def _mix32(x: np.ndarray) -> np.ndarray:
@@ -273,32 +294,17 @@ def sides(offsets: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _keys(data: np.ndarray, off: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By predictor, for the coded bytes from ``a`` to ``b``: context (3 bytes as they are, others by hash), then the byte before and the byte in the lowest 16 bits."""
-    begin = max(0, a - BACK)
-    m = data[begin:b]
-    at = np.arange(a - begin, len(m), dtype=np.int32)
-    firsts = off[np.searchsorted(off, a - 5) : np.searchsorted(off, b)] - a
-    before = []
-    for k in range(1, 6):
-        c = np.full(b - a, _END, np.uint8)
-        have = m[max(0, a - begin - k) : len(m) - k]
-        c[len(c) - len(have) :] = have
-        for j in range(k):  # nothing is seen of the text before
-            own = firsts + j
-            c[own[(own >= 0) & (own < len(c))]] = _END
-        before.append(c.astype(np.uint32))
-    three = before[0] | before[1] << np.uint32(8) | before[2] << np.uint32(16)
-    near = three | before[3] << np.uint32(24)
-    symbol = before[0] << np.uint32(8) | m[a - begin :]
-    start = np.zeros(len(m) + 1, np.int32)
-    start[1:] = np.where((m == _SPACE) | (m == _END), np.arange(1, len(m) + 1, dtype=np.int32), 0)
-    start = np.maximum(np.maximum.accumulate(start)[at], at - BACK)
-    up, down = tv._pow(len(m) + 1)
-    sums = np.zeros(len(m) + 1, np.uint64)
-    np.cumsum(tv.BYTE_VALUE[m] * up[: len(m)], out=sums[1:])
-    word = tv.mix((sums[at] - sums[start]) * down[start])
-    five = (near * np.uint32(0x9E3779B1) ^ before[4] * np.uint32(0x85EBCA6B)).astype(np.uint64) << np.uint64(16)
-    return three << np.uint32(8) | m[a - begin :], five | symbol, word >> np.uint64(32) << np.uint64(16) | symbol
+    """By predictor, for the coded bytes from ``a`` to ``b``: context, then the byte before and the byte in the lowest 16 bits."""
+    cuts = off[np.searchsorted(off, a, "right") : np.searchsorted(off, b)]
+    size = np.diff(np.concatenate([[a], cuts, [b]]))
+    at = np.arange(b - a) + np.repeat(np.arange(1, len(size) + 1) * BACK, size)
+    m = np.full(b - a + len(size) * BACK, _END, np.uint8)  # nothing is seen of the text before
+    m[at] = data[a:b]
+    back = min(BACK, a - int(off[np.searchsorted(off, a, "right") - 1]))
+    m[BACK - back : BACK] = data[a - back : a]
+    symbol, (three, five, word) = _contexts(m, at)
+    symbol = symbol.astype(np.uint64)
+    return three << np.uint32(8) | m[at], five.astype(np.uint64) << np.uint64(16) | symbol, word.astype(np.uint64) << np.uint64(16) | symbol
 
 
 def count_bits(data: np.ndarray, off: np.ndarray, tree: Tree, bits: tuple[int, ...], counts: list[np.ndarray]) -> None:
@@ -320,11 +326,10 @@ def count_bits(data: np.ndarray, off: np.ndarray, tree: Tree, bits: tuple[int, .
             keys = (keys >> keys.dtype.type(context)).astype(np.uint32)
             for x in range(0, len(keys), SEGMENT_BYTES):
                 own = symbol[x : x + SEGMENT_BYTES]
-                many = tree.length[own]
-                which = np.repeat(np.arange(len(own)), many)
-                path = (own * deep - (np.cumsum(many) - many))[which]
+                which, until = _owners(tree.length[own])
+                path = (own * deep - until)[which]
                 path += np.arange(len(which))
-                slot = _slots(keys[x : x + SEGMENT_BYTES], k, b, which, place[path])
+                slot = _slots(keys[x : x + SEGMENT_BYTES], k, b, which, place[path].astype(np.intp))
                 np.add.at(table, 2 * slot + bit[path], n[x : x + SEGMENT_BYTES][which])
 
 
@@ -376,7 +381,7 @@ def learn(docs: DataFrame, tree: Tree, bits: tuple[int, ...]) -> list[np.ndarray
 
 
 def _states(s: Segment, tables: list[np.ndarray]) -> list[np.ndarray]:
-    return [table[slot.astype(np.intp)] for table, slot in zip(tables, s.slots)]
+    return [table[slot] for table, slot in zip(tables, s.slots)]
 
 
 def _mixed(state: list[np.ndarray] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
