@@ -258,10 +258,18 @@ def _contexts(m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarra
     word += np.minimum(size, BACK).astype(np.uint64) * tv._BASE
     long = np.flatnonzero(size > 8)
     word[long] ^= tv.mix(past[before[long] - 8] & _LAST[np.minimum(size[long], BACK) - 8])
-    five = tv.mix(near & _LAST[5])
     three = (near & _LAST[3]).astype(np.uint32)
     symbol = (near & _LAST[1]).astype(np.intp) << 8 | m[at]
-    return symbol, [three, (five >> np.uint64(32)).astype(np.uint32), (tv.mix(word) >> np.uint64(32)).astype(np.uint32)]
+    return symbol, [three, _high(near & _LAST[5]), _high(word)]
+
+
+def _high(x: np.ndarray) -> np.ndarray:
+    """32 bits of a hash of each number, which is overwritten."""
+    x *= tv._M1
+    x ^= x >> np.uint64(32)
+    x *= tv._M2
+    x >>= np.uint64(32)
+    return x.astype(np.uint32)
 
 
 def _slots(contexts: np.ndarray, k: int, bits: int, which: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -673,8 +681,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     drop_written(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [t.copy() for t in tables.value]  # numpy asks for large pages, those read from a broadcast have small ones
         for b, data, off in _texts(batches, 2, 4 * CHUNK):
-            spent = cost(data, off, tree, bits, tables.value, start)
+            spent = cost(data, off, tree, bits, own, start)
             n = np.add.reduceat(data == _SPACE, off[:-1], dtype=np.int64) + 1
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(n), pa.array(-spent * np.log10(2.0)), pa.array(spent / np.diff(off))], names=["id", "held_out", "row_key", "n_tokens", "score", "bits_per_byte"])
 
